@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ampflow.llm import language, quality
+from ampflow.llm import bpe, language, quality, simhash
 
 QUERIES = {
     "op1_line_crf_quality": quality.op1,
+    "op2_segment_grid_simhash": simhash.op2,
     "op7_word_crf_language": language.op7,
+    "op9_merge_replay_bpe": bpe.op9,
 }
 
 ORACLES: dict[str, str] = {}
