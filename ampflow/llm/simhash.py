@@ -235,6 +235,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays.  Rows with a null id are of no group
+    that could be told apart, and stay.
+    """
+    groups = saved(near_duplicates(docs.select("doc_id", "text"), width).select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampflow.llm import language, quality
-from ampflow.llm.common import fold, saved, table
+from ampflow.llm import language, packing, quality, secrets, simhash
+from ampflow.llm.common import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text must be this sure of its language: half of its letters or more.
@@ -27,7 +28,29 @@ def qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(F.col("_s") >= quality.THRESHOLD).drop("_s")
 
 
-STAGES = [("language_id", languages), ("quality_classifier", qualities)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return simhash.deduplicate(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets, nested encodings included, by a mark."""
+    out = secrets.redact(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the tokens of what is left into training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", languages),
+    ("quality_classifier", qualities),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
