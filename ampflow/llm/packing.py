@@ -17,6 +17,7 @@ packed like others; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -125,24 +126,40 @@ def pack(docs: Iterator[tuple], window: int = WINDOW) -> Iterator[list | None]:
     yield from levels.rest()
 
 
-class _Tokens(dict):
-    """Piece of text to its ids as little-endian 32-bit numbers."""
+class _Tokens:
+    """Pieces of text to their ids as little-endian 32-bit numbers; each is encoded once while it is kept."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        super().__init__()
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
+        self.tails = _Tails(self.encode)
+
+    def ids(self, text: str | None, end: int = END) -> bytes:
+        heads, tails = _pieces(text or "")
+        if len(self.tails) > CACHE:
+            self.tails.clear()
+        out = [_bytes(self.encode(p)) for p in heads]
+        out += map(self.tails.__getitem__, tails)
+        out.append(int(end).to_bytes(4, "little"))
+        return b"".join(out)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()  # 4 bytes an id on all platforms that Spark runs on
+
+
+class _Tails(dict):
+    """Pieces that follow a space, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        ids = self[piece] = _bytes(self.encode(" " + piece))
         return ids
 
-    def ids(self, text: str | None, end: int = END) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        return b"".join(map(self.__getitem__, _pieces(text or ""))) + int(end).to_bytes(4, "little")
-
 
 @lru_cache(2)
 def tokens(path: str, pattern: str) -> _Tokens:
