@@ -23,16 +23,19 @@ def _add(name: str, query, body: str | None = None, **kinds) -> None:
 
 
 def _some(columns):
-    return lambda s, d: daily(s, d).select(*KEYS, *[c.alias(n) for n, c in columns.items()])
+    """The columns are made when the query runs: they need a session."""
+    return lambda s, d: daily(s, d).select(*KEYS, *[c.alias(n) for n, c in columns().items()])
 
 
-def _names(columns) -> str:
-    return " ".join(columns)
 
 
 W = "WINDOW w AS (PARTITION BY device_id ORDER BY day)"
-lags, rolls, trends, past = feats.lag_columns(), feats.rolling_columns(), feats.trend_columns(), feats.profile_columns()
-_add("lag_features", _some(lags), D + " SELECT device_id, day, " + ", ".join(f"lag({s}, {k}) OVER w AS {s}_lag{k}" for s in SEG for k in feats.LAGS) + f" FROM d {W}", doubles=_names(lags), texts="day")
+LAGS = " ".join(f"{s}_lag{k}" for s in SEG for k in feats.LAGS)
+ROLLS = " ".join(f"{s}_mean{n} {s}_std{n}" for s in SEG for n in feats.ROLLS)
+TRENDS = " ".join(f"{s}_trend{k}" for s in SEG for k in (1, 7))
+PAST = " ".join(f"{s}_past_mean {s}_past_std {s}_to_past {s}_past_share" for s in SEG) + " past_total past_total_std past_cv"
+CALENDAR = "day_of_month " + " ".join(f"{p}{n}" for p in ("", "target_") for n in ("day_of_week", "is_weekend", "month", "quarter", "week_of_year")) + " weekend_changes month_changes"
+_add("lag_features", _some(feats.lag_columns), D + " SELECT device_id, day, " + ", ".join(f"lag({s}, {k}) OVER w AS {s}_lag{k}" for s in SEG for k in feats.LAGS) + f" FROM d {W}", doubles=LAGS, texts="day")
 
 
 def _full(agg: str, x: str, frame: str, n: int) -> str:
@@ -40,17 +43,16 @@ def _full(agg: str, x: str, frame: str, n: int) -> str:
     return f"CASE WHEN count({x}) {over} >= {n} THEN {agg}({x}) {over} END"
 
 
-_add("rolling_features", _some(rolls), D + " SELECT device_id, day, " + ", ".join(f"{_full('avg', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_mean{n}, {_full('stddev_samp', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_std{n}" for s in SEG for n in feats.ROLLS) + " FROM d", doubles=_names(rolls), texts="day")
-_add("trend_features", _some(trends), D + " SELECT device_id, day, " + ", ".join(f"{s} - lag({s}, {k}) OVER w AS {s}_trend{k}" for s in SEG for k in (1, 7)) + f" FROM d {W}", doubles=_names(trends), texts="day")
+_add("rolling_features", _some(feats.rolling_columns), D + " SELECT device_id, day, " + ", ".join(f"{_full('avg', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_mean{n}, {_full('stddev_samp', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_std{n}" for s in SEG for n in feats.ROLLS) + " FROM d", doubles=ROLLS, texts="day")
+_add("trend_features", _some(feats.trend_columns), D + " SELECT device_id, day, " + ", ".join(f"{s} - lag({s}, {k}) OVER w AS {s}_trend{k}" for s in SEG for k in (1, 7)) + f" FROM d {W}", doubles=TRENDS, texts="day")
 UP = "UNBOUNDED PRECEDING AND 1 PRECEDING"
-_add("expanding_profile", _some(past), D + ", x AS (SELECT *, " + ", ".join(f"{_full('avg', s, UP, 30)} AS {s}_past_mean, {_full('stddev_pop', s, UP, 30)} AS {s}_past_std" for s in SEG) + f", {_full('stddev_pop', '(seg0 + seg1 + seg2 + seg3)', UP, 30)} AS past_total_std FROM d), y AS (SELECT *, seg0_past_mean + seg1_past_mean + seg2_past_mean + seg3_past_mean AS past_total FROM x) SELECT device_id, day, " + ", ".join(f"{s}_past_mean, {s}_past_std, {s} / nullif({s}_past_mean, 0) AS {s}_to_past, {s}_past_mean / nullif(past_total, 0) AS {s}_past_share" for s in SEG) + ", past_total, past_total_std, past_total_std / nullif(past_total, 0) AS past_cv FROM y", doubles=_names(past), texts="day")
+_add("expanding_profile", _some(feats.profile_columns), D + ", x AS (SELECT *, " + ", ".join(f"{_full('avg', s, UP, 30)} AS {s}_past_mean, {_full('stddev_pop', s, UP, 30)} AS {s}_past_std" for s in SEG) + f", {_full('stddev_pop', '(seg0 + seg1 + seg2 + seg3)', UP, 30)} AS past_total_std FROM d), y AS (SELECT *, seg0_past_mean + seg1_past_mean + seg2_past_mean + seg3_past_mean AS past_total FROM x) SELECT device_id, day, " + ", ".join(f"{s}_past_mean, {s}_past_std, {s} / nullif({s}_past_mean, 0) AS {s}_to_past, {s}_past_mean / nullif(past_total, 0) AS {s}_past_share" for s in SEG) + ", past_total, past_total_std, past_total_std / nullif(past_total, 0) AS past_cv FROM y", doubles=PAST, texts="day")
 CAL = "dayofmonth(day) AS day_of_month, " + ", ".join(
     f"isodow({x}) - 1 AS {p}day_of_week, CAST(isodow({x}) >= 6 AS INT) AS {p}is_weekend, month({x}) AS {p}month, quarter({x}) AS {p}quarter, week({x}) AS {p}week_of_year" for x, p in (("day", ""), ("(day + 1)", "target_"))
 ) + ", CAST((isodow(day) >= 6) <> (isodow(day + 1) >= 6) AS INT) AS weekend_changes, CAST(month(day) <> month(day + 1) AS INT) AS month_changes"
-_add("calendar_features", _some(feats.calendar_columns()), D + f" SELECT device_id, day, {CAL} FROM d", ints=_names(feats.calendar_columns()), texts="day")
-times = feats.segment_time_columns()
-_add("segment_time_features", _some(times), D + ", x AS (SELECT *, " + ", ".join(f"lead({s}_start) OVER w AS {s}_next_start, lead({s}_hours) OVER w AS {s}_next_hours, {s} / nullif({s}_hours, 0) AS {s}_density" for s in SEG) + f" FROM d {W}), y AS (SELECT *, " + ", ".join(f"{_full('avg', f'{s}_density', '6 PRECEDING AND CURRENT ROW', 7)} AS {s}_density7" for s in SEG) + " FROM x) SELECT device_id, day, " + ", ".join(f"{s}_next_start, {s}_next_hours, {s}_next_start - {s}_start AS {s}_start_shift, {s}_next_hours - {s}_hours AS {s}_hours_shift, {s}_density, {s}_density7, {s}_density * {s}_next_hours AS {s}_expected, {s}_density7 * {s}_next_hours AS {s}_expected7" for s in SEG) + " FROM y", doubles=" ".join(n for n in times if n.endswith(("density", "density7", "expected", "expected7"))), ints=" ".join(n for n in times if n.endswith(("start", "hours", "shift"))), texts="day")
-_add("targets_lead", _some(feats.target_columns()), D + " SELECT device_id, day, " + ", ".join(f"lead({s}) OVER w AS target_{s}" for s in SEG) + f" FROM d {W}", doubles=" ".join(feats.TARGETS), texts="day")
+_add("calendar_features", _some(feats.calendar_columns), D + f" SELECT device_id, day, {CAL} FROM d", ints=CALENDAR, texts="day")
+_add("segment_time_features", _some(feats.segment_time_columns), D + ", x AS (SELECT *, " + ", ".join(f"lead({s}_start) OVER w AS {s}_next_start, lead({s}_hours) OVER w AS {s}_next_hours, {s} / nullif({s}_hours, 0) AS {s}_density" for s in SEG) + f" FROM d {W}), y AS (SELECT *, " + ", ".join(f"{_full('avg', f'{s}_density', '6 PRECEDING AND CURRENT ROW', 7)} AS {s}_density7" for s in SEG) + " FROM x) SELECT device_id, day, " + ", ".join(f"{s}_next_start, {s}_next_hours, {s}_next_start - {s}_start AS {s}_start_shift, {s}_next_hours - {s}_hours AS {s}_hours_shift, {s}_density, {s}_density7, {s}_density * {s}_next_hours AS {s}_expected, {s}_density7 * {s}_next_hours AS {s}_expected7" for s in SEG) + " FROM y", doubles=" ".join(f"{s}_{n}" for s in SEG for n in ("density", "density7", "expected", "expected7")), ints=" ".join(f"{s}_{n}" for s in SEG for n in ("next_start", "next_hours", "start_shift", "hours_shift")), texts="day")
+_add("targets_lead", _some(feats.target_columns), D + " SELECT device_id, day, " + ", ".join(f"lead({s}) OVER w AS target_{s}" for s in SEG) + f" FROM d {W}", doubles=" ".join(feats.TARGETS), texts="day")
 _add("feature_table_rows", lambda s, d: feats.build(daily(s, d)).groupBy("device_id").agg(F.count("*").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("seg0_lag30").alias("lag30"), F.sum("target_seg3").alias("target")), D + ", x AS (SELECT *, row_number() OVER w AS i, lead(seg3) OVER w AS t, lag(seg0, 30) OVER w AS l, least(" + ", ".join(f"sum({s}) OVER (PARTITION BY device_id ORDER BY day ROWS BETWEEN {UP})" for s in SEG) + f") AS low FROM d {W}) SELECT device_id, count(*) AS rows, min(day) AS first_day, max(day) AS last_day, sum(l) AS lag30, sum(t) AS target FROM x WHERE i > 30 AND t IS NOT NULL AND low > 0 GROUP BY 1", doubles="lag30 target", ints="rows", texts="first_day last_day")
 _add("split_70_15_15", lambda s, d: feats.split(daily(s, d).select(*KEYS)), D + " SELECT device_id, day, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.85) THEN 'valid' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY day) AS i, count(*) OVER (PARTITION BY device_id) AS n FROM d)", texts="day")
 

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HOURS = range(24)
 SEGMENTS = range(4)
 SEG = [f"seg{k}" for k in SEGMENTS]
 
-METER = T.StructType.fromDDL("id long, device_id long, power_W double, created_at timestamp, segment_id tinyint, is_peak_hour boolean")
-READINGS = T.StructType.fromDDL("device_id long, ts timestamp, kwh double")
-DAILY = T.StructType.fromDDL("device_id long, day date, " + ", ".join(f"{s} double" for s in SEG) + ", " + ", ".join(f"{s}_start int, {s}_hours int" for s in SEG))
-HALF_HOURS = T.StructType.fromDDL("household string, tariff string, stamp string, kwh string")
-SENSOR = T.StructType.fromDDL("current_A double, voltage_V double, power_W double, apparent_power_VA double, power_factor double")
+METER = "id long, device_id long, power_W double, created_at timestamp, segment_id tinyint, is_peak_hour boolean"
+READINGS = "device_id long, ts timestamp, kwh double"
+DAILY = "device_id long, day date, " + ", ".join(f"{s} double" for s in SEG) + ", " + ", ".join(f"{s}_start int, {s}_hours int" for s in SEG)
+HALF_HOURS = "household string, tariff string, stamp string, kwh string"
+SENSOR = "current_A double, voltage_V double, power_W double, apparent_power_VA double, power_factor double"
 RESULTS = {
     "nightly_predictions": "device_id long, prediction_today string, prediction_tomorrow string, prediction_day_after_tomorrow string, model_version string, generated_at timestamp",
     "daily_actuals": "device_id long, actual_date date, actual_seg0 double, actual_seg1 double, actual_seg2 double, actual_seg3 double, peak_hour int, peak_value double, peak_segment int, computed_at timestamp",

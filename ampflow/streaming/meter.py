@@ -10,8 +10,7 @@ from ampflow.schema import SENSOR
 
 def sensor_stream(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines that arrive as files: device_id, ts and the sensor's fields."""
-    schema = "device_id long, ts timestamp, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SENSOR)
-    return spark.readStream.schema(schema).json(path)
+    return spark.readStream.schema(f"device_id long, ts timestamp, {SENSOR}").json(path)
 
 
 def hourly_means(messages: DataFrame, late: str = "1 hour") -> DataFrame:
