@@ -243,7 +243,8 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     groups = saved(near_duplicates(docs.select("doc_id", "text"), width).select("doc_id", "component_id"), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # The list grows with the corpus, so the join is a shuffle at every size, never a broadcast.
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept
