@@ -54,16 +54,26 @@ def _year_start(y: Column) -> Column:
     return 365 * y + _div(8 * y + 21, 33) + _YEAR_ZERO
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _year_of(n: Column) -> Column:
+    about = _div((n - _YEAR_ZERO) * 33, 365 * 33 + 8)  # or one off
+    return _let(about, lambda y: F.when(_year_start(y) > n, y - 1).when(_year_start(y + 1) <= n, y + 1).otherwise(y))
+
+
 def jalali(day: Column) -> Column:
     """struct(jy, jm, jd) of a Gregorian date: six months of 31 days, then months of 30."""
-    n = F.unix_date(day).cast("long")
-    about = _div((n - _YEAR_ZERO) * 33, 365 * 33 + 8)  # the year, or one off
-    year = F.when(_year_start(about) > n, about - 1).when(_year_start(about + 1) <= n, about + 1).otherwise(about)
-    at = n - _year_start(year)
-    late = at - 186
-    month = F.when(late < 0, _div(at, 31) + 1).otherwise(_div(late, 30) + 7)
-    dom = F.when(late < 0, at % 31 + 1).otherwise(late % 30 + 1)
-    return F.struct(_int(year).alias("jy"), _int(month).alias("jm"), _int(dom).alias("jd"))
+
+    def parts(year: Column, at: Column) -> Column:
+        month = F.when(at < 186, _div(at, 31) + 1).otherwise(_div(at - 186, 30) + 7)
+        dom = F.when(at < 186, at % 31 + 1).otherwise((at - 186) % 30 + 1)
+        return F.struct(_int(year).alias("jy"), _int(month).alias("jm"), _int(dom).alias("jd"))
+
+    of = lambda n: _let(_year_of(n), lambda y: _let(n - _year_start(y), lambda at: parts(y, at)))
+    return _let(F.unix_date(day).cast("long"), of)
 
 
 def from_jalali(jy: Column, jm: Column, jd: Column) -> Column:
@@ -73,7 +83,7 @@ def from_jalali(jy: Column, jm: Column, jd: Column) -> Column:
 
 
 def jalali_month_start(day: Column) -> Column:
-    return F.date_sub(day, _int(jalali(day)["jd"] - 1))
+    return _let(day, lambda d: F.date_sub(d, _int(jalali(d)["jd"] - 1)))
 
 
 def jalali_month_end(day: Column) -> Column:
@@ -83,8 +93,8 @@ def jalali_month_end(day: Column) -> Column:
 
 def next_jalali_month(as_of: Column) -> Column:
     """struct(start, end) of the first whole month after ``as_of``; the day itself counts if it opens a month."""
-    start = F.when(jalali(as_of)["jd"] == 1, as_of).otherwise(F.date_add(jalali_month_end(as_of), 1))
-    return F.struct(start.alias("start"), jalali_month_end(start).alias("end"))
+    start = _let(as_of, lambda d: F.when(jalali(d)["jd"] == 1, d).otherwise(F.date_add(jalali_month_end(d), 1)))
+    return _let(start, lambda s: F.struct(s.alias("start"), jalali_month_end(s).alias("end")))
 
 
 def target_day_columns(day: Column) -> dict[str, Column]:
