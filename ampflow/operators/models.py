@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ampflow.operators import features as feats
 from ampflow.operators.segment import segment_columns
 from ampflow.schema import SEG
+from ampflow.sources.sinks import settled
 
 ALGORITHMS = ("ridge", "linear", "random_forest", "boosted")
 
@@ -101,7 +102,7 @@ def recursive_forecast(daily: DataFrame, cuts: DataFrame, model: SegmentModel, s
     ``cuts`` (device_id, cut) are today's and stay for all steps.  A step adds
     the coming day as a placeholder with these cuts, builds the features of the
     latest known day for all devices at once, forecasts, and takes the forecast
-    for known.  Only the rows that features reach back to are carried on.
+    for known.  Each step is stored, so that the plan of the next does not hold it.
     """
     last = daily.groupBy("device_id").agg(F.max("day").alias("last")).join(cuts, "device_id")
     times = segment_columns(*[F.col(f"cut.b{i}") for i in (1, 2, 3)])
@@ -112,7 +113,9 @@ def recursive_forecast(daily: DataFrame, cuts: DataFrame, model: SegmentModel, s
         ahead = last.select("device_id", F.date_add("last", step).alias("day"), *[F.lit(0.0).alias(s) for s in SEG], *[c.alias(n) for n, c in times.items()])
         rows = feats.build(known.unionByName(ahead), targets=False, drop=False, history=history)
         source = rows.join(last.select("device_id", F.date_add("last", step - 1).alias("day")), ["device_id", "day"], "left_semi")
+        source = settled(source, "forecast-source")  # a row a device
         made = model.predict(feats.clean(source)).select("device_id", F.date_add("day", 1).alias("day"), *[F.col(f"pred_{s}").alias(s) for s in SEG])
+        made = settled(made, "forecast-step")
         new = made.join(last, "device_id").select("device_id", "day", *SEG, *[c.alias(n) for n, c in times.items()])
         known = known.unionByName(new)
         part = made.withColumn("step", F.lit(step))

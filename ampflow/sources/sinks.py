@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,18 @@ def tagged(meter: DataFrame, tags: DataFrame) -> DataFrame:
     return meter.join(t, "id", "left").withColumn("segment_id", F.coalesce("_s", "segment_id")).withColumn("is_peak_hour", F.coalesce("_p", "is_peak_hour")).drop("_s", "_p")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that executors share (``spark.checkpoint.dir``) and read back: a cut in its lineage."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="spark-shared-")  # one machine: no shared folder is named
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class ModelStore:
     """Versioned models of one horizon under a folder that Spark can write: candidates, promoted ones, a pointer.
 
