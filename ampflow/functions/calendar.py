@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ampflow.functions.numeric import let
+
 
 def _int(x: Column) -> Column:
     return x.cast("int")
@@ -54,14 +56,9 @@ def _year_start(y: Column) -> Column:
     return 365 * y + _div(8 * y + 21, 33) + _YEAR_ZERO
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _year_of(n: Column) -> Column:
     about = _div((n - _YEAR_ZERO) * 33, 365 * 33 + 8)  # or one off
-    return _let(about, lambda y: F.when(_year_start(y) > n, y - 1).when(_year_start(y + 1) <= n, y + 1).otherwise(y))
+    return let(about, lambda y: F.when(_year_start(y) > n, y - 1).when(_year_start(y + 1) <= n, y + 1).otherwise(y))
 
 
 def jalali(day: Column) -> Column:
@@ -72,8 +69,8 @@ def jalali(day: Column) -> Column:
         dom = F.when(at < 186, at % 31 + 1).otherwise((at - 186) % 30 + 1)
         return F.struct(_int(year).alias("jy"), _int(month).alias("jm"), _int(dom).alias("jd"))
 
-    of = lambda n: _let(_year_of(n), lambda y: _let(n - _year_start(y), lambda at: parts(y, at)))
-    return _let(F.unix_date(day).cast("long"), of)
+    of = lambda n: let(_year_of(n), lambda y: let(n - _year_start(y), lambda at: parts(y, at)))
+    return let(F.unix_date(day).cast("long"), of)
 
 
 def from_jalali(jy: Column, jm: Column, jd: Column) -> Column:
@@ -83,7 +80,7 @@ def from_jalali(jy: Column, jm: Column, jd: Column) -> Column:
 
 
 def jalali_month_start(day: Column) -> Column:
-    return _let(day, lambda d: F.date_sub(d, _int(jalali(d)["jd"] - 1)))
+    return let(day, lambda d: F.date_sub(d, _int(jalali(d)["jd"] - 1)))
 
 
 def jalali_month_end(day: Column) -> Column:
@@ -93,8 +90,8 @@ def jalali_month_end(day: Column) -> Column:
 
 def next_jalali_month(as_of: Column) -> Column:
     """struct(start, end) of the first whole month after ``as_of``; the day itself counts if it opens a month."""
-    start = _let(as_of, lambda d: F.when(jalali(d)["jd"] == 1, d).otherwise(F.date_add(jalali_month_end(d), 1)))
-    return _let(start, lambda s: F.struct(s.alias("start"), jalali_month_end(s).alias("end")))
+    start = let(as_of, lambda d: F.when(jalali(d)["jd"] == 1, d).otherwise(F.date_add(jalali_month_end(d), 1)))
+    return let(start, lambda s: F.struct(s.alias("start"), jalali_month_end(s).alias("end")))
 
 
 def target_day_columns(day: Column) -> dict[str, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ampflow.functions.numeric import let
 from ampflow.schema import HOURS, SEG, SEGMENTS
 
 SHORTEST, LONGEST, DAY = 4, 7, 24
@@ -70,9 +71,10 @@ def mean_profile(readings: DataFrame) -> DataFrame:
 
 
 def gaps_to_mean(v: Column) -> Column:
-    known = F.filter(v, lambda x: x.isNotNull())
-    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
-    return F.transform(v, lambda x: F.coalesce(x, mean))
+    """An array with the mean of its values in place of nulls."""
+    known = lambda x: F.filter(x, lambda y: y.isNotNull())
+    mean = lambda k: F.aggregate(k, F.lit(0.0), lambda a, y: a + y) / F.when(F.size(k) > 0, F.size(k))
+    return let(v, lambda x: let(let(known(x), mean), lambda m: F.transform(x, lambda y: F.coalesce(y, m))))
 
 
 def weighted_profile(readings: DataFrame, decay: float = DECAY) -> DataFrame:
@@ -176,12 +178,17 @@ def rolling_jenks_daily(readings: DataFrame, window_days: int = WINDOW_DAYS) ->
 
 def noise_scale(v: Column) -> Column:
     """Median size of the second difference, with floors from the range; nulls are left out."""
-    second = F.filter(F.transform(F.sequence(F.lit(1), F.lit(DAY - 2)), lambda i: F.abs(F.get(v, i + 1) - 2 * F.get(v, i) + F.get(v, i - 1))), lambda x: x.isNotNull())
-    ordered = F.array_sort(second)
-    n = F.size(ordered)
-    median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    spread = F.array_max(v) - F.array_min(v)
-    return F.greatest(F.coalesce(median, F.lit(0.0)), spread * 1e-3, F.lit(1e-6))
+
+    def scale(x: Column) -> Column:
+        second = F.transform(F.sequence(F.lit(1), F.lit(DAY - 2)), lambda i: F.abs(F.get(x, i + 1) - 2 * F.get(x, i) + F.get(x, i - 1)))
+        spread = F.array_max(x) - F.array_min(x)
+        return let(F.array_sort(F.filter(second, lambda d: d.isNotNull())), lambda o: F.greatest(F.coalesce(middle(o), F.lit(0.0)), spread * 1e-3, F.lit(1e-6)))
+
+    def middle(o: Column) -> Column:
+        n = F.size(o)
+        return (F.get(o, F.floor((n - 1) / 2).cast("int")) + F.get(o, F.floor(n / 2).cast("int"))) / 2
+
+    return let(v, scale)
 
 
 def _side(v: Column, a: int, b: int) -> Column:
@@ -253,18 +260,25 @@ def adaptive(profiles: DataFrame, v: str = "v", agreement: str | None = None) ->
     low = int(at)
     rows = rows.withColumn("_o", ordered).withColumn("_floor", F.col("_o")[low] + (F.col("_o")[low + 1] - F.col("_o")[low]) * (at - low))
     w = F.col("_v")
-    mean = _side(w, 0, DAY)
-    rows = rows.withColumn("_mean", mean)
-    squares = [(w[i] - F.col("_mean")) * (w[i] - F.col("_mean")) for i in HOURS]
-    rows = rows.withColumn("_tss", sum(squares[1:], squares[0]))
+    rows = rows.withColumn("_s", prefix(w)).withColumn("_q", prefix(F.transform(w, lambda x: x * x))).withColumn("_t", prefix(F.transform(w, lambda x, i: x * i)))
+    over = lambda name, a, b: F.col(name)[b] - F.col(name)[a]  # noqa: E731  a sum of the hours [a, b)
+    rows = rows.withColumn("_tss", F.greatest(over("_q", 0, DAY) - over("_s", 0, DAY) * over("_s", 0, DAY) / DAY, F.lit(0.0)))
     parts = sorted({p for cut in CUTS for p in _bounds(cut)})
-    rows = rows.withColumn("_rss", held(F.array(*[line_rss(w, a, b) for a, b in parts]))).withColumn("_avg", held(F.array(*[_side(w, a, b) for a, b in parts])))
+
+    def rss(a: int, b: int) -> Column:
+        """As ``line_rss``, from the prefix sums."""
+        n = b - a
+        sxx = n * (n * n - 1) / 12
+        sxy = over("_t", a, b) - over("_s", a, b) * (a + (n - 1) / 2)
+        return F.greatest(over("_q", a, b) - over("_s", a, b) * over("_s", a, b) / n - sxy * sxy / sxx, F.lit(0.0))
+
+    rows = rows.withColumn("_rss", held(F.array(*[rss(a, b) for a, b in parts]))).withColumn("_avg", held(F.array(*[over("_s", a, b) / (b - a) for a, b in parts])))
     sd = F.greatest(F.sqrt(F.col("_tss") / DAY), F.lit(1e-6))
     scored = []
     for i, cut in enumerate(CUTS):
         at = [parts.index(p) for p in _bounds(cut)]
-        rss = sum([F.col("_rss")[j] for j in at[1:]], F.col("_rss")[at[0]])
-        fit = F.when(F.col("_tss") > 1e-9, 1 - rss / F.when(F.col("_tss") > 0, F.col("_tss"))).otherwise(F.lit(0.0))
+        left = sum([F.col("_rss")[j] for j in at[1:]], F.col("_rss")[at[0]])
+        fit = F.when(F.col("_tss") > 1e-9, 1 - left / F.when(F.col("_tss") > 0, F.col("_tss"))).otherwise(F.lit(0.0))
         found = [F.col("_e")[h - 1] for h in cut]
         lack = [F.greatest(F.col("_floor") - e, F.lit(0.0)) for e in found]
         apart = [F.abs(F.col("_avg")[b] - F.col("_avg")[a]) for a, b in zip(at, at[1:])]
@@ -272,7 +286,7 @@ def adaptive(profiles: DataFrame, v: str = "v", agreement: str | None = None) ->
         scored.append(F.struct(F.round(score, 9).alias("score"), F.lit(-i).alias("n"), cut_struct(cut).alias("cut")))
     rows = rows.withColumn("_b", F.array_max(F.array(*scored)))
     out = rows.withColumn("cut", F.col("_b.cut")).withColumn("score", F.col("_b.score"))
-    return out.drop("_v", "_noise", "_e", "_o", "_floor", "_mean", "_tss", "_rss", "_avg", "_b")
+    return out.drop("_v", "_noise", "_e", "_o", "_floor", "_s", "_q", "_t", "_tss", "_rss", "_avg", "_b")
 
 
 def fit_devices(readings: DataFrame, decay: float = DECAY) -> DataFrame:
