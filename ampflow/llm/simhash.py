@@ -13,10 +13,12 @@ of either half, about 50 cells; each pair within the limit shares a cell.
 Members of a cell are compared by the lower bound, then exactly.
 
 Work is on distinct fingerprints, so copies cost nothing here.  A cell gives
-back the links of a spanning forest only.  A cell with very many members is
-linked through midpoints instead: fingerprints at 4 bits or less have a common
-point within 2 bits of both, and all that share such a point are linked, so
-that work stays in proportion to the members.  Nothing is capped.
+back the links of a spanning forest only.  A cell with many members is linked
+through midpoints instead: fingerprints at 4 bits or less have a common point
+within 2 bits of both, and all that share such a point are linked, so that work
+stays in proportion to the members.  The members of a cell too large for that
+in one task are passed on, and their midpoints are dealt out over the cluster;
+no point has more than 2081 members.  Nothing is capped.
 
 Null and wordless texts have fingerprint zero, linked like any other.  Rows
 with a null id take part in linking; a component of such rows alone has a null
@@ -43,6 +45,8 @@ SEED = 42
 LIMIT = 4
 #: Cells with more members are linked through midpoints.
 DENSE = 2048
+#: Cells with more members are passed on, and their midpoints dealt out.
+HUGE = 1 << 15
 #: Rows of cells gathered before they are compared together.
 BLOCK = 200_000
 _EVEN = np.uint64(0x5555555555555555)
@@ -121,15 +125,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
+#: What leads from a fingerprint to all points within half the limit.
+_HALFWAY = np.array([0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)], np.uint64)
+
+
 def _midpoints(fp: np.ndarray, room: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """All links of a dense cell, through points within half the limit."""
-    masks = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
-    masks = np.array(masks, np.uint64)
-    parts = -(-len(fp) * len(masks) // room)
+    parts = -(-len(fp) * len(_HALFWAY) // room)
     out_a, out_b = [fp[:0]], [fp[:0]]
     for part in range(parts):
         keys, who = [], []
-        for m in masks:
+        for m in _HALFWAY:
             k = fp ^ m
             if parts > 1:
                 mine = ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts) == part
@@ -185,25 +191,74 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[who].view(np.int64))], ["cell", "fp"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by cell: whole cells are compared, block by block."""
+def _links(a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """Links a–b; without b, members passed on: their v is null."""
+    v = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), v], ["u", "v"])
 
-    def done(cell, fp):
-        a, b = link_cells(cell, fp.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
-    cells, fps, held = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (key, fp) sorted by key, in blocks of whole keys; parts of a key of over ``most`` rows come with no keys."""
+    keys, fps, held, passing = [], [], 0, None
     for batch in batches:
-        cells.append(batch.column(0).to_numpy(zero_copy_only=False))
-        fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-        held += len(cells[-1])
-        if held >= BLOCK and cells[-1][-1] != cells[0][0]:
-            cell, fp = np.concatenate(cells), np.concatenate(fps)
-            cut = int(np.searchsorted(cell, cell[-1], "left"))
-            yield done(cell[:cut], fp[:cut])
-            cells, fps, held = [cell[cut:]], [fp[cut:]], len(cell) - cut
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        if passing is not None:
+            cut = int(np.searchsorted(key, passing, "right"))
+            yield key[:0], fp[:cut]
+            key, fp = key[cut:], fp[cut:]
+            if not len(key):
+                continue
+            passing = None
+        keys.append(key)
+        fps.append(fp)
+        held += len(key)
+        last = key[-1]
+        if held >= BLOCK and last != keys[0][0] or held > most and last == keys[0][0]:
+            key, fp = np.concatenate(keys), np.concatenate(fps)
+            cut = int(np.searchsorted(key, last, "left"))
+            if cut:
+                yield key[:cut], fp[:cut]
+            key, fp = key[cut:], fp[cut:]
+            if len(key) > most:
+                yield key[:0], fp
+                key, fp, passing = key[:0], fp[:0], last
+            keys, fps, held = ([key], [fp], len(key)) if len(key) else ([], [], 0)
     if held:
-        yield done(np.concatenate(cells), np.concatenate(fps))
+        yield np.concatenate(keys), np.concatenate(fps)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell: whole cells are compared, block by block; cells of over ``most`` members are passed on."""
+    for cell, fp in _blocks(batches, most):
+        if not len(cell):
+            yield _links(fp)
+            continue
+        edge = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0]
+        size = np.diff(np.append(edge, len(cell)))
+        huge = np.repeat(size > most, size)
+        if huge.any():
+            yield _links(fp[huge])
+            cell, fp = cell[~huge], fp[~huge]
+        if len(cell):
+            yield _links(*link_cells(cell, fp))
+
+
+def _halfway(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at in range(0, len(fp), 64):
+            some = fp[at : at + 64]
+            keys = (some[:, None] ^ _HALFWAY).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some, len(_HALFWAY)).view(np.int64))], ["point", "fp"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by point: all that share a point are linked."""
+    for point, fp in _blocks(batches, len(_HALFWAY)):
+        same = point[1:] == point[:-1]
+        if same.any():
+            yield _links(*forest(fp[1:][same], fp[:-1][same]))
 
 
 def fingerprinter(spark, width: int = SHINGLE):
@@ -217,10 +272,17 @@ def fingerprinter(spark, width: int = SHINGLE):
     return run
 
 
-def link(classes: DataFrame) -> DataFrame:
+def link(classes: DataFrame, huge: int | None = None) -> DataFrame:
     """``classes`` (fp: distinct fingerprints) to the links (u, v) of a spanning forest of each cell."""
+    most = HUGE if huge is None else huge
     filed = classes.select("fp").mapInArrow(_spread, "cell long, fp long")
-    return filed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "u long, v long")
+    compared = filed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda rows: _compare(rows, most), "u long, v long")
+    compared = saved(compared, "links")
+    links, left = compared.where("v is not null"), compared.where("v is null")
+    if left.isEmpty():
+        return links
+    points = left.select("u").distinct().mapInArrow(_halfway, "point long, fp long")
+    return links.union(points.repartition("point").sortWithinPartitions("point").mapInArrow(_meet, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints and links against brute force."""
 
 import numpy as np
+import pytest
 import xxhash
 
 from ampflow.llm import simhash
@@ -78,6 +79,35 @@ def test_dense_cells_take_the_midpoint_way(monkeypatch):
     assert as_dict(simhash.forest(*simhash.link_cells(cell[order], fp[who][order]))) == plain
 
 
+@pytest.mark.parametrize(("huge", "batch"), [(1, 50), (3, 7), (40, 10_000), (10**6, 33)])
+def test_huge_cells_are_passed_on_and_lose_no_link(spark, monkeypatch, huge, batch):
+    fp = clustered(400, 5)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= 4, 1))
+    expected = as_dict(simhash.forest(fp[i].view(np.int64), fp[j].view(np.int64)))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    rows = simhash.link(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), huge).collect()
+    spark.conf.set(key, before)
+    got = simhash.forest(np.array([r.u for r in rows]), np.array([r.v for r in rows]))
+    assert as_dict(got) == expected
+
+
+def test_blocks_hold_whole_keys():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for most, step in ((5, 3), (40, 7), (1000, 64)):
+        keys = np.sort(np.repeat(np.arange(60), rng.integers(1, 30, 60)))
+        rows = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + step]), pa.array(np.arange(len(keys))[a : a + step])], ["k", "fp"]) for a in range(0, len(keys), step)]
+        met, seen = set(), []
+        for key, fp in simhash._blocks(iter(rows), most):
+            seen += fp.tolist()
+            assert not met & set(key.tolist())
+            met |= set(key.tolist())
+        assert sorted(seen) == list(range(len(keys)))
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected(edges).collect()}
