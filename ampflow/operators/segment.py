@@ -213,6 +213,7 @@ def persistence(days: DataFrame, keys: list[str], weight: str = "w", v: str = "v
     """``keys`` and agreement, an array for hours 1 .. 23: how far days agree on the direction of a change.
 
     ``days`` has day arrays and their weights.  Keys of one day get 1 (no vote).
+    A day that lacks an hour on either side of a change has no vote on it.
     """
     col = F.col(v)
     rows = days.withColumn("_noise", noise_scale(col))
@@ -220,7 +221,7 @@ def persistence(days: DataFrame, keys: list[str], weight: str = "w", v: str = "v
     each = rows.select(*keys, F.col(weight).alias("_w"), "_noise", F.posexplode(diffs).alias("_at", "_d"))
     both = Window.partitionBy(*keys, "_at")
     mean = F.sum(F.col("_w") * F.col("_d")).over(both)
-    each = each.withColumn("_sign", F.signum(F.round(mean, 12))).withColumn("_m", F.col("_w") * F.least(F.abs("_d") / F.col("_noise"), F.lit(3.0)))
+    each = each.withColumn("_sign", F.signum(F.round(mean, 12))).withColumn("_m", F.when(F.col("_d").isNotNull(), F.col("_w") * F.least(F.abs("_d") / F.col("_noise"), F.lit(3.0))))
     voted = each.groupBy(*keys, "_at").agg(
         F.sum(F.when(F.signum("_d") == F.col("_sign"), F.col("_m")).when(F.col("_d").isNotNull(), 0.0)).alias("_for"),
         F.sum("_m").alias("_all"),

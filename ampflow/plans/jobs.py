@@ -53,7 +53,13 @@ def daily_actuals(readings: DataFrame, days: DataFrame | None = None, window_day
     rows = arrays.withColumn("_w", F.collect_list("v").over(w)).where(F.size("_w") > 0)
     if days is not None:
         rows = rows.join(days, ["device_id", "day"], "left_semi")
-    p = F.array(*[F.aggregate(F.filter(F.transform("_w", lambda d, h=h: d[h]), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / F.when(a["n"] > 0, a["n"])) for h in HOURS])
+
+    def mean(hour: int) -> Column:
+        known = F.filter(F.transform("_w", lambda d: d[hour]), lambda x: x.isNotNull())
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        return F.aggregate(known, start, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / F.when(a["n"] > 0, a["n"]))
+
+    p = F.array(*[mean(h) for h in HOURS])
     rows = rows.withColumn("p", segment.gaps_to_mean(segment.held(p))).drop("_w").withColumn("v", segment.gaps_to_mean(F.col("v")))
     cut = segment.segment_totals(segment.adaptive(rows, "p"))
     out = cut.withColumn("peak_hour", segment.peak_hour(F.col("v"))).withColumn("peak_value", F.array_max("v"))

@@ -81,8 +81,25 @@ chg AS (SELECT device_id, c, sum(e) AS found, sum(greatest(floor - e, 0)) AS lac
 sc AS (SELECT device_id, c, b1, b2, b3, round(4 * CASE WHEN tss > 1e-9 THEN 1 - rss / tss ELSE 0 END + 1.5 * found - 1.5 * lack + 0.25 * apart / sd, 9) AS score FROM fit JOIN chg USING (device_id, c) JOIN tot USING (device_id)),
 ab AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY score DESC, c) = 1)"""
 _add("adaptive_boundaries", lambda s, d: segment.adaptive(segment.mean_profile(readings(s, d))).select("device_id", "cut.*", "score"), R + CAND + MEAN + SMOOTH + EVID + ADAPT + " SELECT device_id, b1, b2, b3, score FROM ab", doubles="score", ints="b1 b2 b3")
-_add("adaptive_fit_devices", lambda s, d: segment.fit_devices(readings(s, d)).select("device_id", "cut.*", "score", "peak_hour"))
-_add("adaptive_daily_totals", lambda s, d: segment.adaptive_daily(readings(s, d), 7))
+# From here on the SQL's device_id may stand for a device's day, whose window of days is in dd(device_id, day, h, v).
+HOURLY = "(SELECT unnest(generate_series(0, 23)) AS h)"
+MEDIAN = f""", wt AS (SELECT *, pow(0.97, dense_rank() OVER (PARTITION BY device_id ORDER BY day DESC) - 1) AS w FROM dd),
+cum AS (SELECT *, sum(w) OVER (PARTITION BY device_id, h ORDER BY v, day) AS run, sum(w) OVER (PARTITION BY device_id, h) / 2 AS half FROM wt WHERE v IS NOT NULL),
+med AS (SELECT device_id, h, min(v) AS v FROM cum WHERE run >= half GROUP BY 1, 2),
+prof AS (SELECT device_id, h, coalesce(v, avg(v) OVER (PARTITION BY device_id)) AS v FROM (SELECT DISTINCT device_id FROM med) CROSS JOIN {HOURLY} LEFT JOIN med USING (device_id, h))"""
+VOTE = f""", gd AS (SELECT device_id, day, h, v, w FROM (SELECT device_id, day, any_value(w) AS w FROM wt GROUP BY 1, 2) CROSS JOIN {HOURLY} LEFT JOIN dd USING (device_id, day, h)),
+gw AS (SELECT device_id, day, h, w, v, abs(lead(v) OVER n - 2 * v + lag(v) OVER n) AS second, avg(v) OVER l AS lm, count(v) OVER l = count(*) OVER l AND count(v) OVER r = count(*) OVER r AS known, avg(v) OVER r AS rm FROM gd
+  WINDOW n AS (PARTITION BY device_id, day ORDER BY h), l AS (PARTITION BY device_id, day ORDER BY h ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY device_id, day ORDER BY h ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+gn AS (SELECT device_id, day, greatest(coalesce(median(second) FILTER (h BETWEEN 1 AND 22), 0.0), 1e-3 * (max(v) - min(v)), 1e-6) AS noise FROM gw GROUP BY 1, 2),
+gx AS (SELECT device_id, day, h, w, noise, CASE WHEN known THEN rm - lm END AS d FROM gw JOIN gn USING (device_id, day) WHERE h >= 1),
+gs AS (SELECT *, sign(round(sum(w * d) OVER (PARTITION BY device_id, h), 12)) AS sg, CASE WHEN d IS NOT NULL THEN w * least(abs(d) / noise, 3.0) END AS m FROM gx),
+vt AS (SELECT device_id, h, CASE WHEN count(*) < 2 THEN 1.0 WHEN coalesce(max(sg), 0) = 0 OR coalesce(sum(m), 0) < 1e-9 THEN 0.5 ELSE sum(CASE WHEN sign(d) = sg THEN m ELSE 0.0 END) / sum(m) END AS agree FROM gs GROUP BY 1, 2)"""
+FITTED = MEDIAN + VOTE + SMOOTH + EVID.replace("ev AS", "plain_ev AS") + ", ev AS (SELECT device_id, h, e * (0.5 + 0.5 * agree) AS e FROM plain_ev JOIN vt USING (device_id, h))" + ADAPT
+_add("adaptive_fit_devices", lambda s, d: segment.fit_devices(readings(s, d)).select("device_id", "cut.*", "score", "peak_hour"), R + CAND + DAYS + ", dd AS (SELECT device_id, day, h, kwh AS v FROM dh)" + FITTED + " SELECT device_id, b1, b2, b3, score, peak_hour FROM ab JOIN (SELECT device_id, min(h) FILTER (v = m) AS peak_hour FROM (SELECT *, max(v) OVER (PARTITION BY device_id) AS m FROM prof) GROUP BY 1) USING (device_id)", doubles="score", ints="b1 b2 b3 peak_hour")
+DAY_OF = ", ix AS (SELECT device_id, day, row_number() OVER (PARTITION BY device_id ORDER BY day) AS i FROM (SELECT DISTINCT device_id, day FROM dh))"
+PRIOR = DAY_OF + ", dd AS (SELECT a.device_id || ' ' || a.day AS device_id, dh.day, dh.h, dh.kwh AS v FROM ix a JOIN ix b ON a.device_id = b.device_id AND b.i BETWEEN a.i - 7 AND a.i - 1 JOIN dh ON dh.device_id = b.device_id AND dh.day = b.day WHERE a.i > 7)"
+OF_DAY = "(SELECT device_id AS k, b1, b2, b3 FROM ab) ON k = device_id || ' ' || day"
+_add("adaptive_daily_totals", lambda s, d: segment.adaptive_daily(readings(s, d), 7), R + CAND + DAYS + PRIOR + FITTED + f" SELECT device_id, day, {TOTALS} FROM full_dh JOIN {OF_DAY} GROUP BY device_id, day, b1, b2, b3", **KINDS)
 _add("segment_features", lambda s, d: segment.segment_features(segment.jenks(segment.mean_profile(readings(s, d)))), R + CAND + MEAN + JENKS.format("prof") + " SELECT device_id, (h >= b1)::INT + (h >= b2)::INT + (h >= b3)::INT AS segment, avg(v) AS mean, max(v) AS max, min(v) AS min, stddev_samp(v) AS std, sum(v) AS total FROM prof JOIN best USING (device_id) GROUP BY 1, 2", doubles="mean max min std total", ints="segment")
 FSAS = """, ix AS (SELECT *, dense_rank() OVER (PARTITION BY device_id ORDER BY day) AS i FROM full_dh),
 shape AS (SELECT device_id, h, avg(v) AS s FROM ix WHERE i <= 7 GROUP BY 1, 2),
@@ -100,7 +117,11 @@ def _actuals(s, d):
     return daily_actuals(readings(s, d), window_days=7).drop("cut")
 
 
-_add("daily_actuals", _actuals)
+ENDING = DAY_OF + f""", wm AS (SELECT a.device_id || ' ' || a.day AS device_id, dh.h, avg(dh.kwh) AS v FROM ix a JOIN dh ON a.device_id = dh.device_id AND dh.day BETWEEN a.day - 6 AND a.day GROUP BY 1, 2),
+prof AS (SELECT device_id, h, coalesce(v, avg(v) OVER (PARTITION BY device_id)) AS v FROM (SELECT DISTINCT device_id FROM wm) CROSS JOIN {HOURLY} LEFT JOIN wm USING (device_id, h))"""
+OWN = f", own AS (SELECT device_id, day, h, coalesce(kwh, avg(kwh) OVER (PARTITION BY device_id, day)) AS v FROM ix CROSS JOIN {HOURLY} LEFT JOIN dh USING (device_id, day, h)), pk AS (SELECT *, max(v) OVER (PARTITION BY device_id, day) AS m FROM own)"
+ACTUAL = ", ".join(f"round(sum(CASE WHEN (h >= b1)::INT + (h >= b2)::INT + (h >= b3)::INT = {k} THEN v ELSE 0.0 END), 3) AS actual_seg{k}" for k in range(4))
+_add("daily_actuals", _actuals, R + CAND + DAYS + ENDING + SMOOTH + EVID + ADAPT + OWN + f" SELECT * EXCLUDE (b1, b2, b3), (peak_hour >= b1)::INT + (peak_hour >= b2)::INT + (peak_hour >= b3)::INT AS peak_segment FROM (SELECT device_id, day, b1, b2, b3, {ACTUAL}, min(h) FILTER (v = m) AS peak_hour, max(v) AS peak_value FROM pk JOIN {OF_DAY} GROUP BY device_id, day, b1, b2, b3)", doubles="actual_seg0 actual_seg1 actual_seg2 actual_seg3 peak_value", ints="peak_hour peak_segment", texts="day")
 
 
 def entry(spark, sf_dir: str):
