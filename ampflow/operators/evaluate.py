@@ -13,7 +13,7 @@ def _sse(y: Column, p: Column) -> Column:
     return F.sum((p - y) * (p - y))
 
 
-def _r2(y: Column, p: Column, flat: float = 0.0) -> Column:
+def _r2(y: Column, p: Column, flat: float | None = 0.0) -> Column:
     sst = F.var_pop(y) * F.count(y)
     return F.when(sst > 1e-12, 1 - _sse(y, p) / F.when(sst > 1e-12, sst)).otherwise(F.lit(flat))
 
@@ -27,10 +27,10 @@ def share_metrics(y: Column, p: Column) -> dict[str, Column]:
         "wape": F.sum(F.abs(e)) / some * 100,
         "mae": F.avg(F.abs(e)),
         "rmse": F.sqrt(F.avg(e * e)),
-        "r2": _r2(y, p),
+        "r2": _r2(y, p, None),
         "mape": F.avg(F.abs(e) / F.when(F.abs(y) > TINY, F.abs(y))) * 100,
-        "smape": F.avg(2 * F.abs(e) / F.when(both > 0, both)) * 100,
-        "bias": F.sum(e) / some * 100,
+        "smape": F.avg(F.when(both > 0, 2 * F.abs(e) / F.when(both > 0, both)).when(both == 0, 0.0)) * 100,
+        "bias": F.sum(e) / F.when(F.sum(y) != 0, F.sum(y)) * 100,
         "n": F.count(e),
     }
 

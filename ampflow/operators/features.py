@@ -207,28 +207,34 @@ def _periods(totals: DataFrame, start: Column, whole: Column | int) -> DataFrame
     return sums.where(F.col("days") >= whole)
 
 
-def _lagged(rows: DataFrame, lags: tuple[int, ...], std: int, trends: tuple[int, ...], inclusive: bool = False) -> DataFrame:
-    """Features of periods from those before: lags, deviation, trends, and running extremes.
+def _lagged(rows: DataFrame, means: tuple[int, ...], std: int, trends: dict[str, int], inclusive: bool = False) -> DataFrame:
+    """Features of periods from those before: the last, means, deviation, trends, and running extremes.
 
+    Means and the deviation take what there is if fewer periods are known.  A
+    trend is the last use less that of so many periods back (1: the last), 0 if unknown.
     With ``inclusive`` the frame ends with the row itself: features of the period after it.
     """
     w = by_day("device_id", order="start")
-    shift = 0 if inclusive else 1
     end = 0 if inclusive else -1
     past = w.rowsBetween(Window.unboundedPreceding, end)
-    lag = lambda k: F.lag("use", k - 1 + shift).over(w) if k - 1 + shift else F.col("use")
-    out = {f"prev{k}": lag(k) for k in lags}
-    out[f"mean{std}"] = F.avg("use").over(w.rowsBetween(end - std + 1, end))
-    out[f"std{std}"] = F.stddev_pop("use").over(w.rowsBetween(end - std + 1, end))
-    out |= {f"trend{k}": F.coalesce(lag(1) - lag(k + 1), F.lit(0.0)) for k in trends}
+    last = lambda n: w.rowsBetween(end - n + 1, end)
+    lag = lambda k: F.lag("use", k - 1 - end).over(w) if k - 1 - end else F.col("use")
+    out = {"prev1": lag(1)} | {f"mean{n}": F.avg("use").over(last(n)) for n in means}
+    out[f"std{std}"] = F.stddev_pop("use").over(last(std))
+    out |= {name: F.coalesce(lag(1) - lag(k), F.lit(0.0)) for name, k in trends.items()}
     out |= {"past_min": F.min("use").over(past), "past_max": F.max("use").over(past), "past_mean": F.avg("use").over(past), "n_hist": F.count("use").over(past)}
     return rows.withColumns(out)
 
 
+#: Periods that features look back on: means, the deviation, trends.
+WEEKS = ((2, 4, 8), 4, {"trend2": 2, "trend4": 4})
+MONTHS = ((2, 3, 6, 12), 3, {"trend1": 2, "trend3": 3})
+
+
 def weekly(daily: DataFrame, days: int = 7, least: int = 2) -> DataFrame:
     """A row a device and whole Saturday week: its use and features of the weeks before."""
-    rows = _lagged(_periods(daily_totals(daily), saturday_of(F.col("day")), days), (1, 2, 4, 8), 4, (1, 3))
-    return rows.where(F.col("n_hist") >= least).withColumn("month", F.month("start"))
+    rows = _lagged(_periods(daily_totals(daily), saturday_of(F.col("day")), days), *WEEKS)
+    return rows.where(F.col("n_hist") >= least).withColumn("month", F.month("start")).withColumn("week", F.weekofyear("start"))
 
 
 def monthly(daily: DataFrame, days: int = 20, least: int = 2, solar: bool = False) -> DataFrame:
@@ -236,7 +242,7 @@ def monthly(daily: DataFrame, days: int = 20, least: int = 2, solar: bool = Fals
 
     Months are Gregorian, or Jalali with ``solar``.
     """
-    rows = _lagged(_periods(daily_totals(daily), month_start(solar), days), (1, 2, 3, 6, 12), 3, (1, 3))
+    rows = _lagged(_periods(daily_totals(daily), month_start(solar), days), *MONTHS)
     month = jalali(F.col("start"))["jm"] if solar else F.month("start")
     return rows.where(F.col("n_hist") >= least).withColumn("month", month)
 
@@ -253,8 +259,7 @@ def latest_period(daily: DataFrame, before: Column, solar_month: bool | None = N
     """
     start = saturday_of(F.col("day")) if solar_month is None else month_start(solar_month)
     rows = _periods(daily_totals(daily.where(F.col("day") < before)), start, 1)
-    shape = ((1, 2, 4, 8), 4, (1, 3)) if solar_month is None else ((1, 2, 3, 6, 12), 3, (1, 3))
-    rows = _lagged(rows, *shape, inclusive=True)
+    rows = _lagged(rows, *(WEEKS if solar_month is None else MONTHS), inclusive=True)
     last = F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("start")))
     return rows.withColumn("_n", last).where("_n = 1 and n_hist >= 2").drop("_n")
 

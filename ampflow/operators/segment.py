@@ -307,27 +307,36 @@ def segment_features(profiles: DataFrame, v: str = "v", cut: str = "cut", keys:
     return hours.groupBy(*keys, segment.alias("segment")).agg(F.avg("kwh").alias("mean"), F.max("kwh").alias("max"), F.min("kwh").alias("min"), F.stddev_samp("kwh").alias("std"), F.sum("kwh").alias("total"))
 
 
-def adaptive_daily(readings: DataFrame, window_days: int = WINDOW_DAYS, decay: float = DECAY) -> DataFrame:
-    """Daily totals by an adaptive cut a day, fitted on the ``window_days`` days before it (as many rows).
+def fit_windows(rows: DataFrame, window_days: int = WINDOW_DAYS, decay: float = DECAY) -> DataFrame:
+    """``rows`` (device_id, day, _w) with p, the weighted profile of a window of days, and agreement, their votes.
 
-    The days of a window are gathered as an array beside the row, so a day's
-    readings are read once; the medians and votes are taken within the array.
+    _w has the day arrays of the window, oldest first, ``window_days`` at most;
+    medians are taken within it.
     """
-    days = day_arrays(readings)
-    before = Window.partitionBy("device_id").orderBy("day").rowsBetween(-window_days, -1)
-    rows = days.withColumn("_w", F.collect_list("v").over(before)).where(F.size("_w") == window_days)
-    weights = [decay**i for i in range(window_days - 1, -1, -1)]
+    every = F.lit([decay**i for i in range(window_days - 1, -1, -1)])
+    rows = rows.withColumn("_u", F.slice(every, window_days - F.size("_w") + 1, F.size("_w")))
 
     def median(h: int) -> Column:
-        pairs = F.filter(F.zip_with(F.transform("_w", lambda d: d[h]), F.lit(weights), lambda x, w: F.struct(x.alias("x"), w.alias("w"))), lambda p: p["x"].isNotNull())
+        pairs = F.filter(F.zip_with(F.transform("_w", lambda d: d[h]), "_u", lambda x, w: F.struct(x.alias("x"), w.alias("w"))), lambda p: p["x"].isNotNull())
         ordered = F.array_sort(pairs)
         total = F.aggregate(ordered, F.lit(0.0), lambda a, p: a + p["w"])
         step = lambda acc, p: F.struct((acc["s"] + p["w"]).alias("s"), F.coalesce(acc["m"], F.when(acc["s"] + p["w"] >= total / 2, p["x"])).alias("m"))
         return F.aggregate(ordered, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m")), step)["m"]
 
     rows = rows.withColumn("p", gaps_to_mean(held(F.array(*[median(h) for h in HOURS]))))
-    voting = rows.select("device_id", "day", F.posexplode("_w").alias("_i", "v")).withColumn("w", F.element_at(F.lit(weights), F.col("_i") + 1))
-    voted = rows.drop("_w").join(persistence(voting, ["device_id", "day"]), ["device_id", "day"])
+    voting = rows.select("device_id", "day", "_u", F.posexplode("_w").alias("_i", "v")).withColumn("w", F.element_at("_u", F.col("_i") + 1))
+    return rows.drop("_w", "_u").join(persistence(voting, ["device_id", "day"]), ["device_id", "day"])
+
+
+def adaptive_daily(readings: DataFrame, window_days: int = WINDOW_DAYS, decay: float = DECAY) -> DataFrame:
+    """Daily totals by an adaptive cut a day, fitted on the ``window_days`` days before it (as many rows).
+
+    The days of a window are gathered as an array beside the row, so a day's readings are read once.
+    """
+    days = day_arrays(readings)
+    before = Window.partitionBy("device_id").orderBy("day").rowsBetween(-window_days, -1)
+    rows = days.withColumn("_w", F.collect_list("v").over(before)).where(F.size("_w") == window_days)
+    voted = fit_windows(rows, window_days, decay)
     return segment_totals(adaptive(voted, "p", "agreement")).drop("v", "p", "cut", "score", "agreement")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ampflow.functions.calendar import next_jalali_month, next_week
+from ampflow.functions.calendar import jalali, next_jalali_month, next_week
 from ampflow.operators import clean, cluster, evaluate, models, segment
 from ampflow.operators import features as feats
 from ampflow.schema import HOURS, SEG, no_leakage
@@ -39,30 +39,23 @@ def days_to_fill(readings: DataFrame, actuals: DataFrame, as_of: Column, horizon
     return days.join(actuals.select("device_id", F.col("actual_date").alias("day")), ["device_id", "day"], "left_anti")
 
 
-def daily_actuals(readings: DataFrame, days: DataFrame | None = None, window_days: int = 30, inclusive: bool = True) -> DataFrame:
+def daily_actuals(readings: DataFrame, days: DataFrame | None = None, window_days: int = 30, inclusive: bool = True, least: int = clean.MIN_DAY_HOURS) -> DataFrame:
     """device_id, day, cut, actual_seg0 .. 3, peak_hour, peak_value, peak_segment.
 
     A day is cut by the adaptive profile of the ``window_days`` calendar days
-    that end with it (or with the day before).  Hours without a reading take
-    the mean of the day's others.
+    that end with it (or with the day before).  Days of fewer than ``least``
+    hours are left out.  Totals are of the hours there are; for the peak, hours
+    without a reading take the mean of the day's others.
     """
     arrays = segment.day_arrays(readings)
     back = (window_days - 1, 0) if inclusive else (window_days, 1)
     at = F.unix_date("day")
     w = Window.partitionBy("device_id").orderBy(at).rangeBetween(-back[0], -back[1])
-    rows = arrays.withColumn("_w", F.collect_list("v").over(w)).where(F.size("_w") > 0)
+    rows = arrays.withColumn("_w", F.collect_list("v").over(w)).where((F.size("_w") > 0) & (F.size(F.filter("v", lambda x: x.isNotNull())) >= least))
     if days is not None:
         rows = rows.join(days, ["device_id", "day"], "left_semi")
-
-    def mean(hour: int) -> Column:
-        known = F.filter(F.transform("_w", lambda d: d[hour]), lambda x: x.isNotNull())
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-        return F.aggregate(known, start, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: a["s"] / F.when(a["n"] > 0, a["n"]))
-
-    p = F.array(*[mean(h) for h in HOURS])
-    rows = rows.withColumn("p", segment.gaps_to_mean(segment.held(p))).drop("_w").withColumn("v", segment.gaps_to_mean(F.col("v")))
-    cut = segment.segment_totals(segment.adaptive(rows, "p"))
-    out = cut.withColumn("peak_hour", segment.peak_hour(F.col("v"))).withColumn("peak_value", F.array_max("v"))
+    cut = segment.segment_totals(segment.adaptive(segment.fit_windows(rows, window_days), "p", "agreement"), digits=9)
+    out = cut.withColumn("v", segment.gaps_to_mean(F.col("v"))).withColumn("peak_hour", segment.peak_hour(F.col("v"))).withColumn("peak_value", F.array_max("v"))
     b = [F.col(f"cut.b{i}") for i in (1, 2, 3)]
     return out.select("device_id", "day", "cut", *[F.col(s).alias(f"actual_{s}") for s in SEG], "peak_hour", "peak_value", segment.segment_of(F.col("peak_hour"), *b).alias("peak_segment"))
 
@@ -92,7 +85,7 @@ def nightly(readings: DataFrame, model: models.SegmentModel, window_days: int =
 def weekly_forecast(daily: DataFrame, model, as_of: Column, version: str = "") -> DataFrame:
     """Rows for weekly_predictions: the first whole week after ``as_of``; null for devices without two weeks."""
     rows = feats.latest_period(daily, next_week(as_of)["start"])
-    return _period(daily, rows, model, next_week(as_of), "week", version)
+    return _period(daily, rows, model, next_week(as_of), "week", version, F.month)
 
 
 def monthly_forecast(daily: DataFrame, model, as_of: Column, solar: bool = True, version: str = "") -> DataFrame:
@@ -100,11 +93,11 @@ def monthly_forecast(daily: DataFrame, model, as_of: Column, solar: bool = True,
     first = F.trunc(as_of, "month")
     span = next_jalali_month(as_of) if solar else F.struct(F.add_months(first, F.when(as_of == first, 0).otherwise(1)).alias("start"), F.last_day(F.add_months(first, F.when(as_of == first, 0).otherwise(1))).alias("end"))
     rows = feats.latest_period(daily, span["start"], solar)
-    return _period(daily, rows, model, span, "month", version)
+    return _period(daily, rows, model, span, "month", version, (lambda day: jalali(day)["jm"]) if solar else F.month)
 
 
-def _period(daily: DataFrame, rows: DataFrame, model, span: Column, name: str, version: str) -> DataFrame:
-    made = model.transform(rows.withColumn("month", F.month(span["start"]))).select("device_id", F.greatest("prediction", F.lit(0.0)).alias("predicted_consumption_kwh"))
+def _period(daily: DataFrame, rows: DataFrame, model, span: Column, name: str, version: str, month: Callable[[Column], Column]) -> DataFrame:
+    made = model.transform(rows.withColumn("_start", span["start"]).withColumn("month", month(F.col("_start"))).withColumn("week", F.weekofyear("_start"))).select("device_id", F.greatest("prediction", F.lit(0.0)).alias("predicted_consumption_kwh"))
     devices = daily.select("device_id").distinct()
     return devices.join(made, "device_id", "left").select("device_id", span["start"].alias(f"{name}_start"), span["end"].alias(f"{name}_end"), "predicted_consumption_kwh", F.lit(version).alias("model_version"), F.current_timestamp().alias("generated_at"))
 

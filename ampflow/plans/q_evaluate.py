@@ -21,7 +21,7 @@ def _add(name: str, query, body: str | None = None, **kinds) -> None:
 
 
 R2 = "1 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS r2"
-SHARE = f"sum(abs(p - y)) / sum(abs(y)) * 100 AS wape, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, {R2}, avg(abs(p - y) / nullif(abs(y), 0)) * 100 AS mape, avg(2 * abs(p - y) / nullif(abs(y) + abs(p), 0)) * 100 AS smape, sum(p - y) / sum(abs(y)) * 100 AS bias, count(*) AS n"
+SHARE = f"sum(abs(p - y)) / sum(abs(y)) * 100 AS wape, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, {R2}, avg(abs(p - y) / nullif(abs(y), 0)) * 100 AS mape, avg(coalesce(2 * abs(p - y) / nullif(abs(y) + abs(p), 0), 0)) * 100 AS smape, sum(p - y) / sum(y) * 100 AS bias, count(*) AS n"
 ANGLE = f"avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y) / CASE WHEN abs(y) > 1e-8 THEN abs(y) END) * 100 AS mape, degrees(avg(atan(abs(p - y) / (abs(y) + 1e-8)))) AS maape, {R2}"
 _add("metrics_wape", lambda s, d: evaluate.measure(forecasts(s, d), "y", "p"), P + f" SELECT {SHARE} FROM f", doubles="wape mae rmse r2 mape smape bias", ints="n")
 _add("metrics_mape_maape", lambda s, d: evaluate.measure(forecasts(s, d), "y", "p", metrics=evaluate.angle_metrics), P + f" SELECT {ANGLE} FROM f", doubles="mae rmse mape maape r2")

@@ -85,26 +85,30 @@ _add("cutoff_split", _cutoff, PANEL_SQL + f", u AS (SELECT *, day + 1 AS target_
 SAT = "(day - CAST((isodow(day) + 1) % 7 AS INT))"
 
 
-def _period_sql(start: str, least: int, lags, std: int, extra: str = "month(start)") -> str:
+def _period_sql(start: str, least: int, shape, extra: str = "month(start) AS month", before: str = "", ahead: int = 1) -> str:
+    """Frames end ``ahead`` rows before the row: 1, or 0 for features of the period after it."""
+    means, std, trends = shape
     w = "PARTITION BY device_id ORDER BY start"
-    cols = [f"lag(use, {k}) OVER (w0) AS prev{k}" for k in lags]
-    cols += [f"avg(use) OVER ({w} ROWS BETWEEN {std} PRECEDING AND 1 PRECEDING) AS mean{std}", f"stddev_pop(use) OVER ({w} ROWS BETWEEN {std} PRECEDING AND 1 PRECEDING) AS std{std}"]
-    cols += [f"coalesce(lag(use, 1) OVER (w0) - lag(use, {k + 1}) OVER (w0), 0.0) AS trend{k}" for k in (1, 3)]
-    cols += [f"{f}(use) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {n}" for f, n in (("min", "past_min"), ("max", "past_max"), ("avg", "past_mean"), ("count", "n_hist"))]
-    body = ", ".join(cols).replace("(w0)", f"({w})")
-    return DL + f", t AS (SELECT device_id, day, sum(seg0 + seg1 + seg2 + seg3) AS use FROM d GROUP BY 1, 2), p AS (SELECT device_id, {start} AS start, sum(use) AS use, count(DISTINCT day) AS days FROM t GROUP BY 1, 2 HAVING count(DISTINCT day) >= {least}), q AS (SELECT *, {body} FROM p) SELECT *, {extra} AS month FROM q WHERE n_hist >= 2"
-
-
-WEEK_D = "use prev1 prev2 prev4 prev8 mean4 std4 trend1 trend3 past_min past_max past_mean"
-MONTH_D = "use prev1 prev2 prev3 prev6 prev12 mean3 std3 trend1 trend3 past_min past_max past_mean"
-_add("weekly_frame", lambda s, d: feats.weekly(daily(s, d, "l_linenumber")), _period_sql(SAT, 7, (1, 2, 4, 8), 4), doubles=WEEK_D, ints="days n_hist month", texts="start")
-_add("monthly_frame", lambda s, d: feats.monthly(daily(s, d, "l_linenumber")), _period_sql("CAST(date_trunc('month', day) AS DATE)", 20, (1, 2, 3, 6, 12), 3), doubles=MONTH_D, ints="days n_hist month", texts="start")
+    frame = lambda n: f"OVER ({w} ROWS BETWEEN {n} PRECEDING AND {ahead} PRECEDING)"
+    cols = [f"lag(use, {ahead}) OVER ({w}) AS prev1"] + [f"avg(use) {frame(n - 1 + ahead)} AS mean{n}" for n in means] + [f"stddev_pop(use) {frame(std - 1 + ahead)} AS std{std}"]
+    cols += [f"coalesce(lag(use, {ahead}) OVER ({w}) - lag(use, {k - 1 + ahead}) OVER ({w}), 0.0) AS {name}" for name, k in trends.items()]
+    cols += [f"{f}(use) {frame('UNBOUNDED')} AS {n}" for f, n in (("min", "past_min"), ("max", "past_max"), ("avg", "past_mean"), ("count", "n_hist"))]
+    return DL + f", t AS (SELECT device_id, day, sum(seg0 + seg1 + seg2 + seg3) AS use FROM d {before} GROUP BY 1, 2), p AS (SELECT device_id, {start} AS start, sum(use) AS use, count(DISTINCT day) AS days FROM t GROUP BY 1, 2 HAVING count(DISTINCT day) >= {least}), q AS (SELECT *, {', '.join(cols)} FROM p) SELECT *{', ' + extra if extra else ''} FROM q WHERE n_hist >= 2"
+
+
+WEEK_D = "use prev1 mean2 mean4 mean8 std4 trend2 trend4 past_min past_max past_mean"
+MONTH_D = "use prev1 mean2 mean3 mean6 mean12 std3 trend1 trend3 past_min past_max past_mean"
+_add("weekly_frame", lambda s, d: feats.weekly(daily(s, d, "l_linenumber")), _period_sql(SAT, 7, feats.WEEKS, "month(start) AS month, weekofyear(start) AS week"), doubles=WEEK_D, ints="days n_hist month week", texts="start")
+_add("monthly_frame", lambda s, d: feats.monthly(daily(s, d, "l_linenumber")), _period_sql("CAST(date_trunc('month', day) AS DATE)", 20, feats.MONTHS), doubles=MONTH_D, ints="days n_hist month", texts="start")
 J_AT = "(SELECT n - a FROM (SELECT date_diff('day', DATE '1970-01-01', day) AS n), (SELECT 365 * y + floor((8 * y + 21) / 33.0)::BIGINT - 492633 AS a, 365 * (y + 1) + floor((8 * (y + 1) + 21) / 33.0)::BIGINT - 492633 AS b FROM generate_series(1360, 1390) t(y)) WHERE n >= a AND n < b)"
 J_START = f"(day - CAST(CASE WHEN {J_AT} < 186 THEN {J_AT} % 31 ELSE ({J_AT} - 186) % 30 END AS INT))"
 J_MONTH = J_AT.replace("day)", "start)")
-_add("jalali_monthly_frame", lambda s, d: feats.monthly(daily(s, d, "l_linenumber"), solar=True), _period_sql(J_START, 20, (1, 2, 3, 6, 12), 3, f"(CASE WHEN {J_MONTH} < 186 THEN {J_MONTH} // 31 + 1 ELSE ({J_MONTH} - 186) // 30 + 7 END)"), doubles=MONTH_D, ints="days n_hist month", texts="start")
+_add("jalali_monthly_frame", lambda s, d: feats.monthly(daily(s, d, "l_linenumber"), solar=True), _period_sql(J_START, 20, feats.MONTHS, f"(CASE WHEN {J_MONTH} < 186 THEN {J_MONTH} // 31 + 1 ELSE ({J_MONTH} - 186) // 30 + 7 END) AS month"), doubles=MONTH_D, ints="days n_hist month", texts="start")
 _add("week_total_or_null", lambda s, d: feats.period_total(daily(s, d, "l_linenumber"), F.lit("1996-06-01").cast("date"), F.lit("1996-06-07").cast("date")), DL + " SELECT device_id, CASE WHEN count(DISTINCT day) = 7 THEN sum(seg0 + seg1 + seg2 + seg3) END AS use FROM d WHERE day BETWEEN DATE '1996-06-01' AND DATE '1996-06-07' GROUP BY 1", doubles="use")
-_add("latest_week_features", lambda s, d: feats.latest_period(daily(s, d, "l_linenumber"), F.lit("1997-03-05").cast("date")))
+LATEST = "WHERE day < DATE '1997-03-05'"
+LAST = " QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY start DESC) = 1"
+_add("latest_week_features", lambda s, d: feats.latest_period(daily(s, d, "l_linenumber"), F.lit("1997-03-05").cast("date")), _period_sql(SAT, 1, feats.WEEKS, "", LATEST, 0) + LAST, doubles=WEEK_D, ints="days n_hist", texts="start")
+_add("latest_month_features", lambda s, d: feats.latest_period(daily(s, d, "l_linenumber"), F.lit("1997-03-05").cast("date"), True), _period_sql(J_START, 1, feats.MONTHS, "", LATEST, 0) + LAST, doubles=MONTH_D, ints="days n_hist", texts="start")
 
 PROF = PANEL.split("\nlo AS")[0].rstrip(",") + """, y0 AS (SELECT *, t AS y FROM wide), yy AS (SELECT *, lag(y) OVER w AS y1, lag(y, 7) OVER w AS y7, row_number() OVER (PARTITION BY device_id ORDER BY day DESC) AS back, isodow(day) - 1 AS dow, seg0 / nullif(y, 0) AS s0, seg1 / nullif(y, 0) AS s1, seg2 / nullif(y, 0) AS s2, seg3 / nullif(y, 0) AS s3 FROM y0 WINDOW w AS (PARTITION BY device_id ORDER BY day)),
 md AS (SELECT device_id, quantile_cont(y, 0.5) AS med, count(y) AS n FROM yy GROUP BY 1),

@@ -117,11 +117,10 @@ def _actuals(s, d):
     return daily_actuals(readings(s, d), window_days=7).drop("cut")
 
 
-ENDING = DAY_OF + f""", wm AS (SELECT a.device_id || ' ' || a.day AS device_id, dh.h, avg(dh.kwh) AS v FROM ix a JOIN dh ON a.device_id = dh.device_id AND dh.day BETWEEN a.day - 6 AND a.day GROUP BY 1, 2),
-prof AS (SELECT device_id, h, coalesce(v, avg(v) OVER (PARTITION BY device_id)) AS v FROM (SELECT DISTINCT device_id FROM wm) CROSS JOIN {HOURLY} LEFT JOIN wm USING (device_id, h))"""
-OWN = f", own AS (SELECT device_id, day, h, coalesce(kwh, avg(kwh) OVER (PARTITION BY device_id, day)) AS v FROM ix CROSS JOIN {HOURLY} LEFT JOIN dh USING (device_id, day, h)), pk AS (SELECT *, max(v) OVER (PARTITION BY device_id, day) AS m FROM own)"
-ACTUAL = ", ".join(f"round(sum(CASE WHEN (h >= b1)::INT + (h >= b2)::INT + (h >= b3)::INT = {k} THEN v ELSE 0.0 END), 3) AS actual_seg{k}" for k in range(4))
-_add("daily_actuals", _actuals, R + CAND + DAYS + ENDING + SMOOTH + EVID + ADAPT + OWN + f" SELECT * EXCLUDE (b1, b2, b3), (peak_hour >= b1)::INT + (peak_hour >= b2)::INT + (peak_hour >= b3)::INT AS peak_segment FROM (SELECT device_id, day, b1, b2, b3, {ACTUAL}, min(h) FILTER (v = m) AS peak_hour, max(v) AS peak_value FROM pk JOIN {OF_DAY} GROUP BY device_id, day, b1, b2, b3)", doubles="actual_seg0 actual_seg1 actual_seg2 actual_seg3 peak_value", ints="peak_hour peak_segment", texts="day")
+ENDING = DAY_OF + ", dd AS (SELECT a.device_id || ' ' || a.day AS device_id, dh.day, dh.h, dh.kwh AS v FROM ix a JOIN dh ON a.device_id = dh.device_id AND dh.day BETWEEN a.day - 6 AND a.day)"
+OWN = f", own AS (SELECT device_id, day, h, kwh, coalesce(kwh, avg(kwh) OVER (PARTITION BY device_id, day)) AS v FROM ix CROSS JOIN {HOURLY} LEFT JOIN dh USING (device_id, day, h)), pk AS (SELECT *, max(v) OVER (PARTITION BY device_id, day) AS m FROM own)"
+ACTUAL = ", ".join(f"sum(CASE WHEN (h >= b1)::INT + (h >= b2)::INT + (h >= b3)::INT = {k} THEN coalesce(kwh, 0.0) ELSE 0.0 END) AS actual_seg{k}" for k in range(4))
+_add("daily_actuals", _actuals, R + CAND + DAYS + ENDING + FITTED + OWN + f" SELECT * EXCLUDE (b1, b2, b3), (peak_hour >= b1)::INT + (peak_hour >= b2)::INT + (peak_hour >= b3)::INT AS peak_segment FROM (SELECT device_id, day, b1, b2, b3, {ACTUAL}, min(h) FILTER (v = m) AS peak_hour, max(v) AS peak_value FROM pk JOIN {OF_DAY} GROUP BY device_id, day, b1, b2, b3 HAVING count(kwh) >= 20)", doubles="actual_seg0 actual_seg1 actual_seg2 actual_seg3 peak_value", ints="peak_hour peak_segment", texts="day")
 
 
 def entry(spark, sf_dir: str):

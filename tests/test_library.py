@@ -146,6 +146,23 @@ def test_benchmark_beats_naive(spark):
     assert wape["global"] < wape["naive"] and set(wape) == {"naive", "global", "cluster"}
 
 
+def test_features_of_weeks_and_months(spark):
+    d = daily(spark, 1, 200)
+    x = d.toPandas().assign(use=lambda t: t[list(SEG)].sum(axis=1), day=lambda t: t.day.astype("datetime64[ns]"))
+    x["start"] = x.day - np.array([(i - 5) % 7 for i in x.day.dt.dayofweek], "timedelta64[D]")
+    whole = x.groupby("start").use.agg(["sum", "count"]).query("count == 7")["sum"]
+    rows = features.weekly(d).orderBy("start").collect()
+    assert [r.n_hist for r in rows] == list(range(2, len(whole)))
+    for r in rows:
+        past = whole.to_numpy()[: r.n_hist]
+        assert (r.prev1, r.mean2, r.mean4, r.mean8) == pytest.approx((past[-1], past[-2:].mean(), past[-4:].mean(), past[-8:].mean()))
+        assert (r.std4, r.trend2, r.trend4) == pytest.approx((past[-4:].std(), past[-1] - past[-2], past[-1] - past[-4] if len(past) >= 4 else 0.0))
+        assert r.week == r.start.isocalendar()[1]
+    month = x[x.day < "2024-07-01"].groupby(x.day.dt.month).use.sum().to_numpy()
+    r = features.monthly(d).orderBy("start").collect()[3]
+    assert (r.month, r.prev1, r.mean2, r.mean12, r.trend3) == pytest.approx((6, month[4], month[3:5].mean(), month[:5].mean(), month[4] - month[2]))
+
+
 def test_weekly_and_monthly_jobs(spark):
     d = daily(spark, 4, 150)
     frame = features.weekly(d)
@@ -216,6 +233,19 @@ def test_actuals_and_tags(spark):
     assert done.where("is_peak_hour").count() == 4 and done.where("segment_id is not null").count() == 96
 
 
+def test_actuals_of_days_with_missing_hours(spark):
+    readings = hours(spark, [None if h in (53, 54) or 72 <= h < 80 else 1.0 + h % 24 for h in range(24 * 5)])
+    rows = {r.day.day: r for r in jobs.daily_actuals(readings, None, 3).collect()}
+    assert sorted(rows) == [1, 2, 3, 5]  # the fourth day has 16 hours
+    assert sum(rows[3][f"actual_{s}"] for s in SEG) == 300.0 - 6 - 7 and rows[3].peak_hour == 23
+
+
+def test_share_metrics_at_the_edges(spark):
+    r = evaluate.measure(spark.createDataFrame([(0.0, 0.0), (-1.0, 1.0), (3.0, 3.0)], "y double, p double"), "y", "p").first()
+    assert (r.smape, r.bias, r.wape) == pytest.approx((200 / 3, 100.0, 50.0))
+    assert evaluate.measure(spark.createDataFrame([(1.0, 2.0)] * 2, "y double, p double"), "y", "p").first().r2 is None
+
+
 def test_result_tables(spark):
     spark.sql("create database if not exists amp_test")
     new = spark.sql("select 1L device_id, date'2024-06-01' week_start, date'2024-06-07' week_end, 5.0D predicted_consumption_kwh, 'v1' model_version, timestamp'2024-06-01' generated_at")
