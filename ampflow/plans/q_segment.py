@@ -55,8 +55,9 @@ RSS = """, seg AS (SELECT device_id, c, b1, b2, b3, seg, avg(v) AS mean, regr_sy
 
 
 def _line_fit(s, d):
-    p = segment.mean_profile(readings(s, d))
-    each = [F.struct(F.lit(i).alias("c"), F.lit(k).alias("segment"), segment.line_rss(F.col("v"), a, b).alias("rss")) for i, cut in enumerate(CUTS) for k, (a, b) in enumerate(segment._bounds(cut))]
+    parts = sorted({p for cut in CUTS for p in segment._bounds(cut)})
+    p = segment.mean_profile(readings(s, d)).withColumn("r", segment.held(F.array(*[segment.line_rss(F.col("v"), a, b) for a, b in parts])))
+    each = [F.struct(F.lit(i).alias("c"), F.lit(k).alias("segment"), F.col("r")[parts.index(x)].alias("rss")) for i, cut in enumerate(CUTS) for k, x in enumerate(segment._bounds(cut))]
     return p.select("device_id", F.inline(F.array(*each)))
 
 
