@@ -1,9 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences.  Each is normalised (lower case, runs of other
-characters than a-z, digits, dots and plus signs to one space) and mapped
-to the first known licence sentence whose pattern it holds; sentences that are
-none are passed over.  The sequence of identifiers is then matched against the
+A text is cut into sentences; colons and semicolons end none.  Each is
+normalised (lower case, runs of other characters than a-z, digits, dots and plus
+signs to one space) and mapped to all known licence sentences that it holds, in
+their order; sentences that hold none are passed over.  The sequence of identifiers is then matched against the
 licence rules in their order; what a rule matches is taken out of the sequence
 before the next.  Identifiers that no rule takes are left over.
 
@@ -14,13 +14,19 @@ only is ``unknown``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of common licences, by identifier; the first that fits counts.
+from ampflow.llm.licenses_sql import SQL as SQL
+
+# Sentences of common licences, by identifier.  Where several fit at one place, the first counts.
+_FREE = r"free software you (?:can|may) redistribute it and ?/?or? modify it under the terms of "
 SENTENCES = [
     ("ApacheRef", r"licensed under the apache license version 2\.0"),
     ("ApacheRef", r"apache(?: software)? license (?:version |v)?2\.0"),
+    ("ApacheRef", r"apache (?:version |v)?2\.0 license"),
     ("ApacheComply", r"you may not use this file except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at"),
     ("ApacheAsIs", r"distributed under the license is distributed on an as is basis"),
@@ -33,44 +39,92 @@ SENTENCES = [
     ("MitRef", r"\bmit licensed?\b"),
     ("IscGrant", r"permission to use copy modify and ?/?or? distribute this software for any purpose"),
     ("IscAsIs", r"the software is provided as is and the author disclaims all warranties"),
+    ("IscRef", r"\bisc license\b"),
     ("BsdGrant", r"redistribution and use in source and binary forms"),
     ("BsdSource", r"redistributions of source code must retain the above copyright"),
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright"),
-    ("BsdEndorse", r"neither the name of .* may be used to endorse or promote products"),
+    ("BsdEndorse", r"neither the name of .*? may be used to endorse or promote products"),
     ("BsdAdvertise", r"all advertising materials mentioning features or use of this software"),
-    ("BsdAsIs", r"this software is provided by the copyright holders and contributors as is"),
-    ("BsdLiable", r"in no event shall the copyright (?:holder|owner) or contributors be liable"),
-    ("AgplRef", r"gnu affero general public license version 3"),
-    ("Lgpl3Ref", r"gnu lesser general public license version 3"),
-    ("Lgpl21Ref", r"gnu lesser general public license version 2\.1"),
+    ("BsdAsIs", r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is"),
+    ("BsdLiable", r"in no event shall the (?:copyright (?:holder|owner)s?|regents|author) ?(?:or contributors )?be liable"),
+    ("Bsd3Ref", r"\bbsd 3 clause\b"),
+    ("Bsd3Ref", r"\b3 clause bsd\b"),
+    ("Bsd2Ref", r"\bbsd 2 clause\b"),
+    ("Bsd2Ref", r"\b2 clause bsd\b"),
+    ("AgplFree", _FREE + r"the gnu affero general public license"),
+    ("LgplFree", _FREE + r"the gnu (?:lesser|library) general public license"),
+    ("GplFree2", _FREE + r"the gnu general public license(?: as published by the free software foundation)? version 2\b"),
+    ("GplFree2", _FREE + r"version 2 of the gnu general public license"),
+    ("GplFree3", _FREE + r"the gnu general public license(?: as published by the free software foundation)? version 3\b"),
+    ("GplFree3", _FREE + r"version 3 of the gnu general public license"),
+    ("GplFree", _FREE + r"the gnu general public license"),
+    ("LgplSee", r"see the gnu (?:lesser|library) general public license for more details"),
+    ("AgplReceived", r"you should have received a copy of the gnu affero general public license"),
+    ("LgplReceived", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("GplReceived", r"you should have received a copy of the gnu general public license"),
+    ("AgplRef", r"gnu affero general public license (?:version|v\.?) ?3"),
+    ("AgplRef", r"\bagpl ?v?3"),
+    ("Lgpl3Ref", r"gnu lesser general public license (?:version|v\.?) ?3"),
+    ("Lgpl3Ref", r"\blgpl ?v?3"),
+    ("Lgpl21Ref", r"gnu lesser general public license (?:version|v\.?) ?2\.1"),
+    ("Lgpl21Ref", r"\blgpl ?v?2\.1"),
     ("LgplRef", r"gnu (?:lesser|library) general public license"),
     ("Gpl3Ref", r"gnu general public license (?:version|v\.?) ?3"),
+    ("Gpl3Ref", r"\bgpl ?v?3"),
     ("Gpl2Ref", r"gnu general public license (?:version|v\.?) ?2"),
-    ("GplFree", r"this program is free software.* you can redistribute it and ?/?or? modify it under the terms of the gnu general public license"),
+    ("Gpl2Ref", r"\bgpl ?v?2"),
+    ("Later21", r"either version 2\.1 of the license"),
     ("GplLater3", r"either version 3 of the license"),
     ("GplLater2", r"either version 2 of the license"),
     ("GplHope", r"distributed in the hope that it will be useful"),
-    ("GplReceived", r"you should have received a copy of the gnu general public license"),
     ("Mpl2Ref", r"mozilla public license (?:version |v\. ?)?2\.0"),
+    ("Mpl2Ref", r"mozilla public license v ?2\.0"),
     ("EplRef", r"eclipse public license"),
-    ("CcByNcSa", r"(?:cc by nc sa|creative commons attribution noncommercial sharealike)"),
-    ("CcByNcNd", r"(?:cc by nc nd|creative commons attribution noncommercial noderivatives)"),
-    ("CcByNc", r"(?:cc by nc|creative commons attribution noncommercial)"),
-    ("CcBySa", r"(?:cc by sa|creative commons attribution sharealike)"),
-    ("CcByNd", r"(?:cc by nd|creative commons attribution noderivatives)"),
-    ("Cc0", r"(?:\bcc0\b|creative commons zero)"),
-    ("CcBy", r"(?:\bcc by\b|creative commons attribution)"),
+    ("CcByNcSa", r"cc by nc sa"),
+    ("CcByNcSa", r"creative commons attribution noncommercial sharealike"),
+    ("CcByNcNd", r"cc by nc nd"),
+    ("CcByNcNd", r"creative commons attribution noncommercial noderivatives"),
+    ("CcByNc", r"cc by nc"),
+    ("CcByNc", r"creative commons attribution noncommercial"),
+    ("CcBySa", r"cc by sa"),
+    ("CcBySa", r"creative commons attribution sharealike"),
+    ("CcByNd", r"cc by nd"),
+    ("CcByNd", r"creative commons attribution noderivatives"),
+    ("Cc0", r"\bcc0\b"),
+    ("Cc0", r"creative commons zero"),
+    ("CcBy", r"\bcc by\b"),
+    ("CcBy", r"creative commons attribution"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("PublicDomain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose"),
+    ("ZlibRef", r"\bzlib license\b"),
     ("BoostRef", r"boost software license"),
     ("Proprietary", r"all rights reserved"),
     ("SpdxMit", r"spdx license identifier mit\b"),
     ("SpdxApache", r"spdx license identifier apache 2\.0"),
+    ("SpdxAgpl3", r"spdx license identifier agpl 3\.0"),
+    ("SpdxLgpl3", r"spdx license identifier lgpl 3\.0"),
+    ("SpdxLgpl21", r"spdx license identifier lgpl 2\.1"),
+    ("SpdxGpl3Later", r"spdx license identifier gpl 3\.0(?:\+| or later)"),
     ("SpdxGpl3", r"spdx license identifier gpl 3\.0"),
+    ("SpdxGpl2Later", r"spdx license identifier gpl 2\.0(?:\+| or later)"),
     ("SpdxGpl2", r"spdx license identifier gpl 2\.0"),
+    ("SpdxBsd4", r"spdx license identifier bsd 4 clause"),
     ("SpdxBsd3", r"spdx license identifier bsd 3 clause"),
     ("SpdxBsd2", r"spdx license identifier bsd 2 clause"),
+    ("SpdxIsc", r"spdx license identifier isc\b"),
+    ("SpdxMpl2", r"spdx license identifier mpl 2\.0"),
+    ("SpdxEpl", r"spdx license identifier epl [12]\.0"),
+    ("SpdxZlib", r"spdx license identifier zlib\b"),
+    ("SpdxBoost", r"spdx license identifier bsl 1\.0"),
+    ("SpdxUnlicense", r"spdx license identifier unlicense\b"),
+    ("CcByNcSa", r"spdx license identifier cc by nc sa"),
+    ("CcByNcNd", r"spdx license identifier cc by nc nd"),
+    ("CcByNc", r"spdx license identifier cc by nc"),
+    ("CcBySa", r"spdx license identifier cc by sa"),
+    ("CcByNd", r"spdx license identifier cc by nd"),
+    ("CcBy", r"spdx license identifier cc by\b"),
+    ("Cc0", r"spdx license identifier cc0"),
     ("SpdxOther", r"spdx license identifier"),
     ("OtherRef", r"(?:licensed|released|distributed) under "),
 ]
@@ -82,30 +136,58 @@ RULES = [
     ("MIT", "MitRef MitGrant MitNotice MitAsIs MitLiable"),
     ("MIT", "MitGrant MitNotice MitAsIs MitLiable"),
     ("MIT", "MitGrant MitNotice MitAsIs"),
+    ("ISC", "IscRef IscGrant IscAsIs"),
     ("ISC", "IscGrant IscAsIs"),
     ("Apache-2.0", "ApacheRef ApacheComply ApacheCopy ApacheAsIs ApacheLimits"),
     ("Apache-2.0", "ApacheRef ApacheComply ApacheCopy"),
+    ("AGPL-3.0-or-later", "AgplFree GplLater3 GplHope AgplReceived"),
+    ("AGPL-3.0-or-later", "AgplFree GplLater3"),
+    ("LGPL-3.0-or-later", "LgplFree GplLater3 GplHope LgplSee LgplReceived"),
+    ("LGPL-3.0-or-later", "LgplFree GplLater3"),
+    ("LGPL-2.1-or-later", "LgplFree Later21 GplHope LgplSee LgplReceived"),
+    ("LGPL-2.1-or-later", "LgplFree Later21"),
+    ("LGPL-2.0-or-later", "LgplFree GplLater2 GplHope LgplSee LgplReceived"),
+    ("LGPL-2.0-or-later", "LgplFree GplLater2"),
     ("GPL-3.0-or-later", "GplFree GplLater3 GplHope GplReceived"),
     ("GPL-3.0-or-later", "GplFree GplLater3"),
     ("GPL-2.0-or-later", "GplFree GplLater2 GplHope GplReceived"),
     ("GPL-2.0-or-later", "GplFree GplLater2"),
+    ("GPL-3.0", "GplFree3 GplHope GplReceived"),
+    ("GPL-3.0", "GplFree3"),
+    ("GPL-2.0", "GplFree2 GplHope GplReceived"),
+    ("GPL-2.0", "GplFree2"),
     ("Apache-2.0", "SpdxApache"),
     ("Apache-2.0", "ApacheRef"),
     ("MIT", "SpdxMit"),
     ("MIT", "MitRef"),
+    ("ISC", "SpdxIsc"),
+    ("ISC", "IscRef"),
     ("ISC", "IscGrant"),
+    ("Zlib", "SpdxZlib"),
+    ("Zlib", "ZlibRef"),
     ("Zlib", "ZlibGrant"),
+    ("AGPL-3.0", "SpdxAgpl3"),
     ("AGPL-3.0", "AgplRef"),
+    ("LGPL-3.0", "SpdxLgpl3"),
     ("LGPL-3.0", "Lgpl3Ref"),
+    ("LGPL-2.1", "SpdxLgpl21"),
     ("LGPL-2.1", "Lgpl21Ref"),
     ("LGPL", "LgplRef"),
+    ("LGPL", "LgplFree"),
+    ("GPL-3.0-or-later", "SpdxGpl3Later"),
     ("GPL-3.0", "SpdxGpl3"),
     ("GPL-3.0", "Gpl3Ref"),
+    ("GPL-2.0-or-later", "SpdxGpl2Later"),
     ("GPL-2.0", "SpdxGpl2"),
     ("GPL-2.0", "Gpl2Ref"),
+    ("BSD-4-Clause", "SpdxBsd4"),
     ("BSD-3-Clause", "SpdxBsd3"),
+    ("BSD-3-Clause", "Bsd3Ref"),
     ("BSD-2-Clause", "SpdxBsd2"),
+    ("BSD-2-Clause", "Bsd2Ref"),
+    ("MPL-2.0", "SpdxMpl2"),
     ("MPL-2.0", "Mpl2Ref"),
+    ("EPL", "SpdxEpl"),
     ("EPL", "EplRef"),
     ("CC-BY-NC-SA", "CcByNcSa"),
     ("CC-BY-NC-ND", "CcByNcNd"),
@@ -114,32 +196,60 @@ RULES = [
     ("CC-BY-ND", "CcByNd"),
     ("CC0", "Cc0"),
     ("CC-BY", "CcBy"),
+    ("Unlicense", "SpdxUnlicense"),
     ("Unlicense", "Unlicense"),
     ("Public-domain", "PublicDomain"),
+    ("BSL-1.0", "SpdxBoost"),
     ("BSL-1.0", "BoostRef"),
     ("Proprietary", "Proprietary"),
 ]
+
+
+def _hint(pattern: str) -> str:
+    """The longest word that a sentence of the pattern must hold, as it stands in the text."""
+    while (bare := re.sub(r"\((?:\?:|\?<!|\?=)?[^()]*\)", "#", pattern)) != pattern:
+        pattern = bare
+    bare = re.sub(r"\\b|\[[^]]*\][+*?]?|[^\\]\?|\\.|\.[*+]\??", lambda m: " " if m[0] == r"\b" else "#", pattern)
+    word = max(re.finditer("[a-z0-9]+", bare), key=lambda m: m.end() - m.start())
+    whole = len(word[0]) < 4 and "#" not in (bare + " ")[max(word.start() - 1, 0) : word.end() + 1]
+    return rf"(?<![a-z0-9]){word[0]}(?![a-z0-9])" if whole else word[0]
+
+
 #: A text without any of these has no licence sentence.
-HINTS = r"licen[sc]|spdx|permission|redistribut|warrant|free software|gnu |apache|mozilla|creative commons|cc0|cc[ -]by|public domain|rights reserved|in no event|copyright|in the hope|version 2 of|version 3 of|advertising materials|neither the name|free and unencumbered"
+HINTS = "|".join(sorted({_hint(p) for _, p in SENTENCES}))
+_ANY = "|".join(f"(?:{p})" for _, p in SENTENCES)
 _BLANK = r"[ \t\n\r\f\x0b]+"
-_STOP = r"([.;:!?]) "
+#: A sentence ends at a full stop, exclamation or question mark, but for that of "v. 3".
+_STOP = r"(?<![^a-z]v)([.!?]) "
 _DROP = r"[^a-z0-9.+]+"
+_TAG = r"(?:mit|isc|zlib|unlicense|apache 2\.0|mpl 2\.0|epl [12]\.0|bsl 1\.0|[al]?gpl [0-9.]+(?:\+| or later| only)?|bsd [0-9] clause|cc by(?: nc| sa| nd)* [0-9.]+|cc0 1\.0)"
+#: In an SPDX expression every member is a tag.
+_SPDX = rf"(spdx license identifier )({_TAG}) (?:or|and|with) (?={_TAG})"
 
 
-def _sentence_id(sentence: Column) -> Column:
+def _identifier(match: Column) -> Column:
     known = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        known = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(known)
+        known = F.when(match.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(known)
     return known
 
 
+def _sentence_ids(sentence: Column) -> Column:
+    """All identifiers of a sentence; OtherRef only if there is no other."""
+    for _ in range(4):  # each turn does one more member
+        sentence = F.regexp_replace(sentence, _SPDX, "$1$2 $1")
+    every = F.transform(F.regexp_extract_all(sentence, F.lit(_ANY), F.lit(0)), _identifier)
+    named = F.filter(every, lambda x: x != "OtherRef")
+    return F.when(F.size(named) > 0, named).otherwise(F.slice(every, 1, 1))
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the licence sentences of a text, in order; empty where there are none."""
     flat = F.regexp_replace(F.lower(text), _BLANK, " ")
     sentences = F.split(F.regexp_replace(flat, _STOP, "$1\n"), "\n")
     hinted = F.filter(sentences, lambda s: s.rlike(HINTS))
-    named = F.transform(F.transform(hinted, lambda s: F.regexp_replace(s, _DROP, " ")), _sentence_id)
-    return F.when(F.lower(text).rlike(HINTS), F.filter(named, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    named = F.flatten(F.transform(F.transform(hinted, lambda s: F.regexp_replace(s, _DROP, " ")), _sentence_ids))
+    return F.when(F.lower(text).rlike(HINTS), named).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -169,26 +279,3 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
-
-def _sql() -> str:
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    case = "CASE " + " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES) + " END"
-    sql = f"""WITH cut AS (
-  SELECT doc_id, CASE WHEN regexp_matches(lower(text), {quoted(HINTS)}) THEN
-    list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), {quoted(_STOP)}, '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, {quoted(HINTS)}))
-    ELSE [] END AS sentences FROM documents),
-named AS (
-  SELECT doc_id, coalesce(list_filter(list_transform(list_transform(sentences, lambda s: regexp_replace(s, {quoted(_DROP)}, ' ', 'g')), lambda s: {case}), lambda x: x IS NOT NULL), []) AS ids FROM cut),
-r0 AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM named)"""
-    for i, (name, seq) in enumerate(RULES):
-        s = quoted(f" {seq.replace(' ', '  ')} ")
-        sql += f",\nr{i + 1} AS (SELECT doc_id, ids, replace(rest, {s}, '') AS rest, CASE WHEN contains(rest, {s}) AND NOT list_contains(found, {quoted(name)}) THEN list_append(found, {quoted(name)}) ELSE found END AS found FROM r{i})"
-    return sql + f"""
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ' '), '') AS sentence_ids, coalesce(array_to_string(found, ' '), '') AS licenses,
-  regexp_replace(trim(rest), ' +', ' ', 'g') AS left_over,
-  CASE WHEN len(found) > 0 THEN found[1] WHEN len(ids) > 0 THEN 'unknown' ELSE 'none' END AS license
-FROM r{len(RULES)}"""
-
-
-SQL = _sql()
