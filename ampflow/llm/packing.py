@@ -10,12 +10,17 @@ When more than ``OPEN`` windows are open, and at the end, open windows are
 closed by cutting: pieces of the emptiest fill the gaps of the fullest.  So
 memory is bounded for any lengths, and a partition pads one window at most.
 
+Added tokens of the vocabulary (``added_tokens``) are found in a text before all
+else, the leftmost and longest first; what lies between them is encoded by itself.
+
 Null and empty texts have the end token only.  Repeated rows and null ids are
 packed like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -126,21 +131,38 @@ def pack(docs: Iterator[tuple], window: int = WINDOW) -> Iterator[list | None]:
     yield from levels.rest()
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a ``tokenizers`` file with their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens must match as they stand")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
 class _Tokens:
     """Pieces of text to their ids as little-endian 32-bit numbers; each is encoded once while it is kept."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
         self.tails = _Tails(self.encode)
+        self.added = {token: _bytes([i]) for token, i in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.find = re.compile(f"({'|'.join(map(re.escape, longest))})").split if longest else lambda text: [text]
 
     def ids(self, text: str | None, end: int = END) -> bytes:
-        heads, tails = _pieces(text or "")
         if len(self.tails) > CACHE:
             self.tails.clear()
-        out = [_bytes(self.encode(p)) for p in heads]
-        out += map(self.tails.__getitem__, tails)
+        out = []
+        for i, part in enumerate(self.find(text or "")):
+            if i % 2:
+                out.append(self.added[part])
+                continue
+            heads, tails = _pieces(part)
+            out += [_bytes(self.encode(p)) for p in heads]
+            out += map(self.tails.__getitem__, tails)
         out.append(int(end).to_bytes(4, "little"))
         return b"".join(out)
 
@@ -162,16 +184,16 @@ class _Tails(dict):
 
 
 @lru_cache(2)
-def tokens(path: str, pattern: str) -> _Tokens:
+def tokens(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> _Tokens:
     """One table of encoded pieces a worker process."""
-    return _Tokens(path, pattern)
+    return _Tokens(path, pattern, added)
 
 
-def packer(path: str, pattern: str, window: int = WINDOW, end: int = END):
+def packer(path: str, pattern: str, window: int = WINDOW, end: int = END, added: tuple[tuple[str, int], ...] = ()):
     """The function that packs one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokens(path, pattern)
+        known = tokens(path, pattern, added)
         sequence = TaskContext.get().partitionId() << 40
 
         def docs():
@@ -202,17 +224,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, end: int = END, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text) to one row a piece, see ``SCHEMA``.
 
-    ``path`` is the rank file of the vocabulary; its ids are those of the same vocabulary's other files.
+    ``path`` is the rank file of the vocabulary; its ids are those of the same vocabulary's other files,
+    if ``added`` holds the added tokens of those.
     """
     bounded_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(packer(path, pattern, window, end), SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(packer(path, pattern, window, end, added), SCHEMA)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
