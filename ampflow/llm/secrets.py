@@ -2,7 +2,8 @@
 
 A worklist starts with the text itself.  Each layer is scanned, then decoded in
 every way that applies: URL escapes and Unicode escapes over the whole layer,
-each base64 run by itself, with whatever compression lies inside it.  Decoded
+each base64 run by itself, over line ends and from each of four places, with all
+compressed streams inside it, and percent-escaped binary data.  Decoded
 layers join the worklist unless the same content was met before, so cycles end
 and the list runs to its fixpoint.  Every character of a layer knows the span
 of the original text that it came from; findings are given there.
@@ -18,6 +19,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 import zstandard
@@ -37,6 +39,16 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 #: Bytes that one compressed run may unpack to; a longer one is a bomb, and is left packed.
 UNPACKED = 1 << 26
+#: Packed bytes read at once: what came before a broken place is kept.
+STEP = 1 << 10
+#: Base64 that goes on over line ends.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Escaped bytes among others, as of binary data.
+BINARY = re.compile(r"[!-$&-~]*%[0-9A-Fa-f]{2}[!-~]*")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
+#: Runs that may hold a finding, which is of 16 ASCII characters at least.
+ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){16,}|(?:\x00[\t\n\r\x20-\x7e]){16,}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -51,32 +63,92 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """What compression holds, through all its layers; the bytes themselves if there is none; None for a bomb."""
-    while True:
+def _inflate(data: memoryview) -> tuple[bytes | None, int]:
+    """(what the stream at the start of ``data`` holds, bytes of it if it ends).  None: nothing, or a bomb; 0: it does not end."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        kind, d = "zstd", zstandard.ZstdDecompressor(max_window_size=UNPACKED).decompressobj()
+    elif data[:3] == b"BZh":
+        kind, d = "bz2", bz2.BZ2Decompressor()
+    else:
+        kind, d = "zlib", zlib.decompressobj(47)
+    out, held = [], 0
+    for at in range(0, len(data), STEP):
         try:
-            if data[:2] == b"\x1f\x8b" or data[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-                d = zlib.decompressobj(47)
-                out = d.decompress(data, UNPACKED)
-            elif data[:4] == b"\x28\xb5\x2f\xfd":
-                with zstandard.ZstdDecompressor(max_window_size=UNPACKED).stream_reader(data) as r:
-                    out = r.read(UNPACKED + 1)
-                if len(out) > UNPACKED:
-                    return None
-                data = out
-                continue
-            elif data[:3] == b"BZh":
-                d = bz2.BZ2Decompressor()
-                out = d.decompress(data, UNPACKED)
-            else:
-                return data
+            part, rest = data[at : at + STEP], b""
+            while True:
+                if kind == "zstd":
+                    new, more = d.decompress(part), False
+                elif kind == "bz2":
+                    new = d.decompress(part, UNPACKED + 1 - held)
+                    more = not d.eof and not d.needs_input
+                else:
+                    new = d.decompress(part, UNPACKED + 1 - held)
+                    rest = d.unconsumed_tail
+                    more = bool(rest) and not d.eof
+                out.append(new)
+                held += len(new)
+                if held > UNPACKED:
+                    return None, 0
+                if not more:
+                    break
+                part = rest
         except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-            return data
-        if len(out) >= UNPACKED and not d.eof:
-            return None
-        if not out:
-            return data
-        data = out
+            return b"".join(out) or None, 0
+        if d.eof:
+            return b"".join(out) or None, min(len(data), at + STEP) - len(d.unused_data)
+    return b"".join(out) or None, 0
+
+
+def _members(data: bytes, whole: list[tuple[int, int]]) -> Iterator[bytes]:
+    """What the compressed streams in the bytes hold, wherever they start; streams that follow one another are one.
+
+    The places of whole streams are added to ``whole``.
+    """
+    view, at, end, joined = memoryview(data), 0, -1, []
+    while m := MAGIC.search(data, at):
+        out, used = _inflate(view[m.start() :])
+        if joined and (m.start() != end or not used):
+            yield b"".join(joined)
+            joined = []
+        if used:
+            joined.append(out or b"")
+            whole.append((m.start(), m.start() + used))
+            if sum(map(len, joined)) > UNPACKED:
+                yield from joined
+                joined = []
+            at = end = m.start() + used
+        else:
+            if out:
+                yield out
+            at = m.start() + 1
+    if joined:
+        yield b"".join(joined)
+
+
+def _texts(data: bytes, whole: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(first byte, bytes a character or 0 for UTF-8, text) of what is text in the bytes: all, or runs of ASCII in 8 or 16 bits.
+
+    Runs inside ``whole`` streams are not given: they are read unpacked.
+    """
+    if text := _readable(data):
+        yield 0, 0, text
+        return
+    for width, pattern in ((1, ASCII), (2, WIDE)):
+        for m in pattern.finditer(data):
+            if not any(a <= m.start() and m.end() <= b for a, b in whole):
+                yield m.start(), width, m.group().replace(b"\0", b"").decode("ascii")
+
+
+def _unpacked(data: bytes, met: set, whole: list[tuple[int, int]]) -> Iterator[str]:
+    """The texts inside the compressed streams in the bytes, through all their layers."""
+    for out in _members(data, whole):
+        key = hashlib.sha256(out).digest()
+        if key not in met:
+            met.add(key)
+            inner: list[tuple[int, int]] = []
+            yield from _unpacked(out, met, inner)
+            for _, _, text in _texts(out, inner):
+                yield text
 
 
 def _readable(data: bytes) -> str | None:
@@ -156,30 +228,62 @@ def _unicode(run: str, at: int) -> Iterator[tuple[int, int, str]]:
         i += 1
 
 
-def _base64(layer: _Layer) -> Iterator[_Layer]:
+class _Same:
+    """A list of equal numbers."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: int):
+        self.value = value
+
+    def __getitem__(self, i):
+        return [self.value] * (i.stop - i.start) if isinstance(i, slice) else self.value
+
+
+def _runs(layer: _Layer) -> Iterator[tuple[str, list[int] | range]]:
+    """Base64 runs: (their characters, the place of each in the layer)."""
     for m in BASE64.finditer(layer.text):
         run = m.group().rstrip("=")
-        n = len(run) - (len(run) % 4 == 1)
-        try:
-            data = base64.b64decode(run[:n].replace("-", "+").replace("_", "/") + "=" * (-n % 4), validate=True)
-        except ValueError:
-            continue
-        inner = _unpack(data)
-        if inner is None or (text := _readable(inner)) is None:
-            continue
-        a, b = m.start(), m.end()
-        if inner is data or inner == data:
-            low, high, byte = [], [], 0
-            for char in text:
-                width = len(char.encode())
-                x, y = layer.span(a + byte * 4 // 3, min(b, a + -(-(byte + width) * 4 // 3)))
-                low.append(x)
-                high.append(y)
-                byte += width
-        else:
-            x, y = layer.span(a, b)
-            low, high = [x] * len(text), [y] * len(text)
-        yield _Layer(text, low, high)
+        yield run, range(m.start(), m.start() + len(run))
+    for m in WRAPPED.finditer(layer.text):
+        at = [i for i in range(m.start(), m.end()) if layer.text[i] not in " \t\r\n="]
+        if len(at) >= 22:
+            yield "".join([layer.text[i] for i in at]), at
+
+
+def _base64(layer: _Layer) -> Iterator[_Layer]:
+    """Of each run, from its start and the next three places: what is text as it is, and what its compressed streams hold."""
+    for run, at in _runs(layer):
+        run = run.replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            n = len(run) - skip
+            n -= n % 4 == 1
+            data = base64.b64decode(run[skip : skip + n] + "=" * (-n % 4))
+            whole: list[tuple[int, int]] = []
+            if MAGIC.search(data):
+                x, y = layer.span(at[0], at[-1] + 1)
+                for text in _unpacked(data, set(), whole):
+                    yield _Layer(text, _Same(x), _Same(y))
+            for first, width, text in _texts(data, whole):
+                low, high, byte = [], [], first
+                for char in text:
+                    w = width or len(char.encode())
+                    x, y = layer.span(at[skip + byte * 4 // 3], at[min(skip + n, skip - (-(byte + w) * 4 // 3)) - 1] + 1)
+                    low.append(x)
+                    high.append(y)
+                    byte += w
+                yield _Layer(text, low, high)
+
+
+def _binary(layer: _Layer) -> Iterator[_Layer]:
+    """What compressed streams in percent-escaped bytes hold."""
+    for m in BINARY.finditer(layer.text):
+        for run in {m.group(), m.group().replace("+", " ")}:
+            data = unquote_to_bytes(run)
+            if MAGIC.search(data):
+                x, y = layer.span(m.start(), m.end())
+                for text in _unpacked(data, set(), []):
+                    yield _Layer(text, _Same(x), _Same(y))
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -194,6 +298,8 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
                 a, b = layer.span(start, end)
                 found.add((a, kind, b))
         inner = list(_base64(layer))
+        if "%" in layer.text:
+            inner += _binary(layer)
         if "%" in layer.text and (x := _escaped(layer, URL, _url)):
             inner.append(x)
         if "\\u" in layer.text and (x := _escaped(layer, UNICODE, _unicode)):
