@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, single spaces) and hashed.  For each host
 (``source``) and line the documents that hold it are counted; a line in more
-than ``MIN_DOCS`` documents and in more than ``SHARE`` of the host's is
-boilerplate and is removed.  A document that loses more than half of its words
+than ``MIN_DOCS`` documents and in more than ``SHARE`` of the host's, or in more
+than ``MANY`` whatever the host's size, is boilerplate and is removed.  A document that loses more than half of its words
 that way is depleted and rejected, as is one that fails the base rules.
 
 A null source is a host of its own.  A null text has no words, and so fails.
@@ -25,6 +25,8 @@ REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_DOCS = 10
 SHARE = 0.01
+#: A limit of its own for large hosts, where the share alone would be tens of thousands.
+MANY = 1000
 _SYMBOLS = b"#*$%&|<>"
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, line_words array<int>"
 
@@ -84,18 +86,18 @@ def profile(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", host.alias("host"), run("text").alias("s")).select("row_id", "doc_id", "host", "s.*"), "line-profile")
 
 
-def boilerplate(lines: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def boilerplate(lines: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
     """(host, hash) of lines above the limits; ``lines`` has each document's distinct lines, ``rows`` its host."""
-    counts = lines.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    counts = lines.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > min(min_docs, many))
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("docs") > share * F.col("host_docs")).select("host", "hash")
+    return counts.join(hosts, "host").where((F.col("docs") > many) | (F.col("docs") > min_docs) & (F.col("docs") > share * F.col("host_docs"))).select("host", "hash")
 
 
-def rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
     """``docs`` (doc_id, source, text) to the base counts, removed_words, base_failed, kept."""
     rows = profile(docs)
     lines = rows.select("row_id", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("l")).select("row_id", "host", F.col("l.hashes").alias("hash"), F.col("l.line_words").alias("words"))
-    common = boilerplate(lines, rows, min_docs, share)
+    common = boilerplate(lines, rows, min_docs, share, many)
     removed = lines.join(common, ["host", "hash"], "left_semi").groupBy("row_id").agg(F.sum("words").alias("removed_words"))
     out = rows.drop("hashes", "line_words").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -103,11 +105,11 @@ def rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> Da
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row_id", "host")
 
 
-def without_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
     """``docs`` (doc_id, source, text) to doc_id, text without the lines above the limits; depleted documents go."""
     rows = profile(docs)
     lines = rows.select("host", F.explode("hashes").alias("hash"))
-    common = boilerplate(lines, rows, min_docs, share)
+    common = boilerplate(lines, rows, min_docs, share, many)
     keyed = docs.select("doc_id", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("host"), "text")
 
     @F.pandas_udf("array<long>")
