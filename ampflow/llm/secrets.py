@@ -1,14 +1,22 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the text itself.  Each layer is scanned, then decoded in
-every way that applies: URL escapes and Unicode escapes over the whole layer,
-each base64 run by itself, over line ends and from each of four places, with all
-compressed streams inside it, and percent-escaped binary data.  Decoded
-layers join the worklist unless the same content was met before, so cycles end
-and the list runs to its fixpoint.  Every character of a layer knows the span
-of the original text that it came from; findings are given there.
-
-Spans are in code points, end exclusive.  A null text is empty and has none.
+every way that applies: URL escapes and Unicode escapes by one level and to
+their own fixpoint, each base64 run by itself, over line ends and from each of
+four places, all compressed streams inside it, and percent-escaped binary data.
+A layer whose content was met before at the same place is not read again, so
+cycles end and the list runs to its fixpoint.  A layer knows which span of the
+layer around it each of its characters came from; findings are given in the
+original text.
+
+Escapes that nest (``%252541``) are taken off together in one pass, so their
+depth does not matter.  What a stream unpacks to is read in windows of
+``WINDOW`` bytes; a base64 run or a stream that goes on beyond its window is
+read as a stream of its own.  So a bomb takes time in proportion to what it
+unpacks to, but no more memory than a few windows.
+
+Spans are in code points, end exclusive.  A null text is empty and has none;
+repeated rows give repeated rows, an empty table none.
 """
 
 from __future__ import annotations
@@ -18,7 +26,9 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -33,22 +43,47 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+#: The shortest stream that holds a finding has 6 bytes (sixteen zeros in zlib, its check left out), 8 in base64.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}={0,2}")
 #: The shortest finding has 16 characters, 22 in base64.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-#: Bytes that one compressed run may unpack to; a longer one is a bomb, and is left packed.
-UNPACKED = 1 << 26
-#: Packed bytes read at once: what came before a broken place is kept.
-STEP = 1 << 10
+PLAIN = 22
 #: Base64 that goes on over line ends.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
 #: Escaped bytes among others, as of binary data.
 BINARY = re.compile(r"[!-$&-~]*%[0-9A-Fa-f]{2}[!-~]*")
+#: Unpacked bytes that are read together.
+WINDOW = 1 << 25
+#: Packed bytes read at once: what came before a broken place is kept.
+STEP = 1 << 10
+# How compressed streams begin.
+_BEGIN = [b"\x1f\x8b\x08", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh"]
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
-#: Runs that may hold a finding, which is of 16 ASCII characters at least.
-ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
-WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){16,}|(?:\x00[\t\n\r\x20-\x7e]){16,}")
+#: Runs that may hold a finding or a stream.
+ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{8,}")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}|(?:\x00[\t\n\r\x20-\x7e]){8,}")
+#: What ``_fixpoint`` makes of escaped bytes.
+_BYTE = re.compile("[\udc80-\udcff]")
+_BYTES = re.compile("[\0-\x7f\udc80-\udcff]+")
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_RUN = (_DIGITS + "-_").encode()
+Reader = Callable[[int], Iterator[bytes]]
+
+
+def _in_base64(data: bytes) -> str:
+    """A pattern of base64 that holds ``data`` at any place."""
+    out = []
+    for before in range(3):
+        bits = "?" * 8 * before + "".join(f"{b:08b}" for b in data)
+        bits += "?" * (-len(bits) % 6)
+        groups = [bits[i : i + 6] for i in range(0, len(bits), 6)]
+        out.append("".join("[" + "".join(c for k, c in enumerate(_DIGITS) if all(x in ("?", y) for x, y in zip(g, f"{k:06b}"))) + "]" for g in groups if set(g) != {"?"}))
+    return "|".join(out)
+
+
+PACKED = re.compile("|".join(map(_in_base64, _BEGIN)))
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -63,138 +98,47 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _inflate(data: memoryview) -> tuple[bytes | None, int]:
-    """(what the stream at the start of ``data`` holds, bytes of it if it ends).  None: nothing, or a bomb; 0: it does not end."""
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        kind, d = "zstd", zstandard.ZstdDecompressor(max_window_size=UNPACKED).decompressobj()
-    elif data[:3] == b"BZh":
-        kind, d = "bz2", bz2.BZ2Decompressor()
-    else:
-        kind, d = "zlib", zlib.decompressobj(47)
-    out, held = [], 0
-    for at in range(0, len(data), STEP):
-        try:
-            part, rest = data[at : at + STEP], b""
-            while True:
-                if kind == "zstd":
-                    new, more = d.decompress(part), False
-                elif kind == "bz2":
-                    new = d.decompress(part, UNPACKED + 1 - held)
-                    more = not d.eof and not d.needs_input
-                else:
-                    new = d.decompress(part, UNPACKED + 1 - held)
-                    rest = d.unconsumed_tail
-                    more = bool(rest) and not d.eof
-                out.append(new)
-                held += len(new)
-                if held > UNPACKED:
-                    return None, 0
-                if not more:
-                    break
-                part = rest
-        except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-            return b"".join(out) or None, 0
-        if d.eof:
-            return b"".join(out) or None, min(len(data), at + STEP) - len(d.unused_data)
-    return b"".join(out) or None, 0
-
-
-def _members(data: bytes, whole: list[tuple[int, int]]) -> Iterator[bytes]:
-    """What the compressed streams in the bytes hold, wherever they start; streams that follow one another are one.
-
-    The places of whole streams are added to ``whole``.
-    """
-    view, at, end, joined = memoryview(data), 0, -1, []
-    while m := MAGIC.search(data, at):
-        out, used = _inflate(view[m.start() :])
-        if joined and (m.start() != end or not used):
-            yield b"".join(joined)
-            joined = []
-        if used:
-            joined.append(out or b"")
-            whole.append((m.start(), m.start() + used))
-            if sum(map(len, joined)) > UNPACKED:
-                yield from joined
-                joined = []
-            at = end = m.start() + used
-        else:
-            if out:
-                yield out
-            at = m.start() + 1
-    if joined:
-        yield b"".join(joined)
-
-
-def _texts(data: bytes, whole: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(first byte, bytes a character or 0 for UTF-8, text) of what is text in the bytes: all, or runs of ASCII in 8 or 16 bits.
+class _Layer:
+    """A text, and which span of the original any span of it came from."""
 
-    Runs inside ``whole`` streams are not given: they are read unpacked.
-    """
-    if text := _readable(data):
-        yield 0, 0, text
-        return
-    for width, pattern in ((1, ASCII), (2, WIDE)):
-        for m in pattern.finditer(data):
-            if not any(a <= m.start() and m.end() <= b for a, b in whole):
-                yield m.start(), width, m.group().replace(b"\0", b"").decode("ascii")
+    __slots__ = ("text", "span", "whole")
 
+    def __init__(self, text: str, span: Callable[[int, int], tuple[int, int]], whole: bool = True):
+        self.text, self.span, self.whole = text, span, whole  # whole: not itself a text with one level of escapes taken off
 
-def _unpacked(data: bytes, met: set, whole: list[tuple[int, int]]) -> Iterator[str]:
-    """The texts inside the compressed streams in the bytes, through all their layers."""
-    for out in _members(data, whole):
-        key = hashlib.sha256(out).digest()
-        if key not in met:
-            met.add(key)
-            inner: list[tuple[int, int]] = []
-            yield from _unpacked(out, met, inner)
-            for _, _, text in _texts(out, inner):
-                yield text
 
+def _constant(span: tuple[int, int]) -> Callable[[int, int], tuple[int, int]]:
+    return lambda a, b: span
 
-def _readable(data: bytes) -> str | None:
-    """The text in the bytes, if they are text: UTF-8, with hardly any control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(data.count(bytes([c])) for c in range(32) if c not in (9, 10, 13))
-    return text if text and odd * 20 <= len(data) else None
 
+# Escapes --------------------------------------------------------------------
 
-class _Layer:
-    """A text, and for each character the span of the original that it came from (None: itself)."""
 
-    __slots__ = ("text", "low", "high")
+def _peeled(outer: _Layer, text: str, at: array, low: array, high: array, whole: bool) -> _Layer:
+    """A layer with escapes decoded: ``at`` the places of decoded characters, ``low`` and ``high`` what they stood for."""
 
-    def __init__(self, text: str, low: list[int] | None = None, high: list[int] | None = None):
-        self.text, self.low, self.high = text, low, high
+    def place(i: int, end: bool) -> int:
+        j = bisect_right(at, i) - 1
+        if j < 0:
+            return i + end
+        return (high[j] if end else low[j]) if at[j] == i else high[j] + i - at[j] - 1 + end
 
-    def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.low is None else (self.low[start], max(self.high[start:end]))
+    return _Layer(text, lambda a, b: outer.span(place(a, False), place(b - 1, True) if b > a else place(a, False)), whole)
 
 
-def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
-    """The whole layer with runs of escapes decoded; None if nothing changes."""
-    parts, low, high, at, changed = [], [], [], 0, False
-
-    def plain(a: int, b: int) -> None:
-        parts.append(layer.text[a:b])
-        low.extend(range(a, b) if layer.low is None else layer.low[a:b])
-        high.extend(range(a + 1, b + 1) if layer.low is None else layer.high[a:b])
-
+def _once(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
+    """The layer with one level of escapes decoded; None if there is none."""
+    parts, size, done = [], 0, 0
+    at, low, high = array("q"), array("q"), array("q")
     for m in pattern.finditer(layer.text):
         for a, b, char in decode(m.group(), m.start()):
-            if a > at:
-                plain(at, a)
-            x, y = layer.span(a, b)
-            parts.append(char)
-            low.append(x)
-            high.append(y)
-            at, changed = b, True
-    if not changed:
-        return None
-    plain(at, len(layer.text))
-    return _Layer("".join(parts), low, high)
+            parts += [layer.text[done:a], char]
+            size += a - done
+            at.append(size)
+            low.append(a)
+            high.append(b)
+            size, done = size + 1, b
+    return _peeled(layer, "".join(parts) + layer.text[done:], at, low, high, False) if at else None
 
 
 def _url(run: str, at: int) -> Iterator[tuple[int, int, str]]:
@@ -228,87 +172,302 @@ def _unicode(run: str, at: int) -> Iterator[tuple[int, int, str]]:
         i += 1
 
 
-class _Same:
-    """A list of equal numbers."""
+def _fixpoint(layer: _Layer) -> _Layer | None:
+    """The layer with escapes of both kinds decoded until none is left, in one pass; None if there is none.
 
-    __slots__ = ("value",)
+    What a decoded character completes is decoded in its turn.  Escaped bytes
+    that are not ASCII become the lone surrogates that stand for such bytes:
+    no finding runs over them, and streams among them can be read.
+    """
+    text, n = layer.text, len(layer.text)
+    if not ESCAPE.search(text):
+        return None
+    out: list[str] = []
+    at, low, high = array("q"), array("q"), array("q")
+    pos = hot = 0  # hot: characters to come that an escape may need yet
+    while pos < n:
+        if not hot:
+            m = ESCAPE.search(text, pos)
+            stop = m.start() if m else n
+            out += text[pos:stop]
+            pos, hot = stop, 6
+            continue
+        out.append(text[pos])
+        pos, hot = pos + 1, hot - 1
+        while True:
+            if out[-3:-2] == ["%"]:
+                size = 3
+            elif out[-6:-4] == ["\\", "u"]:
+                size = 6
+            else:
+                break
+            digits = "".join(out[-2:] if size == 3 else out[-4:])
+            if not all(c in "0123456789abcdefABCDEF" for c in digits):
+                break
+            code = int(digits, 16)
+            start = len(out) - size
+            j = bisect_right(at, start) - 1
+            begin = start if j < 0 else low[j] if at[j] == start else high[j] + start - at[j] - 1
+            del out[start:]
+            while at and at[-1] >= start:
+                at.pop()
+                low.pop()
+                high.pop()
+            at.append(start)
+            low.append(begin)
+            high.append(pos)
+            out.append(chr(0xDC00 + code if size == 3 and code >= 0x80 else 0xFFFD if 0xD800 <= code < 0xE000 else code))
+            hot = 6
+    return _peeled(layer, "".join(out), at, low, high, True)
+
+
+# Bytes ----------------------------------------------------------------------
+
+
+class _Stream:
+    """One compressed stream, unpacked piece by piece; then ``used`` has its length, 0 if it does not end."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.used = chunks, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, read = None, 0
+        for chunk in self.chunks:
+            for i in range(0, len(chunk), STEP):
+                part = bytes(chunk[i : i + STEP])
+                if d is None:
+                    kind = "zstd" if part[:4] == b"\x28\xb5\x2f\xfd" else "bz2" if part[:3] == b"BZh" else "zlib"
+                    d = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj() if kind == "zstd" else bz2.BZ2Decompressor() if kind == "bz2" else zlib.decompressobj(47)
+                read += len(part)
+                try:
+                    if kind == "zstd":
+                        yield d.decompress(part)
+                    elif kind == "bz2":
+                        yield d.decompress(part, WINDOW)
+                        while not d.eof and not d.needs_input:
+                            yield d.decompress(b"", WINDOW)
+                    else:
+                        yield d.decompress(part, WINDOW)
+                        while d.unconsumed_tail and not d.eof:
+                            yield d.decompress(d.unconsumed_tail, WINDOW)
+                except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+                    return
+                if d.eof:
+                    self.used = read - len(d.unused_data)
+                    return
+
+
+def _member(read: Reader, at: int, used: list[int]) -> Iterator[bytes]:
+    """What the stream at ``at`` unpacks to, and those that follow it at once; the place after each goes to ``used``."""
+    while True:
+        stream = _Stream(read(at))
+        yield from stream
+        if not stream.used:
+            return
+        at += stream.used
+        used.append(at)
+        head = b""
+        for chunk in read(at):
+            head += bytes(chunk[:16])
+            if len(head) >= 16:
+                break
+        if not MAGIC.match(head):
+            return
+
+
+def _reader(data: bytes) -> Reader:
+    view = memoryview(data)
+    return lambda at: iter([view[at:]])
+
+
+def _from(pieces: Callable[[], Iterator[bytes]]) -> Reader:
+    """A reader over what can be produced again from the start only."""
+
+    def read(at: int) -> Iterator[bytes]:
+        for piece in pieces():
+            if at < len(piece):
+                yield piece[at:]
+                at = 0
+            else:
+                at -= len(piece)
+
+    return read
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of windows that overlap by what may be an unfinished run, up to half of one."""
+    held, start, fresh = b"", 0, 0
+    parts: list[bytes] = []
+    for piece in pieces:
+        for i in range(0, len(piece), WINDOW):
+            parts.append(piece[i : i + WINDOW])
+            fresh += len(parts[-1])
+            if fresh + len(held) > WINDOW:
+                held, parts, fresh = held + b"".join(parts), [], 0
+                yield start, held
+                keep = min(max(1024, len(held) - len(held.rstrip(_RUN + b"=\"': ."))), WINDOW // 2)
+                start, held = start + len(held) - keep, held[-keep:]
+    if fresh or not start:
+        yield start, held + b"".join(parts)
+
+
+def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of the base64 run with which the chunks begin."""
+    left = b""
+    for chunk in chunks:
+        run = re.match(rb"[A-Za-z0-9+/_-]*", chunk).group()
+        code = left + run.replace(b"-", b"+").replace(b"_", b"/")
+        whole = len(code) - len(code) % 4
+        yield base64.b64decode(code[:whole])
+        left = code[whole:]
+        if len(run) < len(chunk):
+            return
+
+
+def _unpacked(read: Reader, data: bytes, base: int, span: tuple[int, int], met: set, whole: list[tuple[int, int]]) -> Iterator[_Layer]:
+    """Layers of the streams that begin in ``data``, which stands at ``base`` of what ``read`` reads.
+
+    The places of streams that end are added to ``whole``.
+    """
+    at = 0
+    while m := MAGIC.search(data, at):
+        used: list[int] = []
+        yield from _inside(lambda: _member(read, base + m.start(), used), span, met)  # noqa: B023  used up before the next turn
+        at = used[-1] - base if used else m.start() + 1
+        if used:
+            whole.append((m.start(), at))
+
+
+def _inside(pieces: Callable[[], Iterator[bytes]], span: tuple[int, int], met: set) -> Iterator[_Layer]:
+    """Layers of a stream's content, through all its streams; all have the span of the run that the stream came from."""
+    digest, windows, first = hashlib.sha256(), 0, b""
+    for start, data in _windows(pieces()):
+        if not windows:
+            first = data
+        digest.update(f"{start}:".encode() + data)
+        windows += 1
+    key = (digest.digest(), span)
+    if key in met or windows == 1 and not first:
+        return
+    met.add(key)
+    again, long = _from(pieces), False
+    for start, data in [(0, first)] if windows == 1 else _windows(pieces()):
+        whole: list[tuple[int, int]] = []
+        yield from _unpacked(_reader(data) if windows == 1 else again, data, 0 if windows == 1 else start, span, met, whole)
+        for _, _, text in _texts(data, whole, windows == 1):
+            yield _Layer(text, _constant(span))
+        begin = len(data.rstrip(_RUN))
+        if windows > 1 and len(data) - begin >= WINDOW // 2:
+            for skip in range(4) if begin or not long else ():  # a base64 run of over half a window: once, from its start
+                yield from _inside(lambda: _decoded(again(start + begin + skip)), span, met)  # noqa: B023
+        long = len(data) - begin >= WINDOW // 2
+
+
+def _texts(data: bytes, whole: list[tuple[int, int]], complete: bool = True) -> Iterator[tuple[int, int, str]]:
+    """(first byte, bytes a character or 0 for UTF-8, text) of what is text in the bytes: all, or runs of ASCII in 8 or 16 bits.
+
+    Runs inside ``whole`` streams are not given: they are read unpacked.
+    """
+    if complete:
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            pass
+        else:
+            if text:
+                yield 0, 0, text
+            if b"\0" not in data:
+                return
+    for width, pattern in ((1, ASCII), (2, WIDE)):
+        for m in pattern.finditer(data):
+            if not any(a <= m.start() and m.end() <= b for a, b in whole):
+                yield m.start(), width, m.group().replace(b"\0", b"").decode("ascii")
 
-    def __init__(self, value: int):
-        self.value = value
 
-    def __getitem__(self, i):
-        return [self.value] * (i.stop - i.start) if isinstance(i, slice) else self.value
+# Layers ---------------------------------------------------------------------
 
 
-def _runs(layer: _Layer) -> Iterator[tuple[str, list[int] | range]]:
-    """Base64 runs: (their characters, the place of each in the layer)."""
-    for m in BASE64.finditer(layer.text):
+def _runs(text: str) -> Iterator[tuple[str, array | range]]:
+    """Base64 runs: (their characters, the place of each in the text)."""
+    for m in BASE64.finditer(text):
         run = m.group().rstrip("=")
-        yield run, range(m.start(), m.start() + len(run))
-    for m in WRAPPED.finditer(layer.text):
-        at = [i for i in range(m.start(), m.end()) if layer.text[i] not in " \t\r\n="]
-        if len(at) >= 22:
-            yield "".join([layer.text[i] for i in at]), at
+        if len(run) >= PLAIN or PACKED.search(run.replace("-", "+").replace("_", "/")):
+            yield run, range(m.start(), m.start() + len(run))
+    for m in WRAPPED.finditer(text):
+        at = array("q", [i for i in range(m.start(), m.end()) if text[i] not in " \t\r\n="])
+        yield "".join([text[i] for i in at]), at
 
 
-def _base64(layer: _Layer) -> Iterator[_Layer]:
+def _base64(layer: _Layer, met: set) -> Iterator[_Layer]:
     """Of each run, from its start and the next three places: what is text as it is, and what its compressed streams hold."""
-    for run, at in _runs(layer):
+    for run, at in _runs(layer.text):
         run = run.replace("-", "+").replace("_", "/")
+        packed = PACKED.search(run)
         for skip in range(4):
             n = len(run) - skip
             n -= n % 4 == 1
             data = base64.b64decode(run[skip : skip + n] + "=" * (-n % 4))
             whole: list[tuple[int, int]] = []
-            if MAGIC.search(data):
-                x, y = layer.span(at[0], at[-1] + 1)
-                for text in _unpacked(data, set(), whole):
-                    yield _Layer(text, _Same(x), _Same(y))
+            if packed and MAGIC.search(data):
+                yield from _unpacked(_reader(data), data, 0, layer.span(at[0], at[-1] + 1), met, whole)
+            if n < PLAIN:
+                continue
             for first, width, text in _texts(data, whole):
-                low, high, byte = [], [], first
-                for char in text:
-                    w = width or len(char.encode())
-                    x, y = layer.span(at[skip + byte * 4 // 3], at[min(skip + n, skip - (-(byte + w) * 4 // 3)) - 1] + 1)
-                    low.append(x)
-                    high.append(y)
-                    byte += w
-                yield _Layer(text, low, high)
-
-
-def _binary(layer: _Layer) -> Iterator[_Layer]:
-    """What compressed streams in percent-escaped bytes hold."""
+
+                def span(a: int, b: int, at=at, skip=skip, n=n, first=first, width=width, text=text) -> tuple[int, int]:
+                    x, y = (first + (width * i if width else len(text[:i].encode())) for i in (a, b))
+                    return layer.span(at[skip + x * 4 // 3], at[min(skip + n, skip - (-y * 4 // 3)) - 1] + 1)
+
+                yield _Layer(text, span)
+
+
+def _binary(layer: _Layer, met: set) -> Iterator[_Layer]:
+    """What compressed streams in percent-escaped bytes hold, as they stand or with all escapes taken off."""
     for m in BINARY.finditer(layer.text):
         for run in {m.group(), m.group().replace("+", " ")}:
             data = unquote_to_bytes(run)
             if MAGIC.search(data):
-                x, y = layer.span(m.start(), m.end())
-                for text in _unpacked(data, set(), []):
-                    yield _Layer(text, _Same(x), _Same(y))
+                yield from _unpacked(_reader(data), data, 0, layer.span(m.start(), m.end()), met, [])
+    for m in _BYTES.finditer(layer.text) if _BYTE.search(layer.text) else ():
+        data = m.group().encode("utf-8", "surrogateescape")
+        if MAGIC.search(data):
+            yield from _unpacked(_reader(data), data, 0, layer.span(m.start(), m.end()), met, [])
+
+
+def _layers(layer: _Layer, met: set) -> Iterator[_Layer]:
+    """All that decodes from a layer, one after another."""
+    yield from _base64(layer, met)
+    percent, backslash = "%" in layer.text, "\\u" in layer.text
+    if percent or not layer.text.isascii():
+        yield from _binary(layer, met)
+    if not percent and not backslash:
+        return
+    if layer.whole:
+        for pattern, decode in ((URL, _url), (UNICODE, _unicode)):
+            if x := _once(layer, pattern, decode):
+                yield x
+    if x := _fixpoint(layer):
+        yield x
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(findings in the text as it is, findings with those of decoded layers): (start, kind, end)."""
-    root = _Layer(text or "")
+    root = _Layer(text or "", lambda a, b: (a, b))
     base = scan(root.text)
-    found, work, met = set(base), [root], {root.text}
+    found, met, work = set(base), set(), [_layers(root, streams := set())]
     while work:
-        layer = work.pop()
-        if layer is not root:
-            for start, kind, end in scan(layer.text):
-                a, b = layer.span(start, end)
-                found.add((a, kind, b))
-        inner = list(_base64(layer))
-        if "%" in layer.text:
-            inner += _binary(layer)
-        if "%" in layer.text and (x := _escaped(layer, URL, _url)):
-            inner.append(x)
-        if "\\u" in layer.text and (x := _escaped(layer, UNICODE, _unicode)):
-            inner.append(x)
-        for x in inner:
-            key = x.text if x.low is None else (x.text, x.low[0], x.high[-1])
-            if key not in met:
-                met.add(key)
-                work.append(x)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, len(layer.text)), layer.whole)
+        if key in met:
+            continue
+        met.add(key)
+        for start, kind, end in scan(layer.text):
+            a, b = layer.span(start, end)
+            found.add((a, kind, b))
+        work.append(_layers(layer, streams))
     return base, sorted(found)
 
 

@@ -68,3 +68,38 @@ def test_what_stands_before_a_broken_place_is_kept():
 
 def test_no_finding_in_plain_words():
     assert kinds("a-long-hyphenated-word-of-many-parts\nanother-long-word-of-many-parts\n") == set()
+
+
+def test_short_streams():
+    """The shortest finding, packed: 6 bytes, 8 characters of base64."""
+    assert kinds(b64(zlib.compress(b"0" * 40))) == kinds("x " + b64(zlib.compress(b"0" * 16)[:6]) + " y") == {"hex"}
+    assert kinds("see path/" + b64(zlib.compress(b"0" * 16)) + "!") == {"hex"}
+
+
+def test_escapes_to_their_fixpoint():
+    inner = "token=abcdefghijklmnop"
+    for depth in range(1, 6):
+        for first in (urllib.parse.quote, lambda t: "".join(f"\\u{ord(c):04x}" for c in t)):
+            text = first(inner)
+            for i in range(depth):
+                text = urllib.parse.quote(text) if i % 2 else "".join(f"\\u{ord(c):04x}" if c in "%\\" else c for c in text)
+            assert (0, 0, len(text)) in secrets.find(text)[1]
+    packed = urllib.parse.quote(urllib.parse.quote(gzip.compress(SECRET)))
+    assert kinds(packed) == {"assign"}
+
+
+@pytest.mark.parametrize("wrap", [lambda b: b, lambda b: b"\xff" * 70_000 + gzip.compress(b), lambda b: b"no " * 30_000 + base64.b64encode(gzip.compress(b)), lambda b: gzip.compress(b"y z " * 30_000 + gzip.compress(b))])
+def test_streams_longer_than_a_window(monkeypatch, wrap):
+    """What unpacks to many windows is read to its end, streams and runs inside it too."""
+    import random
+
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 14)
+    noise = random.Random(3).randbytes(60_000)
+    body = wrap(b"lorem " * 9_000 + noise + SECRET + noise + b" dolor" * 9_000)
+    assert "assign" in kinds(b64(gzip.compress(body)))
+    assert "assign" not in kinds(b64(gzip.compress(wrap(b"lorem " * 9_000 + noise + noise))))
+
+
+def test_a_stream_that_holds_itself_ends(monkeypatch):
+    monkeypatch.setattr(secrets, "_member", lambda read, at, used: iter([b64(gzip.compress(b"x" * 99)).encode()]))
+    assert secrets.find(b64(gzip.compress(b"x" * 99)))[0] == []

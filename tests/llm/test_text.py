@@ -159,8 +159,8 @@ def test_cycles_and_bombs_end():
     for _ in range(4):
         text = urllib.parse.quote(text)
     secrets.find(text)
-    bomb = base64.b64encode(gzip.compress(b"a" * (secrets.UNPACKED + 10))).decode()
-    assert secrets.find(bomb)[0] == []
+    assert kinds("%" + "25" * 200_000 + "41")[0][0] == "hex"
+    assert kinds("%5Cu0025" + "5Cu0025" * 30_000 + "74oken=abcdefghijklmn")[0][0] == "assign"
 
 
 def test_secret_table(docs, corpus, nothing, nulls):
