@@ -37,6 +37,7 @@ CASES = [
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("Made available under the terms of the Eclipse Public License v2.0", "EPL"),
     ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("It was placed in the public domain.", "Public-domain"), ("Permission is granted to anyone to use this software for any purpose, including commercial applications.", "Zlib"),
     ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "CC-BY-NC-ND"), ("CC BY-NC 4.0", "CC-BY-NC"), ("Creative Commons Attribution-ShareAlike 4.0", "CC-BY-SA"), ("CC BY-ND 4.0", "CC-BY-ND"), ("CC0 1.0", "CC0"), ("Creative Commons Attribution 4.0", "CC-BY"), ("All rights reserved.", "Proprietary"),
+    ("Copyright 2020 X. All rights reserved.\n\n" + WORDS + ENDORSE + AS_IS, "BSD-3-Clause"), ("Released into the public-domain.", "Public-domain"), ("distributed under the Foo terms", "unknown"), ("It is licensed under the Foo Licence.", "unknown"),
     *[(f"// SPDX-License-Identifier: {tag}\nint x;", want or tag) for tag, want in {
         "MIT": "", "Apache-2.0": "", "ISC": "", "BSD-2-Clause": "", "BSD-3-Clause": "", "BSD-4-Clause": "", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "", "GPL-3.0-or-later": "",
         "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "MPL-2.0": "", "EPL-2.0": "EPL", "Zlib": "", "BSL-1.0": "", "Unlicense": "", "CC0-1.0": "CC0", "CC-BY-4.0": "CC-BY", "CC-BY-SA-4.0": "CC-BY-SA", "Made-Up": "unknown",
@@ -63,3 +64,17 @@ def test_all_of_an_expression(scanned):
 
 def test_every_rule_has_a_case(scanned):
     assert {name for name, _ in licenses.RULES} <= {r.license for r in scanned.values()} | {"LGPL"}
+
+
+def test_rights_reserved_beside_a_licence(scanned):
+    i = next(i for i, (t, _) in enumerate(CASES) if t.startswith("Copyright 2020"))
+    assert scanned[i].licenses == "BSD-3-Clause" and not scanned[i].left_over
+
+
+def test_sql_gives_the_same_over_all_headers(scanned):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*enumerate(t for t, _ in CASES), (len(CASES), "SPDX-License-Identifier: MIT OR Apache-2.0 OR BSD-3-Clause")])
+    assert sorted(con.execute(licenses.SQL).fetchall()) == sorted(tuple(r) for r in scanned.values())
