@@ -3,12 +3,14 @@
 A document's whole windows of ``window`` tokens stand alone; the rest is placed
 into a partly filled window.  A level array counts the open windows at each
 fill level; a rest goes to the level at which the sum of the squared counts
-comes out smallest (ties: to the fullest window), or opens a window.
+comes out smallest (ties: to the fullest window), or opens a window.  Where the
+rest does not fit it may be cut, at a price of ``CUT``: its first part fills the
+window, what is left is placed anew.  The price is worth it once levels hold a
+few windows each, so the open ones stay few whatever the lengths are.
 
 Each partition of the input packs its own documents, so nothing is shuffled.
-When more than ``OPEN`` windows are open, and at the end, open windows are
-closed by cutting: pieces of the emptiest fill the gaps of the fullest.  So
-memory is bounded for any lengths, and a partition pads one window at most.
+At its end what is still open is closed by cutting: pieces of the emptiest fill
+the gaps of the fullest, so a partition pads one window at most.
 
 Added tokens of the vocabulary (``added_tokens``) are found in a text before all
 else, the leftmost and longest first; what lies between them is encoded by itself.
@@ -35,7 +37,8 @@ from ampflow.llm.bpe import _pieces, read_ranks
 from ampflow.llm.common import bounded_batches
 
 WINDOW = 1024
-OPEN = 512
+#: What a cut costs, in the units of the sum of squares; no whole number, so that a cut never ties with a fit.
+CUT = 1.5
 END = 0
 #: Distinct pieces that a Python worker keeps encoded.
 CACHE = 250_000
@@ -47,35 +50,41 @@ class Levels:
 
     def __init__(self, window: int = WINDOW):
         self.window = window
-        self.count = np.zeros(window + 1, np.int64)
+        self.count = np.zeros(window, np.int64)
         self.stacks: list[list[list]] = [[] for _ in range(window)]
         self.open = 0
 
     def best(self, size: int) -> int:
         """The level whose use makes the sum of squared counts smallest; 0 opens a window."""
-        room = self.window - size + 1  # levels 0 .. window - size
-        cost = 2 * self.count[size : self.window + 1] + 1
-        cost[-1] = 0  # a full window counts no more
-        cost[1:] += 1 - 2 * self.count[1:room]
-        cost[1:][self.count[1:room] == 0] = np.iinfo(np.int64).max
-        return room - 1 - int(cost[::-1].argmin())
-
-    def place(self, piece: tuple, size: int) -> list | None:
-        """Put a piece into a window; gives the window back once it is full."""
-        level = self.best(size)
-        if level:
-            pieces = self.stacks[level].pop()
-            self.count[level] -= 1
-            self.open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if level + size == self.window:
-            return pieces
-        self.stacks[level + size].append(pieces)
-        self.count[level + size] += 1
-        self.open += 1
-        return None
+        twice = 2.0 * self.count
+        cost = np.roll(twice, -size) + 1  # of the level that comes out, past the end that of what is left
+        cost[self.window - size] = 0  # a full window counts no more
+        cost[self.window - size + 1 :] += CUT
+        cost[1:] += 1 - twice[1:]
+        cost[1:][self.count[1:] == 0] = np.inf
+        return self.window - 1 - int(cost[::-1].argmin())
+
+    def place(self, piece: tuple) -> Iterator[list]:
+        """Put a piece into a window; gives the windows that this fills."""
+        doc, start, ids, total = piece
+        while ids:
+            size = len(ids) // 4
+            level = self.best(size)
+            if level:
+                pieces = self.stacks[level].pop()
+                self.count[level] -= 1
+                self.open -= 1
+            else:
+                pieces = []
+            fits = min(size, self.window - level)
+            pieces.append((doc, start, ids[: 4 * fits], total))
+            start, ids = start + fits, ids[4 * fits :]
+            if level + fits == self.window:
+                yield pieces
+            else:
+                self.stacks[level + fits].append(pieces)
+                self.count[level + fits] += 1
+                self.open += 1
 
     def squeeze(self) -> list[list]:
         """Fill the fullest windows with cuts of the emptiest; one at most stays open."""
@@ -121,11 +130,7 @@ def pack(docs: Iterator[tuple], window: int = WINDOW) -> Iterator[list | None]:
         for a in range(0, whole, window):
             yield [(doc, a, ids[4 * a : 4 * (a + window)], total)]
         if total > whole:
-            done = levels.place((doc, whole, ids[4 * whole :], total), total - whole)
-            if done:
-                yield done
-            elif levels.open > OPEN:
-                yield from levels.squeeze()
+            yield from levels.place((doc, whole, ids[4 * whole :], total))
         yield None
     yield from levels.squeeze()
     yield from levels.rest()

@@ -95,6 +95,7 @@ def test_packing_holds_every_id_once(docs, corpus, nothing):
 
 
 def test_level_choice_is_the_least_sum_of_squares():
+    """Of all levels, those that a cut fills up included, at the cut's price."""
     rng = random.Random(1)
     levels = packing.Levels(16)
     for _ in range(300):
@@ -105,17 +106,26 @@ def test_level_choice_is_the_least_sum_of_squares():
             c = count.copy()
             if h:
                 c[h] -= 1
-            if h + size < 16:
-                c[h + size] += 1
-            return int((c[1:16] ** 2).sum())
+            if (h + size) % 16:
+                c[(h + size) % 16] += 1
+            return int((c[1:16] ** 2).sum()) + packing.CUT * (h + size > 16)
 
-        options = [0] + [h for h in range(1, 16 - size + 1) if count[h]]
+        options = [0] + [h for h in range(1, 16) if count[h]]
         assert after(levels.best(size)) == min(map(after, options))
-        levels.place((0, 0, b"\0" * 4 * size, size), size)
-
-
-def test_windows_that_never_fit_stay_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "OPEN", 20)
+        for window in levels.place((0, 0, b"\0" * 4 * size, size)):
+            assert sum(len(ids) // 4 for _, _, ids, _ in window) == 16
+        assert levels.open == levels.count.sum()
+
+
+@pytest.mark.parametrize(("low", "high"), [(600, 600), (600, 1000), (1, 1023), (513, 520)])
+def test_windows_are_closed_by_the_rule(low, high):
+    """Open windows stay few whatever the lengths, and what the last fill closes is a small share."""
+    rng = random.Random(7)
+    levels, closed = packing.Levels(), 0
+    for i in range(8000):
+        closed += sum(1 for _ in levels.place((i, 0, bytes(4 * rng.randint(low, high)), 0)))
+        assert levels.open <= packing.WINDOW
+    assert levels.open < 0.07 * (closed + levels.open)
     got = [w for w in packing.pack(((i, b"\1\0\0\0" * 600) for i in range(200))) if w is not None]
     assert sum(len(p[2]) for w in got for p in w) == 200 * 2400
     assert sum(sum(len(p[2]) // 4 for p in w) < 1024 for w in got) <= 1
