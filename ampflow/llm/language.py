@@ -17,14 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampflow.llm import crf
-from ampflow.llm.common import bounded_batches, fold
+from ampflow.llm.common import bounded_batches, fold, picked, texts_of
 
 #: Documents a language to learn from, at most, taken by the hash of their id.
 TRAIN_DOCS = 150
+#: Characters of text to learn from, at most.
+TRAIN_CHARS = 30_000_000
 #: Buckets of n-gram features.
 BUCKETS = 1 << 16
 NGRAMS = (1, 2, 3, 4)
@@ -186,11 +188,14 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, chain_rounds: int
     return model
 
 
-def label(model: LanguageModel | None, texts: list[str | None], state: dict | None = None) -> tuple[list[str], list[float]]:
-    """Language and confidence of each text; ``state`` keeps words between calls."""
-    names, confidence = ["und"] * len(texts), [0.0] * len(texts)
+def label(model: LanguageModel | None, texts: list[str | None], state: dict | None = None) -> tuple[list[str], list[float], list[float]]:
+    """Of each text its language, the share of letters in it, and the fit; ``state`` keeps words between calls.
+
+    The fit is how sure its words are of a language each, whichever it is: mixed text has a low share and a high fit.
+    """
+    names, confidence, fits = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if model is None:
-        return names, confidence
+        return names, confidence, fits
     state = {} if state is None else state
     if "words" not in state or len(state["words"]) > CACHE:
         state["words"], state["scores"] = _Words(), np.zeros((0, len(model.languages)))
@@ -214,43 +219,46 @@ def label(model: LanguageModel | None, texts: list[str | None], state: dict | No
             ids.append(row)
             sizes.append(size)
     if not docs:
-        return names, confidence
+        return names, confidence, fits
     if seen.new:
         state["scores"] = np.concatenate([state["scores"], _scores(model, seen.new)])
         seen.new = []
     marginals = crf.forward_backward(state["scores"][np.concatenate(ids)], np.array(starts), model.trans)
-    mass = np.add.reduceat(marginals * np.concatenate(sizes)[:, None], starts)
-    mass /= mass.sum(1, keepdims=True)
-    for i, best, row in zip(docs, mass.argmax(1), mass):
-        names[i], confidence[i] = model.languages[best], float(min(1.0, row[best]))
-    return names, confidence
+    sizes = np.concatenate(sizes)
+    mass = np.add.reduceat(marginals * sizes[:, None], starts)
+    whole = mass.sum(1, keepdims=True)
+    sure = np.add.reduceat(marginals.max(1) * sizes, starts) / whole[:, 0]
+    mass /= whole
+    for i, best, row, fit_ in zip(docs, mass.argmax(1), mass, sure):
+        names[i], confidence[i], fits[i] = model.languages[best], float(min(1.0, row[best])), float(min(1.0, fit_))
+    return names, confidence, fits
 
 
-def train(docs: DataFrame, trainable: Column, per_language: int = TRAIN_DOCS) -> LanguageModel | None:
-    """Fit on the driver, on at most ``per_language`` documents of each language.
+def train(docs: DataFrame, trainable: Column, per_language: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> LanguageModel | None:
+    """Fit on the driver, on at most ``per_language`` documents of each language and ``most_chars`` of text in all.
 
     ``docs`` has doc_id, text and lang; rows with a null text or lang are left out.
-    The sample's ids are picked without reading texts, then joined back.
+    Of an id in two languages the text counts for both.
     """
-    ok = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ok.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(f"_n <= {per_language}").select("doc_id").distinct()
-    rows = ok.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id", "left_semi").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    ok = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = picked(ok.select("doc_id", "lang"), "lang", per_language)
+    rows.sort(key=lambda r: (r["_h"], r.doc_id, r.lang))
+    texts = texts_of(ok, [r.doc_id for r in rows], most_chars)
+    rows = sorted((r for r in rows if r.doc_id in texts), key=lambda r: (r.doc_id, r.lang))
+    return fit([texts[r.doc_id] for r in rows], [r.lang for r in rows])
 
 
 def predictor(spark, model: LanguageModel | None):
-    """A column function from text to struct(lang, score)."""
+    """A column function from text to struct(lang, score, fit)."""
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, fit double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         state: dict = {}
         for texts in batches:
-            names, confidence = label(shared.value, texts.tolist(), state)
-            yield pd.DataFrame({"lang": names, "score": confidence})
+            names, confidence, fits = label(shared.value, texts.tolist(), state)
+            yield pd.DataFrame({"lang": names, "score": confidence, "fit": fits})
 
     return predict
 

@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampflow.llm import crf
-from ampflow.llm.common import bounded_batches, fold
+from ampflow.llm.common import bounded_batches, fold, picked, texts_of
 
 #: Documents of either label to learn from, at most, taken by the hash of their id.
 TRAIN_DOCS = 700
+#: Characters of text to learn from, at most.
+TRAIN_CHARS = 30_000_000
 #: From this score on a document is good.
 THRESHOLD = 0.3
 _UPPER = bytes(range(65, 91))
@@ -119,17 +121,16 @@ def score(model: QualityModel | None, texts: list[str | None]) -> np.ndarray:
     return np.clip(np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int = TRAIN_DOCS) -> QualityModel | None:
-    """Fit on the driver, on at most ``per_label`` documents of either label.
+def train(docs: DataFrame, labels: DataFrame, trainable: Column, per_label: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> QualityModel | None:
+    """Fit on the driver, on at most ``per_label`` documents of either label and ``most_chars`` of text in all.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and quality (0 or 1; others are left out).
     """
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.where(trainable & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
-    picked = picked.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(by_hash)).where(f"_n <= {per_label}").drop("_n")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.text or ""))
-    return fit([r.text for r in rows], [r.quality for r in rows])
+    rows = picked(labels.where(trainable & F.col("quality").isin(0, 1)).select("doc_id", "quality"), "quality", per_label)
+    rows.sort(key=lambda r: (r["_h"], r.doc_id, r.quality))
+    texts = texts_of(docs.select("doc_id", "text"), [r.doc_id for r in rows], most_chars)
+    rows = sorted((r for r in rows if r.doc_id in texts), key=lambda r: (r.doc_id, r.quality))
+    return fit([texts[r.doc_id] for r in rows], [r.quality for r in rows])
 
 
 def scorer(spark, model: QualityModel | None):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampflow.llm.common import bounded_batches, saved
+from ampflow.llm.common import bounded_batches, saved, with_hot
 from ampflow.llm.components import connected
 
 SHINGLE = 4
@@ -289,27 +289,122 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, fp (long), component_id."""
     spark = docs.sparkSession
     prints = saved(docs.select("doc_id", fingerprinter(spark, width)("text").alias("fp")), "fingerprints")
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     reached = connected(link(classes))
-    linked = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = saved(classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component")), "linked")
+    smallest = saved(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m")), "smallest")
+    named = saved(with_hot(linked.select("fp", "component", "n"), smallest, "component", "m").select("fp", "component_id", "n"), "named")
+    return with_hot(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one of the smallest doc_id.
+# By similarity ----------------------------------------------------------------
 
-    Of rows that repeat a doc_id one stays.  Rows with a null id are of no group
-    that could be told apart, and stay.
+#: Words of a shingle, and shared part of two texts' shingles, from which texts are near-duplicates.
+NEAR_WIDTH, NEAR_SHARE = 5, 0.8
+#: Samples of a text's shingles, and shingles in one: texts that share 0.8 have one in common with a probability of 0.997.
+SAMPLES, SAMPLE_SIZE = 32, 8
+#: Verified pairs of a text that go to one task, about.
+PAIRS = 64
+_SKETCH = "set_key long, fp long, samples array<long>"
+
+
+def _mixed(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(text: str | None, width: int = NEAR_WIDTH) -> tuple[int, int, list[int]]:
+    """(key of the set of shingles, fingerprint, key of each sample of ``SAMPLE_SIZE`` shingles)."""
+    hashes = np.unique(np.array(shingle_hashes(text, width), np.uint64))
+    if not len(hashes):
+        return 0, 0, []
+    low = np.full(SAMPLES * SAMPLE_SIZE, np.iinfo(np.uint64).max, np.uint64)
+    turn, step = _mixed(len(low), 11), _mixed(len(low), 12)
+    for a in range(0, len(hashes), 1024):
+        x = hashes[a : a + 1024, None] * turn + step
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        low = np.minimum(low, x.min(0))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(SAMPLES, -1))]
+    signed = [k - ((k >> 63) << 64) for k in (xxhash.xxh64_intdigest(hashes.tobytes()), *keys)]
+    return signed[0], int(fingerprints([text], width)[0]), signed[1:]
+
+
+def share(a: str | None, b: str | None, width: int = NEAR_WIDTH) -> float:
+    """Shared part of two texts' sets of shingles; 1 for two empty ones."""
+    x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Verified links (a, b, cell) among texts of a cell, each compared with leaders of its cell.
+
+    In a round every cell has leaders, four times as many as the round before
+    (at first one); texts that are linked to one, and the leaders, leave the cell.
+    It ends when no cell has two texts left.
+    """
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([share(x, y, width) >= least for x, y in zip(a, b)])
+
+    links, turn = None, 0
+    while True:
+        counts = cells.groupBy("cell").count().where("count > 1").select("cell")
+        cells = saved(cells.join(counts, "cell", "left_semi"), "cells")
+        if cells.isEmpty():
+            return links
+        part = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(4**turn))
+        leaders = saved(cells.groupBy("cell", part.alias("part")).agg(F.min("a").alias("b")).select("cell", "b"), "leaders")
+        tried = cells.join(leaders, "cell").where("a <> b")
+        edges = saved(tried.select("a", "b").distinct(), "tried")
+        heavy = edges.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+        right = texts.withColumnsRenamed({"a": "b", "text": "other"}).join(heavy, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        left = edges.join(heavy, "b").withColumn("part", F.expr("int(pmod(xxhash64(a), parts))")).drop("parts").join(texts, "a")
+        good = saved(left.join(right, ["b", "part"]).where(near("text", "other")).select("a", "b"), "verified")
+        links = good if links is None else links.unionByName(good)
+        done = tried.join(good, ["a", "b"], "left_semi").select("cell", "a").union(leaders.select("cell", "b"))
+        cells = cells.join(done.distinct(), ["cell", "a"], "left_anti")
+        turn += 1
+
+
+def deduplicate(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_SHARE) -> DataFrame:
+    """``docs`` (doc_id, text and others) with one row of each group of near-duplicates.
+
+    Linked are texts whose fingerprints of ``width``-word shingles are linked by
+    the grid join, and texts whose sets of shingles share ``least`` or more.  The
+    latter is beyond what fingerprints of 64 bits tell (such texts differ in ten
+    bits of them, and a grid for ten bits sets nothing apart), so candidates come
+    from samples of shingles, and each is verified by the sets themselves.
+
+    The row of the smallest doc_id stays (a null one comes last), among equal ids
+    that of the smallest hash of its text.  Rows count, not ids: of rows that repeat an id those
+    whose texts are in no common group all stay, and of equal rows one.  Wordless texts are one group.
     """
-    groups = saved(near_duplicates(docs.select("doc_id", "text"), width).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    spark = docs.sparkSession
+    bounded_batches(spark)
+
+    @F.pandas_udf(_SKETCH)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(t, width) for t in texts], columns=["set_key", "fp", "samples"])
+
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s", run("text")), "sketched")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    classes = saved(rows.groupBy(F.col("_s.set_key").alias("a")).agg(F.min(order).alias("best"), F.min("_row").alias("_row"), F.first("_s.fp").alias("fp"), F.first("_s.samples").alias("samples")), "classes")
+    of_print = classes.groupBy("fp").agg(F.min("a").alias("u"))
+    same = classes.join(of_print, "fp").where("a <> u").select(F.col("a").alias("u"), F.col("u").alias("v"))
+    grid = link(of_print.select("fp"))
+    named = of_print.select(F.col("fp").alias("_f"), F.col("u").alias("_u"))
+    grid = grid.join(named, F.col("u") == F.col("_f")).select("_u", "v").withColumnRenamed("_u", "u").join(named, F.col("v") == F.col("_f")).select("u", F.col("_u").alias("v"))
+    cells = classes.select("a", F.explode("samples").alias("cell"))
+    texts = rows.select("_row", "text").join(classes.select("_row", "a"), "_row").select("a", "text")
+    verified = _pairs(cells, texts, width, least)
+    links = same.union(grid)
+    if verified is not None:
+        links = links.union(verified)
+    reached = connected(links).withColumnRenamed("node", "a")
+    kept = classes.join(reached, "a", "left").groupBy(F.coalesce("component", "a").alias("component")).agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     # The list grows with the corpus, so the join is a shuffle at every size, never a broadcast.
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    return rows.drop("_s").join(kept.hint("merge"), "_row", "left_semi").drop("_row")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

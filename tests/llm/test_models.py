@@ -47,8 +47,8 @@ def test_language_of_held_out_documents(docs, corpus):
 
 def test_code_switching_is_labelled_word_by_word():
     model = language.fit(["the river under water again " * 40, "der fluss und wasser wieder " * 40], ["en", "de"])
-    names, sure = language.label(model, ["the river under water again der und fluss", "der und wieder the"])
-    assert names == ["en", "de"] and 0.5 < sure[0] < 0.95
+    names, sure, fit = language.label(model, ["the river under water again der und fluss", "der und wieder the"])
+    assert names == ["en", "de"] and 0.5 < sure[0] < 0.95 and fit[0] > 0.9
 
 
 def test_language_without_rows_or_labels(nothing, nulls):
@@ -69,3 +69,15 @@ def test_quality_without_rows_or_labels(spark, nothing, docs, nulls):
     assert quality.classify(nothing, none, F.lit(True)).count() == 0
     assert {(r.score, r.predicted) for r in quality.classify(docs.limit(3), none, F.lit(True)).collect()} == {(0.5, 1)}
     assert quality.classify(nulls, none, F.lit(True)).count() == 2
+
+
+def test_samples_are_bounded_and_cover_repeated_ids(spark, monkeypatch):
+    from ampflow.llm import common
+
+    rows = spark.range(6000).selectExpr("id % 3000 doc_id", "cast(id % 3000 % 3 as int) kind").union(spark.range(20_000).selectExpr("5L", "2"))
+    got = common.picked(rows, "kind", 40)
+    assert sorted(r.kind for r in got) == [0] * 40 + [1] * 40 + [2] * 40 and len({r.doc_id for r in got}) == 120
+    assert len(common.picked(rows, "kind", 5000)) == 3000
+    docs = spark.createDataFrame([(1, "abc"), (1, "abd"), (2, "x" * 50), (3, None), (4, "yy")], "doc_id long, text string")
+    assert common.texts_of(docs, [2, 1, 3, 4, 9], 10) == {1: "abc", 3: None, 4: "yy"}
+    assert common.texts_of(docs, [], 10) == {} == common.texts_of(docs, [2], 10)

@@ -119,9 +119,53 @@ def test_empty_and_null_tables(nothing, nulls):
     assert [(r.fp, r.component_id) for r in simhash.near_duplicates(nulls).collect()] == [(0, None)] * 2
 
 
-def test_one_document_of_each_group_stays(docs, corpus):
+def test_one_document_of_each_group_stays(docs, corpus, nothing, nulls):
     kept = simhash.deduplicate(docs)
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     named = [i for i in ids if i is not None]
     assert len(named) == len(set(named)) and 205 not in named and 4 in named and None in ids
     assert kept.columns == docs.columns
+    assert simhash.deduplicate(nothing).count() == 0 and simhash.deduplicate(nulls).count() == 1
+
+
+def test_rows_go_by_their_text_not_by_their_id(spark):
+    a, b = "one two three four five six seven", "a text that nothing else is at all like"
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (None, b), (None, "x y z"), (7, "x y z"), (9, ""), (8, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.deduplicate(rows).collect()) == [(1, a), (5, b), (7, "x y z"), (8, None)]
+
+
+def test_texts_that_share_four_fifths_are_linked(spark):
+    """Against all pairs: groups with edits of many sizes; what is not within reach stays."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            own = base[:]
+            for _ in range(rng.randint(1, max(1, len(base) // 25))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    n = len(texts)
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if simhash.share(texts[i], texts[j]) >= 0.8:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    expected = {min(i for i in range(n) if root[i] == r) for r in set(root)}
+    got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == expected and len(expected) < 0.6 * n
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from ampflow.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(i % 7 if i < 40 else 0, i) for i in range(100)], "k long, x long")
+    named = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("name", rows["k"] * 10)
+    got = sorted((r.k, r.x, r.name) for r in common.with_hot(rows, named, "k").collect())
+    assert got == sorted((r.k, r.x, r.k * 10) for r in rows.collect())
