@@ -61,14 +61,16 @@ def filled(readings: DataFrame, reach: int = REACH) -> DataFrame:
 def _filled_spine(spine: DataFrame, reach: int) -> DataFrame:
     by = Window.partitionBy("device_id").orderBy("ts")
     here = F.when(F.col("kwh").isNotNull(), F.col("ts"))
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    # What lies ahead is what lies behind in the reversed order: a frame that grows costs a step a row, one that shrinks the whole rest.
+    back = by.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("device_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.row_number().over(by)
     rows = spine.withColumn("_i", at).withColumn("_k", F.when(here.isNotNull(), F.col("_i")))
     rows = (
         rows.withColumn("_pi", F.last("_k", True).over(back))
         .withColumn("_pv", F.last("kwh", True).over(back))
-        .withColumn("_ni", F.first("_k", True).over(ahead))
-        .withColumn("_nv", F.first("kwh", True).over(ahead))
+        .withColumn("_ni", F.last("_k", True).over(ahead))
+        .withColumn("_nv", F.last("kwh", True).over(ahead))
     )
     a, b = F.col("_i") - F.col("_pi"), F.col("_ni") - F.col("_i")
     line = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * a / F.when(a + b > 0, a + b)

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampflow.operators.profiles import BASE, CLOCK, behaviour, clock, medians_filled, outliers, robust_scores
+from ampflow.functions.ranks import quantiles
+from ampflow.operators.profiles import BASE, CLOCK, behaviour, clock, medians_filled, outliers, robust_scale, robust_scores
 from ampflow.schema import SEG
+from ampflow.sources.sinks import read_text, settled, write_text
 
 NO_CLUSTER = -1
-#: Features that describe one trait share its weight.
+# Groups of features; the features of a group share its weight.
 GROUPS = {
     "level": ["log_mean", "log_median"],
-    "spread": ["cv", "robust_cv", "diff_volatility", "spike_frac", "low_frac"],
-    "week": ["weekend_ratio", "dow_amplitude"],
-    "memory": ["autocorr_lag1", "autocorr_lag7", "naive7_wape"],
+    "variability": ["cv", "robust_cv", "diff_volatility"],
+    "weekly": ["weekend_ratio", "dow_amplitude", "autocorr_lag1", "autocorr_lag7"],
     "shape": ["share_0", "share_1", "share_2", "share_3", "share_entropy", "share_peak", "share_trough_ratio", "share_volatility"],
-    "trend": ["trend_ratio"],
+    "predictability": ["naive7_wape"],
+    "regime": ["spike_frac", "low_frac", "trend_ratio"],
     "clock": CLOCK,
 }
 
@@ -51,7 +54,11 @@ class ClusterSettings:
 
 @dataclass
 class ClusterFit:
-    """Labels (device_id, cluster; -1 for none), how the fit went, and what places new devices."""
+    """Labels (device_id, cluster; -1 for none), how the fit went, and what places new devices.
+
+    ``k_status`` says whether a requested number of clusters could be had;
+    ``robust`` is the scale that outliers are held against.
+    """
 
     status: str
     labels: DataFrame | None = None
@@ -60,6 +67,24 @@ class ClusterFit:
     columns: list[str] = field(default_factory=list)
     scaler: dict | None = None
     model: object = None
+    k_status: str = ""
+    robust: dict | None = None
+
+    def save(self, path: str) -> None:
+        """Write everything under ``path``, a folder that Spark can write."""
+        if self.model is None:
+            raise ValueError(f"no clusters to save: {self.status}")
+        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
+        self.scaler["pca"].write().overwrite().save(f"{path}/pca")
+        self.model.write().overwrite().save(f"{path}/kmeans")
+        facts = {"status": self.status, "k": self.k, "silhouette": self.silhouette, "columns": self.columns, "scaler": self.scaler["columns"], "k_status": self.k_status, "robust": self.robust}
+        write_text(self.labels.sparkSession, f"{path}/facts", json.dumps(facts))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ClusterFit:
+        facts = json.loads(read_text(spark, f"{path}/facts"))
+        scaler = {"columns": facts.pop("scaler"), "pca": PCAModel.load(f"{path}/pca")}
+        return cls(labels=spark.read.parquet(f"{path}/labels"), scaler=scaler, model=KMeansModel.load(f"{path}/kmeans"), **facts)
 
     def label(self, devices: DataFrame) -> DataFrame:
         """``devices`` with their cluster; -1 for those without."""
@@ -83,7 +108,7 @@ def profiles_of(daily: DataFrame, min_days: int) -> tuple[DataFrame, list[str]]:
 
 def fit_scaler(profiles: DataFrame, columns: list[str], settings: ClusterSettings) -> dict:
     """Bounds, mean, population deviation and weight of each column; PCA on top."""
-    q = profiles.agg(*[F.percentile(c, F.array(F.lit(settings.winsor), F.lit(1 - settings.winsor))).alias(c) for c in columns]).first()
+    q = quantiles(profiles, columns, [settings.winsor, 1 - settings.winsor])
     held = profiles.select("device_id", *[F.greatest(F.least(F.col(c), F.lit(q[c][1])), F.lit(q[c][0])).alias(c) for c in columns])
     stats = held.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     size = {c: sum(x in columns for x in g) for g in GROUPS.values() for c in g}
@@ -117,30 +142,35 @@ def fit(daily: DataFrame, settings: ClusterSettings = ClusterSettings()) -> Clus
     if not settings.enabled:
         return ClusterFit("disabled")
     profiles, columns = profiles_of(daily, settings.min_days)
-    profiles = profiles.cache()
     n = profiles.count()
     if n < 2 * settings.k_min:
         return ClusterFit("too_few_devices", columns=columns)
-    used = profiles
+    used, robust = profiles, robust_scale(profiles, columns)
     if settings.outlier_z is not None:
-        far = outliers(robust_scores(profiles, columns), settings.outlier_z, settings.outlier_share).where("outlier").select("device_id")
-        used = profiles.join(far, "device_id", "left_anti").cache()
+        far = outliers(robust_scores(profiles, columns, scale=robust), settings.outlier_z, settings.outlier_share).where("outlier").select("device_id")
+        used = settled(profiles.join(far, "device_id", "left_anti"), "clustered")
         n = used.count()
     scaler = fit_scaler(used, columns, settings)
     points = apply_scaler(used, scaler).cache()
-    evaluator, best, least = ClusteringEvaluator(distanceMeasure="squaredEuclidean"), None, settings.least(n)
-    for k in [settings.k] if settings.k else range(settings.k_min, min(settings.k_max, n - 1) + 1):
+    evaluator, valid, least = ClusteringEvaluator(distanceMeasure="squaredEuclidean"), {}, settings.least(n)
+    for k in range(settings.k_min, min(max(settings.k_max, settings.k or 0), n - 1) + 1):
         models = [KMeans(k=k, seed=settings.seed + t, maxIter=100, tol=1e-4).fit(points) for t in range(settings.tries)]
         model = min(models, key=lambda m: m.summary.trainingCost)
-        if min(model.summary.clusterSizes) < least or len(model.clusterCenters()) < 2:
+        if len(model.clusterCenters()) < 2 or min(model.summary.clusterSizes) < least:
             continue
-        score = evaluator.evaluate(model.transform(points))
-        if best is None or score > best[0]:
-            best = (score, model)
-    if best is None:
-        return ClusterFit("no_valid_k", columns=columns, scaler=scaler)
-    labels = best[1].transform(points).select("device_id", F.col("prediction").alias("cluster"))
-    return ClusterFit("ok", labels, len(best[1].clusterCenters()), best[0], columns, scaler, best[1])
+        valid[k] = (evaluator.evaluate(model.transform(points)), model)
+    if not valid:
+        points.unpersist()
+        return ClusterFit("no_valid_k", columns=columns, scaler=scaler, robust=robust)
+    if settings.k:
+        k = max((x for x in valid if x <= settings.k), default=min(valid))
+        k_status = "as_requested" if k == settings.k else f"adjusted_from_{settings.k}"
+    else:
+        k, k_status = max(valid, key=lambda x: valid[x][0]), "auto"
+    score, model = valid[k]
+    labels = settled(model.transform(points).select("device_id", F.col("prediction").alias("cluster")), "clusters")
+    points.unpersist()
+    return ClusterFit("ok", labels, k, score, columns, scaler, model, k_status, robust)
 
 
 def one_hot(labels: DataFrame, k: int) -> DataFrame:
@@ -178,14 +208,34 @@ class Bundle:
             out = out.unionByName(p.select(columns))
         return out
 
+    def save(self, path: str) -> None:
+        """Write the models, and the clusters if there are any, under ``path``."""
+        self.fallback.write().overwrite().save(f"{path}/fallback")
+        for c, m in self.models.items():
+            m.write().overwrite().save(f"{path}/cluster-{c}")
+        if self.fit.model is not None:
+            self.fit.save(f"{path}/clusters")
+        write_text(SparkSession.active(), f"{path}/bundle", json.dumps({"models": sorted(self.models), "status": self.fit.status, "clusters": self.fit.model is not None}))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bundle:
+        facts = json.loads(read_text(spark, f"{path}/bundle"))
+        fit_ = ClusterFit.load(spark, f"{path}/clusters") if facts["clusters"] else ClusterFit(facts["status"])
+        return cls(fit_, PipelineModel.load(f"{path}/fallback"), {c: PipelineModel.load(f"{path}/cluster-{c}") for c in facts["models"]})
+
     def summary(self) -> dict:
         return {"status": self.fit.status, "k": self.fit.k, "silhouette": self.fit.silhouette, "models": sorted(self.models)}
 
 
-def train_bundle(frame: DataFrame, fit_: ClusterFit, build, min_rows: int = 20, uncovered_only: bool = False) -> Bundle:
-    """Fit ``build()`` (an estimator) on each cluster with ``min_rows`` rows, and on all rows (or the uncovered) as fallback."""
-    rows = fit_.label(frame)
+def train_bundle(frame: DataFrame, fit_: ClusterFit, build, min_rows: int = 20, uncovered_only: bool = False, inputs: list[str] | None = None) -> Bundle:
+    """Fit ``build()`` (an estimator) on each cluster with ``min_rows`` rows, and on all rows (or the uncovered) as fallback.
+
+    Rows that lack one of ``inputs`` do not count; without any row left there is nothing to fit, which is an error.
+    """
+    rows = fit_.label(frame.dropna(subset=inputs) if inputs else frame)
     sizes = {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()}  # a row a cluster
+    if not sizes:
+        raise ValueError("no rows with all inputs to train on")
     models = {c: build().fit(rows.where(F.col("cluster") == c)) for c, n in sorted(sizes.items()) if c != NO_CLUSTER and n >= min_rows}
     rest = rows.where(~F.col("cluster").isin(list(models))) if uncovered_only and models else rows
     if uncovered_only and rest.isEmpty():
@@ -200,7 +250,7 @@ def route(daily: DataFrame, fit_: ClusterFit, models: list[int], settings: Clust
         return devices.select("device_id", F.lit(NO_CLUSTER).alias("cluster"), F.lit("no_clusterer").alias("reason"))
     profiles, columns = profiles_of(daily, settings.min_days)
     placed = devices.join(fit_.place(profiles), "device_id", "left")
-    z = robust_scores(profiles, columns)
+    z = robust_scores(profiles, columns, scale=fit_.robust)
     rows = placed.join(z, "device_id", "left")
     reason = (
         F.when(F.col("days") < settings.min_days, "below_min_days")
@@ -210,11 +260,3 @@ def route(daily: DataFrame, fit_: ClusterFit, models: list[int], settings: Clust
         .otherwise("ok")
     )
     return rows.withColumn("reason", reason).select("device_id", F.when(F.col("reason") == "ok", F.col("cluster")).otherwise(NO_CLUSTER).alias("cluster"), "reason")
-
-
-def vectors(frame: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(frame)
-
-
-def as_array(frame: DataFrame, column: str = "features") -> DataFrame:
-    return frame.withColumn(column, vector_to_array(column))

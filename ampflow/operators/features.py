@@ -7,6 +7,8 @@ shuffle and one sort.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -138,46 +140,49 @@ def dense(daily: DataFrame, keys: tuple[str, ...] = ("device_id",)) -> DataFrame
 
 
 def panel(daily: DataFrame, horizons: tuple[int, ...] = (1, 2, 3), normalize: bool = True) -> DataFrame:
-    """A row a device, segment and calendar day with its direct-forecast features.
+    """A row a device and calendar day with the direct-forecast features of the day's total ``y``.
 
-    lag1 is the day itself.  With ``normalize`` levels are in units of the mean
-    of 28 days (``scale``), whose log is a feature.
+    lag1 is the day itself; a day that lacks a segment has no total.  Shares are
+    those of the segments in the total, a quarter each where it is zero.  With
+    ``normalize`` levels are in units of the mean of 28 days (``scale``), whose
+    log is a feature.  ``ready`` rows have all features, ``usable`` ones all targets too.
     """
-    wide = dense(daily.select("device_id", "day", *SEG))
-    use = total([F.col(s) for s in SEG])
-    long = wide.withColumn("_total", use).select(
-        "device_id", "day", "_total", F.inline(F.array(*[F.struct(F.lit(k).alias("segment"), F.col(s).alias("y")) for k, s in enumerate(SEG)]))
-    ).withColumn("y", F.when(F.col("_total").isNotNull(), F.col("y")))
-    w = by_day("device_id", "segment")
+    rows = dense(daily.select("device_id", "day", *SEG)).withColumn("y", total([F.col(s) for s in SEG]))
+    w = by_day()
     y, out = F.col("y"), {}
-    out["scale"] = full(F.avg(y), y, w.rowsBetween(-27, 0), 28)
     for k in PANEL_LAGS:
         out[f"lag{k}"] = F.lag(y, k - 1).over(w)
     for n in PANEL_MEANS:
         out[f"mean{n}"] = full(F.avg(y), y, w.rowsBetween(1 - n, 0), n)
     for n in PANEL_STDS:
         out[f"std{n}"] = full(F.stddev_samp(y), y, w.rowsBetween(1 - n, 0), n)
-    share = F.when(F.col("_total") == 0, F.lit(0.25)).otherwise(y / F.when(F.col("_total") != 0, F.col("_total")))
-    out["share"] = share
-    out["share7"] = full(F.avg(share), share, w.rowsBetween(-6, 0), 7)
+    for s in SEG:
+        share = F.when(y == 0, F.lit(0.25)).otherwise(F.col(s) / F.when(y > 0, y))
+        out[f"share_{s}"] = share
+        out[f"share7_{s}"] = full(F.avg(share), share, w.rowsBetween(-6, 0), 7)
+    inputs = list(out)
     for h in horizons:
         out[f"target{h}"] = F.lead(y, h).over(w)
-    rows = long.withColumns(out)
-    ready = total([F.col(c) for c in out if not c.startswith("target")]).isNotNull() & (F.col("scale") > 0)
-    rows = rows.withColumn("usable", ready & total([F.col(f"target{h}") for h in horizons]).isNotNull())
+    rows = rows.select("device_id", "day", "y", *[c.alias(n) for n, c in out.items()]).withColumn("scale", F.col("mean28") if normalize else F.lit(1.0))
+    rows = rows.withColumn("ready", F.coalesce(total([F.col(c) for c in inputs]).isNotNull() & (F.col("scale") > 1e-9), F.lit(False)))
+    rows = rows.withColumn("usable", F.col("ready") & total([F.col(f"target{h}") for h in horizons]).isNotNull())
     if normalize:
-        levels = [c for c in out if c.startswith(("lag", "mean", "std"))]
-        unit = F.when(F.col("scale") > 0, F.col("scale"))
-        rows = rows.withColumns({c: F.col(c) / unit for c in levels}).withColumn("log_scale", F.log1p("scale"))
-    return rows.drop("_total")
+        unit = F.when(F.col("scale") > 1e-9, F.col("scale"))
+        rows = rows.withColumn("log_scale", F.log1p("scale")).withColumns({c: F.col(c) / unit for c in inputs if not c.startswith("share")})
+    return rows
 
 
-def horizon_frame(panel_rows: DataFrame, h: int, normalize: bool = True) -> DataFrame:
-    """Rows of one horizon: weekday flags of the target day, the target, and the naive forecast (its day a week before)."""
+def horizon_frame(panel_rows: DataFrame, h: int) -> DataFrame:
+    """Ready rows with a target ``h`` days on: flags of its weekday, the target, and the naive forecast (its day a week before)."""
     day = F.date_add("day", h)
-    unit = F.when(F.col("scale") > 0, F.col("scale")) if normalize else F.lit(1.0)
-    out = panel_rows.withColumn("target_day", day).withColumns({f"dow{d}": (F.weekday(day) == d).cast("int") for d in range(7)})
-    return out.withColumn("target", F.col(f"target{h}")).withColumn("target_ratio", F.col("target") / unit).withColumn("naive", F.col(f"lag{8 - h}") * unit)
+    rows = panel_rows.where(F.col("ready") & F.col(f"target{h}").isNotNull())
+    out = rows.withColumn("target_day", day).withColumns({f"dow{d}": (F.weekday(day) == d).cast("int") for d in range(7)}).withColumn("is_weekend", (F.weekday(day) >= 5).cast("int"))
+    return out.withColumn("target", F.col(f"target{h}")).withColumn("target_ratio", F.col("target") / F.col("scale")).withColumn("naive", F.col(f"lag{8 - h}") * F.col("scale"))
+
+
+def panel_inputs(frame: DataFrame) -> list[str]:
+    """The model's inputs among the columns of a horizon frame, in order."""
+    return [c for c in frame.columns if re.fullmatch(r"(lag|mean|std|dow)\d+|share7?_seg\d|log_scale|is_weekend", c)]
 
 
 def cutoff(usable: DataFrame, test_share: float = 0.2) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ampflow.functions.numeric import correlation
+from ampflow.functions.ranks import quantiles
 
 COVERAGE, MAX_GAP, MAX_KWH = 0.97, 6, 25.0
 WINDOW_MONTHS = (6, 9, 12)
@@ -76,20 +77,47 @@ def choose(table: DataFrame, least: float, wanted: int, oversample: float = 1.3,
     return fit.orderBy(F.xxhash64("household", F.lit(seed)), "household").limit(n)
 
 
+def _readings(half_hours: DataFrame, first: date, end: date) -> DataFrame:
+    """household (trimmed), at (its row's place, by ``order`` if there is one), stamp, value; flags of what is wrong with a row."""
+    place = F.col("order") if "order" in half_hours.columns else F.monotonically_increasing_id()
+    rows = half_hours.select(F.trim("household").alias("household"), place.alias("at"), F.try_to_timestamp(F.substring("stamp", 1, 19)).alias("stamp"), kwh("kwh").alias("value"))
+    inside = F.coalesce((F.col("stamp") >= F.lit(first)) & (F.col("stamp") < F.lit(end)), F.lit(False))
+    return rows.withColumn("inside", inside).withColumn("good", inside & F.coalesce(F.col("value") >= 0, F.lit(False)))
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """Of good rows the first of each household and stamp; ``rows`` counts them."""
+    return rows.where("good").groupBy("household", "stamp").agg(F.min_by("value", "at").alias("kwh"), F.count("*").alias("rows"))
+
+
 def hourly(half_hours: DataFrame, first: date, end: date) -> DataFrame:
-    """household, ts, kwh: hours with exactly two valid half-hours, inside [first, end)."""
-    stamp = F.try_to_timestamp(F.substring("stamp", 1, 19))
-    rows = half_hours.select("household", stamp.alias("stamp"), kwh("kwh").alias("kwh")).where((F.col("stamp") >= F.lit(first)) & (F.col("stamp") < F.lit(end)) & (F.col("kwh") >= 0))
-    once = rows.dropDuplicates(["household", "stamp", "kwh"])
-    sums = once.groupBy("household", F.date_trunc("hour", "stamp").alias("ts")).agg(F.sum("kwh").alias("kwh"), F.count("*").alias("n"))
+    """household, ts, kwh: hours with exactly two valid half-hours, inside [first, end).
+
+    Of rows that repeat a household's stamp the first counts, in the order of ``order`` or as read.
+    """
+    sums = _slots(_readings(half_hours, first, end)).groupBy("household", F.date_trunc("hour", "stamp").alias("ts")).agg(F.sum("kwh").alias("kwh"), F.count("*").alias("n"))
     return sums.where("n = 2").drop("n")
 
 
-def quality_counts(half_hours: DataFrame) -> DataFrame:
-    """One row: rows, bad numbers, negative ones, bad stamps."""
-    value = kwh("kwh")
-    stamp = F.try_to_timestamp(F.substring("stamp", 1, 19))
-    return half_hours.agg(F.count("*").alias("rows"), F.count_if(value.isNull()).alias("bad_kwh"), F.count_if(value < 0).alias("negative"), F.count_if(stamp.isNull()).alias("bad_stamp"))
+def collect_counts(half_hours: DataFrame, first: date, end: date) -> DataFrame:
+    """One row: what ``hourly`` met and left out."""
+    rows = _readings(half_hours, first, end)
+    seen = rows.agg(
+        F.count("*").alias("rows_selected_homes"),
+        F.count_if(F.col("stamp").isNull()).alias("rows_bad_timestamp"),
+        F.count_if("inside").alias("rows_in_window"),
+        F.count_if(F.col("inside") & F.col("value").isNull()).alias("rows_null_kwh"),
+        F.count_if(F.col("inside") & (F.col("value") < 0)).alias("rows_negative_kwh"),
+        F.count_if(F.col("good") & ~F.minute("stamp").isin(0, 30)).alias("rows_off_grid_minute"),
+    )
+    hours = _slots(rows).groupBy("household", F.date_trunc("hour", "stamp").alias("ts")).agg(F.count("*").alias("n"), F.sum(F.col("rows") - 1).alias("again"))
+    later = hours.agg(
+        F.coalesce(F.sum("again"), F.lit(0)).alias("rows_duplicate"),
+        F.count("*").alias("hours_seen"),
+        F.count_if(F.col("n") == 1).alias("hours_one_half_hour_only"),
+        F.count_if(F.col("n") > 2).alias("hours_more_than_two_readings"),
+    )
+    return seen.crossJoin(F.broadcast(later))  # one row each
 
 
 def longest_gap(rows: DataFrame, index: Column, slots: int, *keys: str) -> DataFrame:
@@ -99,14 +127,25 @@ def longest_gap(rows: DataFrame, index: Column, slots: int, *keys: str) -> DataF
     return seen.withColumn("_g", gap).groupBy(*keys).agg(F.count("*").alias("present"), F.greatest(F.max("_g"), slots - 1 - F.max("_i")).cast("long").alias("longest_gap"))
 
 
-def quality(hours: DataFrame, first: date, end: date, least: float = COVERAGE, gap: int = MAX_GAP, most: float = MAX_KWH) -> DataFrame:
-    """Hours of households with enough coverage and no long gap; hours above ``most`` are dropped first."""
+def quality_table(hours: DataFrame, first: date, end: date, least: float = COVERAGE, gap: int = MAX_GAP, most: float = MAX_KWH) -> DataFrame:
+    """household, hourly_coverage, max_gap_hours, n_hours, pass_coverage, pass_gap, keep; hours above ``most`` do not count."""
     slots = (end - first).days * 24
-    sane = hours.where(F.col("kwh") <= most)
     at = F.expr(f"cast((unix_timestamp(cast(ts as timestamp)) - unix_timestamp(timestamp'{first}')) / 3600 as int)")
-    runs = longest_gap(sane, at, slots, "household")
-    fit = runs.where((F.col("present") >= least * slots) & (F.col("longest_gap") <= gap)).select("household")
-    return sane.join(fit, "household", "left_semi")
+    runs = longest_gap(hours.where(F.col("kwh") <= most), at, slots, "household")
+    out = runs.select("household", (F.col("present") / slots).alias("hourly_coverage"), F.col("longest_gap").alias("max_gap_hours"), F.col("present").alias("n_hours"))
+    return out.withColumn("pass_coverage", F.col("hourly_coverage") >= least).withColumn("pass_gap", F.col("max_gap_hours") <= gap).withColumn("keep", F.col("pass_coverage") & F.col("pass_gap"))
+
+
+def quality_counts(hours: DataFrame, table: DataFrame, most: float = MAX_KWH) -> DataFrame:
+    """One row: hours dropped for their size, homes that fail by coverage and by gap, homes kept."""
+    homes = table.agg(F.count_if(~F.col("pass_coverage")).alias("homes_failed_hourly_coverage"), F.count_if(~F.col("pass_gap")).alias("homes_failed_max_gap"), F.count_if("keep").alias("households_kept"))
+    return hours.agg(F.count_if(F.col("kwh") > most).alias("hours_above_max_kwh_dropped")).crossJoin(F.broadcast(homes))  # one row each
+
+
+def quality(hours: DataFrame, first: date, end: date, least: float = COVERAGE, gap: int = MAX_GAP, most: float = MAX_KWH) -> DataFrame:
+    """Hours of households with enough coverage and no long gap; hours above ``most`` are dropped first."""
+    fit = quality_table(hours, first, end, least, gap, most).where("keep").select("household")
+    return hours.where(F.col("kwh") <= most).join(fit, "household", "left_semi")
 
 
 def to_wall_clock(hours: DataFrame, zone: str, key: str = "household") -> DataFrame:
@@ -123,11 +162,10 @@ def dst_signature(hours: DataFrame, key: str = "household") -> DataFrame:
 
 def sanity(hours: DataFrame, key: str = "household") -> DataFrame:
     """One row: homes, rows, range, median, 99th percentile, share of zeros, quartiles of the homes' means."""
-    q = F.percentile("kwh", F.array(F.lit(0.5), F.lit(0.99)))
-    whole = hours.agg(F.count_distinct(key).alias("homes"), F.count("*").alias("rows"), F.min("kwh").alias("min"), F.max("kwh").alias("max"), q[0].alias("median"), q[1].alias("p99"), F.avg((F.col("kwh") == 0).cast("int")).alias("zero_share"))
-    means = hours.groupBy(key).agg(F.avg("kwh").alias("m"))
-    spread = F.percentile("m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return whole.crossJoin(F.broadcast(means.agg(spread[0].alias("home_q1"), spread[1].alias("home_median"), spread[2].alias("home_q3"))))  # one row
+    q = quantiles(hours, ["kwh"], [0.5, 0.99])["kwh"]
+    whole = hours.agg(F.count_distinct(key).alias("homes"), F.count("*").alias("rows"), F.min("kwh").alias("min"), F.max("kwh").alias("max"), F.lit(q[0]).cast("double").alias("median"), F.lit(q[1]).cast("double").alias("p99"), F.avg((F.col("kwh") == 0).cast("int")).alias("zero_share"))
+    spread = quantiles(hours.groupBy(key).agg(F.avg("kwh").alias("m")), ["m"], [0.25, 0.5, 0.75])["m"]
+    return whole.select("*", *[F.lit(x).cast("double").alias(n) for x, n in zip(spread, ("home_q1", "home_median", "home_q3"))])
 
 
 def season_shift(readings: DataFrame, winter: tuple[int, ...] = (12, 1, 2), summer: tuple[int, ...] = (6, 7, 8), shifts: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> DataFrame:

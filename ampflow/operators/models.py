@@ -14,6 +14,10 @@ from ampflow.operators.segment import segment_columns
 from ampflow.schema import SEG
 from ampflow.sources.sinks import settled
 
+#: Rows from which a forest's trees see a part of them.
+LARGE = 80_000
+#: Deeper levels hold hardly a row each, and cost a pass over the rows each.
+DEEPEST = 20
 ALGORITHMS = ("ridge", "linear", "random_forest", "boosted")
 
 
@@ -27,11 +31,11 @@ def ridge(label: str, alpha: float, label_std: float, rows: int) -> LinearRegres
     return LinearRegression(featuresCol="scaled", labelCol=label, solver="normal", regParam=reg, elasticNetParam=0.0, standardization=False)
 
 
-def estimator(algorithm: str, inputs: list[str], label: str, frame: DataFrame | None = None, *, alpha: float = 1.0, trees: int = 100, depth: int = 12, seed: int = 42, fast: bool = False) -> Estimator:
-    """A pipeline from input columns to ``prediction``; ``frame`` is needed for ridge only.
+def estimator(algorithm: str, inputs: list[str], label: str, frame: DataFrame | None = None, *, alpha: float = 1.0, trees: int | None = None, depth: int = DEEPEST, seed: int = 42, fast: bool = False) -> Estimator:
+    """A pipeline from input columns to ``prediction``; ``frame``, the training rows, is needed for ridge and the forest.
 
-    Tree ensembles draw a quarter of the rows for each tree, so their cost
-    grows with the trees, not with the rows.
+    A forest has 200 trees on all rows; from ``LARGE`` rows on 100 trees on a quarter
+    of them each, with five rows in a leaf; with ``fast`` 40 trees on all rows.
     """
     assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
     if algorithm in ("ridge", "linear"):
@@ -43,9 +47,11 @@ def estimator(algorithm: str, inputs: list[str], label: str, frame: DataFrame |
             alpha *= (n - 1) / n if n else 1.0
         return Pipeline(stages=[assemble, scale, ridge(label, alpha if algorithm == "ridge" else 0.0, std or 0.0, n or 1)])
     if algorithm == "random_forest":
-        model = RandomForestRegressor(labelCol=label, numTrees=20 if fast else trees, maxDepth=8 if fast else depth, minInstancesPerNode=5, subsamplingRate=0.25, featureSubsetStrategy="onethird", seed=seed)
+        large = frame is not None and frame.count() >= LARGE
+        count = trees or (40 if fast else 100 if large else 200)
+        model = RandomForestRegressor(labelCol=label, numTrees=count, maxDepth=depth, minInstancesPerNode=5 if large else 1, subsamplingRate=0.25 if large and not fast else 1.0, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, seed=seed)
     elif algorithm == "boosted":
-        model = GBTRegressor(labelCol=label, maxIter=20 if fast else trees, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+        model = GBTRegressor(labelCol=label, maxIter=trees or (20 if fast else 100), maxDepth=6, stepSize=0.1, subsamplingRate=0.8, seed=seed)
     else:
         raise ValueError(f"algorithm must be one of {ALGORITHMS}")
     return Pipeline(stages=[assemble, model])

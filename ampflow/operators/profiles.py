@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ampflow.functions.numeric import correlation, finite, total
+from ampflow.functions.ranks import numbered, quantiles
 from ampflow.operators.features import by_day, dense
-from ampflow.schema import HOURS, SEG
+from ampflow.schema import SEG
+from ampflow.sources.sinks import settled
 
 MIN_DAYS, RECENT_DAYS = 21, 28
 BASE = [
@@ -16,7 +20,7 @@ BASE = [
     "share_0", "share_1", "share_2", "share_3", "share_entropy", "share_peak", "share_trough_ratio", "share_volatility",
     "naive7_wape", "spike_frac", "low_frac", "trend_ratio",
 ]
-CLOCK = ["bound1_mean", "bound2_mean", "bound3_mean", "bound_stability", "energy_centre", "peak_sin", "peak_cos", "peak_share"]
+CLOCK = ["boundary_mean_1", "boundary_mean_2", "boundary_mean_3", "boundary_stability", "energy_center_sin", "energy_center_cos", "peak_hour_sin", "peak_hour_cos"]
 #: Outliers are scored by the mean of so many worst features.
 WORST = 3
 
@@ -28,13 +32,13 @@ def behaviour(daily: DataFrame, min_days: int = MIN_DAYS, recent_days: int = REC
     Devices of fewer than ``min_days`` rows, or without use, have no profile.
     """
     rows = daily.select("device_id", "day", *SEG).where(until if until is not None else F.lit(True))
-    w = by_day()
+    w, whole = by_day(), Window.partitionBy("device_id")
     days = dense(rows).withColumn("y", total([F.col(s) for s in SEG]))
-    days = days.withColumns({"y1": F.lag("y", 1).over(w), "y7": F.lag("y", 7).over(w), "_back": F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("day")))})
+    known = F.count("y").over(whole)
+    days = days.withColumns({"y1": F.lag("y", 1).over(w), "y7": F.lag("y", 7).over(w), "rows": known, "_back": known - F.count("y").over(w) + 1, "med": F.percentile("y", 0.5).over(whole), "_m": F.avg("y").over(whole)})
+    days = days.where(F.col("rows") >= min_days).withColumn("_base", F.when(F.col("med") > 1e-9, F.col("med")).otherwise(F.col("_m")))
     some = F.when(F.col("y") > 0, F.col("y"))
     days = days.withColumns({f"s{k}": F.col(s) / some for k, s in enumerate(SEG)}).withColumn("dow", F.weekday("day"))
-    medians = days.groupBy("device_id").agg(F.percentile("y", 0.5).alias("med"), F.count("y").alias("rows"))
-    days = days.join(medians, "device_id").where((F.col("rows") >= min_days))
     y, we = F.col("y"), F.col("dow") >= 5
     agg = days.groupBy("device_id").agg(
         F.avg(y).alias("m"),
@@ -51,8 +55,8 @@ def behaviour(daily: DataFrame, min_days: int = MIN_DAYS, recent_days: int = REC
         *[F.stddev_samp(f"s{k}").alias(f"v{k}") for k in range(4)],
         F.avg(F.abs(y - F.col("y7"))).alias("miss7"),
         F.count(y - F.col("y7")).alias("n7"),
-        F.avg((y > 2 * F.col("med")).cast("double")).alias("spike_frac"),
-        F.avg((y < 0.3 * F.col("med")).cast("double")).alias("low_frac"),
+        F.avg((y > 2 * F.col("_base")).cast("double")).alias("spike_frac"),
+        F.avg((y < 0.3 * F.col("_base")).cast("double")).alias("low_frac"),
         F.avg(F.when(F.col("_back") <= recent_days, y)).alias("recent"),
     ).where("m > 1e-9")
     m = F.col("m")
@@ -60,15 +64,15 @@ def behaviour(daily: DataFrame, min_days: int = MIN_DAYS, recent_days: int = REC
     mean7 = F.aggregate(dow, F.lit(0.0), lambda a, x: a + x) / 7
     whole = total([F.coalesce(f"a{k}", F.lit(0.0)) for k in range(4)])
     agg = agg.withColumn("_dow", dow).withColumn("_dm", mean7).withColumn("_share", F.array(*[F.coalesce(F.col(f"a{k}") / F.when(whole > 0, whole), F.lit(0.25)) for k in range(4)]))
-    share = F.col("_share")
+    share, cv = F.col("_share"), F.coalesce(F.col("sd") / m, F.lit(0.0))
     return agg.select(
         "device_id",
         F.log1p(m).alias("log_mean"),
         F.log1p("med").alias("log_median"),
-        (F.col("sd") / m).alias("cv"),
-        (F.col("mad") * 1.4826 / F.when(F.col("med") > 0, F.col("med"))).alias("robust_cv"),
-        (F.col("step") / m).alias("diff_volatility"),
-        F.coalesce(F.col("we") / F.when(F.col("wd") > 0, F.col("wd")), F.lit(1.0)).alias("weekend_ratio"),
+        cv.alias("cv"),
+        F.coalesce(F.col("mad") * 1.4826 / F.when(F.col("med") > 1e-9, F.col("med")), cv).alias("robust_cv"),
+        F.coalesce(F.col("step") / m, F.lit(0.0)).alias("diff_volatility"),
+        F.coalesce(F.col("we") / F.when(F.col("wd") > 1e-9, F.col("wd")), F.lit(1.0)).alias("weekend_ratio"),
         F.sqrt(F.aggregate("_dow", F.lit(0.0), lambda a, x: a + (x - F.col("_dm")) * (x - F.col("_dm"))) / 6).alias("dow_amplitude"),
         "autocorr_lag1",
         "autocorr_lag7",
@@ -85,55 +89,68 @@ def behaviour(daily: DataFrame, min_days: int = MIN_DAYS, recent_days: int = REC
 
 
 def clock(daily: DataFrame) -> DataFrame:
-    """device_id and the features of ``CLOCK``: where a device's cuts and its use lie on the clock."""
-    middle = [F.col(f"{s}_start") + F.col(f"{s}_hours") / 2.0 for s in SEG]
-    use = total([F.col(s) for s in SEG])
-    some = F.when(use > 0, use)
-    centre = total([F.col(s) * mid for s, mid in zip(SEG, middle)]) / some
-    density = F.array(*[F.col(s) / F.col(f"{s}_hours") for s in SEG])
-    top = F.array_position(density, F.array_max(density))
-    peak = F.element_at(F.array(*middle), top.cast("int"))
-    rows = daily.withColumns({"_c": centre, "_p": peak, "_share": F.element_at(F.array(*[F.col(s) for s in SEG]), top.cast("int")) / some})
-    turn = F.col("_p") * (2 * 3.141592653589793 / 24)
+    """device_id and the features of ``CLOCK``: where a device's cuts and its use lie on the clock.
+
+    Days that lack a segment or its time do not count.
+    """
+    rows = daily.dropna(subset=[*SEG, *[f"{s}_{n}" for s in SEG for n in ("start", "hours")]])
+    turn = [(F.col(f"{s}_start") + F.col(f"{s}_hours") / 2.0) * (2 * math.pi / 24) for s in SEG]
+    density = F.array(*[F.col(s) / F.when(F.col(f"{s}_hours") > 0, F.col(f"{s}_hours")).otherwise(1) for s in SEG])
+    top = F.array_position(density, F.array_max(density)).cast("int")
+    rows = rows.withColumns({
+        "_use": total([F.col(s) for s in SEG]),
+        "_sin": total([F.col(s) * F.sin(t) for s, t in zip(SEG, turn)]),
+        "_cos": total([F.col(s) * F.cos(t) for s, t in zip(SEG, turn)]),
+        "_peak": F.element_at(F.array(*turn), top),
+    })
     starts = [f"{s}_start" for s in SEG[1:]]
+    use = F.when(F.avg("_use") > 0, F.avg("_use"))
     return rows.groupBy("device_id").agg(
-        *[F.avg(s).alias(f"bound{i + 1}_mean") for i, s in enumerate(starts)],
-        (total([F.stddev_pop(s) for s in starts]) / 3).alias("bound_stability"),
-        F.avg("_c").alias("energy_centre"),
-        F.avg(F.sin(turn)).alias("peak_sin"),
-        F.avg(F.cos(turn)).alias("peak_cos"),
-        F.avg("_share").alias("peak_share"),
+        *[F.avg(s).alias(CLOCK[i]) for i, s in enumerate(starts)],
+        (total([F.stddev_pop(s) for s in starts]) / 3).alias("boundary_stability"),
+        F.coalesce(F.avg("_sin") / use, F.lit(0.0)).alias("energy_center_sin"),
+        F.coalesce(F.avg("_cos") / use, F.lit(0.0)).alias("energy_center_cos"),
+        F.avg(F.sin("_peak")).alias("peak_hour_sin"),
+        F.avg(F.cos("_peak")).alias("peak_hour_cos"),
     )
 
 
 def medians_filled(profiles: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls (and NaN) replaced by the column's median over devices."""
-    clean = profiles.select("device_id", *[finite(F.col(c)).alias(c) for c in columns])
-    mids = clean.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in columns])
-    return clean.crossJoin(F.broadcast(mids)).select("device_id", *[F.coalesce(c, f"_{c}", F.lit(0.0)).alias(c) for c in columns])  # one row
-
-
-def robust_scores(profiles: DataFrame, columns: list[str], worst: int = WORST) -> DataFrame:
-    """device_id, z: mean of the ``worst`` largest distances from the median, in units of the scaled median deviation."""
-    mids = profiles.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in columns])
-    rows = profiles.select("device_id", *columns).crossJoin(F.broadcast(mids))  # one row
-    away = rows.select("device_id", *[F.abs(F.col(c) - F.col(f"_{c}")).alias(c) for c in columns])
-    scale = away.agg(*[(F.percentile(c, 0.5) * 1.4826).alias(f"_{c}") for c in columns])
-    z = F.array(*[F.col(c) / F.greatest(F.col(f"_{c}"), F.lit(1e-9)) for c in columns])
+    """Nulls (and NaN, infinities) replaced by the column's median over devices; stored."""
+    clean = settled(profiles.select("device_id", *[finite(F.col(c)).alias(c) for c in columns]), "profiles")
+    mids = quantiles(clean, columns, [0.5])
+    return clean.select("device_id", *[F.coalesce(c, F.lit(mids[c][0] or 0.0)).alias(c) for c in columns])
+
+
+def robust_scale(profiles: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Of each column its median, and the scaled median deviation from it (1 where that is zero)."""
+    mids = quantiles(profiles, columns, [0.5])
+    away = profiles.select([F.abs(F.col(c) - F.lit(mids[c][0])).alias(c) for c in columns])
+    spread = quantiles(away, columns, [0.5])
+    out = {}
+    for c in columns:
+        mad = (spread[c][0] or 0.0) * 1.4826
+        out[c] = (mids[c][0] or 0.0, mad if mad > 1e-9 else 1.0)
+    return out
+
+
+def robust_scores(profiles: DataFrame, columns: list[str], worst: int = WORST, scale: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """device_id, z: mean of the ``worst`` largest distances from the median, in units of the scaled median deviation.
+
+    ``scale`` is what ``robust_scale`` gave for the devices that others are held against; by default for these.
+    """
+    scale = scale or robust_scale(profiles, columns)
+    z = F.array(*[F.abs(F.col(c) - F.lit(scale[c][0])) / F.lit(scale[c][1]) for c in columns])
     top = F.slice(F.sort_array(z, asc=False), 1, worst)
-    mean = F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)
-    return away.crossJoin(F.broadcast(scale)).select("device_id", mean.alias("z"))  # one row
+    return profiles.select("device_id", (F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)).alias("z"))
 
 
 def outliers(scores: DataFrame, limit: float = 12.0, most: float = 0.1) -> DataFrame:
     """device_id, z, outlier: scores over ``limit``, but only the highest ``most`` of all devices."""
-    n = scores.count()
-    over = scores.where(F.col("z") > limit).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("z"), "device_id")))  # a few devices
-    cut = over.where(F.col("_n") <= int(n * most)).select("device_id", F.lit(True).alias("_o"))
+    n, over = scores.agg(F.count("*"), F.count_if(F.col("z") > limit)).first()
+    cap = int(n * most)
+    if over <= cap:
+        return scores.withColumn("outlier", F.col("z") > limit)
+    ranked = numbered(scores.where(F.col("z") > limit).withColumn("_z", -F.col("z")), "_z", "device_id", name="_n")
+    cut = ranked.where(F.col("_n") <= cap).select("device_id", F.lit(True).alias("_o"))
     return scores.join(cut, "device_id", "left").withColumn("outlier", F.coalesce("_o", F.lit(False))).drop("_o")
-
-
-def hour_share(readings: DataFrame) -> DataFrame:
-    """device_id, s: the mean share of each hour in a day's use."""
-    sums = readings.groupBy("device_id").agg(*[F.sum(F.when(F.hour("ts") == h, F.col("kwh")).otherwise(0.0)).alias(f"h{h}") for h in HOURS], F.sum("kwh").alias("t"))
-    return sums.select("device_id", F.array(*[F.col(f"h{h}") / F.when(F.col("t") > 0, F.col("t")) for h in HOURS]).alias("s"))

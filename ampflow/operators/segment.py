@@ -7,15 +7,20 @@ an array of 24 hours, so that no row is multiplied.
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ampflow.functions.numeric import let
 from ampflow.schema import HOURS, SEG, SEGMENTS
+from ampflow.sources.sinks import settled
 
 SHORTEST, LONGEST, DAY = 4, 7, 24
 DECAY = 0.97
+#: Agreement of days where there is no vote.
+NO_VOTE = 0.5
 WINDOW_DAYS = 30
 
 CUTS = [
@@ -212,8 +217,8 @@ def change_strength(v: Column, noise: Column) -> Column:
 def persistence(days: DataFrame, keys: list[str], weight: str = "w", v: str = "v") -> DataFrame:
     """``keys`` and agreement, an array for hours 1 .. 23: how far days agree on the direction of a change.
 
-    ``days`` has day arrays and their weights.  Keys of one day get 1 (no vote).
-    A day that lacks an hour on either side of a change has no vote on it.
+    ``days`` has day arrays and their weights.  Without a vote (keys of one day,
+    no direction, no strength) agreement is a half.  A day that lacks an hour on either side of a change has no vote on it.
     """
     col = F.col(v)
     rows = days.withColumn("_noise", noise_scale(col))
@@ -228,7 +233,7 @@ def persistence(days: DataFrame, keys: list[str], weight: str = "w", v: str = "v
         F.max("_sign").alias("_sign"),
         F.count("*").alias("_days"),
     )
-    agree = F.when(F.col("_days") < 2, 1.0).when((F.coalesce("_sign", F.lit(0.0)) == 0) | (F.coalesce("_all", F.lit(0.0)) < 1e-9), 0.5).otherwise(F.col("_for") / F.col("_all"))
+    agree = F.when((F.col("_days") < 2) | (F.coalesce("_sign", F.lit(0.0)) == 0) | (F.coalesce("_all", F.lit(0.0)) < 1e-9), NO_VOTE).otherwise(F.col("_for") / F.col("_all"))
     pairs = voted.select(*keys, F.struct("_at", agree.alias("a")).alias("_p"))
     return pairs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["a"]).alias("agreement"))
 
@@ -250,11 +255,12 @@ def adaptive(profiles: DataFrame, v: str = "v", agreement: str | None = None) ->
     A cut scores 4 (1 - RSS / TSS), plus 1.5 times the evidence of its three
     changes, less 1.5 times what they lack to the lower quartile of evidence,
     plus a quarter of how far neighbouring segments lie apart.  Of equal scores
-    (to 9 digits) the first cut in order wins.
+    (to 9 digits) the first cut in order wins.  Evidence counts by a half plus half
+    the days' agreement on it; without ``agreement`` that is ``NO_VOTE``.
     """
     rows = profiles.withColumn("_v", held(smoothed(F.col(v)))).withColumn("_noise", noise_scale(F.col("_v")))
     rows = rows.withColumn("_e", held(change_strength(F.col("_v"), F.col("_noise"))))
-    vote = F.col(agreement) if agreement else F.array_repeat(F.lit(1.0), DAY - 1)
+    vote = F.col(agreement) if agreement else F.array_repeat(F.lit(NO_VOTE), DAY - 1)
     rows = rows.withColumn("_e", F.zip_with("_e", vote, lambda e, a: e * (0.5 + 0.5 * a)))
     ordered = F.array_sort(F.array(*[F.col("_e")[h - 1] for h in OPENERS]))
     at = 0.25 * (len(OPENERS) - 1)
@@ -342,19 +348,25 @@ def adaptive_daily(readings: DataFrame, window_days: int = WINDOW_DAYS, decay: f
 
 # Forecast-aware frozen cuts ------------------------------------------------
 
+# Shrinkage grid, days that a forecast looks back on, that cuts are selected on, that shrinkage is tuned on, that must be left.
+SHRINKS = (0.0, 0.002, 0.005, 0.01, 0.02, 0.05, float("inf"))
+PROXY_DAYS, SELECT_DAYS, TUNE_DAYS, SPARE_DAYS = 7, 56, 28, 14
+
 
-def proxy_errors(readings: DataFrame, start: int = 7, back: int = 7) -> DataFrame:
+def proxy_errors(days: DataFrame, start: Column, end: Column, back: int = PROXY_DAYS) -> DataFrame:
     """device_id, candidate, b1, b2, b3, error: hourly error of a simple forecast under each cut.
 
-    A day's segment totals are forecast by their mean over the ``back`` days
-    before, spread over hours by the mean shape of the first ``start`` days.
+    ``days`` are day arrays (null hours count as 0), numbered from 0 by device;
+    those of [start, end) are scored, columns that may use ``_n``, the number of
+    a device's days.  A day's segment totals are forecast by their mean over the
+    ``back`` days before, spread over hours by the mean shape of all days before ``start``.
     """
-    days = day_arrays(readings).withColumn("v", F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))))
     by = Window.partitionBy("device_id").orderBy("day")
-    days = days.withColumn("_i", F.row_number().over(by))
-    shape = days.where(F.col("_i") <= start).groupBy("device_id").agg(F.array(*[F.avg(F.col("v")[h]) for h in HOURS]).alias("shape"))
+    rows = days.withColumn("v", F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))))
+    rows = rows.withColumn("_i", F.row_number().over(by) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("device_id"))).withColumn("_a", start).withColumn("_b", end)
+    shape = rows.where("_i < _a").groupBy("device_id").agg(F.array(*[F.avg(F.col("v")[h]) for h in HOURS]).alias("shape"))
     before = by.rowsBetween(-back, -1)
-    means = days.withColumn("_m", F.array(*[F.avg(F.col("v")[h]).over(before) for h in HOURS])).where(F.col("_i") > max(start, back))
+    means = rows.withColumn("_m", F.array(*[F.avg(F.col("v")[h]).over(before) for h in HOURS])).where(f"_i >= _a and _i < _b and _i >= {back}")
     rows = means.join(shape, "device_id")
     rows = rows.withColumn("_pm", prefix(F.col("_m"))).withColumn("_ps", prefix(F.col("shape")))
     parts = sorted({p for cut in CUTS for p in _bounds(cut)})
@@ -371,20 +383,21 @@ def proxy_errors(readings: DataFrame, start: int = 7, back: int = 7) -> DataFram
     return sums.select("device_id", F.explode(each).alias("c")).select("device_id", "c.*")
 
 
+def _grouped(errors: DataFrame, groups: DataFrame | None) -> DataFrame:
+    return errors.join(groups, "device_id") if groups is not None else errors.withColumn("group", F.lit(0))
+
+
 def reference_cut(errors: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """(group, r1, r2, r3): the cut of the least mean error, each device's errors in units of its best."""
-    best = Window.partitionBy("device_id")
-    scaled = errors.withColumn("_e", F.col("error") / F.greatest(F.min("error").over(best), F.lit(1e-12)))
-    grouped = scaled.join(groups, "device_id") if groups is not None else scaled.withColumn("group", F.lit(0))
-    means = grouped.groupBy("group", "candidate", "b1", "b2", "b3").agg(F.avg("_e").alias("_e"))
+    """(group, r1, r2, r3): the cut of the least mean error, each device's errors in units of their mean."""
+    mean = F.avg("error").over(Window.partitionBy("device_id"))
+    scaled = _grouped(errors, groups).withColumn("_e", F.col("error") / F.greatest(mean, F.lit(1e-12)))
+    means = scaled.groupBy("group", "candidate", "b1", "b2", "b3").agg(F.avg("_e").alias("_e"))
     return means.groupBy("group").agg(F.min_by(F.struct("b1", "b2", "b3"), F.struct(F.round("_e", 12), "candidate")).alias("r")).select("group", F.col("r.b1").alias("r1"), F.col("r.b2").alias("r2"), F.col("r.b3").alias("r3"))
 
 
 def forecast_aware(errors: DataFrame, shrink: float, groups: DataFrame | None = None) -> DataFrame:
     """device_id, cut: the least error, plus ``shrink`` an hour of distance from the group's reference cut."""
-    ref = reference_cut(errors, groups)
-    grouped = errors.join(groups, "device_id") if groups is not None else errors.withColumn("group", F.lit(0))
-    rows = grouped.join(F.broadcast(ref), "group")  # one row a group
+    rows = _grouped(errors, groups).join(F.broadcast(reference_cut(errors, groups)), "group")  # one row a group
     best = F.min("error").over(Window.partitionBy("device_id"))
     away = F.abs(F.col("b1") - F.col("r1")) + F.abs(F.col("b2") - F.col("r2")) + F.abs(F.col("b3") - F.col("r3"))
     if shrink == float("inf"):
@@ -394,26 +407,49 @@ def forecast_aware(errors: DataFrame, shrink: float, groups: DataFrame | None =
     return rows.withColumn("_c", F.round(cost, 12)).groupBy("device_id").agg(F.min_by(F.struct("b1", "b2", "b3"), F.struct("_c", "candidate")).alias("cut"))
 
 
-# Shrinkage grid, and the days of the tuning block.
-SHRINKS = (0.0, 0.002, 0.005, 0.01, 0.02, 0.05, float("inf"))
-TUNE_DAYS = 28
-#: Days a device needs for shrinkage to be tuned on it.
-TUNE_FROM = 49
-
+def tuned_shrink(chosen_on: DataFrame, scored_on: DataFrame, groups: DataFrame | None = None, slack: float = 5e-4) -> float:
+    """The largest shrinkage whose mean error, in units of a device's mean, is within ``slack`` of the best.
 
-def tuned_shrink(readings: DataFrame, groups: DataFrame | None = None, tune_days: int = TUNE_DAYS, slack: float = 5e-4) -> float:
-    """The largest shrinkage whose error on the last ``tune_days`` days is within ``slack`` of the best."""
-    by = Window.partitionBy("device_id")
-    day = F.to_date("ts")
-    last = readings.withColumn("_r", F.dense_rank().over(by.orderBy(F.desc(day)))).withColumn("_d", F.max("_r").over(by)).where(F.col("_d") >= TUNE_FROM)
-    head = proxy_errors(last.where(F.col("_r") > tune_days).select("device_id", "ts", "kwh"))
-    tail = proxy_errors(last.where(F.col("_r") <= tune_days + 7).select("device_id", "ts", "kwh")).select("device_id", "b1", "b2", "b3", F.col("error").alias("later"))
+    Cuts are chosen on the first table of ``proxy_errors`` and scored on the second.
+    """
+    mean = F.avg("error").over(Window.partitionBy("device_id"))
+    later = scored_on.select("device_id", "b1", "b2", "b3", (F.col("error") / F.greatest(mean, F.lit(1e-12))).alias("later"))
     rows = None
     for i, shrink in enumerate(SHRINKS):
-        picked = forecast_aware(head, shrink, groups).select("device_id", "cut.*", F.lit(i).alias("i"))
+        picked = forecast_aware(chosen_on, shrink, groups).select("device_id", "cut.*", F.lit(i).alias("i"))
         rows = picked if rows is None else rows.unionByName(picked)
-    means = {r.i: r.e for r in rows.join(tail, ["device_id", "b1", "b2", "b3"]).groupBy("i").agg(F.avg("later").alias("e")).collect()}
+    means = {r.i: r.e for r in rows.join(later, ["device_id", "b1", "b2", "b3"]).groupBy("i").agg(F.avg("later").alias("e")).collect()}  # a row a shrinkage
     if not means:
         return 0.0
     best = min(means.values())
     return SHRINKS[max(i for i, e in means.items() if e <= best * (1 + slack))]
+
+
+def frozen_cuts(days: DataFrame, fallback: tuple[int, int, int], groups: DataFrame | None = None, tune_days: int = TUNE_DAYS, select_days: int = SELECT_DAYS, back: int = PROXY_DAYS) -> DataFrame:
+    """device_id, cut, fitted: one cut a device from its training days (day arrays), with the shrinkage that serves best.
+
+    Shrinkage is tuned on the last ``tune_days``, with cuts selected on the
+    ``select_days`` before; then cuts are selected on the last ``select_days``.
+    Devices of fewer days than all this takes get ``fallback``.
+    """
+    whole = days.groupBy("device_id").agg(F.count("*").alias("n"))
+    fit = days.join(whole.where(F.col("n") >= back + tune_days + SPARE_DAYS), "device_id", "left_semi")
+    n = F.col("_n")
+    cut_at = n - tune_days
+    first = settled(proxy_errors(fit, F.greatest(F.lit(back), cut_at - select_days), cut_at, back), "errors-selected")
+    tuning = settled(proxy_errors(fit, cut_at, n, back), "errors-tuned")
+    final = settled(proxy_errors(fit, F.greatest(F.lit(back), n - select_days), n, back), "errors-final")
+    chosen = forecast_aware(final, tuned_shrink(first, tuning, groups), groups)
+    return whole.select("device_id").join(chosen, "device_id", "left").select("device_id", F.coalesce("cut", cut_struct(fallback)).alias("cut"), F.col("cut").isNotNull().alias("fitted"))
+
+
+def shape_groups(days: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(device_id, group): k-means on the share of each hour in a device's mean day."""
+    sums = days.groupBy("device_id").agg(*[F.sum(F.coalesce(F.col("v")[h], F.lit(0.0))).alias(f"h{h}") for h in HOURS])
+    whole = F.greatest(sum([F.col(f"h{h}") for h in HOURS], F.lit(0.0)), F.lit(1e-12))
+    points = settled(sums.select("device_id", F.array(*[F.col(f"h{h}") / whole for h in HOURS]).alias("share")), "shapes")
+    n = points.count()
+    if min(k, n) < 2:
+        return points.select("device_id", F.lit(0).alias("group"))
+    vectors = points.select("device_id", array_to_vector("share").alias("features"))
+    return KMeans(k=min(k, n), seed=seed, maxIter=100).fit(vectors).transform(vectors).select("device_id", F.col("prediction").alias("group"))

@@ -48,6 +48,16 @@ def half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(F.concat(F.lit("MAC00000"), F.col("u").cast("string")).alias("household"), F.when(F.col("u") == 5, "ToU").otherwise("Std").alias("tariff"), F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("stamp"), text.alias("kwh"))
 
 
+def raw_half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Household rows as text, one an event: stamps that repeat, some that are none, numbers that are none or negative, some minutes off the grid."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    slot = F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.when(F.minute("ts") >= 30, F.expr("interval 30 minutes")).otherwise(F.expr("interval 0 minutes"))
+    slot = slot + F.when(i % 61 == 0, F.expr("interval 7 minutes")).otherwise(F.expr("interval 0 minutes"))
+    stamp = F.when(i % 97 == 0, "no stamp").otherwise(F.concat(F.date_format(slot, "yyyy-MM-dd HH:mm:ss"), F.lit(".0000000")))
+    value = F.when(i % 89 == 0, "Null").when(i % 83 == 0, "-1.5").otherwise(F.concat(F.lit("  "), F.col("value").cast("decimal(12,2)").cast("string")))
+    return e.select(F.concat(F.lit("MAC00000"), (F.col("user_id") % 6).cast("string")).alias("household"), F.lit("Std").alias("tariff"), stamp.alias("stamp"), value.alias("kwh"), i.alias("order"))
+
+
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and two forecasts of it, by device."""
     rows = table(spark, sf_dir, "lineitem")
@@ -90,4 +100,6 @@ def d_sql(device: str = "l_suppkey") -> str:
 H_SQL = """SELECT 'MAC00000' || u AS household, CASE WHEN u = 5 THEN 'ToU' ELSE 'Std' END AS tariff, strftime(slot, '%Y-%m-%d %H:%M:%S') AS stamp, slot,
   CASE WHEN n = 1 THEN NULL ELSE CAST(CAST(v AS DECIMAL(12,2)) AS DOUBLE) END AS kwh
 FROM (SELECT user_id % 6 AS u, date_trunc('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS slot, sum(value) AS v, count(*) AS n FROM events GROUP BY 1, 2)"""
+RH_SQL = """SELECT 'MAC00000' || (user_id % 6) AS household, event_id AS place, try_strptime(left(CASE WHEN event_id % 97 = 0 THEN 'no stamp' ELSE strftime(date_trunc('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END + CASE WHEN event_id % 61 = 0 THEN INTERVAL 7 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%d %H:%M:%S') END, 19), '%Y-%m-%d %H:%M:%S') AS stamp,
+  TRY_CAST(CASE WHEN event_id % 89 = 0 THEN 'Null' WHEN event_id % 83 = 0 THEN '-1.5' ELSE CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) END AS DOUBLE) AS kwh FROM events"""
 F_SQL = "SELECT l_suppkey AS device_id, l_linenumber % 4 AS route, l_extendedprice AS y, l_quantity * 1000 AS p, l_quantity * 1400 AS p2 FROM lineitem"

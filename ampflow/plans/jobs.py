@@ -203,16 +203,15 @@ def benchmark(daily: DataFrame, horizons: tuple[int, ...] = (1, 2, 3), algorithm
     fit_ = cluster.fit(daily.where(F.col("day") <= F.lit(day)), settings)
     out = None
     for h in horizons:
-        frame = feats.parted(feats.horizon_frame(rows.where("usable"), h, normalize), cut).cache()
-        inputs = [c for c in frame.columns if c.startswith(("lag", "mean", "std", "share", "dow", "log_scale"))]
-        unit = F.col("scale") if normalize else F.lit(1.0)
+        frame = feats.parted(feats.horizon_frame(rows, h), cut).cache()
+        inputs, unit = feats.panel_inputs(frame), F.col("scale")
         train, test = frame.where("part = 'train'"), frame.where("part = 'test'")
         runs = [("naive", "Naive(t-7)", test.withColumn("p", F.col("naive")))]
         for algorithm in algorithms:
             build = lambda a=algorithm: models.estimator(a, inputs, "target_ratio", train, fast=fast)
             runs.append(("global", algorithm, build().fit(train).transform(test).withColumn("p", F.greatest(F.col("prediction") * unit, F.lit(0.0)))))
             if fit_.labels is not None:
-                runs.append(("cluster", algorithm, cluster.train_bundle(train, fit_, build).predict(test).withColumn("p", F.greatest(F.col("prediction") * unit, F.lit(0.0)))))
+                runs.append(("cluster", algorithm, cluster.train_bundle(train, fit_, build, inputs=inputs).predict(test).withColumn("p", F.greatest(F.col("prediction") * unit, F.lit(0.0)))))
         for mode, algorithm, made in runs:
             row = evaluate.measure(made, "target", "p").select(F.lit(arm).alias("arm"), F.lit(h).alias("horizon"), F.lit(mode).alias("mode"), F.lit(algorithm).alias("algorithm"), "*")
             out = row if out is None else out.unionByName(row)

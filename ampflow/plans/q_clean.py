@@ -85,7 +85,7 @@ _add("winsor_clip", lambda s, d: clean.clipped(readings(s, d)), R + CLIP.format(
 PRE = f"WITH r0 AS ({r_sql(5)}), r AS (SELECT * FROM r0 WHERE kwh >= 0 QUALIFY count(*) OVER (PARTITION BY device_id, CAST(ts AS DATE)) >= 20)" + SPINE
 _add("preprocess_chain", lambda s, d: clean.preprocess(readings(s, d, 5)), PRE + f"SELECT device_id, ts, kwh, CAST(ts AS DATE) AS day, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, month(ts) AS month, CAST(isodow(ts) >= 6 AS INT) AS is_weekend FROM ({CLIP.format('filled')})", doubles="kwh", ints="hour day_of_week month is_weekend", texts="ts day")
 _add("last_n_days", lambda s, d: clean.last_days(readings(s, d, None), 7), RU + "SELECT device_id, ts, kwh FROM (SELECT *, dense_rank() OVER (PARTITION BY device_id ORDER BY CAST(ts AS DATE) DESC) AS n FROM r) QUALIFY n <= 7 AND max(n) OVER (PARTITION BY device_id) >= 7", doubles="kwh", texts="ts")
-_add("device_status", lambda s, d: clean.device_status(daily(s, d).where("device_id < 40 or day < '1995-03-01'").select("device_id", F.col("day").alias("ts"))), D + "SELECT device_id, count(DISTINCT day) AS days, CASE WHEN count(DISTINCT day) < 61 THEN 'learning' WHEN count(DISTINCT day) < 30 THEN 'global' ELSE 'personal' END AS status, count(DISTINCT day) >= 61 AS can_predict FROM d WHERE device_id < 40 OR day < DATE '1995-03-01' GROUP BY 1", ints="days")
+_add("device_status", lambda s, d: clean.device_status(daily(s, d).select("device_id", F.col("day").alias("ts"))), D + "SELECT device_id, count(DISTINCT day) AS days, CASE WHEN count(DISTINCT day) < 61 THEN 'learning' WHEN count(DISTINCT day) < 30 THEN 'global' ELSE 'personal' END AS status, count(DISTINCT day) >= 61 AS can_predict FROM d GROUP BY 1", ints="days")
 _add("dense_device_codes", lambda s, d: readers.dense_ids(table(s, d, "supplier").select("s_name"), "s_name", "device_id"), "SELECT s_name, dense_rank() OVER (ORDER BY s_name) AS device_id FROM supplier", ints="device_id")
 _add("calendar_gaps", lambda s, d: _gaps(daily(s, d)), D + "SELECT count(*) AS rows, count(DISTINCT device_id) AS devices, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (g > 1) AS gaps FROM (SELECT *, date_diff('day', lag(day) OVER (PARTITION BY device_id ORDER BY day), day) AS g FROM d)", ints="rows devices gaps", texts="first_day last_day")
 

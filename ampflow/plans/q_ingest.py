@@ -7,8 +7,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ampflow.operators import ingest
-from ampflow.plans.adapters import H_SQL, half_hours, plain, r_sql, readings, sql, table
-from ampflow.sources.readers import household_ids, sensor_messages
+from ampflow.plans.adapters import H_SQL, RH_SQL, half_hours, plain, r_sql, raw_half_hours, readings, sql, table
+from ampflow.sources.readers import day_matrices, household_ids, sensor_messages
 
 H = f"WITH h AS ({H_SQL})"
 R, RU = f"WITH r AS ({r_sql()})", f"WITH r AS ({r_sql(None)})"
@@ -38,15 +38,19 @@ w AS (SELECT size, CAST(start AS DATE) AS start, CAST(start + to_months(size) AS
 hm AS (SELECT size, start, household FROM w JOIN sc ON m >= start AND m < stop GROUP BY size, start, stop, household HAVING sum(n_valid) >= 0.05 * 48 * date_diff('day', start, stop)),
 c AS (SELECT size, start, count(*) AS homes FROM hm GROUP BY 1, 2)
 SELECT size, strftime(start, '%Y-%m') AS start, homes, row_number() OVER (PARTITION BY size ORDER BY homes DESC, start) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY size ORDER BY homes DESC, start) <= 3""", ints="size homes rank")
-HOURLY = H + ", ho AS (SELECT household, date_trunc('hour', slot) AS ts, sum(kwh) AS kwh FROM h WHERE kwh >= 0 AND slot >= DATE '2024-01-01' AND slot < DATE '2024-01-31' GROUP BY 1, 2 HAVING count(*) = 2)"
+# Of rows that repeat a stamp the first counts; an hour needs both halves, and no third reading.
+HOURLY = f"""WITH h AS ({RH_SQL}), inw AS (SELECT *, kwh IS NOT NULL AND kwh >= 0 AS ok FROM h WHERE stamp >= DATE '2024-01-01' AND stamp < DATE '2024-01-31'),
+sl AS (SELECT * FROM inw WHERE ok QUALIFY row_number() OVER (PARTITION BY household, stamp ORDER BY place) = 1),
+hh AS (SELECT household, date_trunc('hour', stamp) AS ts, sum(kwh) AS kwh, count(*) AS n FROM sl GROUP BY 1, 2), ho AS (SELECT household, ts, kwh FROM hh WHERE n = 2)"""
 
 
 def _hourly(s, d):
-    return ingest.hourly(half_hours(s, d), FIRST, END).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return ingest.hourly(raw_half_hours(s, d), FIRST, END).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 _add("half_hour_to_hour", _hourly, HOURLY + " SELECT * FROM ho", doubles="kwh", texts="ts")
-_add("ingest_quality_counts", lambda s, d: ingest.quality_counts(half_hours(s, d)), H + " SELECT count(*) AS rows, count(*) FILTER (kwh IS NULL) AS bad_kwh, count(*) FILTER (kwh < 0) AS negative, 0 AS bad_stamp FROM h", ints="rows bad_kwh negative bad_stamp")
+_add("ingest_quality_counts", lambda s, d: ingest.collect_counts(raw_half_hours(s, d), FIRST, END), HOURLY + """ SELECT (SELECT count(*) FROM h) AS rows_selected_homes, (SELECT count(*) FROM h WHERE stamp IS NULL) AS rows_bad_timestamp, (SELECT count(*) FROM inw) AS rows_in_window, (SELECT count(*) FROM inw WHERE kwh IS NULL) AS rows_null_kwh, (SELECT count(*) FROM inw WHERE kwh < 0) AS rows_negative_kwh, (SELECT count(*) FROM inw WHERE ok AND minute(stamp) NOT IN (0, 30)) AS rows_off_grid_minute,
+  (SELECT count(*) FROM inw WHERE ok) - (SELECT count(*) FROM sl) AS rows_duplicate, (SELECT count(*) FROM hh) AS hours_seen, (SELECT count(*) FROM hh WHERE n = 1) AS hours_one_half_hour_only, (SELECT count(*) FROM hh WHERE n > 2) AS hours_more_than_two_readings""")
 
 
 def _gaps(s, d):
@@ -55,9 +59,14 @@ def _gaps(s, d):
 
 
 _add("longest_gap", _gaps, RU + ", i AS (SELECT DISTINCT device_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS i FROM r), g AS (SELECT *, i - lag(i, 1, -1) OVER (PARTITION BY device_id ORDER BY i) - 1 AS g FROM i WHERE i BETWEEN 0 AND 719) SELECT device_id, count(*) AS present, greatest(max(g), 719 - max(i)) AS longest_gap FROM g GROUP BY 1", ints="present longest_gap")
-_add("household_quality", lambda s, d: ingest.quality(_hourly(s, d), FIRST, END, 0.2, 200, 900.0), HOURLY + ", sa AS (SELECT * FROM ho WHERE kwh <= 900), i AS (SELECT household, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i FROM sa), g AS (SELECT *, i - lag(i, 1, -1) OVER (PARTITION BY household ORDER BY i) - 1 AS g FROM i), q AS (SELECT household FROM g GROUP BY 1 HAVING count(*) >= 0.2 * 720 AND greatest(max(g), 719 - max(i)) <= 200) SELECT household, ts, kwh FROM sa SEMI JOIN q USING (household)", doubles="kwh", texts="ts")
+QUALITY = HOURLY + ", sa AS (SELECT * FROM ho WHERE kwh <= 900), i AS (SELECT household, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i FROM sa), g AS (SELECT *, i - lag(i, 1, -1) OVER (PARTITION BY household ORDER BY i) - 1 AS g FROM i), q AS (SELECT household, count(*) / 720.0 AS hourly_coverage, greatest(max(g), 719 - max(i)) AS max_gap_hours, count(*) AS n_hours FROM g GROUP BY 1), qt AS (SELECT *, hourly_coverage >= 0.2 AS pass_coverage, max_gap_hours <= 14 AS pass_gap, hourly_coverage >= 0.2 AND max_gap_hours <= 14 AS keep FROM q)"
+LIMITS = (FIRST, END, 0.2, 14, 900.0)
+_add("household_quality", lambda s, d: ingest.quality(_hourly(s, d), *LIMITS), QUALITY + " SELECT household, ts, kwh FROM sa SEMI JOIN (SELECT household FROM qt WHERE keep) USING (household)", doubles="kwh", texts="ts")
+_add("household_quality_table", lambda s, d: ingest.quality_table(_hourly(s, d), *LIMITS), QUALITY + " SELECT * FROM qt", doubles="hourly_coverage", ints="max_gap_hours n_hours")
+_add("household_quality_counts", lambda s, d: ingest.quality_counts(_hourly(s, d), ingest.quality_table(_hourly(s, d), *LIMITS), 900.0), QUALITY + " SELECT (SELECT count(*) FROM ho WHERE kwh > 900) AS hours_above_max_kwh_dropped, count(*) FILTER (NOT pass_coverage) AS homes_failed_hourly_coverage, count(*) FILTER (NOT pass_gap) AS homes_failed_max_gap, count(*) FILTER (keep) AS households_kept FROM qt")
 _add("household_ids", lambda s, d: household_ids(half_hours(s, d).select("household").distinct()))
-_add("local_wallclock", lambda s, d: ingest.to_wall_clock(readings(s, d).select("device_id", F.col("ts").cast("timestamp").alias("ts"), "kwh"), "Asia/Tokyo", "device_id").withColumn("ts", F.col("ts").cast("timestamp_ntz")), R + " SELECT device_id, ts + INTERVAL 9 HOUR AS ts, avg(kwh) AS kwh FROM r GROUP BY 1, 2", doubles="kwh", texts="ts")
+#: The table's month moved to where clocks in London go back, on 27 October 2024 at 1:00 UTC.
+_add("local_wallclock", lambda s, d: ingest.to_wall_clock(readings(s, d).select("device_id", (F.col("ts") + F.expr("interval 285 days")).cast("timestamp").alias("ts"), "kwh"), "Europe/London", "device_id").withColumn("ts", F.col("ts").cast("timestamp_ntz")), R + ", u AS (SELECT device_id, ts + INTERVAL 285 DAY AS ts, kwh FROM r) SELECT device_id, CASE WHEN ts < TIMESTAMP '2024-10-27 01:00:00' THEN ts + INTERVAL 1 HOUR ELSE ts END AS ts, avg(kwh) AS kwh FROM u GROUP BY 1, 2", doubles="kwh", texts="ts")
 _add("dst_signature", lambda s, d: ingest.dst_signature(readings(s, d, 5), "device_id"), f"WITH r AS ({r_sql(5)}), c AS (SELECT device_id, CAST(ts AS DATE) AS day, count(*) AS n FROM r GROUP BY 1, 2), m AS (SELECT day, n, count(*) AS k FROM c GROUP BY 1, 2), f AS (SELECT day, avg((n = 24)::INT) AS fullness FROM c GROUP BY 1) SELECT day, n AS usual_rows FROM m JOIN f USING (day) WHERE fullness < 0.5 QUALIFY row_number() OVER (PARTITION BY day ORDER BY k DESC, n) = 1", ints="usual_rows", texts="day")
 _add("sanity_report", lambda s, d: ingest.sanity(readings(s, d, None), "device_id"), RU + ", m AS (SELECT device_id, avg(kwh) AS m FROM r GROUP BY 1) SELECT homes, rows, min, max, median, p99, zero_share, home_q1, home_median, home_q3 FROM (SELECT count(DISTINCT device_id) AS homes, count(*) AS rows, min(kwh) AS min, max(kwh) AS max, quantile_cont(kwh, 0.5) AS median, quantile_cont(kwh, 0.99) AS p99, avg((kwh = 0)::INT) AS zero_share FROM r), (SELECT quantile_cont(m, 0.25) AS home_q1, quantile_cont(m, 0.5) AS home_median, quantile_cont(m, 0.75) AS home_q3 FROM m)", doubles="min max median p99 zero_share home_q1 home_median home_q3", ints="homes rows")
 
@@ -68,5 +77,6 @@ def _season(s, d):
 
 
 _add("season_shift_corr", _season, R + ", r2 AS (SELECT device_id, CASE WHEN day(ts) > 15 THEN ts + INTERVAL 182 DAY ELSE ts END AS ts, kwh FROM r), p AS (SELECT hour(ts) AS h, avg(kwh) FILTER (month(ts) IN (12, 1, 2)) AS w, avg(kwh) FILTER (month(ts) IN (6, 7, 8)) AS s FROM r2 WHERE isodow(ts) < 6 GROUP BY 1), k AS (SELECT unnest([-2, -1, 0, 1, 2]) AS shift) SELECT shift, corr(a.w, b.s) AS corr FROM k CROSS JOIN p b JOIN p a ON a.h = (b.h + shift + 24) % 24 GROUP BY 1", doubles="corr", ints="shift")
+_add("day_matrices", lambda s, d: day_matrices(readings(s, d, 5)).select("device_id", "day", *[F.col("v")[h].alias(f"h{h}") for h in range(24)]), f"WITH r AS ({r_sql(5)}) SELECT device_id, CAST(ts AS DATE) AS day, " + ", ".join(f"coalesce(sum(kwh) FILTER (hour(ts) = {h}), 0.0) AS h{h}" for h in range(24)) + " FROM r GROUP BY 1, 2 HAVING count(DISTINCT hour(ts)) >= 20", doubles=" ".join(f"h{h}" for h in range(24)), texts="day")
 _add("sensor_json", lambda s, d: sensor_messages(table(s, d, "events").select("event_id", F.concat(F.lit('{"power_W": '), F.col("value").cast("string"), F.lit(', "voltage_V": 230.0}')).alias("value"))).select("power_W", "voltage_V"), "SELECT value AS \"power_W\", 230.0 AS \"voltage_V\" FROM events", doubles='"power_W" "voltage_V"')
 ORACLES["household_ids"] = H + " SELECT DISTINCT household, CAST(regexp_extract(household, '^[A-Za-z]+0*([0-9]+)$', 1) AS BIGINT) AS device_id FROM h"

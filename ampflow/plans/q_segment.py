@@ -81,7 +81,7 @@ fit AS (SELECT device_id, c, b1, b2, b3, sum(greatest(rss, 0)) AS rss, sum(coale
 chg AS (SELECT device_id, c, sum(e) AS found, sum(greatest(floor - e, 0)) AS lack FROM cand JOIN ev ON h IN (b1, b2, b3) JOIN fl USING (device_id) GROUP BY 1, 2),
 sc AS (SELECT device_id, c, b1, b2, b3, round(4 * CASE WHEN tss > 1e-9 THEN 1 - rss / tss ELSE 0 END + 1.5 * found - 1.5 * lack + 0.25 * apart / sd, 9) AS score FROM fit JOIN chg USING (device_id, c) JOIN tot USING (device_id)),
 ab AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY score DESC, c) = 1)"""
-_add("adaptive_boundaries", lambda s, d: segment.adaptive(segment.mean_profile(readings(s, d))).select("device_id", "cut.*", "score"), R + CAND + MEAN + SMOOTH + EVID + ADAPT + " SELECT device_id, b1, b2, b3, score FROM ab", doubles="score", ints="b1 b2 b3")
+_add("adaptive_boundaries", lambda s, d: segment.adaptive(segment.mean_profile(readings(s, d))).select("device_id", "cut.*", "score"), R + CAND + MEAN + SMOOTH + EVID.replace("ev AS", "plain_ev AS") + ", ev AS (SELECT device_id, h, e * 0.75 AS e FROM plain_ev)" + ADAPT + " SELECT device_id, b1, b2, b3, score FROM ab", doubles="score", ints="b1 b2 b3")
 # From here on the SQL's device_id may stand for a device's day, whose window of days is in dd(device_id, day, h, v).
 HOURLY = "(SELECT unnest(generate_series(0, 23)) AS h)"
 MEDIAN = f""", wt AS (SELECT *, pow(0.97, dense_rank() OVER (PARTITION BY device_id ORDER BY day DESC) - 1) AS w FROM dd),
@@ -94,7 +94,7 @@ gw AS (SELECT device_id, day, h, w, v, abs(lead(v) OVER n - 2 * v + lag(v) OVER
 gn AS (SELECT device_id, day, greatest(coalesce(median(second) FILTER (h BETWEEN 1 AND 22), 0.0), 1e-3 * (max(v) - min(v)), 1e-6) AS noise FROM gw GROUP BY 1, 2),
 gx AS (SELECT device_id, day, h, w, noise, CASE WHEN known THEN rm - lm END AS d FROM gw JOIN gn USING (device_id, day) WHERE h >= 1),
 gs AS (SELECT *, sign(round(sum(w * d) OVER (PARTITION BY device_id, h), 12)) AS sg, CASE WHEN d IS NOT NULL THEN w * least(abs(d) / noise, 3.0) END AS m FROM gx),
-vt AS (SELECT device_id, h, CASE WHEN count(*) < 2 THEN 1.0 WHEN coalesce(max(sg), 0) = 0 OR coalesce(sum(m), 0) < 1e-9 THEN 0.5 ELSE sum(CASE WHEN sign(d) = sg THEN m ELSE 0.0 END) / sum(m) END AS agree FROM gs GROUP BY 1, 2)"""
+vt AS (SELECT device_id, h, CASE WHEN count(*) < 2 OR coalesce(max(sg), 0) = 0 OR coalesce(sum(m), 0) < 1e-9 THEN 0.5 ELSE sum(CASE WHEN sign(d) = sg THEN m ELSE 0.0 END) / sum(m) END AS agree FROM gs GROUP BY 1, 2)"""
 FITTED = MEDIAN + VOTE + SMOOTH + EVID.replace("ev AS", "plain_ev AS") + ", ev AS (SELECT device_id, h, e * (0.5 + 0.5 * agree) AS e FROM plain_ev JOIN vt USING (device_id, h))" + ADAPT
 _add("adaptive_fit_devices", lambda s, d: segment.fit_devices(readings(s, d)).select("device_id", "cut.*", "score", "peak_hour"), R + CAND + DAYS + ", dd AS (SELECT device_id, day, h, kwh AS v FROM dh)" + FITTED + " SELECT device_id, b1, b2, b3, score, peak_hour FROM ab JOIN (SELECT device_id, min(h) FILTER (v = m) AS peak_hour FROM (SELECT *, max(v) OVER (PARTITION BY device_id) AS m FROM prof) GROUP BY 1) USING (device_id)", doubles="score", ints="b1 b2 b3 peak_hour")
 DAY_OF = ", ix AS (SELECT device_id, day, row_number() OVER (PARTITION BY device_id ORDER BY day) AS i FROM (SELECT DISTINCT device_id, day FROM dh))"
@@ -102,16 +102,30 @@ PRIOR = DAY_OF + ", dd AS (SELECT a.device_id || ' ' || a.day AS device_id, dh.d
 OF_DAY = "(SELECT device_id AS k, b1, b2, b3 FROM ab) ON k = device_id || ' ' || day"
 _add("adaptive_daily_totals", lambda s, d: segment.adaptive_daily(readings(s, d), 7), R + CAND + DAYS + PRIOR + FITTED + f" SELECT device_id, day, {TOTALS} FROM full_dh JOIN {OF_DAY} GROUP BY device_id, day, b1, b2, b3", **KINDS)
 _add("segment_features", lambda s, d: segment.segment_features(segment.jenks(segment.mean_profile(readings(s, d)))), R + CAND + MEAN + JENKS.format("prof") + " SELECT device_id, (h >= b1)::INT + (h >= b2)::INT + (h >= b3)::INT AS segment, avg(v) AS mean, max(v) AS max, min(v) AS min, stddev_samp(v) AS std, sum(v) AS total FROM prof JOIN best USING (device_id) GROUP BY 1, 2", doubles="mean max min std total", ints="segment")
-FSAS = """, ix AS (SELECT *, dense_rank() OVER (PARTITION BY device_id ORDER BY day) AS i FROM full_dh),
-shape AS (SELECT device_id, h, avg(v) AS s FROM ix WHERE i <= 7 GROUP BY 1, 2),
-m AS (SELECT device_id, day, i, h, v, avg(v) OVER (PARTITION BY device_id, h ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS p FROM ix),
-g AS (SELECT m.device_id, m.i, m.h, m.v, c, b1, b2, b3, s, sum(p) OVER w AS total, sum(s) OVER w AS base, count(*) OVER w AS len FROM m JOIN shape ON m.device_id = shape.device_id AND m.h = shape.h CROSS JOIN cand WHERE i > 7
-  WINDOW w AS (PARTITION BY m.device_id, m.i, c, (m.h >= b1)::INT + (m.h >= b2)::INT + (m.h >= b3)::INT)),
-er AS (SELECT device_id, c AS candidate, b1, b2, b3, avg(abs(v - total * CASE WHEN base > 1e-12 THEN s / base ELSE 1.0 / len END)) AS error FROM g GROUP BY 1, 2, 3, 4, 5)"""
-_add("fsas_proxy_error", lambda s, d: segment.proxy_errors(readings(s, d)), R + CAND + DAYS + FSAS + " SELECT device_id, candidate, b1, b2, b3, error FROM er", doubles="error", ints="candidate b1 b2 b3")
-REF = """, sca AS (SELECT *, error / greatest(min(error) OVER (PARTITION BY device_id), 1e-12) AS e FROM er),
-ref AS (SELECT b1 AS r1, b2 AS r2, b3 AS r3 FROM (SELECT candidate, b1, b2, b3, round(avg(e), 12) AS e FROM sca GROUP BY 1, 2, 3, 4) ORDER BY e, candidate LIMIT 1)"""
-_add("fsas_choice", lambda s, d: _cut(segment.forecast_aware(segment.proxy_errors(readings(s, d)), 0.005)), R + CAND + DAYS + FSAS + REF + " SELECT device_id, b1, b2, b3 FROM sca CROSS JOIN ref QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY round(e - 1 + 0.005 * (abs(b1 - r1) + abs(b2 - r2) + abs(b3 - r3)), 12), candidate) = 1", ints="b1 b2 b3")
+# Of the reference's lines: days [start, end) scored, shape of all days before start, forecast by the 7 days before.
+M = """, ix AS (SELECT *, dense_rank() OVER (PARTITION BY device_id ORDER BY day) - 1 AS i FROM full_dh), m AS (SELECT device_id, i, h, v, avg(v) OVER (PARTITION BY device_id, h ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS p, max(i) OVER (PARTITION BY device_id) + 1 AS n FROM ix)"""
+
+
+def _phase(name: str, start: str, end: str, least: int = 0) -> str:
+    return f""", {name}_s AS (SELECT device_id, h, avg(v) AS s FROM m WHERE i < {start} GROUP BY 1, 2),
+{name}_g AS (SELECT device_id, i, h, v, c, b1, b2, b3, s, sum(p) OVER w AS total, sum(s) OVER w AS base, count(*) OVER w AS len FROM m JOIN {name}_s USING (device_id, h) CROSS JOIN cand WHERE i >= {start} AND i < {end} AND n >= {least}
+  WINDOW w AS (PARTITION BY device_id, i, c, (h >= b1)::INT + (h >= b2)::INT + (h >= b3)::INT)),
+{name} AS (SELECT device_id, c AS candidate, b1, b2, b3, avg(abs(v - total * CASE WHEN base > 1e-12 THEN s / base ELSE 1.0 / len END)) AS error FROM {name}_g GROUP BY 1, 2, 3, 4, 5),
+{name}_r AS (SELECT b1 AS r1, b2 AS r2, b3 AS r3 FROM (SELECT candidate, b1, b2, b3, round(avg(error / greatest(mean, 1e-12)), 12) AS e FROM (SELECT *, avg(error) OVER (PARTITION BY device_id) AS mean FROM {name}) GROUP BY 1, 2, 3, 4) ORDER BY e, candidate LIMIT 1),
+{name}_p AS (SELECT device_id, l, candidate, b1, b2, b3 FROM (SELECT *, error / greatest(min(error) OVER (PARTITION BY device_id), 1e-12) - 1 AS rel, abs(b1 - r1) + abs(b2 - r2) + abs(b3 - r3) AS dist FROM {name} CROSS JOIN {name}_r) CROSS JOIN lam QUALIFY row_number() OVER (PARTITION BY device_id, l ORDER BY CASE WHEN isinf(l) THEN dist ELSE round(rel + l * dist, 12) END, candidate) = 1)"""
+
+
+LAM = ", lam(l) AS (VALUES (0.0::DOUBLE), (0.002), (0.005), (0.01), (0.02), (0.05), ('Infinity'::DOUBLE))"
+#: Days to select and to tune on: the table has a month only.
+SELECT, TUNE = 14, 7
+_add("fsas_proxy_error", lambda s, d: segment.proxy_errors(segment.day_arrays(readings(s, d)), F.greatest(F.lit(7), F.col("_n") - SELECT), F.col("_n")), R + CAND + LAM + DAYS + M + _phase("er", f"greatest(7, n - {SELECT})", "n") + " SELECT device_id, candidate, b1, b2, b3, error FROM er", doubles="error", ints="candidate b1 b2 b3")
+_add("fsas_choice", lambda s, d: _cut(segment.forecast_aware(segment.proxy_errors(segment.day_arrays(readings(s, d)), F.greatest(F.lit(7), F.col("_n") - SELECT), F.col("_n")), 0.005)), R + CAND + LAM + DAYS + M + _phase("er", f"greatest(7, n - {SELECT})", "n") + " SELECT device_id, b1, b2, b3 FROM er_p WHERE l = 0.005", ints="b1 b2 b3")
+LEAST = 7 + TUNE + segment.SPARE_DAYS
+FIT = R + CAND + LAM + DAYS + M + _phase("ea", f"greatest(7, n - {TUNE} - {SELECT})", f"n - {TUNE}", LEAST) + _phase("et", f"n - {TUNE}", "n", LEAST) + _phase("ef", f"greatest(7, n - {SELECT})", "n", LEAST) + """, curve AS (SELECT l, avg(error / greatest(mean, 1e-12)) AS e FROM ea_p JOIN (SELECT *, avg(error) OVER (PARTITION BY device_id) AS mean FROM et) USING (device_id, candidate) GROUP BY 1),
+best AS (SELECT max(l) AS l FROM curve WHERE e <= (SELECT min(e) FROM curve) * 1.0005)
+SELECT device_id, coalesce(b1, 6) AS b1, coalesce(b2, 12) AS b2, coalesce(b3, 18) AS b3, b1 IS NOT NULL AS fitted FROM (SELECT DISTINCT device_id FROM dh) LEFT JOIN (SELECT * FROM ef_p SEMI JOIN best USING (l)) USING (device_id)"""
+_add("fsas_fit", lambda s, d: segment.frozen_cuts(segment.day_arrays(readings(s, d)), (6, 12, 18), tune_days=TUNE, select_days=SELECT).select("device_id", "cut.*", "fitted"), FIT, ints="b1 b2 b3")
+_add("fsas_groups", lambda s, d: segment.frozen_cuts(segment.day_arrays(readings(s, d)), (6, 12, 18), segment.shape_groups(segment.day_arrays(readings(s, d)), 2), TUNE, SELECT).select("device_id", "cut.*", "fitted"))
 
 
 def _actuals(s, d):

@@ -12,6 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ampflow.schema import HALF_HOURS, METER, READINGS, SENSOR, SchemaError, require
 
@@ -19,10 +20,14 @@ from ampflow.schema import HALF_HOURS, METER, READINGS, SENSOR, SchemaError, req
 HOUR = "interval 1 hour"
 # Headers that hourly files use for the three columns.
 ALIASES = {
-    "device_id": ["device_id", "device", "meter_id", "meter", "household", "lclid", "id"],
-    "ts": ["ts", "timestamp", "datetime", "date_time", "time", "tstp", "created_at", "date"],
-    "kwh": ["kwh", "consumption_kwh", "consumption", "energy", "usage", "value", "energy_kwh"],
+    "device_id": ["device_id", "deviceid", "device", "id", "lclid", "lc_lid", "household_id", "meter_id"],
+    "ts": ["timestamp", "datetime", "date_time", "time", "ts", "hour", "reading_time", "end", "start"],
+    "kwh": ["consumption_kwh", "consumption", "kwh", "kwh/hh", "kwh_hh", "kwh/h", "energy_kwh", "value", "usage", "load", "energy"],
 }
+# Parts of a header that name a column when no header is known.
+PARTS = {"device_id": ["lcl", "device"], "ts": ["date", "time"], "kwh": ["kwh"]}
+#: Hours that a day of a day matrix needs.
+MATRIX_HOURS = 20
 
 
 @dataclass(frozen=True)
@@ -91,12 +96,11 @@ def recent(readings: DataFrame, end_day: Column, window_days: int = 30) -> DataF
 
 def canonical(df: DataFrame) -> DataFrame:
     """A frame with any known headers as device_id, ts, kwh: exact matches first, then parts of a name."""
-    plain = {c: re.sub(r"[^a-z0-9]+", "_", c.lstrip("﻿").strip().lower()).strip("_") for c in df.columns}
+    plain = {c: re.sub(r"[ -]", "_", c.replace("\ufeff", "").strip().lower()) for c in df.columns}
     chosen: dict[str, str] = {}
     for name, aliases in ALIASES.items():
-        free = [c for c in df.columns if c not in chosen.values()]
-        exact = [c for a in aliases for c in free if plain[c] == a]
-        part = [c for a in aliases for c in free if len(a) > 2 and a in plain[c]]
+        exact = [c for a in aliases for c in df.columns if plain[c] == a]
+        part = [c for c in df.columns if any(x in plain[c] for x in PARTS[name]) or name == "device_id" and plain[c] in ("id", "hid")]
         if not exact and not part:
             raise SchemaError(f"no column for {name} among {df.columns}")
         chosen[name] = (exact or part)[0]
@@ -110,19 +114,58 @@ def separator(spark: SparkSession, path: str) -> str:
     return max(",;\t", key=line.count)
 
 
-def read_hourly(spark: SparkSession, path: str) -> DataFrame:
-    """A text table of hourly readings in any known form: string ids become dense codes, bad rows go."""
+def read_hourly(spark: SparkSession, path: str, max_devices: int | None = None, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """device_id, ts, kwh of a text table of hourly or half-hourly readings in any known form.
+
+    Ids that are no whole numbers become dense codes, bad rows go, and of rows
+    that repeat a device's stamp the last stays.  ``max_devices`` and ``sample`` as in ``some_devices``.
+    """
     raw = canonical(spark.read.csv(path, header=True, sep=separator(spark, path)))
-    rows = raw.select(F.trim("device_id").alias("name"), F.try_to_timestamp(F.trim("ts")).alias("ts"), F.expr("try_cast(trim(kwh) as double)").alias("kwh")).where("ts is not null and kwh >= 0 and name <> ''")
-    return dense_ids(rows, "name", "device_id").select("device_id", "ts", "kwh")
+    rows = raw.select(F.trim("device_id").alias("name"), F.try_to_timestamp(F.trim("ts")).alias("ts"), F.expr("try_cast(trim(kwh) as double)").alias("kwh"), F.monotonically_increasing_id().alias("_at")).where("ts is not null and name <> ''")
+    if rows.where(~F.col("name").rlike(r"^[+-]?\d{1,18}$")).isEmpty():
+        rows = rows.withColumn("device_id", F.col("name").cast("long"))
+    else:
+        rows = dense_ids(rows, "name", "device_id")
+    good = rows.where("kwh >= 0").groupBy("device_id", "ts").agg(F.max_by("kwh", "_at").alias("kwh"))
+    return some_devices(good, max_devices, sample, seed)
+
+
+def some_devices(rows: DataFrame, max_devices: int | None = None, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """``rows`` of the first ``max_devices`` devices by id, then of devices in the order of a seeded hash until they hold ``sample`` rows."""
+    from ampflow.functions.ranks import numbered
+
+    if max_devices is None and sample is None:
+        return rows
+    counts = rows.groupBy("device_id").agg(F.count("*").alias("n"))
+    if max_devices is not None:
+        counts = numbered(counts, "device_id").where(F.col("number") <= max_devices).drop("number")
+    if sample is not None:
+        ranked = numbered(counts.withColumn("_h", F.xxhash64("device_id", F.lit(seed))), "_h", "device_id")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_block").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.withColumn("_block", F.floor(F.col("number") / 100_000))
+        blocks = ranked.groupBy("_block").agg(F.sum("n").alias("n")).orderBy("_block").collect()  # a row a hundred thousand devices
+        starts, held = [], 0
+        for r in blocks:
+            starts.append((r["_block"], held))
+            held += r.n
+        offset = F.broadcast(rows.sparkSession.createDataFrame(starts, "_block long, _held long"))
+        counts = ranked.withColumn("_before", before).join(offset, "_block").where(F.col("_before") + F.col("_held") < sample)
+    return rows.join(counts.select("device_id"), "device_id", "left_semi")
+
+
+def day_matrices(readings: DataFrame, least: int = MATRIX_HOURS) -> DataFrame:
+    """device_id, day, v: the sum of each hour of days with ``least`` hours or more; hours without readings are 0."""
+    hours = readings.groupBy("device_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(F.sum("kwh").alias("kwh"))
+    days = hours.groupBy("device_id", "day").agg(F.count("kwh").alias("_n"), *[F.coalesce(F.max(F.when(F.col("hour") == h, F.col("kwh"))), F.lit(0.0)).alias(f"h{h}") for h in range(24)])
+    return days.where(F.col("_n") >= least).select("device_id", "day", F.array(*[f"h{h}" for h in range(24)]).alias("v"))
 
 
 def dense_ids(df: DataFrame, name: str, as_: str) -> DataFrame:
-    """Codes 1, 2, ... of the sorted distinct names; only the distinct names are ranked."""
-    from pyspark.sql.window import Window
+    """Codes 1, 2, ... of the sorted distinct names, numbered range by range."""
+    from ampflow.functions.ranks import numbered
 
-    names = df.select(name).distinct().withColumn(as_, F.row_number().over(Window.orderBy(name)).cast("long"))
-    return df.join(names, name)
+    names = numbered(df.select(name).distinct(), name, name=as_)
+    return df.join(names.withColumn(as_, F.col(as_).cast("long")), name)
 
 
 def household_ids(df: DataFrame, name: str = "household") -> DataFrame:

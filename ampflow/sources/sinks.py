@@ -70,6 +70,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")  # one machine: no shared folder is named
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -77,6 +79,19 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A text as a table of one row, which any Hadoop file system holds."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What ``write_text`` wrote; None if there is nothing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
 class ModelStore:
     """Versioned models of one horizon under a folder that Spark can write: candidates, promoted ones, a pointer.
 
@@ -87,13 +102,11 @@ class ModelStore:
         self.spark, self.root = spark, f"{root.rstrip('/')}/{horizon}"
 
     def _read(self, path: str) -> dict | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        text = read_text(self.spark, path)
+        return None if text is None else json.loads(text)
 
     def _write(self, path: str, what: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(what, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        write_text(self.spark, path, json.dumps(what, default=str))
 
     def _versions(self, kind: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm

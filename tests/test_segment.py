@@ -52,7 +52,7 @@ def slow_adaptive(p, days=None, weights=None):
     for b in range(1, 24):
         left, right = v[max(0, b - 3) : b], v[b : b + 3]
         s = (abs(right.mean() - left.mean()) + abs(slope(right) - slope(left))) / noise(v)
-        agree = 1.0
+        agree = 0.5
         if days is not None and len(days) >= 2:
             ds = np.array([d[b : b + 3].mean() - d[max(0, b - 3) : b].mean() for d in days])
             ok = ~np.isnan(ds)
