@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ampflow.functions.numeric import let
-from ampflow.schema import HOURS, SEG, SEGMENTS
+from ampflow.schema import HOURS, SEG, SEGMENTS, check
 from ampflow.sources.sinks import settled
 
 SHORTEST, LONGEST, DAY = 4, 7, 24
@@ -50,6 +50,13 @@ def segment_columns(b1: Column, b2: Column, b3: Column) -> dict[str, Column]:
     return out | {f"{s}_hours": (starts[k + 1] - starts[k]).cast("int") for k, s in enumerate(SEG)}
 
 
+def check_cuts(rows: DataFrame, cut: str = "cut") -> DataFrame:
+    """``rows``, if every cut gives four segments of ``SHORTEST`` to ``LONGEST`` hours."""
+    edges = [F.lit(0), *[F.col(f"{cut}.b{i}") for i in (1, 2, 3)], F.lit(DAY)]
+    fits = [(b - a).between(SHORTEST, LONGEST) for a, b in zip(edges, edges[1:])]
+    return check(rows, bad_cut=~F.coalesce(fits[0] & fits[1] & fits[2] & fits[3], F.lit(False)))
+
+
 def held(array: Column) -> Column:
     """An array as one value: later uses of its items do not copy the expressions behind them."""
     return F.transform(array, lambda x: x)

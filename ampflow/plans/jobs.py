@@ -15,6 +15,7 @@ from ampflow.functions.calendar import jalali, next_jalali_month, next_week
 from ampflow.operators import clean, cluster, evaluate, models, segment
 from ampflow.operators import features as feats
 from ampflow.schema import HOURS, SEG, no_leakage
+from ampflow.sources.sinks import settled
 
 #: Days that actuals are filled in for, back from yesterday.
 BACKFILL = 90
@@ -216,3 +217,11 @@ def benchmark(daily: DataFrame, horizons: tuple[int, ...] = (1, 2, 3), algorithm
             row = evaluate.measure(made, "target", "p").select(F.lit(arm).alias("arm"), F.lit(h).alias("horizon"), F.lit(mode).alias("mode"), F.lit(algorithm).alias("algorithm"), "*")
             out = row if out is None else out.unionByName(row)
     return out
+
+
+def two_arms(readings: DataFrame, train_share: float = 0.8, window_days: int = segment.WINDOW_DAYS, **kw) -> DataFrame:
+    """``benchmark`` of daily totals by frozen Jenks cuts and by adaptive ones, over the device-days that both have."""
+    frozen = settled(segment.jenks_daily(readings, train_share), "arm-jenks")
+    moving = settled(segment.adaptive_daily(readings, window_days), "arm-adaptive")
+    frozen = frozen.join(moving.select("device_id", "day"), ["device_id", "day"], "left_semi")
+    return benchmark(frozen, arm="jenks", **kw).unionByName(benchmark(moving, arm="adaptive", **kw))

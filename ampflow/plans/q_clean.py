@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ampflow.functions import calendar as cal
-from ampflow.operators import clean
+from ampflow.operators import clean, lookups
 from ampflow.plans.adapters import d_sql, daily, meter, plain, r_sql, readings, sql, table
 from ampflow.sources import readers, sinks
 
@@ -38,20 +38,16 @@ def _day_rows(s, d):
 
 _add("device_day_rows", _day_rows, M + "SELECT id, hour(created_at - INTERVAL 1 HOUR) AS hour, power_W / 1000.0 AS kwh FROM m WHERE device_id = 1 AND created_at >= TIMESTAMP '2024-01-10 01:00:00' AND created_at < TIMESTAMP '2024-01-11 01:00:00'", doubles="kwh", ints="hour")
 _add("recent_window", lambda s, d: readers.recent(readings(s, d), F.lit("2024-01-20").cast("date"), 7), R + "SELECT device_id, ts, kwh FROM r WHERE ts >= DATE '2024-01-14' AND ts < DATE '2024-01-21'", doubles="kwh", texts="ts")
-_add("devices_distinct", lambda s, d: readings(s, d, None).select("device_id").distinct(), "SELECT DISTINCT user_id AS device_id FROM events")
-_add("device_first_last_day", lambda s, d: meter(s, d).groupBy("device_id").agg(F.to_date(readers.start_of_hour(F.min("created_at"))).alias("first_day"), F.to_date(readers.start_of_hour(F.max("created_at"))).alias("last_day")), M + "SELECT device_id, CAST(min(created_at) - INTERVAL 1 HOUR AS DATE) AS first_day, CAST(max(created_at) - INTERVAL 1 HOUR AS DATE) AS last_day FROM m GROUP BY 1", texts="first_day last_day")
-_add("actual_dates_between", lambda s, d: _orders(s, d).where(F.to_date("generated_at").between("1996-01-01", "1996-06-30")).select("device_id", F.to_date("generated_at").alias("day")).distinct(), O + "SELECT DISTINCT device_id, CAST(generated_at AS DATE) AS day FROM o WHERE CAST(generated_at AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'", texts="day")
+_add("devices_distinct", lambda s, d: lookups.devices(readings(s, d, None)), "SELECT DISTINCT user_id AS device_id FROM events")
+_add("device_first_last_day", lambda s, d: lookups.first_last_day(meter(s, d)), M + "SELECT device_id, CAST(min(created_at) - INTERVAL 1 HOUR AS DATE) AS first_day, CAST(max(created_at) - INTERVAL 1 HOUR AS DATE) AS last_day FROM m GROUP BY 1", texts="first_day last_day")
+_add("actual_dates_between", lambda s, d: lookups.days_between(_orders(s, d), "1996-01-01", "1996-06-30", "generated_at"), O + "SELECT DISTINCT device_id, CAST(generated_at AS DATE) AS day FROM o WHERE CAST(generated_at AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'", texts="day")
 
 
-def _latest_ties(s, d):
-    o = _orders(s, d)
-    top = o.groupBy("device_id").agg(F.max("generated_at").alias("generated_at"))
-    return o.join(top, ["device_id", "generated_at"])
-
-
-_add("latest_per_device_ties", _latest_ties, O + "SELECT device_id, generated_at, value, id FROM o WHERE (device_id, generated_at) IN (SELECT device_id, max(generated_at) FROM o GROUP BY 1)", doubles="value", texts="generated_at")
-_add("top1_latest", lambda s, d: _orders(s, d).orderBy(F.desc("generated_at"), F.desc("id")).limit(1), O + "SELECT device_id, generated_at, value, id FROM o ORDER BY generated_at DESC, id DESC LIMIT 1", doubles="value", texts="generated_at")
-_add("point_lookup", lambda s, d: _orders(s, d).where("device_id = 7").orderBy("id").limit(1), O + "SELECT device_id, generated_at, value, id FROM o WHERE device_id = 7 ORDER BY id LIMIT 1", doubles="value", texts="generated_at")
+_add("latest_per_device_ties", lambda s, d: lookups.latest_per_device(_orders(s, d), "generated_at"), O + "SELECT device_id, generated_at, value, id FROM o WHERE (device_id, generated_at) IN (SELECT device_id, max(generated_at) FROM o GROUP BY 1)", doubles="value", texts="generated_at")
+_add("top1_latest", lambda s, d: lookups.latest(_orders(s, d), "generated_at", "id"), O + "SELECT device_id, generated_at, value, id FROM o ORDER BY generated_at DESC, id DESC LIMIT 1", doubles="value", texts="generated_at")
+_add("point_lookup", lambda s, d: lookups.result(sinks.newest(_orders(s, d), ["device_id"], "generated_at", "id"), 7), O + "SELECT device_id, generated_at, value, id FROM o WHERE device_id = 7 ORDER BY generated_at DESC, id DESC LIMIT 1", doubles="value", texts="generated_at")
+#: A device and a day that every size of the table has.
+_add("period_lookup", lambda s, d: lookups.result(daily(s, d, "l_linenumber").select("device_id", "day", "seg0"), 1, F.lit("1996-06-03").cast("date"), "day"), f"WITH d AS ({d_sql('l_linenumber')}) SELECT device_id, day, seg0 FROM d WHERE device_id = 1 AND day = DATE '1996-06-03'", doubles="seg0", texts="day")
 _add("keep_last", lambda s, d: sinks.newest(_orders(s, d), ["device_id"], "generated_at", "id"), O + "SELECT device_id, generated_at, value, id FROM o QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY generated_at DESC, id DESC) = 1", doubles="value", texts="generated_at")
 
 

@@ -51,7 +51,7 @@ def check_daily(daily: DataFrame) -> DataFrame:
     """Segment totals neither null nor negative, one row a device and day, hours that make up a day."""
     require(daily, ["device_id", "day", *SEG])
     rules = {"no_day": F.col("day").isNull(), "no_device": F.col("device_id").isNull()}
-    rules |= {f"bad_{s}": F.col(s).isNull() | (F.col(s) < 0) | F.isnan(s) for s in SEG}
+    rules |= {f"bad_{s}": F.col(s).isNull() | (F.col(s) < 0) | F.isnan(s) | (F.col(s) == float("inf")) for s in SEG}
     if f"{SEG[0]}_start" in daily.columns:
         rules |= {f"bad_{s}_time": ~F.col(f"{s}_start").between(0, 23) | ~F.col(f"{s}_hours").between(1, 24) for s in SEG}
     check(daily, **rules)
