@@ -320,10 +320,7 @@ def sketch(text: str | None, width: int = NEAR_WIDTH) -> tuple[int, int, list[in
     low = np.full(SAMPLES * SAMPLE_SIZE, np.iinfo(np.uint64).max, np.uint64)
     turn, step = _mixed(len(low), 11), _mixed(len(low), 12)
     for a in range(0, len(hashes), 1024):
-        x = hashes[a : a + 1024, None] * turn + step
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        low = np.minimum(low, x.min(0))
+        low = np.minimum(low, (hashes[a : a + 1024, None] * turn + step).min(0))  # the hashes are random: a product orders them anew
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(SAMPLES, -1))]
     signed = [k - ((k >> 63) << 64) for k in (xxhash.xxh64_intdigest(hashes.tobytes()), *keys)]
     return signed[0], int(fingerprints([text], width)[0]), signed[1:]
