@@ -335,8 +335,9 @@ def share(a: str | None, b: str | None, width: int = NEAR_WIDTH) -> float:
 def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Verified links (a, b, cell) among texts of a cell, each compared with leaders of its cell.
 
-    In a round every cell has leaders, four times as many as the round before
-    (at first one); texts that are linked to one, and the leaders, leave the cell.
+    In a round every cell has leaders, twice as many as the round before
+    (at first one): the texts that share cells with the most others, as the common
+    source of edits does, so that few of its edits are left after the first round; texts that are linked to one, and the leaders, leave the cell.
     It ends when no cell has two texts left.
     """
 
@@ -346,12 +347,13 @@ def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> Data
 
     links, turn = None, 0
     while True:
-        counts = cells.groupBy("cell").count().where("count > 1").select("cell")
-        cells = saved(cells.join(counts, "cell", "left_semi"), "cells")
+        counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        cells = saved(cells.select("cell", "a").join(counts, "cell"), "cells")
         if cells.isEmpty():
             return links
-        part = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(4**turn))
-        leaders = saved(cells.groupBy("cell", part.alias("part")).agg(F.min("a").alias("b")).select("cell", "b"), "leaders")
+        part = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2**turn))
+        degree = cells.groupBy("a").agg(F.sum("n").alias("degree"))
+        leaders = saved(cells.join(degree, "a").groupBy("cell", part.alias("part")).agg(F.max_by("a", F.struct("degree", "a")).alias("b")).select("cell", "b"), "leaders")
         tried = cells.join(leaders, "cell").where("a <> b")
         edges = saved(tried.select("a", "b").distinct(), "tried")
         heavy = edges.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
