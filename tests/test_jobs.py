@@ -182,7 +182,7 @@ def table_model():
 
 
 def test_single_trainer_and_validation(spark, tmp_path):
-    table = features.build(daily(spark, 3, 130), history=14)
+    table = daily(spark, 2, 130).select("device_id", "day", *[F.col(x).alias(f"x{i}") for i, x in enumerate(SEG)], *[(F.col(x) * 2).alias(f"target_{x}") for x in SEG]).cache()
     model, scores = cycle.train_single(table, "linear", str(tmp_path / "m"))
     assert set(scores) == {"train", "valid", "test"} and scores["test"]["overall"]["r2"] > 0.5 and model.inputs
     out = cycle.validate(table, "linear", str(tmp_path / "v"))
