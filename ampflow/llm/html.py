@@ -7,8 +7,16 @@ and are indented, table cells are aligned in columns, preformatted text keeps
 its spaces.
 
 A null page gives a null text, an empty one an empty text.  Markup that never
-ends is text, as is a ``<`` that opens no tag.  Nothing recurses, so depth is
-not limited.
+ends is text, as is a ``<`` that opens no tag.  Repeated rows give repeated
+rows, an empty table an empty one.  Nothing recurses, and where open elements
+stand is kept by their names, so work is linear in a page whatever its depth;
+only the lines of tables within tables are laid out once a level.
+
+Unseen are elements that show nothing by their kind, ``hidden`` ones, and those
+that ``display: none`` or ``visibility`` hides, by their own style or by a style
+sheet's rules for a tag, a class or an id (or a tag with one); ``visibility`` is
+inherited, so a visible child of a hidden element is seen.  Rules under
+conditions (``@media``) and with longer selectors are not applied.
 """
 
 from __future__ import annotations
@@ -45,9 +53,17 @@ IMPLIED = {
     "body": (("head",), ("html",)),
 }
 _WALLS = frozenset(["td", "th", "caption", "table"])
+#: End tags that reach beyond a wall.
+_PASSING = frozenset("table tr tbody thead tfoot body html".split())
 _TAG = re.compile(r"""<!--.*?-->|<!--.*\Z|<[!?][^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_NOTES = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])(-?[_a-z][\w-]*))?\Z", re.I)
+#: Columns to which lists indent and to which a table's column is widened, at most: longer cells push what follows to the right.
+DEEP, WIDE = 80, 100
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -62,19 +78,24 @@ def parse(page: str) -> Node:
     """The tree of a page: nodes and, among their children, strings."""
     root = Node("#root", {})
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of each tag: where it is open in the stack
+
+    def last(tags: tuple[str, ...] | frozenset) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(upto: int) -> None:
+        for node in stack[upto:]:
+            places[node.tag].pop()
         del stack[upto:]
 
     def end(kinds: tuple[str, ...], stop: tuple[str, ...] | frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in kinds:
-                return close(i)
-            if stack[i].tag in stop:
-                return None
+        found = last(kinds)
+        if found > last(stop):
+            close(found)
 
     def put(node: Node) -> None:
         stack[-1].children.append(node)
+        places.setdefault(node.tag, []).append(len(stack))
         stack.append(node)
 
     size = len(page)
@@ -88,17 +109,11 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in _WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
-            else:
-                if tag == "p":
-                    stack[-1].children.append(Node("p", {}))
-                elif tag == "br":
-                    stack[-1].children.append(Node("br", {}))
+            found, wall = last((tag,)), 0 if tag in _PASSING else last(_WALLS)
+            if found and found >= wall:
+                close(found)
+            elif not wall and tag in ("p", "br"):
+                stack[-1].children.append(Node(tag, {}))
         elif m[2]:
             tag = m[2].lower()
             attrs = {a.lower(): html.unescape(v.strip("\"'")) for a, v in _ATTR.findall(m[3])} if m[3] else {}
@@ -108,7 +123,7 @@ def parse(page: str) -> Node:
                 close(len(stack) - 1)
             if tag in IMPLIED:
                 end(*IMPLIED[tag])
-            if tag in ("td", "th") and stack[-1].tag != "tr" and any(x.tag == "table" for x in stack):
+            if tag in ("td", "th") and stack[-1].tag != "tr" and places.get("table"):
                 put(Node("tr", {}))
             if tag in VOID:
                 stack[-1].children.append(Node(tag, attrs))
@@ -124,16 +139,49 @@ def parse(page: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    """Whether an element is seen, going by itself."""
-    if node.tag in UNSEEN:
+def _declared(style: str) -> dict[str, str]:
+    return {k.lower(): v.lower() for k, v in _STYLE.findall(style)}
+
+
+def sheet(root: Node) -> dict[tuple[str, str, str], dict[str, str]]:
+    """What a page's style elements say of display and visibility: (tag, ``.`` or ``#``, name) to declarations."""
+    out: dict[tuple[str, str, str], dict[str, str]] = {}
+    work: list = [root]
+    while work:
+        node = work.pop()
+        if node.tag == "style":
+            rules = _AT_RULE.sub("", _NOTES.sub("", "".join(node.children)))
+            for selectors, body in _RULE.findall(rules):
+                said = _declared(body)
+                for one in selectors.split(",") if said else ():
+                    m = _SIMPLE.match(one.strip())
+                    if m and m[0]:
+                        out.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(said)
+        else:
+            work.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    return out
+
+
+def styled(node: Node, rules: dict) -> dict[str, str]:
+    """An element's display and visibility, as far as they are set: by its tag, then classes, then id, then itself."""
+    a, out = node.attrs, {}
+    if rules:
+        names = [("", "")] + [(".", c) for c in a.get("class", "").split()] + [("#", a.get("id", ""))]
+        for sign, name in names:
+            for tag in ("", node.tag):
+                out.update(rules.get((tag, sign, name), {}))
+    if "style" in a:
+        out.update(_declared(a["style"]))
+    return out
+
+
+def visible(node: Node, style: dict[str, str]) -> bool:
+    """Whether an element takes part in the page, going by itself."""
+    if node.tag in UNSEEN or style.get("display") == "none":
         return False
     a = node.attrs
-    if a:
-        if "hidden" in a or ("style" in a and _HIDING.search(a["style"])):
-            return False
-        if node.tag == "input" and a.get("type", "").lower() == "hidden":
-            return False
+    if "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
+        return False
     return not (node.tag == "dialog" and "open" not in a)
 
 
@@ -160,34 +208,57 @@ class _Page:
         self.gap = 0
         self.lines.append(f"{self.indent}{self.bullet}{line}".rstrip())
         if self.bullet:
-            self.indent += " " * len(self.bullet)
+            self.deepen(len(self.bullet))
             self.bullet = ""
 
-
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines of a cell, columns it spans) with their columns aligned."""
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max([width.get(at, 0), *map(len, lines)])
-            at += span
+    def deepen(self, columns: int) -> None:
+        self.indent = " " * min(len(self.indent) + columns, DEEP)
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines of a cell, columns and rows it spans) with their columns aligned."""
+    placed, width = [], {}
+    taken: dict[int, tuple[int, int]] = {}  # first column of a cell that spans rows: the row after it, its columns
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, across, down in row:
+            while taken.get(at, (0, 0))[0] > r:
+                at += taken[at][1]
+            width[at] = max([width.get(at, 0), *(min(len(x), WIDE) for x in lines if across == 1)])
+            if down > 1:
+                taken[at] = (r + down, across)
+            cells.append((at, lines))
+            at += across
+        placed.append(cells)
+    start, x = {}, 0
+    for column in sorted(width):
+        start[column] = x
+        x += width[column] + 2
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
-    return [x for x in out if x]
+    for cells in placed:
+        for i in range(max((len(lines) for _, lines in cells), default=0)):
+            parts, size = [], 0
+            for at, lines in cells:
+                if i < len(lines) and lines[i]:
+                    pad = max(start[at] - size, 2 if size else 0)
+                    parts += [" " * pad, lines[i]]
+                    size += pad + len(lines[i])
+            out.append("".join(parts))
+    return out
+
 
+def _span(node: Node, name: str, most: int) -> int:
+    """Columns or rows that a cell spans; no rows said to be 0 means all that follow."""
+    said = node.attrs.get(name, "1").strip()
+    if not (said.isascii() and said.isdigit() and len(said) < 6):
+        return 1
+    return most if name == "rowspan" and int(said) == 0 else min(max(int(said), 1), most)
 
-def _span(node: Node) -> int:
-    said = node.attrs.get("colspan", "1").strip()
-    return min(max(int(said), 1), 1000) if said.isascii() and said.isdigit() and len(said) < 6 else 1
+
+def _trimmed(lines: list[str]) -> list[str]:
+    """Without empty lines at either end."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    return lines[full[0] : full[-1] + 1] if full else []
 
 
 def render(root: Node) -> str:
@@ -198,10 +269,14 @@ def render(root: Node) -> str:
     lists: list[int | None] = []  # next number of open lists; None for bullets
     indents: list[str] = []
     pre = 0
+    rules = sheet(root)
+    shown = [True]  # by visibility, which is inherited
     work: list = [(root, False)]
     while work:
         node, leaving = work.pop()
         if isinstance(node, str):
+            if not shown[-1]:
+                continue
             if pre:
                 first, *rest = node.split("\n")
                 page.text.append(first)
@@ -213,14 +288,17 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            style = styled(node, rules)
+            if not visible(node, style):
                 continue
             if tag == "br":
-                if _SPACE.sub("", "".join(page.text)):
+                if shown[-1]:
                     page.flush()
                 continue
             if tag in VOID and tag != "hr":
                 continue
+            seen = style.get("visibility")
+            shown.append(seen == "visible" if seen in ("visible", "hidden", "collapse") else shown[-1])
             if tag in ("td", "th") and tables:
                 page.flush()
                 pages.append(page)
@@ -243,7 +321,7 @@ def render(root: Node) -> str:
                     page.bullet = "- "
             elif tag in ("dd", "blockquote"):
                 indents.append(page.indent)
-                page.indent += "  "
+                page.deepen(2)
             elif tag == "pre":
                 pre += 1
             work.append((node, True))
@@ -252,6 +330,7 @@ def render(root: Node) -> str:
                 if not shut or isinstance(child, Node) and child.tag == "summary":
                     work.append((child, False) if isinstance(child, Node) else (child, None))
             continue
+        shown.pop()
         if tag == "pre":
             pre -= 1
             if page.text and "".join(page.text).strip():
@@ -260,11 +339,11 @@ def render(root: Node) -> str:
             page.gap = max(page.gap, 1)
         elif tag in ("td", "th") and tables:
             page.flush()
-            lines = [x for x in page.lines if x]
+            lines = _trimmed(page.lines)
             page = pages.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((lines, _span(node)))
+            tables[-1][-1].append((lines, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
         elif tag in BLOCKS:
             page.flush()
             if tag == "table":

@@ -5,8 +5,11 @@ import bz2
 import gzip
 import random
 import re
+import time
 import urllib.parse
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -200,6 +203,11 @@ def test_secret_table(docs, corpus, nothing, nulls):
         ("", ""),
         ("<div>" * 5000 + "deep", "deep"),
         ("<!-- never ends", ""),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+        ("<table><tr><td><p>A<p>B<td>b</table>tail", "A  b\n\nB\n\ntail"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
+        ("<style>.h, p.x {display:none} @media print{b{display:none}} #q{visibility:hidden}</style><i class='a h'>1</i><b>2</b><p class=x>3</p><div id=q>4</div>", "2"),
+        ("<div style='display:none'>no<b style='display:inline'>no</b></div>yes", "yes"),
     ],
 )
 def test_html_layout(page, text):
@@ -211,6 +219,52 @@ def test_html_table(spark):
     assert sorted(((r.page_id, r.text) for r in html.extract_text(pages).collect()), key=str) == sorted([(1, "a"), (1, "a"), (2, None), (None, "")], key=str)
 
 
+def test_html_depth_is_linear():
+    began = time.time()
+    assert html.extract("<p>a" + "<div>" * 100_000 + "x") == "a\n\nx"
+    assert html.extract(" <br>" * 100_000 + "x") == "x"
+    assert time.time() - began < 30
+
+
+class Seen(HTMLParser):
+    """The words of a page outside elements that show nothing, without layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        said = dict(attrs)
+        hidden = tag in ("head", "script", "style", "noscript", "template", "svg") or "hidden" in said or "none" in (said.get("style") or "")
+        if (hidden or self.inside) and tag not in html.VOID:
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.words.append(data)
+
+
+def test_html_words_are_those_of_another_parser(spark):
+    rows = html.extract_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).alias("t").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").alias("p"), "page_id").collect()
+    assert rows
+    for r in rows:
+        other = Seen()
+        other.feed(r.html)
+        other.close()
+        ours, theirs = (Counter("".join(x.split())) for x in (r.text, "".join(other.words)))
+        assert not theirs - ours and set(ours - theirs) <= set("-.0123456789"), r.page_id  # bullets and numbers of lists
+
+
+def test_html_extra_columns_and_no_rows(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "x", "y")], "page_id long, html string, text string, n_chars string")
+    assert [tuple(r) for r in html.extract_text(pages).collect()] == [(1, "a")]
+    assert html.extract_text(pages.where("page_id > 1")).count() == 0
+
+
 # Lines --------------------------------------------------------------------
 
 
