@@ -51,6 +51,22 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
+def line_key(own: list[bytes]) -> int:
+    """Hash of a line's words: the line in lower case, with single spaces."""
+    key = xxhash.xxh3_64_intdigest(b" ".join(own).decode("utf-8", "replace").lower())
+    return key - ((key >> 63) << 64)
+
+
+def without(text: str | None, keys: list[int] | None) -> str:
+    """The text without lines of these keys; lines without words stay."""
+    out, gone = [], set(() if keys is None else keys)
+    for line in (text or "").split("\n"):
+        own = line.encode("utf-8", "replace").split()
+        if not own or line_key(own) not in gone:
+            out.append(line)
+    return "\n".join(out)
+
+
 def measure(text: str | None) -> tuple:
     """The base counts, and of each distinct normalised line its hash and words."""
     text = text or ""
@@ -66,16 +82,15 @@ def measure(text: str | None) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        key = xxhash.xxh3_64_intdigest(b" ".join(own).decode("utf-8", "replace").lower())
-        key -= (key >> 63) << 64
+        key = line_key(own)
         lines[key] = lines.get(key, 0) + len(own)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
     return len(words), chars, symbols, dup, repeated_words(words), list(lines), list(lines.values())
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, source, text) to its measures, a row each, with a row_id; stored."""
+def profile(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs`` (doc_id, source, text) to its measures and columns ``more``, a row each, with a row_id; stored."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(_STATS)
@@ -83,7 +98,7 @@ def profile(docs: DataFrame) -> DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=[c.split()[0] for c in _STATS.split(", ")])
 
     host = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    return saved(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", host.alias("host"), run("text").alias("s")).select("row_id", "doc_id", "host", "s.*"), "line-profile")
+    return saved(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", host.alias("host"), *more, run("text").alias("s")).select("row_id", "doc_id", "host", *more, "s.*"), "line-profile")
 
 
 def boilerplate(lines: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
@@ -93,38 +108,31 @@ def boilerplate(lines: DataFrame, rows: DataFrame, min_docs: int = MIN_DOCS, sha
     return counts.join(hosts, "host").where((F.col("docs") > many) | (F.col("docs") > min_docs) & (F.col("docs") > share * F.col("host_docs"))).select("host", "hash")
 
 
-def rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
-    """``docs`` (doc_id, source, text) to the base counts, removed_words, base_failed, kept."""
-    rows = profile(docs)
+def _judged(rows: DataFrame, min_docs: int, share: float, many: int, *gathered) -> DataFrame:
+    """``rows`` of a profile with removed_words, base_failed, kept, and what is ``gathered`` of each row's removed lines."""
     lines = rows.select("row_id", "host", F.explode(F.arrays_zip("hashes", "line_words")).alias("l")).select("row_id", "host", F.col("l.hashes").alias("hash"), F.col("l.line_words").alias("words"))
     common = boilerplate(lines, rows, min_docs, share, many)
-    removed = lines.join(common, ["host", "hash"], "left_semi").groupBy("row_id").agg(F.sum("words").alias("removed_words"))
+    removed = lines.join(common, ["host", "hash"], "left_semi").groupBy("row_id").agg(F.sum("words").alias("removed_words"), *gathered)
     out = rows.drop("hashes", "line_words").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     depleted = 2 * F.col("removed_words") > F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("row_id", "host")
 
 
-def without_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
-    """``docs`` (doc_id, source, text) to doc_id, text without the lines above the limits; depleted documents go."""
-    rows = profile(docs)
-    lines = rows.select("host", F.explode("hashes").alias("hash"))
-    common = boilerplate(lines, rows, min_docs, share, many)
-    keyed = docs.select("doc_id", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("host"), "text")
+def rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """``docs`` (doc_id, source, text) to the base counts, removed_words, base_failed, kept."""
+    return _judged(profile(docs), min_docs, share, many)
+
 
-    @F.pandas_udf("array<long>")
-    def keys(texts: pd.Series) -> pd.Series:
-        def of(line: str) -> int:
-            key = xxhash.xxh3_64_intdigest(" ".join(line.split()).lower())
-            return key - ((key >> 63) << 64)
+def without_boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
+    """``docs`` (doc_id, source, text) to doc_id, text without the lines above the limits; documents that ``rules`` does not keep go."""
+    judged = _judged(profile(docs, "text"), min_docs, share, many, F.collect_set("hash").alias("gone"))  # no more than a document's own lines
 
-        return pd.Series([[of(x) for x in (t or "").split("\n")] for t in texts])
+    @F.pandas_udf("string")
+    def strip(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([without(t, g) for t, g in zip(texts, gone)], dtype=object)
 
-    split = keyed.withColumn("row_id", F.monotonically_increasing_id()).withColumn("keys", keys("text"))
-    parts = split.select("doc_id", "row_id", "host", F.posexplode(F.arrays_zip(F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("line"), F.col("keys").alias("hash"))).alias("at", "l"))
-    kept = parts.select("doc_id", "row_id", "host", "at", "l.line", "l.hash").join(common, ["host", "hash"], "left_anti")
-    whole = kept.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return whole.select("doc_id", "text").where(F.size(F.split(F.trim("text"), "\\s+")) >= MIN_WORDS)
+    return judged.where("kept").select("doc_id", strip("text", "gone").alias("text"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
