@@ -12,7 +12,8 @@ Lists and the queries that read them are cut into blocks of bounded size by
 their counts, so a vector that a third of the rows share is no hot task.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take
-no part; nor do those of another length than most.  A vec_id counts once in a
+no part.  Only vectors of one length have a distance, so each length is searched
+apart, with an index of its own.  A vec_id counts once in a
 result; null ids take no part.  Ties go to the smaller vec_id.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ampflow.llm.common import saved
+
 #: Vectors to learn from, at most, taken by the hash of their id.
 SAMPLE = 10_000
 #: Lists at most; below that, about the root of the number of vectors.
@@ -108,9 +112,7 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """(vec_id, v: array of floats) of the vectors that take part."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).where("vec_id is not null and size(v) > 0")
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = rows.where(F.coalesce(fine, F.lit(False)))
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual[0] if usual else 0))
+    return rows.where(F.coalesce(fine, F.lit(False)))
 
 
 def _matrix(column) -> np.ndarray:
@@ -143,13 +145,25 @@ def _measure(own: Index, at: int, ids: np.ndarray, v: np.ndarray, codes: np.ndar
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank, vec_id, score.
 
-    ``vectors`` and ``queries`` are (vec_id, v) as ``valid`` gives them.
+    ``vectors`` and ``queries`` are (vec_id, v) as ``valid`` gives them.  An id
+    that repeats counts once as a candidate, by its nearest vector; of a query's
+    vectors the first in order asks.
     """
     spark = vectors.sparkSession
-    total = vectors.count()
-    sample = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"])
-    if not total:
+    asking = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    lengths = vectors.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # a row a length of vectors: a few
+    found = [_found(vectors.where(F.size("v") == r.n), asking.where(F.size("v") == r.n), r["count"], k) for r in lengths]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    once = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(vectors: DataFrame, asking: DataFrame, total: int, k: int) -> DataFrame:
+    """Of ``total`` vectors of one length: the nearest that each block read finds, a query's among them."""
+    spark = vectors.sparkSession
+    sample = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"])
     index = spark.sparkContext.broadcast(learn(sample, min(MAX_LISTS, round(math.sqrt(total)))))
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +173,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 own = _nearest(x, index.value.centers)
                 yield pd.DataFrame({"list": own, "vec_id": rows["vec_id"], "codes": [c.tobytes() for c in index.value.codes(x, own)], "v": rows["v"]})
 
-    filed = vectors.mapInPandas(file, "list int, vec_id long, codes binary, v array<float>")
+    kind = vectors.schema["v"].dataType.simpleString()
+    filed = saved(vectors.mapInPandas(file, f"list int, vec_id long, codes binary, v {kind}"), "filed")
     sizes = filed.groupBy("list").agg(F.count("*").alias("n")).collect()  # a row a list: MAX_LISTS at most
     count = np.zeros(len(index.value.centers), np.int64)
     for r in sizes:
@@ -177,7 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             pairs = [(int(c), i) for i in range(len(x)) for c in order[i, : take[i]] if count[c]]
             yield pd.DataFrame({"list": [c for c, _ in pairs], "query_id": rows["vec_id"].to_numpy()[[i for _, i in pairs]], "q": [rows["v"].iloc[i] for _, i in pairs]})
 
-    asked = queries.dropDuplicates(["vec_id"]).mapInPandas(probe, "list int, query_id long, q array<float>")
+    asked = asking.mapInPandas(probe, f"list int, query_id long, q {kind}")
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks = spark.createDataFrame([(int(c), -(-int(n) // BLOCK), -(-asks.get(c, 0) // BLOCK)) for c, n in enumerate(count) if n], "list int, vb int, qb int")
     blocks = F.broadcast(blocks)  # MAX_LISTS rows at most
@@ -192,10 +207,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         own, at = index.value, int(rows["list"].iloc[0])
         return _measure(own, at, rows["vec_id"].to_numpy(), _matrix(rows["v"]), codes, asked["query_id"].to_numpy(), _matrix(asked["q"]), 2 * k)
 
-    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(look, FOUND)
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(look, FOUND)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

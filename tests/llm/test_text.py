@@ -302,6 +302,27 @@ def test_boilerplate_is_counted_by_host(spark):
     assert got[100].removed_words == 36 and not got[100].kept
     clean = {r.doc_id: r.text for r in lines.without_boilerplate(docs).collect()}
     assert clean[0] == f"{own} 0" and clean[200].startswith("shared")
+    assert set(clean) == {i for i, r in got.items() if r.kept}
+
+
+def test_both_ways_of_line_rules_know_the_same_lines(spark):
+    own = " ".join(f"w{k}" for k in range(30))
+    rows = [(i, "a", f"no\u00a0break {'here' if i % 2 else 'HERE'}\n\n{own} {i}") for i in range(40)] + [(50, "a", f"no break here\n{own}")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id: r.removed_words for r in lines.rules(docs).collect()} == {i: 2 * (i < 50) for i, *_ in rows}
+    assert {r.doc_id: r.text for r in lines.without_boilerplate(docs).collect()} == {i: f"\n{own} {i}" if i < 50 else t for i, _, t in rows}
+
+
+def test_line_counts_by_hand(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aaab"), "\n".join([" ".join(f"u{i}w{k}" for k in range(25))] + [f"line {rng.randint(0, 6)}  Foot" for _ in range(rng.randint(0, 9))])) for i in range(60)]
+    held = {}
+    for _, host, text in rows:
+        for line in {" ".join(x.split()).lower() for x in text.split("\n")}:
+            held[host, line] = held.get((host, line), 0) + 1
+    want = {i: sum(len(x.split()) for x in text.split("\n") if held[host, " ".join(x.split()).lower()] > 10) for i, host, text in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id: r.removed_words for r in lines.rules(docs).collect()} == want and any(want.values())
 
 
 # Licences -----------------------------------------------------------------
@@ -349,8 +370,27 @@ def test_neighbours_recall_and_edges(spark):
 
 
 def test_few_or_no_vectors(spark):
+    mixed = ann.valid(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0]), (100, [3.0]), (100, [3.0])], "vec_id long, embedding array<double>"))
+    found = ann.search(mixed, mixed.where("pmod(vec_id, 100) = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == [(0, 1, 2, 1.0), (0, 2, 1, 2**0.5), (100, 1, 3, 2.0)]
     few = ann.valid(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>"))
     got = [(r["rank"], r.vec_id) for r in ann.search(few, few.where("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(1, 2), (2, 1)]
     none = few.where("vec_id > 5")
     assert ann.search(none, none).count() == 0
+
+
+def test_recall_on_the_given_vectors(spark):
+    table = ann.valid(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows], float)
+    by = {}
+    for r in ann.search(table, table.where("pmod(vec_id, 100) = 0")).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(by) == {int(i) for i in ids if i % 100 == 0}
+    hits = 0
+    for q, found in by.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(found & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits / (10 * len(by)) >= 0.9
