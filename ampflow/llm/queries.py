@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampflow.llm import ann, bpe, html, language, licenses, lines, packing, quality, secrets, simhash
+from ampflow.llm import ann, bpe, html, language, licenses, lines, packing, quality, runs, secrets, sharding, simhash, whitening
 
 QUERIES = {
     "op1_line_crf_quality": quality.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_nested_secret_scan": secrets.op8,
     "op9_merge_replay_bpe": bpe.op9,
     "op10_sentence_rule_licenses": licenses.op10,
+    "op11_householder_whitening": whitening.op11,
+    "op12_suffix_array_runs": runs.op12,
+    "op13_minimax_shards": sharding.op13,
 }
 
 #: The other operators train models, decode or pack in order; SQL cannot express them.
