@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampflow.functions.ranks import quantiles
+from ampflow.operators.linear import LinearEstimator, LinearModel, Moments, together, with_inputs
 from ampflow.operators.profiles import BASE, CLOCK, behaviour, clock, medians_filled, outliers, robust_scale, robust_scores
 from ampflow.schema import SEG
-from ampflow.sources.sinks import read_text, settled, write_text
+from ampflow.sources.sinks import read_text, save_model, settled, write_text
 
 NO_CLUSTER = -1
 # Groups of features; the features of a group share its weight.
@@ -193,13 +194,18 @@ class Bundle:
     """A model a cluster, and one for all the rest."""
 
     fit: ClusterFit
-    fallback: PipelineModel
-    models: dict[int, PipelineModel]
+    fallback: PipelineModel | LinearModel
+    models: dict[int, PipelineModel | LinearModel]
 
     def predict(self, frame: DataFrame) -> DataFrame:
-        """``frame`` with prediction, cluster and route: a pass a model, each over its own rows."""
-        rows = self.fit.label(frame)
-        known = list(self.models)
+        """``frame`` with prediction, cluster and route: one pass for linear models, else a pass a model over its own rows."""
+        rows, known = self.fit.label(frame), list(self.models)
+        if all(isinstance(m, LinearModel) for m in (self.fallback, *self.models.values())):
+            made, route = self.fallback.column(), F.lit("fallback")
+            for c, m in self.models.items():
+                made = F.when(F.col("cluster") == c, m.column()).otherwise(made)
+                route = F.when(F.col("cluster") == c, f"cluster_{c}").otherwise(route)
+            return with_inputs(rows, self.fallback.inputs).withColumns({"prediction": made, "route": route})
         parts = [self.fallback.transform(rows.where(~F.col("cluster").isin(known)) if known else rows).withColumn("route", F.lit("fallback"))]
         parts += [m.transform(rows.where(F.col("cluster") == c)).withColumn("route", F.lit(f"cluster_{c}")) for c, m in self.models.items()]
         columns = [*rows.columns, "prediction", "route"]
@@ -210,18 +216,19 @@ class Bundle:
 
     def save(self, path: str) -> None:
         """Write the models, and the clusters if there are any, under ``path``."""
-        self.fallback.write().overwrite().save(f"{path}/fallback")
+        save_model(self.fallback, f"{path}/fallback")
         for c, m in self.models.items():
-            m.write().overwrite().save(f"{path}/cluster-{c}")
+            save_model(m, f"{path}/cluster-{c}")
         if self.fit.model is not None:
             self.fit.save(f"{path}/clusters")
-        write_text(SparkSession.active(), f"{path}/bundle", json.dumps({"models": sorted(self.models), "status": self.fit.status, "clusters": self.fit.model is not None}))
+        write_text(SparkSession.active(), f"{path}/bundle", json.dumps({"models": sorted(self.models), "status": self.fit.status, "clusters": self.fit.model is not None, "linear": isinstance(self.fallback, LinearModel)}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bundle:
         facts = json.loads(read_text(spark, f"{path}/bundle"))
         fit_ = ClusterFit.load(spark, f"{path}/clusters") if facts["clusters"] else ClusterFit(facts["status"])
-        return cls(fit_, PipelineModel.load(f"{path}/fallback"), {c: PipelineModel.load(f"{path}/cluster-{c}") for c in facts["models"]})
+        load = (lambda at: LinearModel.load(spark, at)) if facts["linear"] else PipelineModel.load
+        return cls(fit_, load(f"{path}/fallback"), {c: load(f"{path}/cluster-{c}") for c in facts["models"]})
 
     def summary(self) -> dict:
         return {"status": self.fit.status, "k": self.fit.k, "silhouette": self.fit.silhouette, "models": sorted(self.models)}
@@ -231,8 +238,12 @@ def train_bundle(frame: DataFrame, fit_: ClusterFit, build, min_rows: int = 20,
     """Fit ``build()`` (an estimator) on each cluster with ``min_rows`` rows, and on all rows (or the uncovered) as fallback.
 
     Rows that lack one of ``inputs`` do not count; without any row left there is nothing to fit, which is an error.
+    Linear models all come from one pass, by moments of each cluster.
     """
     rows = fit_.label(frame.dropna(subset=inputs) if inputs else frame)
+    kind = build()
+    if isinstance(kind, LinearEstimator):
+        return linear_bundle(fit_, kind, kind.fit_groups(rows, F.col("cluster")), min_rows, uncovered_only)
     sizes = {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()}  # a row a cluster
     if not sizes:
         raise ValueError("no rows with all inputs to train on")
@@ -243,6 +254,15 @@ def train_bundle(frame: DataFrame, fit_: ClusterFit, build, min_rows: int = 20,
     return Bundle(fit_, build().fit(rest), models)
 
 
+def linear_bundle(fit_: ClusterFit, kind: LinearEstimator, found: dict[str, Moments], min_rows: int = 20, uncovered_only: bool = False) -> Bundle:
+    """A bundle from the moments of each cluster (as text); the fallback's are those of all, or of the uncovered if there are any, added up."""
+    if not found:
+        raise ValueError("no rows with all inputs to train on")
+    models = {int(c): kind.solve(m) for c, m in sorted(found.items()) if int(c) != NO_CLUSTER and m.n >= min_rows}
+    rest = [m for c, m in found.items() if int(c) not in models] if uncovered_only else []
+    return Bundle(fit_, kind.solve(together(rest or found.values())), models)
+
+
 def route(daily: DataFrame, fit_: ClusterFit, models: list[int], settings: ClusterSettings = ClusterSettings()) -> DataFrame:
     """device_id, cluster, reason: where each device goes at inference, and why if it is the fallback."""
     devices = daily.groupBy("device_id").agg(F.count_distinct("day").alias("days"))

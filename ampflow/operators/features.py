@@ -180,6 +180,14 @@ def horizon_frame(panel_rows: DataFrame, h: int) -> DataFrame:
     return out.withColumn("target", F.col(f"target{h}")).withColumn("target_ratio", F.col("target") / F.col("scale")).withColumn("naive", F.col(f"lag{8 - h}") * F.col("scale"))
 
 
+def horizon_frames(panel_rows: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """``horizon_frame`` of all ``horizons`` in one, with a column ``horizon``: each row read once, and once more for each horizon it has a target for."""
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.date_add("day", h).alias("target_day"), F.col(f"target{h}").alias("target"), (F.col(f"lag{8 - h}") * F.col("scale")).alias("naive")) for h in horizons])
+    rows = panel_rows.where("ready").select("*", F.inline(F.filter(each, lambda x: x["target"].isNotNull())))
+    flags = {f"dow{d}": (F.weekday("target_day") == d).cast("int") for d in range(7)}
+    return rows.withColumns(flags | {"is_weekend": (F.weekday("target_day") >= 5).cast("int"), "target_ratio": F.col("target") / F.col("scale")})
+
+
 def panel_inputs(frame: DataFrame) -> list[str]:
     """The model's inputs among the columns of a horizon frame, in order."""
     return [c for c in frame.columns if re.fullmatch(r"(lag|mean|std|dow)\d+|share7?_seg\d|log_scale|is_weekend", c)]

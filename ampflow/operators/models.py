@@ -2,50 +2,40 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ampflow.operators import features as feats
+from ampflow.operators import linear, recursion
+from ampflow.operators.linear import LinearEstimator, LinearModel
 from ampflow.operators.segment import segment_columns
-from ampflow.schema import SEG
-from ampflow.sources.sinks import settled
+from ampflow.schema import SEG, SchemaError, no_leakage
+from ampflow.sources.sinks import read_text, save_model, settled, write_text
 
 #: Rows from which a forest's trees see a part of them.
 LARGE = 80_000
 #: Deeper levels hold hardly a row each, and cost a pass over the rows each.
 DEEPEST = 20
-ALGORITHMS = ("ridge", "linear", "random_forest", "boosted")
-
-
-def ridge(label: str, alpha: float, label_std: float, rows: int) -> LinearRegression:
-    """Ridge on standardised inputs with penalty ``alpha`` on the sum of squares.
-
-    Spark's penalty is on the mean of squares of a label in units of its
-    deviation; that is what the factor undoes.
-    """
-    reg = alpha * label_std / max(rows, 1)
-    return LinearRegression(featuresCol="scaled", labelCol=label, solver="normal", regParam=reg, elasticNetParam=0.0, standardization=False)
+LINEAR = ("ridge", "linear")
+ALGORITHMS = (*LINEAR, "random_forest", "boosted")
 
 
-def estimator(algorithm: str, inputs: list[str], label: str, frame: DataFrame | None = None, *, alpha: float = 1.0, trees: int | None = None, depth: int = DEEPEST, seed: int = 42, fast: bool = False) -> Estimator:
-    """A pipeline from input columns to ``prediction``; ``frame``, the training rows, is needed for ridge and the forest.
+def estimator(algorithm: str, inputs: list[str], label: str, frame: DataFrame | None = None, *, alpha: float = 1.0, trees: int | None = None, depth: int = DEEPEST, seed: int = 42, fast: bool = False) -> Estimator | LinearEstimator:
+    """What fits a model from input columns to ``prediction``; ``frame``, the training rows, tells how large a forest is.
 
     A forest has 200 trees on all rows; from ``LARGE`` rows on 100 trees on a quarter
     of them each, with five rows in a leaf; with ``fast`` 40 trees on all rows.
     """
-    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
     if algorithm in ("ridge", "linear"):
-        scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-        std, n = 0.0, 1
-        if algorithm == "ridge":
-            std, n = frame.agg(F.stddev_pop(label), F.count(label)).first()
-            # StandardScaler uses the sample deviation: the penalty is given in its units
-            alpha *= (n - 1) / n if n else 1.0
-        return Pipeline(stages=[assemble, scale, ridge(label, alpha if algorithm == "ridge" else 0.0, std or 0.0, n or 1)])
+        return LinearEstimator(inputs, label, alpha if algorithm == "ridge" else 0.0)
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
     if algorithm == "random_forest":
         large = frame is not None and frame.count() >= LARGE
         count = trees or (40 if fast else 100 if large else 200)
@@ -66,10 +56,19 @@ class SegmentModel:
         self.models: dict[str, PipelineModel] = {}
 
     def fit(self, frame: DataFrame) -> SegmentModel:
+        """Fit on ``frame``; linear models of all four come from one pass, trees from rows assembled and stored once."""
         self.inputs = feats.feature_columns(frame.columns)
-        frame = frame.cache()
-        self.models = {t: estimator(self.algorithm, self.inputs, t, frame, **self.params).fit(frame) for t in feats.TARGETS}
-        frame.unpersist()
+        no_leakage(self.inputs, [])
+        if not self.inputs or set(feats.TARGETS) - set(frame.columns):
+            raise SchemaError("no inputs, or not all four targets")
+        if self.algorithm in LINEAR:
+            self.models = linear.fit(frame, self.inputs, feats.TARGETS, alpha_of(self.algorithm, **self.params))
+            return self
+        rows = frame.select(*self.inputs, *feats.TARGETS).dropna()
+        if rows.isEmpty():
+            raise ValueError("no rows with all inputs to train on")
+        rows = settled(rows, "training")
+        self.models = {t: estimator(self.algorithm, self.inputs, t, rows, **self.params).fit(rows) for t in feats.TARGETS}
         return self
 
     def predict(self, frame: DataFrame) -> DataFrame:
@@ -77,6 +76,8 @@ class SegmentModel:
         missing = sorted(set(self.inputs) - set(frame.columns))
         if missing:
             raise ValueError(f"missing inputs: {missing}")
+        if all(isinstance(m, LinearModel) for m in self.models.values()):
+            return linear.predicted(frame, {t.replace("target", "pred"): m for t, m in self.models.items()}, 0.0)
         keep = list(frame.columns)
         for t, m in self.models.items():
             name = t.replace("target", "pred")
@@ -87,45 +88,55 @@ class SegmentModel:
 
     def importance(self, target: str = "target_seg0") -> list[tuple[str, float]]:
         """Inputs by weight, largest first."""
-        last = self.models[target].stages[-1]
-        values = last.featureImportances if hasattr(last, "featureImportances") else [abs(c) for c in last.coefficients]
+        m = self.models[target]
+        values = abs(m.scaled) if isinstance(m, LinearModel) else m.stages[-1].featureImportances
         return sorted(zip(self.inputs, map(float, values)), key=lambda p: -p[1])
 
     def save(self, path: str) -> None:
         for t, m in self.models.items():
-            m.write().overwrite().save(f"{path}/{t}")
+            save_model(m, f"{path}/{t}")
+        write_text(SparkSession.active(), f"{path}/facts", json.dumps({"algorithm": self.algorithm, "inputs": self.inputs, "params": self.params}))
 
     @classmethod
-    def load(cls, path: str, inputs: list[str], algorithm: str = "ridge") -> SegmentModel:
-        out = cls(algorithm)
-        out.inputs, out.models = inputs, {t: PipelineModel.load(f"{path}/{t}") for t in feats.TARGETS}
+    def load(cls, path: str) -> SegmentModel:
+        facts = json.loads(read_text(SparkSession.active(), f"{path}/facts"))
+        out = cls(facts["algorithm"], **facts["params"])
+        out.inputs, out.models = facts["inputs"], {t: load_model(f"{path}/{t}", facts["algorithm"]) for t in feats.TARGETS}
         return out
 
 
+def load_model(path: str, algorithm: str) -> LinearModel | PipelineModel:
+    """A model of ``estimator`` as ``sinks.save_model`` wrote it."""
+    return LinearModel.load(SparkSession.active(), path) if algorithm in LINEAR else PipelineModel.load(path)
+
+
+def alpha_of(algorithm: str, alpha: float = 1.0, **_) -> float:
+    return alpha if algorithm == "ridge" else 0.0
+
+
 def recursive_forecast(daily: DataFrame, cuts: DataFrame, model: SegmentModel, steps: int = 3, history: int = feats.HISTORY) -> DataFrame:
     """device_id, step, day, seg0 .. seg3 of the next ``steps`` days, each forecast from the ones before it.
 
-    ``cuts`` (device_id, cut) are today's and stay for all steps.  A step adds
-    the coming day as a placeholder with these cuts, builds the features of the
-    latest known day for all devices at once, forecasts, and takes the forecast
-    for known.  Each step is stored, so that the plan of the next does not hold it.
+    ``cuts`` (device_id, cut) are today's and stay for all steps.  History is folded
+    to a state a device; a step takes its inputs from it, forecasts, and advances
+    it by what it forecast.  Linear models take all steps in one pass; trees a
+    pass each over stored states, a row a device.  Devices whose inputs
+    are not complete have no row.
     """
-    last = daily.groupBy("device_id").agg(F.max("day").alias("last")).join(cuts, "device_id")
     times = segment_columns(*[F.col(f"cut.b{i}") for i in (1, 2, 3)])
-    columns = ["device_id", "day", *SEG, *times]
-    known = daily.select(columns)
-    out = None
+    state = recursion.fold(daily).join(cuts.select("device_id", "cut"), "device_id").withColumns({f"next_{n}": c for n, c in times.items()}).drop("cut")
+    ms = [model.models[t] for t in feats.TARGETS]
+    if all(isinstance(m, LinearModel) for m in ms):
+        return recursion.stepped(state, np.array([[m.intercept, *m.weights] for m in ms]), model.inputs, steps, history)
+    known, out = state.columns, None
     for step in range(1, steps + 1):
-        ahead = last.select("device_id", F.date_add("last", step).alias("day"), *[F.lit(0.0).alias(s) for s in SEG], *[c.alias(n) for n, c in times.items()])
-        rows = feats.build(known.unionByName(ahead), targets=False, drop=False, history=history)
-        source = rows.join(last.select("device_id", F.date_add("last", step - 1).alias("day")), ["device_id", "day"], "left_semi")
-        source = settled(source, "forecast-source")  # a row a device
-        made = model.predict(feats.clean(source)).select("device_id", F.date_add("day", 1).alias("day"), *[F.col(f"pred_{s}").alias(s) for s in SEG])
+        rows = recursion.inputs(state, model.inputs, history)
+        held = [f"_{c}" if c in model.inputs else c for c in known]
+        made = model.predict(rows).select(*[F.col(h).alias(c) for h, c in zip(held, known)], *[f"pred_{s}" for s in SEG])
         made = settled(made, "forecast-step")
-        new = made.join(last, "device_id").select("device_id", "day", *SEG, *[c.alias(n) for n, c in times.items()])
-        known = known.unionByName(new)
-        part = made.withColumn("step", F.lit(step))
+        part = made.select("device_id", F.lit(step).alias("step"), F.date_add("day", 1).alias("day"), *[F.col(f"pred_{s}").alias(s) for s in SEG])
         out = part if out is None else out.unionByName(part)
+        state = recursion.advanced(made, known)
     return out
 
 

@@ -197,26 +197,58 @@ def _solar_month_start(day: date) -> date:
 
 
 def benchmark(daily: DataFrame, horizons: tuple[int, ...] = (1, 2, 3), algorithms: tuple[str, ...] = ("ridge",), normalize: bool = True, settings: cluster.ClusterSettings = cluster.ClusterSettings(), test_share: float = 0.2, fast: bool = True, arm: str = "default") -> DataFrame:
-    """A row a horizon, algorithm and mode (naive, global, cluster) with its errors on the test part."""
-    rows = feats.panel(daily, horizons, normalize).cache()
+    """A row a horizon, algorithm and mode (naive, global, cluster) with its errors on the test part.
+
+    The panel is stored once.  Linear models of all horizons and clusters come from one pass over the
+    training part, their forecasts and errors from one over the test part; trees are fitted one by one.
+    """
+    rows = settled(feats.panel(daily, horizons, normalize), "panel")
     cut = feats.cutoff(rows.where("usable"), test_share)
-    day = cut.first()["cutoff"]
-    fit_ = cluster.fit(daily.where(F.col("day") <= F.lit(day)), settings)
-    out = None
-    for h in horizons:
-        frame = feats.parted(feats.horizon_frame(rows, h), cut).cache()
-        inputs, unit = feats.panel_inputs(frame), F.col("scale")
-        train, test = frame.where("part = 'train'"), frame.where("part = 'test'")
-        runs = [("naive", "Naive(t-7)", test.withColumn("p", F.col("naive")))]
-        for algorithm in algorithms:
-            build = lambda a=algorithm: models.estimator(a, inputs, "target_ratio", train, fast=fast)
-            runs.append(("global", algorithm, build().fit(train).transform(test).withColumn("p", F.greatest(F.col("prediction") * unit, F.lit(0.0)))))
+    day = cut.first()
+    if day is None:
+        raise ValueError("too little data: no day has all features and targets")
+    fit_ = cluster.fit(daily.where(F.col("day") <= F.lit(day["cutoff"])), settings)
+    frame = fit_.label(feats.parted(feats.horizon_frames(rows, horizons), cut))
+    inputs = feats.panel_inputs(frame)
+    train, test = frame.where("part = 'train'"), frame.where("part = 'test'")
+    unit = lambda made: F.greatest(made * F.col("scale"), F.lit(0.0))
+    results = [_errors(test, {("naive", "Naive(t-7)"): F.col("naive")})]
+    for algorithm in algorithms:
+        kind = models.estimator(algorithm, inputs, "target_ratio", fast=fast)
+        if isinstance(kind, models.LinearEstimator):
+            results.append(_errors(test, {k: unit(c) for k, c in _linear_runs(train, kind, horizons, fit_, algorithm).items()}))
+            continue
+        for h in horizons:
+            known, asked = settled(train.where(F.col("horizon") == h), "train"), test.where(F.col("horizon") == h)
+            build = lambda a=algorithm, k=known: models.estimator(a, inputs, "target_ratio", k, fast=fast)
+            results.append(_errors(build().fit(known).transform(asked), {("global", algorithm): unit(F.col("prediction"))}))
             if fit_.labels is not None:
-                runs.append(("cluster", algorithm, cluster.train_bundle(train, fit_, build, inputs=inputs).predict(test).withColumn("p", F.greatest(F.col("prediction") * unit, F.lit(0.0)))))
-        for mode, algorithm, made in runs:
-            row = evaluate.measure(made, "target", "p").select(F.lit(arm).alias("arm"), F.lit(h).alias("horizon"), F.lit(mode).alias("mode"), F.lit(algorithm).alias("algorithm"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+                made = cluster.train_bundle(known.drop("cluster"), fit_, build, inputs=inputs).predict(asked.drop("cluster"))
+                results.append(_errors(made, {("cluster", algorithm): unit(F.col("prediction"))}))
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out.select(F.lit(arm).alias("arm"), "*")
+
+
+def _linear_runs(train: DataFrame, kind: models.LinearEstimator, horizons: tuple[int, ...], fit_: cluster.ClusterFit, algorithm: str) -> dict[tuple[str, str], Column]:
+    """Forecasts by the model of all devices and by that of a row's cluster, as columns; one pass for all of them."""
+    found = kind.fit_groups(train, F.concat_ws("|", "horizon", "cluster"))
+    whole, own = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for h in horizons:
+        parts = {key.split("|")[1]: m for key, m in found.items() if key.split("|")[0] == str(h)}
+        bundle, at = cluster.linear_bundle(fit_, kind, parts), F.col("horizon") == h
+        whole = F.when(at, bundle.fallback.column()).otherwise(whole)
+        own = F.when(at, bundle.fallback.column()).otherwise(own)
+        for c, m in bundle.models.items():
+            own = F.when(at & (F.col("cluster") == c), m.column()).otherwise(own)
+    return {("global", algorithm): whole} | ({("cluster", algorithm): own} if fit_.labels is not None else {})
+
+
+def _errors(test: DataFrame, made: dict[tuple[str, str], Column]) -> DataFrame:
+    """horizon, mode, algorithm and errors of each forecast (a column by mode and algorithm); one pass."""
+    each = F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(algorithm).alias("algorithm"), c.alias("p")) for (mode, algorithm), c in made.items()])
+    return evaluate.measure(test.select("horizon", "target", F.inline(each)), "target", "p", "horizon", "mode", "algorithm")
 
 
 def two_arms(readings: DataFrame, train_share: float = 0.8, window_days: int = segment.WINDOW_DAYS, **kw) -> DataFrame:

@@ -92,7 +92,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def _save(model, path: str) -> None:
+def save_model(model, path: str) -> None:
     """A Spark model by its writer, others by their own ``save``."""
     if hasattr(model, "write"):
         model.write().overwrite().save(path)
@@ -134,7 +134,7 @@ class ModelStore:
 
     def store_candidate(self, model, metadata: dict, version: str | None = None) -> str:
         version = version or self.next_version()
-        _save(model, f"{self.root}/candidates/{version}/model")
+        save_model(model, f"{self.root}/candidates/{version}/model")
         self._write(f"{self.root}/candidates/{version}/metadata", metadata | {"version": version, "stored_at": datetime.now(timezone.utc)})
         return version
 
@@ -146,7 +146,7 @@ class ModelStore:
         metadata = self.metadata(version, True)
         if metadata is None:
             raise FileNotFoundError(version)
-        _save(model, f"{self.root}/versions/{version}/model")
+        save_model(model, f"{self.root}/versions/{version}/model")
         self._write(f"{self.root}/versions/{version}/metadata", metadata)
         return self.activate(version)
 
