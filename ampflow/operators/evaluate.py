@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ampflow.operators import linear
+from ampflow.sources.sinks import settled
+
 TINY = 1e-8
 
 
@@ -53,30 +61,67 @@ def measure(frame: DataFrame, y: str, p: str, *by: str, metrics=share_metrics) -
     return frame.groupBy(*by).agg(*columns) if by else frame.agg(*columns)
 
 
-def by_target(frame: DataFrame, pairs: dict[str, tuple[str, str]], metrics=angle_metrics) -> DataFrame:
-    """Metrics of each (truth, forecast) pair by name, and of all together as ``overall``; one pass, by unpivot."""
+def by_target(frame: DataFrame, pairs: dict[str, tuple[str, str]], metrics=angle_metrics, by: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of each (truth, forecast) pair by name, and of all together as ``overall``, by the columns ``by`` too; one pass, by unpivot."""
     rows = F.array(*[F.struct(F.lit(n).alias("target"), F.col(y).alias("y"), F.col(p).alias("p")) for n, (y, p) in pairs.items()])
-    long = frame.select(F.inline(rows))
-    both = long.select(F.explode(F.array("target", F.lit("overall"))).alias("target"), "y", "p")
-    return measure(both, "y", "p", "target", metrics=metrics)
+    long = frame.select(*by, F.inline(rows))
+    both = long.select(*by, F.explode(F.array("target", F.lit("overall"))).alias("target"), "y", "p")
+    return measure(both, "y", "p", *by, "target", metrics=metrics)
+
+
+#: Devices of a block, about, among which draws are dealt out one by one.
+BLOCK = 1000
+
+
+def draws(sizes: list[tuple[int, int]], reps: int, seed: int) -> dict[int, np.ndarray]:
+    """How many of n draws with replacement fall to each block, in each repetition, n being the sum of ``sizes`` (block, devices).
+
+    Multinomial by splitting: each block takes a binomial share of what is left.
+    """
+    out, n = {}, sum(size for _, size in sizes)
+    left, rest, rng = np.full(reps, n), n, np.random.default_rng(seed)
+    for block, size in sorted(sizes):
+        out[block] = rng.binomial(left, min(1.0, size / rest))
+        left, rest = left - out[block], rest - size
+    return out
+
+
+def weights(devices: DataFrame, reps: int = 500, seed: int = 42, device: str = "device_id", values: tuple[str, ...] = ()) -> DataFrame:
+    """block, device, ``values`` and w: an array of how often the device is drawn in each repetition.
+
+    In every repetition the weights of all n devices sum to n, exactly.  Draws are split among blocks of
+    about ``BLOCK`` devices on the driver (a row a block), then within each block by its task.
+    A rerun gives the same: blocks follow from a hash of the device, and are numbered and seeded.
+    """
+    count = devices.count()
+    rows = devices.select(F.pmod(F.xxhash64(F.col(device).cast("string")), F.lit(max(1, count // BLOCK))).alias("block"), F.col(device).cast("string").alias("device"), *values)
+    dealt = draws([(r.block, r["count"]) for r in rows.groupBy("block").count().collect()], reps, seed)
+    named = devices.sparkSession.createDataFrame([(b, w.tolist()) for b, w in dealt.items()], "block long, _dealt array<long>") if dealt else None
+    kind = T.StructType([*rows.schema.fields, T.StructField("w", T.ArrayType(T.LongType()))])
+    if named is None:
+        return devices.sparkSession.createDataFrame([], kind)
+
+    def deal(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("device", ignore_index=True)
+        rng = np.random.default_rng([seed, int(own["block"][0])])
+        w = rng.multinomial(np.asarray(own["_dealt"][0]), np.full(len(own), 1 / len(own)))
+        return own.drop(columns="_dealt").assign(w=list(w.T))
+
+    return rows.join(named, "block").groupBy("block").applyInPandas(deal, kind)
 
 
 def bootstrap_gain(frame: DataFrame, y: str, a: str, b: str, reps: int = 500, seed: int = 42, device: str = "device_id") -> DataFrame:
     """gain, low, high: how much less WAPE forecast ``b`` has than ``a``, in per cent, with a 95 % interval.
 
-    Devices are drawn with replacement: each gets, per repetition, a Poisson(1)
-    weight from a hash of its id, so no draw is made on the driver and a rerun
-    gives the same.
+    Devices are drawn with replacement, as many as there are in every repetition; see ``weights``.
     """
-    sums = frame.groupBy(device).agg(F.sum(F.abs(F.col(a) - F.col(y))).alias("ea"), F.sum(F.abs(F.col(b) - F.col(y))).alias("eb"))
-    u = F.pmod(F.xxhash64(F.col(device), F.col("rep"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    # The Poisson(1) distribution function.
-    below = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum([(F.col("u") >= x).cast("int") for x in below[1:]], (F.col("u") >= below[0]).cast("int"))
-    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("u", u).withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(weight))
-    gains = drawn.groupBy("rep").agg(F.sum(F.col("w") * F.col("ea")).alias("ea"), F.sum(F.col("w") * F.col("eb")).alias("eb")).withColumn("g", (F.col("ea") - F.col("eb")) / F.when(F.col("ea") > 0, F.col("ea")) * 100)
-    drawn_only = F.when(F.col("rep") > 0, F.col("g"))
-    return gains.agg(F.max(F.when(F.col("rep") == 0, F.col("g"))).alias("gain"), F.percentile(drawn_only, 0.025).alias("low"), F.percentile(drawn_only, 0.975).alias("high"))
+    sums = settled(frame.groupBy(device).agg(F.sum(F.abs(F.col(a) - F.col(y))).alias("ea"), F.sum(F.abs(F.col(b) - F.col(y))).alias("eb")), "bootstrap")
+    share = lambda p, q: (F.col(p) - F.col(q)) / F.when(F.col(p) > 0, F.col(p)) * 100
+    drawn = weights(sums, reps, seed, device, ("ea", "eb")).select("ea", "eb", F.posexplode("w").alias("rep", "w"))
+    gains = drawn.groupBy("rep").agg(F.sum(F.col("w") * F.col("ea")).alias("ea"), F.sum(F.col("w") * F.col("eb")).alias("eb")).withColumn("g", share("ea", "eb"))
+    interval = gains.agg(F.percentile("g", 0.025).alias("low"), F.percentile("g", 0.975).alias("high"))  # a row a repetition
+    point = sums.agg(F.sum("ea").alias("ea"), F.sum("eb").alias("eb")).select(share("ea", "eb").alias("gain"))
+    return point.crossJoin(F.broadcast(interval))  # a row each
 
 
 def pair_tests(frame: DataFrame, y: str, pairs: list[tuple[str, str]], reps: int = 500, seed: int = 42) -> DataFrame:
@@ -113,9 +158,45 @@ def walk_forward(frame: DataFrame, predict, columns: dict[str, tuple[str, str]],
         train, test = frame.where(month < w.test_month), frame.where(month == w.test_month)
         scores = {r.target: r.asDict() for r in by_target(predict(train, test), columns).collect()}
         base = {r.target: r.asDict() for r in mean_baseline(train, test, [y for y, _ in columns.values()]).collect()}
-        r2 = {k: v["r2"] for k, v in scores.items()}
-        passed = r2["overall"] > 0 and all(x >= 0 for k, x in r2.items() if k != "overall") and scores["overall"]["mae"] < base["overall"]["mae"]
-        out.append({"test_month": w.test_month, "train_months": w.train_months, "passed": passed, "metrics": scores, "baseline": base["overall"]})
+        out.append(window(w.test_month, w.train_months, scores, base["overall"]))
+    return out
+
+
+def window(test_month, train_months: int, scores: dict[str, dict], base: dict) -> dict:
+    """A window's result: passed if all explain something, and the error is less than that of the training means."""
+    r2 = {k: v["r2"] for k, v in scores.items()}
+    passed = r2["overall"] > 0 and all(x >= 0 for k, x in r2.items() if k != "overall") and scores["overall"]["mae"] < base["mae"]
+    return {"test_month": test_month, "train_months": train_months, "passed": passed, "metrics": scores, "baseline": base}
+
+
+def linear_walk_forward(frame: DataFrame, inputs: list[str], columns: dict[str, tuple[str, str]], alpha: float, day: str = "day", least: int = 2) -> list[dict]:
+    """``walk_forward`` of ridge models in three passes, however many windows: moments by month, which add up to
+    those of all months before; forecasts and errors of all windows; errors of the training means.
+    """
+    month, truths = F.trunc(day, "month"), [y for y, _ in columns.values()]
+    found = linear.moments(frame, [*inputs, *truths], month)
+    months, before, models, means = sorted(found), None, {}, {}
+    for k, name in enumerate(months):
+        if k >= least:
+            models[name] = {y: linear.solve(before, inputs, y, alpha) for y in truths}
+            means[name] = [float(before.mean[before.columns.index(y)]) for y in truths]
+        before = found[name] if before is None else before + found[name]
+    if not models:
+        return []
+    made = linear.predicted_by(frame, models, month, "_made_").withColumn("_month", month.cast("string"))
+    held = made.withColumns({p: F.greatest(F.col(f"_made_{y}"), F.lit(0.0)) for y, p in columns.values()})
+    scores = _by_month(by_target(held, columns, by=("_month",)))
+    rows = frame.sparkSession.createDataFrame([(name, *m) for name, m in means.items()], "_month string, " + ", ".join(f"_base_{y} double" for y in truths))
+    plain = frame.withColumn("_month", month.cast("string")).join(F.broadcast(rows), "_month")  # a row a month
+    base = _by_month(by_target(plain, {name: (y, f"_base_{y}") for name, (y, _) in columns.items()}, by=("_month",)))
+    return [window(date.fromisoformat(name), months.index(name), scores[name], base[name]["overall"]) for name in models]
+
+
+def _by_month(errors: DataFrame) -> dict[str, dict[str, dict]]:
+    out: dict = {}
+    for r in errors.collect():  # a row a month and target
+        row = r.asDict()
+        out.setdefault(row.pop("_month"), {})[r.target] = row
     return out
 
 

@@ -100,7 +100,10 @@ def validate(features: DataFrame, algorithm: str = "ridge", report: str | None =
     inputs = feats.feature_columns(features.columns)
     check_inputs(features, [*inputs, *feats.TARGETS])
     pairs = {s: (f"target_{s}", f"pred_{s}") for s in SEG}
-    windows = evaluate.walk_forward(features, lambda train, test: models.SegmentModel(algorithm, **params).fit(train).predict(test), pairs)
+    if algorithm in models.LINEAR:
+        windows = evaluate.linear_walk_forward(features, inputs, pairs, models.alpha_of(algorithm, **params))
+    else:
+        windows = evaluate.walk_forward(features, lambda train, test: models.SegmentModel(algorithm, **params).fit(train).predict(test), pairs)
     out = evaluate.summary(windows) | {"by_window": windows}
     if report:
         rebuild.write_report(features.sparkSession, report, out)

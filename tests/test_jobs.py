@@ -220,7 +220,7 @@ def test_filling_gaps_is_linear(spark):
 
 
 #: Queries without SQL, which test_oracles does not run.
-BARE = sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"rf_forecast", "recursive_3day", "fsas_groups"})
+BARE = sorted(set(registry.QUERIES) - set(registry.ORACLES))
 
 
 @pytest.mark.parametrize("name", BARE)
