@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampflow.functions.ranks import quantiles
-from ampflow.operators.linear import LinearEstimator, LinearModel, Moments, together, with_inputs
+from ampflow.operators.linear import LinearEstimator, LinearModel, Moments, moments, together, with_inputs
 from ampflow.operators.profiles import BASE, CLOCK, behaviour, clock, medians_filled, outliers, robust_scale, robust_scores
 from ampflow.schema import SEG
 from ampflow.sources.sinks import read_text, save_model, settled, write_text
@@ -47,6 +49,7 @@ class ClusterSettings:
     variance: float = 0.9
     tries: int = 3
     seed: int = 42
+    parallel: int = 6
 
     def least(self, n: int) -> int:
         """Devices that a cluster must have, of ``n``."""
@@ -76,16 +79,14 @@ class ClusterFit:
         if self.model is None:
             raise ValueError(f"no clusters to save: {self.status}")
         self.labels.write.mode("overwrite").parquet(f"{path}/labels")
-        self.scaler["pca"].write().overwrite().save(f"{path}/pca")
         self.model.write().overwrite().save(f"{path}/kmeans")
-        facts = {"status": self.status, "k": self.k, "silhouette": self.silhouette, "columns": self.columns, "scaler": self.scaler["columns"], "k_status": self.k_status, "robust": self.robust}
+        facts = {"status": self.status, "k": self.k, "silhouette": self.silhouette, "columns": self.columns, "scaler": self.scaler, "k_status": self.k_status, "robust": self.robust}
         write_text(self.labels.sparkSession, f"{path}/facts", json.dumps(facts))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ClusterFit:
         facts = json.loads(read_text(spark, f"{path}/facts"))
-        scaler = {"columns": facts.pop("scaler"), "pca": PCAModel.load(f"{path}/pca")}
-        return cls(labels=spark.read.parquet(f"{path}/labels"), scaler=scaler, model=KMeansModel.load(f"{path}/kmeans"), **facts)
+        return cls(labels=spark.read.parquet(f"{path}/labels"), model=KMeansModel.load(f"{path}/kmeans"), **facts)
 
     def label(self, devices: DataFrame) -> DataFrame:
         """``devices`` with their cluster; -1 for those without."""
@@ -108,31 +109,78 @@ def profiles_of(daily: DataFrame, min_days: int) -> tuple[DataFrame, list[str]]:
 
 
 def fit_scaler(profiles: DataFrame, columns: list[str], settings: ClusterSettings) -> dict:
-    """Bounds, mean, population deviation and weight of each column; PCA on top."""
+    """Bounds, mean, population deviation and weight of each column, and the leading principal components of what they give.
+
+    Means, deviations and components all come from one pass, by the moments of the bounded columns.
+    """
     q = quantiles(profiles, columns, [settings.winsor, 1 - settings.winsor])
-    held = profiles.select("device_id", *[F.greatest(F.least(F.col(c), F.lit(q[c][1])), F.lit(q[c][0])).alias(c) for c in columns])
-    stats = held.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    m = moments(profiles.select(*[F.greatest(F.least(F.col(c), F.lit(q[c][1])), F.lit(q[c][0])).alias(c) for c in columns]), columns).get("")
+    if m is None:
+        raise ValueError("no device has all profile columns")
     size = {c: sum(x in columns for x in g) for g in GROUPS.values() for c in g}
-    scaler = {"columns": [{"name": c, "low": q[c][0], "high": q[c][1], "mean": stats[f"m_{c}"], "std": stats[f"s_{c}"] or 1.0, "weight": size[c] ** -0.5} for c in columns], "pca": None}
-    vectors = _scaled(profiles, scaler)
-    n = min(len(columns), max(1, profiles.count() - 1))
-    pca = PCA(k=n, inputCol="scaled", outputCol="features").fit(vectors)
-    kept, share = 0, 0.0
-    while kept < n and share <= settings.variance:
-        share += float(pca.explainedVariance[kept])
+    std = [float(x) or 1.0 for x in np.sqrt(np.diag(m.products) / m.n)]
+    weight = [size[c] ** -0.5 for c in columns]
+    unit = np.array(weight) / np.array(std)
+    values, vectors = np.linalg.eigh(m.products / m.n * np.outer(unit, unit))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    kept, share, most = 0, 0.0, min(len(columns), max(1, m.n - 1))
+    while kept < most and share <= settings.variance:
+        share += float(values[kept] / (values.sum() or 1.0))
         kept += 1
-    scaler["pca"] = PCA(k=max(1, kept), inputCol="scaled", outputCol="features").fit(vectors)
-    return scaler
+    facts = [{"name": c, "low": q[c][0], "high": q[c][1], "mean": float(a), "std": s, "weight": w} for c, a, s, w in zip(columns, m.mean, std, weight)]
+    return {"columns": facts, "components": vectors[:, :kept].T.tolist()}
 
 
-def _scaled(profiles: DataFrame, scaler: dict) -> DataFrame:
+def apply_scaler(profiles: DataFrame, scaler: dict) -> DataFrame:
+    """device_id, features: bounded, standardised, weighted and projected profiles."""
     parts = [(F.greatest(F.least(F.col(c["name"]), F.lit(c["high"])), F.lit(c["low"])) - c["mean"]) / c["std"] * c["weight"] for c in scaler["columns"]]
-    return profiles.select("device_id", array_to_vector(F.array(*parts)).alias("scaled"))
+    dot = lambda axis: F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(a)) for a in axis]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    rows = profiles.select("device_id", F.array(*parts).alias("_x"))
+    return rows.select("device_id", array_to_vector(F.array(*[dot(axis) for axis in scaler["components"]])).alias("features"))
 
 
-def apply_scaler(profiles: DataFrame, scaler: dict) -> DataFrame:
-    """device_id, features: bounded, standardised, weighted and projected profiles."""
-    return scaler["pca"].transform(_scaled(profiles, scaler)).select("device_id", "features")
+#: Points of a block, about, in the distances of ``silhouettes``.
+BLOCK = 1024
+
+
+def silhouettes(points: DataFrame, sizes: dict[str, list[int]]) -> dict[str, float]:
+    """Mean silhouette, by Euclidean distance over all pairs, of each labelling: columns of ``points`` (with ``features``), whose clusters have ``sizes``.
+
+    Points are dealt to blocks; each pair of blocks is a task that sums a point's distances to the
+    clusters, for all labellings at once, so the distances themselves are never rows.
+    A point alone in its cluster counts 0.
+    """
+    names, n = list(sizes), max(1, -(-points.count() // BLOCK))
+    rows = points.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x"), F.array(*names).alias("own"))
+    rows = settled(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))), "silhouette")
+    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = (rows.withColumn("a", a).withColumn("b", b).drop("block") for a, b in ((F.col("block"), others), (others, F.col("block"))))
+    offsets = np.cumsum([0, *[len(v) for v in sizes.values()]])
+
+    def measure(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"id": [], "own": [], "sums": []})
+        x, y = np.stack(p["x"]), np.stack(q["x"])
+        far = np.sqrt(sum((x[:, None, k] - y[None, :, k]) ** 2 for k in range(x.shape[1])))
+        own = np.stack(q["own"])
+        flags = np.zeros((len(q), offsets[-1]))
+        for k in range(len(names)):
+            flags[np.arange(len(q)), offsets[k] + own[:, k]] = 1
+        return pd.DataFrame({"id": p["id"], "own": p["own"], "sums": list(far @ flags)})
+
+    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(measure, "id long, own array<int>, sums array<double>")
+    total = parts.groupBy("id").agg(F.first("own").alias("own"), *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(offsets[-1])])
+    scores = {}
+    for k, name in enumerate(names):
+        mean = [F.col(f"s{offsets[k] + c}") / size for c, size in enumerate(sizes[name])]
+        own, score = F.col("own")[k], F.lit(0.0)
+        for c, size in enumerate(sizes[name]):
+            if size > 1:
+                inside, outside = F.col(f"s{offsets[k] + c}") / (size - 1), [m for o, m in enumerate(mean) if o != c and sizes[name][o]]
+                near = F.least(*outside) if len(outside) > 1 else outside[0]
+                score = F.when(own == c, F.coalesce(F.try_divide(near - inside, F.greatest(near, inside)), F.lit(0.0))).otherwise(score)
+        scores[name] = F.avg(score).alias(name)
+    return total.agg(*scores.values()).first().asDict()
 
 
 def fit(daily: DataFrame, settings: ClusterSettings = ClusterSettings()) -> ClusterFit:
@@ -152,14 +200,20 @@ def fit(daily: DataFrame, settings: ClusterSettings = ClusterSettings()) -> Clus
         used = settled(profiles.join(far, "device_id", "left_anti"), "clustered")
         n = used.count()
     scaler = fit_scaler(used, columns, settings)
-    points = apply_scaler(used, scaler).cache()
-    evaluator, valid, least = ClusteringEvaluator(distanceMeasure="squaredEuclidean"), {}, settings.least(n)
-    for k in range(settings.k_min, min(max(settings.k_max, settings.k or 0), n - 1) + 1):
-        models = [KMeans(k=k, seed=settings.seed + t, maxIter=100, tol=1e-4).fit(points) for t in range(settings.tries)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        if len(model.clusterCenters()) < 2 or min(model.summary.clusterSizes) < least:
-            continue
-        valid[k] = (evaluator.evaluate(model.transform(points)), model)
+    points = settled(apply_scaler(used, scaler), "points").cache()
+    valid, least = {}, settings.least(n)
+    ks = range(settings.k_min, min(max(settings.k_max, settings.k or 0), n - 1) + 1)
+    attempt = inheritable_thread_target(daily.sparkSession)(lambda kt: KMeans(k=kt[0], seed=settings.seed + kt[1], maxIter=100, tol=1e-4).fit(points))
+    with ThreadPool(settings.parallel) as pool:  # fits are small jobs, which leave most of a cluster idle
+        tries = dict(zip(pairs := [(k, t) for k in ks for t in range(settings.tries)], pool.map(attempt, pairs)))
+    for k in ks:
+        model = min((tries[k, t] for t in range(settings.tries)), key=lambda m: m.summary.trainingCost)
+        if len(model.clusterCenters()) >= 2 and min(model.summary.clusterSizes) >= least:
+            valid[k] = model
+    labelled = points
+    for k, model in valid.items():
+        labelled = model.copy().setPredictionCol(f"k{k}").transform(labelled)
+    scores = silhouettes(labelled, {f"k{k}": list(m.summary.clusterSizes) for k, m in valid.items()}) if valid else {}
     if not valid:
         points.unpersist()
         return ClusterFit("no_valid_k", columns=columns, scaler=scaler, robust=robust)
@@ -167,8 +221,8 @@ def fit(daily: DataFrame, settings: ClusterSettings = ClusterSettings()) -> Clus
         k = max((x for x in valid if x <= settings.k), default=min(valid))
         k_status = "as_requested" if k == settings.k else f"adjusted_from_{settings.k}"
     else:
-        k, k_status = max(valid, key=lambda x: valid[x][0]), "auto"
-    score, model = valid[k]
+        k, k_status = max(valid, key=lambda x: scores[f"k{x}"]), "auto"
+    score, model = scores[f"k{k}"], valid[k]
     labels = settled(model.transform(points).select("device_id", F.col("prediction").alias("cluster")), "clusters")
     points.unpersist()
     return ClusterFit("ok", labels, k, score, columns, scaler, model, k_status, robust)

@@ -14,7 +14,7 @@ from ampflow.operators import evaluate, models
 from ampflow.operators import features as feats
 from ampflow.plans import jobs, rebuild
 from ampflow.schema import SEG, SchemaError, check
-from ampflow.sources.sinks import ModelStore, create_tables, read_text, write_results, write_text
+from ampflow.sources.sinks import ModelStore, create_tables, read_text, settled, write_results, write_text
 
 # Jobs over the result tables -------------------------------------------------
 
@@ -29,28 +29,53 @@ def write_actuals(readings: DataFrame, as_of: Column, database: str = "default",
     write_results(rows.withColumnRenamed("day", "actual_date").withColumn("computed_at", F.current_timestamp()).select(columns), "daily_actuals", database)
 
 
-def write_nightly(readings: DataFrame, model: models.SegmentModel, database: str = "default", **kw) -> None:
-    """All devices' three-day forecasts, in place of those of the night before."""
-    write_results(jobs.nightly(readings, model, **kw), "nightly_predictions", database, replace=True)
+def write_nightly(readings: DataFrame, model: models.SegmentModel, database: str = "default", **kw) -> dict[str, int]:
+    """All devices' three-day forecasts, in place of those of the night before, or nothing: a result that lacks a device is not put in.
 
+    Gives how many devices have a forecast, and how many none for which reason.
+    """
+    rows = settled(jobs.nightly(readings, model, **kw), "nightly")
+    expected = readings.where("device_id is not null").select("device_id").distinct().count()
+    write_results(rows, "nightly_predictions", database, replace=True, expected=expected)
+    return _reasons(rows)
+
+
+def write_weekly(daily: DataFrame, model, as_of: Column, database: str = "default", version: str = "") -> dict[str, int]:
+    """All devices' forecasts of the first whole week, null where there is none; gives how many, by reason."""
+    rows = settled(jobs.weekly_forecast(daily, model, as_of, version), "weekly")
+    write_results(rows, "weekly_predictions", database)
+    return _reasons(rows)
 
-def write_weekly(daily: DataFrame, model, as_of: Column, database: str = "default", version: str = "") -> None:
-    write_results(jobs.weekly_forecast(daily, model, as_of, version), "weekly_predictions", database)
 
+def write_monthly(daily: DataFrame, model, as_of: Column, database: str = "default", version: str = "", solar: bool = True) -> dict[str, int]:
+    """As ``write_weekly``, of the first whole month."""
+    rows = settled(jobs.monthly_forecast(daily, model, as_of, solar, version), "monthly")
+    write_results(rows, "monthly_predictions", database)
+    return _reasons(rows)
 
-def write_monthly(daily: DataFrame, model, as_of: Column, database: str = "default", version: str = "", solar: bool = True) -> None:
-    write_results(jobs.monthly_forecast(daily, model, as_of, solar, version), "monthly_predictions", database)
+
+def _reasons(rows: DataFrame) -> dict[str, int]:
+    return {r.reason: r["count"] for r in rows.groupBy(F.coalesce("reason", F.lit("forecast")).alias("reason")).count().collect()}
 
 
 # Learning ---------------------------------------------------------------------
 
 
-def learn(trainers: dict[str, Callable[[], tuple[object, dict]]], stores: dict[str, ModelStore], promote: bool = False, report: str | None = None) -> dict[str, dict]:
+def learn(trainers: dict[str, Callable[[], tuple[object, dict]]], stores: dict[str, ModelStore], promote: bool = False, report: str | None = None, refresh: Callable[[], object] | None = None) -> dict[str, dict]:
     """The learning cycle with its stores: every trained model becomes a candidate, and is promoted if it may be and ``promote`` says so.
 
     What is in production is known by the metrics of its metadata.  The report,
-    if a path is given, has all but the models.
+    if a path is given, has all but the models.  ``refresh`` (``rebuild.rebuild``, say) brings the
+    data up to date first; if it fails nothing is trained, and all horizons failed for its reason.
     """
+    try:
+        if refresh:
+            refresh()
+    except Exception as e:  # noqa: BLE001  old data must not be learned from as if it were new
+        out = {name: {"status": jobs.Status.FAILED, "reason": f"refresh: {str(e)[:500]}"} for name in trainers}
+        if report:
+            rebuild.write_report(next(iter(stores.values())).spark, report, {k: v | {"status": v["status"].value} for k, v in out.items()})
+        return out
     current = {}
     for name, store in stores.items():
         now = store.production()
@@ -87,11 +112,11 @@ def train_single(features: DataFrame, algorithm: str = "ridge", path: str | None
 def trainer(config: jobs.HorizonConfig, daily: DataFrame, fit_, solar: bool = True) -> Callable[[], tuple[object, dict]]:
     """The trainer of a horizon by its name: 3day, weekly or monthly."""
     if config.horizon == "3day":
-        return lambda: jobs.train_three_day(feats.build(daily), config)
+        return lambda: jobs.train_three_day(settled(feats.build(daily), "features"), config)
     if config.horizon == "weekly":
-        return lambda: jobs.train_period(feats.weekly(daily), config, fit_)
+        return lambda: jobs.train_period(settled(feats.weekly(daily), "weeks"), config, fit_)
     if config.horizon == "monthly":
-        return lambda: jobs.train_period(feats.monthly(daily, solar=solar), config, fit_)
+        return lambda: jobs.train_period(settled(feats.monthly(daily, solar=solar), "months"), config, fit_)
     raise ValueError(f"no horizon {config.horizon}")
 
 

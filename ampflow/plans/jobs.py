@@ -72,15 +72,20 @@ def tags(meter: DataFrame, actuals: DataFrame) -> DataFrame:
 
 
 def nightly(readings: DataFrame, model: models.SegmentModel, window_days: int = 30, version: str = "", now: datetime | None = None, history: int = feats.HISTORY, enough: int = ENOUGH_DAYS) -> DataFrame:
-    """Rows for nightly_predictions: three days ahead for every device, null for those with too short a history."""
+    """Rows for nightly_predictions: three days ahead for every device of ``readings``.
+
+    A device that cannot be forecast has null forecasts and a ``reason``, and does not keep the others from theirs.
+    """
+    devices = readings.where("device_id is not null").select("device_id").distinct()
     clean_rows = clean.preprocess(readings)
-    days = clean_rows.groupBy("device_id").agg(F.count_distinct("day").alias("days"))
+    days = devices.join(clean_rows.groupBy("device_id").agg(F.count_distinct("day").alias("days")), "device_id", "left")
     fit = clean_rows.join(days.where(F.col("days") >= enough), "device_id", "left_semi").select("device_id", "ts", "kwh")
     daily = segment.adaptive_daily(fit, window_days)
     cuts = segment.fit_devices(clean.last_days(fit, window_days)).select("device_id", "cut")
     forecast = models.recursive_forecast(daily, cuts, model, history=history)
-    out = models.with_insufficient(models.payload(forecast, cuts), days)
-    return out.withColumn("model_version", F.lit(version)).withColumn("generated_at", F.lit(now) if now else F.current_timestamp())
+    made = days.join(models.payload(forecast, cuts), "device_id", "left")
+    reason = F.when(F.col("days").isNull(), "no_clean_days").when(F.col("days") < enough, "too_few_days").when(F.col("prediction_today").isNull(), "incomplete_inputs")
+    return made.withColumn("reason", reason).drop("days").withColumn("model_version", F.lit(version)).withColumn("generated_at", F.lit(now) if now else F.current_timestamp())
 
 
 def weekly_forecast(daily: DataFrame, model, as_of: Column, version: str = "") -> DataFrame:
@@ -98,9 +103,11 @@ def monthly_forecast(daily: DataFrame, model, as_of: Column, solar: bool = True,
 
 
 def _period(daily: DataFrame, rows: DataFrame, model, span: Column, name: str, version: str, month: Callable[[Column], Column]) -> DataFrame:
-    made = model.transform(rows.withColumn("_start", span["start"]).withColumn("month", month(F.col("_start"))).withColumn("week", F.weekofyear("_start"))).select("device_id", F.greatest("prediction", F.lit(0.0)).alias("predicted_consumption_kwh"))
-    devices = daily.select("device_id").distinct()
-    return devices.join(made, "device_id", "left").select("device_id", span["start"].alias(f"{name}_start"), span["end"].alias(f"{name}_end"), "predicted_consumption_kwh", F.lit(version).alias("model_version"), F.current_timestamp().alias("generated_at"))
+    """A row a device, with the ``reason`` where there is no forecast."""
+    made = model.transform(rows.withColumn("_start", span["start"]).withColumn("month", month(F.col("_start"))).withColumn("week", F.weekofyear("_start"))).select("device_id", F.when(~F.isnan("prediction"), F.greatest("prediction", F.lit(0.0))).alias("predicted_consumption_kwh"))
+    devices = daily.where("device_id is not null").select("device_id").distinct().join(rows.select("device_id", F.lit(True).alias("known")), "device_id", "left")
+    reason = F.when(F.col("known").isNull(), f"too_few_{name}s").when(F.col("predicted_consumption_kwh").isNull(), "incomplete_inputs")
+    return devices.join(made, "device_id", "left").select("device_id", span["start"].alias(f"{name}_start"), span["end"].alias(f"{name}_end"), "predicted_consumption_kwh", F.lit(version).alias("model_version"), F.current_timestamp().alias("generated_at"), reason.alias("reason"))
 
 
 # Learning -------------------------------------------------------------------

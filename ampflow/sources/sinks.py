@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ampflow.schema import RESULTS
+from ampflow.schema import RESULTS, SchemaError
 
 KEYS = {
     "nightly_predictions": ["device_id"],
@@ -20,6 +22,8 @@ KEYS = {
     "monthly_predictions": ["device_id", "month_start"],
 }
 _STAMP = {"daily_actuals": "computed_at"}
+#: The date that a result table is partitioned by; the others hold a row a device.
+PARTITIONS = {"daily_actuals": "actual_date", "weekly_predictions": "week_start", "monthly_predictions": "month_start"}
 
 
 def newest(rows: DataFrame, keys: list[str], stamp: str, *more: str) -> DataFrame:
@@ -35,9 +39,13 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], stamp: str) -> Dat
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """The four result tables, if they are not there."""
+    """The four result tables, if they are not there; one that a broken swap left aside is put back."""
     for name, ddl in RESULTS.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl}) USING parquet")
+        full = f"{database}.{name}"
+        if not spark.catalog.tableExists(full) and spark.catalog.tableExists(f"{full}_before"):
+            spark.sql(f"ALTER TABLE {full}_before RENAME TO {full}")
+        by = f" PARTITIONED BY ({PARTITIONS[name]})" if name in PARTITIONS else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {full} ({ddl}) USING parquet{by}")
 
 
 def missing_columns(spark: SparkSession, table: str, wanted: list[str]) -> list[str]:
@@ -45,18 +53,52 @@ def missing_columns(spark: SparkSession, table: str, wanted: list[str]) -> list[
     return sorted(set(wanted) - have)
 
 
-def write_results(new: DataFrame, table: str, database: str = "default", replace: bool = False) -> None:
-    """Upsert into a result table, or replace all of it.
+def write_results(new: DataFrame, table: str, database: str = "default", replace: bool = False, expected: int | None = None) -> None:
+    """Upsert into a result table, or replace all of it; if ``expected`` rows are wanted and others come, the table stays as it is.
 
-    The merged rows are written beside the table first and then put in its
-    place, so a failure before that leaves the table as it was.
+    ``new`` is computed and stored first, so a failure in it changes nothing.  Tables by date: only the
+    partitions of the dates in ``new`` are read and rewritten, each staged and put in place by Spark's commit.
+    The others are written beside the table, which then changes its name for theirs.
     """
     spark, full = new.sparkSession, f"{database}.{table}"
     create_tables(spark, database)
-    merged = new if replace else upserted(spark.table(full), new, KEYS[table], _STAMP.get(table, "generated_at"))
-    merged.write.mode("overwrite").format("parquet").saveAsTable(f"{full}_next")
-    spark.sql(f"INSERT OVERWRITE {full} SELECT {', '.join(spark.table(full).columns)} FROM {full}_next")
-    spark.sql(f"DROP TABLE {full}_next")
+    new = settled(new.select(spark.table(full).columns), f"{table}-new")
+    if expected is not None and (found := new.count()) != expected:
+        raise SchemaError(f"{found} rows of {table} where {expected} are wanted")
+    by, stamp = PARTITIONS.get(table), _STAMP.get(table, "generated_at")
+    if by is None or replace:
+        merged = new if replace else upserted(spark.table(full), new, KEYS[table], stamp)
+        _swapped(merged, full, by)
+        return
+    dates = [r[0] for r in new.select(by).distinct().collect()]  # days, weeks or months of one run
+    if dates:
+        old = spark.table(full).where(F.col(by).isin(dates))
+        merged = settled(upserted(old, new, KEYS[table], stamp), f"{table}-merged")
+        with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            merged.write.insertInto(full, overwrite=True)
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time being."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def _swapped(rows: DataFrame, full: str, by: str | None) -> None:
+    """``rows`` as the table ``full``: written whole beside it, then renamed."""
+    spark = rows.sparkSession
+    for name in ("next", "before"):
+        spark.sql(f"DROP TABLE IF EXISTS {full}_{name}")
+    out = rows.write.format("parquet")
+    (out.partitionBy(by) if by else out).saveAsTable(f"{full}_next")
+    spark.sql(f"ALTER TABLE {full} RENAME TO {full}_before")
+    spark.sql(f"ALTER TABLE {full}_next RENAME TO {full}")
+    spark.sql(f"DROP TABLE {full}_before")
 
 
 def tagged(meter: DataFrame, tags: DataFrame) -> DataFrame:
