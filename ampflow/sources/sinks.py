@@ -57,7 +57,8 @@ def write_results(new: DataFrame, table: str, database: str = "default", replace
     """Upsert into a result table, or replace all of it; if ``expected`` rows are wanted and others come, the table stays as it is.
 
     ``new`` is computed and stored first, so a failure in it changes nothing.  Tables by date: only the
-    partitions of the dates in ``new`` are read and rewritten, each staged and put in place by Spark's commit.
+    partitions of the dates in ``new`` are read and rewritten, each staged and put in place by Spark's commit;
+    a replacement drops those of other dates after that.
     The others are written beside the table, which then changes its name for theirs.
     """
     spark, full = new.sparkSession, f"{database}.{table}"
@@ -66,16 +67,19 @@ def write_results(new: DataFrame, table: str, database: str = "default", replace
     if expected is not None and (found := new.count()) != expected:
         raise SchemaError(f"{found} rows of {table} where {expected} are wanted")
     by, stamp = PARTITIONS.get(table), _STAMP.get(table, "generated_at")
-    if by is None or replace:
-        merged = new if replace else upserted(spark.table(full), new, KEYS[table], stamp)
-        _swapped(merged, full, by)
+    if by is None:
+        _swapped(new if replace else upserted(spark.table(full), new, KEYS[table], stamp), full)
         return
-    dates = [r[0] for r in new.select(by).distinct().collect()]  # days, weeks or months of one run
+    dates = {r[0] for r in new.select(by).distinct().collect()}  # days, weeks or months of one run
     if dates:
-        old = spark.table(full).where(F.col(by).isin(dates))
-        merged = settled(upserted(old, new, KEYS[table], stamp), f"{table}-merged")
+        old = spark.table(full).where(F.col(by).isin(list(dates)))
+        merged = new if replace else settled(upserted(old, new, KEYS[table], stamp), f"{table}-merged")
         with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
             merged.write.insertInto(full, overwrite=True)
+    if replace:
+        for (day,) in spark.table(full).select(by).distinct().collect():
+            if day not in dates:
+                spark.sql(f"ALTER TABLE {full} DROP IF EXISTS PARTITION ({by} = '{day}')")
 
 
 @contextmanager
@@ -89,13 +93,12 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-def _swapped(rows: DataFrame, full: str, by: str | None) -> None:
+def _swapped(rows: DataFrame, full: str) -> None:
     """``rows`` as the table ``full``: written whole beside it, then renamed."""
     spark = rows.sparkSession
     for name in ("next", "before"):
         spark.sql(f"DROP TABLE IF EXISTS {full}_{name}")
-    out = rows.write.format("parquet")
-    (out.partitionBy(by) if by else out).saveAsTable(f"{full}_next")
+    rows.write.format("parquet").saveAsTable(f"{full}_next")
     spark.sql(f"ALTER TABLE {full} RENAME TO {full}_before")
     spark.sql(f"ALTER TABLE {full}_next RENAME TO {full}")
     spark.sql(f"DROP TABLE {full}_before")
