@@ -12,7 +12,7 @@ from ampflow.plans import jobs
 from ampflow.schema import SEG, SchemaError
 from ampflow.sources.sinks import settled
 
-from .test_library import daily
+from .test_library import daily, hours
 
 
 def closed_form(x, y, alpha):
@@ -223,3 +223,14 @@ def test_segment_models_check_their_inputs_and_are_saved(spark, feature_table, t
         assert again.algorithm == algorithm and again.params == params
         key = lambda m: sorted((r.device_id, r.day, r.pred_seg2) for r in m.predict(table).collect())
         assert key(again) == key(model) and len(model.importance("target_seg2")) == 156
+
+
+def test_two_arms_are_held_against_the_same_days(spark):
+    values = [1.0 + (h % 24 in (7, 8, 19, 20)) * 2 + (h // 24 % 7) / 4 for h in range(24 * 70)]
+    readings = hours(spark, values).union(hours(spark, [2 * v for v in values], 2))
+    out = jobs.two_arms(readings, window_days=5, horizons=(1,), settings=cluster.ClusterSettings(enabled=False)).collect()
+    got = {(r.arm, r["mode"]): r for r in out}
+    assert set(got) == {(arm, mode) for arm in ("jenks", "adaptive") for mode in ("naive", "global")}
+    for mode in ("naive", "global"):
+        a, b = got["jenks", mode], got["adaptive", mode]
+        assert a.n == b.n > 0 and a.mae == pytest.approx(b.mae, abs=1e-6)  # a day's total does not depend on its cuts
