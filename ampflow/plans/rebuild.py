@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ampflow.operators import clean, ingest, segment
 from ampflow.operators import features as feats
 from ampflow.schema import SEG, SchemaError, check, check_daily, require
-from ampflow.sources.readers import history, read_daily, read_half_hours, some_devices
-from ampflow.sources.sinks import newest, read_text, write_text
+from ampflow.sources.readers import JdbcConfig, history, read_daily, read_half_hours, read_jdbc, some_devices
+from ampflow.sources.sinks import newest, read_text, settled, write_text
 
 
 def _written(df: DataFrame, path: str, what: str, **options) -> DataFrame:
@@ -44,6 +44,12 @@ def write_daily(readings: DataFrame, path: str, window_days: int = segment.WINDO
     return check_daily(_written(rows, path, "daily totals"))
 
 
+def daily_from_jdbc(spark: SparkSession, config: JdbcConfig, table: str, path: str, bounds: tuple[int, int] | None = None, window_days: int = segment.WINDOW_DAYS) -> DataFrame:
+    """The table of daily totals straight from a meter table in a database, read in parallel by device if ``bounds`` are given; read once, and stored."""
+    readings = settled(history(read_jdbc(spark, config, table, bounds)), "jdbc-readings")
+    return write_daily(readings, path, window_days)
+
+
 def write_features(daily: DataFrame, path: str, history_days: int = feats.HISTORY) -> DataFrame:
     """The feature table of daily totals; no value in it is missing, and a device has one row a day."""
     out = _written(feats.build(daily, history=history_days), path, "features")
