@@ -38,3 +38,14 @@ def correlation(a: Column, b: Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+
+
+def steps_within(gap: Column, after: int | None, before: int) -> Column:
+    """The steps 0 .. ``gap`` - 1 that lie ``after`` or less from 0 or ``before`` or less from ``gap``, as an array; 0 alone without a gap, all if ``after`` is None."""
+    none = F.array(F.lit(0))
+    last = gap - 1
+    if after is None:
+        return F.when(gap > 1, F.sequence(F.lit(0), last)).otherwise(none)
+    first = F.greatest(F.lit(after + 1), gap - before)
+    far = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.when(gap > 1, F.concat(F.sequence(F.lit(0), F.least(F.lit(after), last)), far)).otherwise(none)

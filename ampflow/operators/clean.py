@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ampflow.functions.calendar import is_weekend
+from ampflow.functions.numeric import steps_within
 from ampflow.schema import require
 
 MIN_DAY_HOURS = 20
 #: Hours that interpolation fills from either side of a gap.
 REACH = 6
+HOUR_MICROS = 3_600_000_000
 #: Readings a device needs for its outliers to be clipped.
 CLIP_FROM = 50
 #: Days of history below which a device is still learning, and from which it has a model of its own.
@@ -42,42 +44,39 @@ def whole_days(readings: DataFrame, min_hours: int = MIN_DAY_HOURS) -> DataFrame
     return readings.withColumn("_n", F.count("*").over(day)).where(F.col("_n") >= min_hours).drop("_n")
 
 
-def hourly_spine(readings: DataFrame) -> DataFrame:
-    """Every hour of a device from its first to its last reading, stepping from the first."""
-    ends = readings.groupBy("device_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return ends.select("device_id", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("ts"))
-
-
 def filled(readings: DataFrame, reach: int = REACH) -> DataFrame:
     """Hours between readings by linear interpolation; days that still lack one go.
 
-    An hour is filled if a reading lies ``reach`` hours or less before it, or
-    that many after it (and one on the other side).  Every day but a device's
-    first and last must come out with all hours of its spine.
+    A device's hours step from its first reading to its last; readings off that
+    grid go.  An hour is filled if a reading lies ``reach`` hours or less before
+    it, or that many after it (and one on the other side).  Every day but a
+    device's first and last must come out with all its hours.
+
+    Gaps stay intervals: a reading is multiplied by the hours to fill after it,
+    2 ``reach`` at most, so a stray date costs one row however far it lies.
     """
-    return _filled_spine(hourly_spine(readings).join(readings, ["device_id", "ts"], "left"), reach)
-
-
-def _filled_spine(spine: DataFrame, reach: int) -> DataFrame:
-    by = Window.partitionBy("device_id").orderBy("ts")
-    here = F.when(F.col("kwh").isNotNull(), F.col("ts"))
-    # What lies ahead is what lies behind in the reversed order: a frame that grows costs a step a row, one that shrinks the whole rest.
-    back = by.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("device_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.row_number().over(by)
-    rows = spine.withColumn("_i", at).withColumn("_k", F.when(here.isNotNull(), F.col("_i")))
-    rows = (
-        rows.withColumn("_pi", F.last("_k", True).over(back))
-        .withColumn("_pv", F.last("kwh", True).over(back))
-        .withColumn("_ni", F.last("_k", True).over(ahead))
-        .withColumn("_nv", F.last("kwh", True).over(ahead))
-    )
-    a, b = F.col("_i") - F.col("_pi"), F.col("_ni") - F.col("_i")
-    line = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * a / F.when(a + b > 0, a + b)
-    value = F.coalesce("kwh", F.when((a <= reach) | (b <= reach), line))
-    day = Window.partitionBy("device_id", F.to_date("ts"))
-    out = rows.select("device_id", "ts", value.alias("kwh")).withColumn("_gaps", F.count_if(F.col("kwh").isNull()).over(day))
-    return out.where("_gaps = 0").drop("_gaps")
+    kind = readings.schema["ts"].dataType.typeName()
+    device, by = Window.partitionBy("device_id"), Window.partitionBy("device_id").orderBy("ts")
+    rows = readings.withColumn("_t", _micros(F.col("ts"), kind)).withColumns({"_a": F.min("_t").over(device), "_b": F.max("_t").over(device)})
+    rows = rows.where(F.col("kwh").isNotNull() & ((F.col("_t") - F.col("_a")) % HOUR_MICROS == 0))
+    rows = rows.withColumn("_g", ((F.lead("_t").over(by) - F.col("_t")) / HOUR_MICROS).cast("int")).withColumn("_next", F.lead("kwh").over(by))
+    rows = rows.select("*", F.explode(steps_within(F.col("_g"), reach, reach)).alias("_j"))
+    line = F.col("kwh") + (F.col("_next") - F.col("kwh")) * F.col("_j") / F.when(F.col("_g") > 0, F.col("_g"))
+    out = rows.withColumn("kwh", F.when(F.col("_j") == 0, F.col("kwh")).otherwise(line)).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(0), F.col("_j")))
+    day = F.to_date("ts")
+    step = lambda at: F.ceil((at - F.col("_a")) / HOUR_MICROS)  # noqa: E731  the first hour of the grid at or after ``at``
+    midnight = lambda d: _micros(d.cast(kind), kind)
+    wanted = F.least(step(midnight(F.date_add(day, 1))), step(F.col("_b") + 1)) - F.greatest(step(midnight(day)), F.lit(0))
+    have = F.count_if((F.col("_j") > 0) | (F.coalesce("_g", F.lit(1)) > 0)).over(Window.partitionBy("device_id", day))  # of a repeated hour one counts
+    return out.withColumn("_whole", have >= wanted).where("_whole").select("device_id", "ts", "kwh")
+
+
+def _micros(ts: Column, kind: str) -> Column:
+    """Microseconds on the clock that ``ts`` is of; those without a zone by their own calendar."""
+    if kind == "timestamp":
+        return F.unix_micros(ts)
+    seconds = F.unix_date(F.to_date(ts)) * F.lit(86400).cast("long") + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 def clipped(readings: DataFrame, low: float = 0.01, high: float = 0.99, least: int = CLIP_FROM) -> DataFrame:

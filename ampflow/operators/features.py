@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ampflow.functions.calendar import jalali, saturday_of, target_day_columns
-from ampflow.functions.numeric import finite, ratio, total
+from ampflow.functions.numeric import finite, ratio, steps_within, total
 from ampflow.schema import SEG
 
 LAGS = (1, 2, 3, 4, 5, 6, 7, 14, 21, 30)
@@ -132,22 +132,30 @@ PANEL_MEANS = (3, 7, 14, 28)
 PANEL_STDS = (7, 14)
 
 
-def dense(daily: DataFrame, keys: tuple[str, ...] = ("device_id",)) -> DataFrame:
-    """Every day from a device's first to its last; days without a row have nulls."""
-    ends = daily.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    spine = ends.select(*keys, F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
-    return spine.join(daily, [*keys, "day"], "left")
+def dense(daily: DataFrame, keys: tuple[str, ...] = ("device_id",), reach: tuple[int, int] | None = None) -> DataFrame:
+    """Every day from a device's first to its last; days without a row have nulls.
+
+    With ``reach`` (after, before), only those so many days after a row or before
+    the next.  Frames that look back ``after`` rows and ahead ``before`` see
+    nothing but nulls across a longer gap, as on the whole calendar.  So a stray
+    date costs a few rows however far it lies.
+    """
+    rows = daily.where("day is not null").withColumn("_g", F.datediff(F.lead("day").over(by_day(*keys)), F.col("day")))
+    rows = rows.select("*", F.explode(steps_within(F.col("_g"), *(reach or (None, 0)))).alias("_j"))
+    rest = [F.when(F.col("_j") == 0, F.col(c)).alias(c) for c in daily.columns if c not in (*keys, "day")]
+    return rows.select(*keys, F.date_add("day", F.col("_j")).alias("day"), *rest)
 
 
 def panel(daily: DataFrame, horizons: tuple[int, ...] = (1, 2, 3), normalize: bool = True) -> DataFrame:
     """A row a device and calendar day with the direct-forecast features of the day's total ``y``.
 
+    Days further from readings than features and targets reach have no row: all of it would be null.
     lag1 is the day itself; a day that lacks a segment has no total.  Shares are
     those of the segments in the total, a quarter each where it is zero.  With
     ``normalize`` levels are in units of the mean of 28 days (``scale``), whose
     log is a feature.  ``ready`` rows have all features, ``usable`` ones all targets too.
     """
-    rows = dense(daily.select("device_id", "day", *SEG)).withColumn("y", total([F.col(s) for s in SEG]))
+    rows = dense(daily.select("device_id", "day", *SEG), reach=(max(PANEL_LAGS), max(horizons, default=0))).withColumn("y", total([F.col(s) for s in SEG]))
     w = by_day()
     y, out = F.col("y"), {}
     for k in PANEL_LAGS:

@@ -28,12 +28,13 @@ WORST = 3
 def behaviour(daily: DataFrame, min_days: int = MIN_DAYS, recent_days: int = RECENT_DAYS, until: Column | None = None) -> DataFrame:
     """device_id and the features of ``BASE``.
 
-    ``daily`` has whole days only; the calendar between is dense, with nulls.
+    ``daily`` has whole days only; the calendar between is dense as far as a
+    week's lag looks, with nulls.
     Devices of fewer than ``min_days`` rows, or without use, have no profile.
     """
     rows = daily.select("device_id", "day", *SEG).where(until if until is not None else F.lit(True))
     w, whole = by_day(), Window.partitionBy("device_id")
-    days = dense(rows).withColumn("y", total([F.col(s) for s in SEG]))
+    days = dense(rows, reach=(7, 0)).withColumn("y", total([F.col(s) for s in SEG]))
     known = F.count("y").over(whole)
     days = days.withColumns({"y1": F.lag("y", 1).over(w), "y7": F.lag("y", 7).over(w), "rows": known, "_back": known - F.count("y").over(w) + 1, "med": F.percentile("y", 0.5).over(whole), "_m": F.avg("y").over(whole)})
     days = days.where(F.col("rows") >= min_days).withColumn("_base", F.when(F.col("med") > 1e-9, F.col("med")).otherwise(F.col("_m")))
