@@ -52,9 +52,18 @@ def daily_actuals(readings: DataFrame, days: DataFrame | None = None, window_day
     back = (window_days - 1, 0) if inclusive else (window_days, 1)
     at = F.unix_date("day")
     w = Window.partitionBy("device_id").orderBy(at).rangeBetween(-back[0], -back[1])
-    rows = arrays.withColumn("_w", F.collect_list("v").over(w)).where((F.size("_w") > 0) & (F.size(F.filter("v", lambda x: x.isNotNull())) >= least))
+    rows = arrays.withColumn("_w", F.collect_list("v").over(w)).where((F.size("_w") > 0) & enough_hours(least))
     if days is not None:
         rows = rows.join(days, ["device_id", "day"], "left_semi")
+    return cut_days(rows, window_days)
+
+
+def enough_hours(least: int = clean.MIN_DAY_HOURS) -> Column:
+    return F.size(F.filter("v", lambda x: x.isNotNull())) >= least
+
+
+def cut_days(rows: DataFrame, window_days: int = 30) -> DataFrame:
+    """The actuals of ``rows``: device_id, day, v (a day's hours) and _w (the days of its window, oldest first)."""
     cut = segment.segment_totals(segment.adaptive(segment.fit_windows(rows, window_days), "p", "agreement"), digits=9)
     out = cut.withColumn("v", segment.gaps_to_mean(F.col("v"))).withColumn("peak_hour", segment.peak_hour(F.col("v"))).withColumn("peak_value", F.array_max("v"))
     b = [F.col(f"cut.b{i}") for i in (1, 2, 3)]
