@@ -346,7 +346,11 @@ def adaptive_daily(readings: DataFrame, window_days: int = WINDOW_DAYS, decay: f
 
     The days of a window are gathered as an array beside the row, so a day's readings are read once.
     """
-    days = day_arrays(readings)
+    return adaptive_days(day_arrays(readings), window_days, decay)
+
+
+def adaptive_days(days: DataFrame, window_days: int = WINDOW_DAYS, decay: float = DECAY) -> DataFrame:
+    """``adaptive_daily`` of day arrays (device_id, day, v)."""
     before = Window.partitionBy("device_id").orderBy("day").rowsBetween(-window_days, -1)
     rows = days.withColumn("_w", F.collect_list("v").over(before)).where(F.size("_w") == window_days)
     voted = fit_windows(rows, window_days, decay)
