@@ -97,8 +97,8 @@ def upkeep(readings: DataFrame, root: str, changed: DataFrame | None = None, win
     last = before.groupBy("device_id").agg(F.max("day").alias("_last"))
     ahead = edges.join(last, "device_id", "left").select("device_id", F.coalesce("_last", "first").alias("first"))
     ahead = settled(ahead, "edges-features")
-    built = feats.build(before.unionByName(daily), history=history_days).join(ahead, "device_id").where(F.col("day") >= F.col("first")).drop("first")
-    features = settled(built, "features-tail")
+    built = settled(feats.build(before.unionByName(daily), history=history_days), "features-built")  # stored first: a join over its many null checks takes minutes to plan
+    features = settled(built.join(ahead, "device_id").where(F.col("day") >= F.col("first")).drop("first"), "features-tail")
 
     tail = now.join(edges, "device_id").where(F.col("day") >= F.col("first")).drop("first")
     months = {"features": put_tails(features, ahead, f"{root}/features"), "daily": put_tails(daily, edges, f"{root}/daily"), "days": put_tails(tail, edges, f"{root}/days")}
