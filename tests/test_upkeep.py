@@ -90,3 +90,18 @@ def test_first_changes(spark):
     now = days((1, 1, [1.0]), (1, 2, [None]), (1, 3, [2.0]), (2, 1, [1.0]), (3, 4, [1.0]))
     was = days((1, 1, [1.0]), (1, 2, [None]), (1, 3, [1.0]), (2, 1, [1.0]), (4, 5, [1.0]))
     assert {r.device_id: r["first"].day for r in upkeep.first_changes(now, was).collect()} == {1: 3, 3: 4, 4: 5}
+
+
+def test_upkeep_with_the_real_cuts_and_features(spark, tmp_path):
+    """A day or two more of one device: its tail only, equal to a rebuild.  Three runs of half a minute to a minute."""
+    root, fresh = str(tmp_path / "kept"), str(tmp_path / "fresh")
+    two, one = meter(spark, 75, 2), meter(spark, 75, 1)
+    assert upkeep.upkeep(two.union(one.where("ts < '2024-03-14'")), root)["devices"] == 2
+    old = {n: table(spark, f"{root}/{n}") for n in ("days", "daily", "features")}
+    out = upkeep.upkeep(two.union(one), root, spark.range(1, 2).select(F.col("id").alias("device_id")))
+    assert (out["devices"], out["daily"], out["features"]) == (1, 2, 2)
+    assert {m.isoformat() for months in out["months"].values() for m in months} == {"2024-03-01"}
+    upkeep.upkeep(two.union(one), fresh)
+    for n, rows in old.items():
+        got = table(spark, f"{root}/{n}")
+        assert got and got == table(spark, f"{fresh}/{n}") and all(got[k] == r for k, r in rows.items())
