@@ -54,10 +54,12 @@ def filled(readings: DataFrame, reach: int = REACH) -> DataFrame:
 
     Gaps stay intervals: a reading is multiplied by the hours to fill after it,
     2 ``reach`` at most, so a stray date costs one row however far it lies.
+    Frames only grow, from either end: what a device or a day has in all is
+    known from its last row on, and a second order begins there.
     """
     kind = readings.schema["ts"].dataType.typeName()
-    device, by = Window.partitionBy("device_id"), Window.partitionBy("device_id").orderBy("ts")
-    rows = readings.withColumn("_t", _micros(F.col("ts"), kind)).withColumns({"_a": F.min("_t").over(device), "_b": F.max("_t").over(device)})
+    by, back = (Window.partitionBy("device_id").orderBy(o) for o in ("ts", F.desc("ts")))
+    rows = readings.withColumn("_t", _micros(F.col("ts"), kind)).withColumn("_b", F.max("_t").over(back)).withColumn("_a", F.min("_t").over(by))
     rows = rows.where(F.col("kwh").isNotNull() & ((F.col("_t") - F.col("_a")) % HOUR_MICROS == 0))
     rows = rows.withColumn("_g", ((F.lead("_t").over(by) - F.col("_t")) / HOUR_MICROS).cast("int")).withColumn("_next", F.lead("kwh").over(by))
     rows = rows.select("*", F.explode(steps_within(F.col("_g"), reach, reach)).alias("_j"))
@@ -67,8 +69,9 @@ def filled(readings: DataFrame, reach: int = REACH) -> DataFrame:
     step = lambda at: F.ceil((at - F.col("_a")) / HOUR_MICROS)  # noqa: E731  the first hour of the grid at or after ``at``
     midnight = lambda d: _micros(d.cast(kind), kind)
     wanted = F.least(step(midnight(F.date_add(day, 1))), step(F.col("_b") + 1)) - F.greatest(step(midnight(day)), F.lit(0))
-    have = F.count_if((F.col("_j") > 0) | (F.coalesce("_g", F.lit(1)) > 0)).over(Window.partitionBy("device_id", day))  # of a repeated hour one counts
-    return out.withColumn("_whole", have >= wanted).where("_whole").select("device_id", "ts", "kwh")
+    upto, after = (Window.partitionBy("device_id", day).orderBy(o) for o in ("ts", F.desc("ts")))
+    out = out.withColumn("_have", F.count_if((F.col("_j") > 0) | (F.coalesce("_g", F.lit(1)) > 0)).over(upto))  # of a repeated hour one counts
+    return out.withColumn("_whole", F.max("_have").over(after) >= wanted).where("_whole").select("device_id", "ts", "kwh")
 
 
 def _micros(ts: Column, kind: str) -> Column:
