@@ -1,11 +1,13 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the text itself.  Each layer is scanned, then decoded in
-every way that applies: URL escapes and Unicode escapes by one level and to
-their own fixpoint, each base64 run by itself, over line ends and from each of
-four places, all compressed streams inside it, and percent-escaped binary data.
+every way that applies: URL escapes and Unicode escapes (characters by number in
+six notations) by one level and to their own fixpoint, each base64 run by itself, over line ends and from each of
+four places, all compressed streams inside it, raw deflate from its start or after a sign in
+it, and percent-escaped binary data.
 A layer whose content was met before at the same place is not read again, so
-cycles end and the list runs to its fixpoint.  A layer knows which span of the
+cycles end and the list runs to its fixpoint; streams that make ever larger
+ones of themselves end at as many layers as the text could hold.  A layer knows which span of the
 layer around it each of its characters came from; findings are given in the
 original text.
 
@@ -13,7 +15,8 @@ Escapes that nest (``%252541``) are taken off together in one pass, so their
 depth does not matter.  What a stream unpacks to is read in windows of
 ``WINDOW`` bytes; a base64 run or a stream that goes on beyond its window is
 read as a stream of its own.  So a bomb takes time in proportion to what it
-unpacks to, but no more memory than a few windows.
+unpacks to, but no more memory than a few windows; those that zstd and xz
+declare for themselves come to that, as far as they are filled.
 
 Spans are in code points, end exclusive.  A null text is empty and has none;
 repeated rows give repeated rows, an empty table none.
@@ -24,6 +27,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from array import array
@@ -50,17 +54,29 @@ PLAIN = 22
 #: Base64 that goes on over line ends.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
+_CODE = r"\\u[0-9A-Fa-f]{4}"
+#: A character by its number: ``%u0070``, ``\\x70``, ``\\U00000070``, ``\\u{70}``, ``&#112;``, ``&#x70;``.
+_NUMBER = r"%u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,8}\}|&#[0-9]{1,8};|&#[xX][0-9A-Fa-f]{1,8};"
+UNICODE = re.compile(rf"(?:{_CODE})+|{_NUMBER}")
+ESCAPE = re.compile(rf"%[0-9A-Fa-f]{{2}}|{_CODE}|{_NUMBER}")
+#: What one of them begins with.
+_MARKS = ("%", "\\u", "\\U", "\\x", "&#")
+#: An escape that has just ended, and the most characters it has.
+_ENDED, LONGEST = re.compile(rf"(?:{ESCAPE.pattern})\Z"), 12
 #: Escaped bytes among others, as of binary data.
-BINARY = re.compile(r"[!-$&-~]*%[0-9A-Fa-f]{2}[!-~]*")
+BINARY = re.compile(r"(?<![!-$&-~])[!-$&-~]*+%[0-9A-Fa-f]{2}[!-~]*")
+#: No header tells of raw deflate: it is looked for at a run's start and where what stands before it may end.
+SIGN = re.compile(r"[+/]")
 #: Unpacked bytes that are read together.
 WINDOW = 1 << 25
 #: Packed bytes read at once: what came before a broken place is kept.
 STEP = 1 << 10
+#: zlib's two bytes: deflate with a window of 2^8 to 2^15, a multiple of 31, no preset dictionary.
+_ZLIB = [bytes([a, b]) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a * 256 + b) % 31 == 0 and not b & 0x20]
 # How compressed streams begin.
-_BEGIN = [b"\x1f\x8b\x08", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh"]
-MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
+_GZIP, _ZSTD, _BZ2, _XZ = b"\x1f\x8b\x08", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\0"
+_BEGIN = [_GZIP, *_ZLIB, _ZSTD, _BZ2, _XZ]
+MAGIC = re.compile(b"|".join(map(re.escape, [_GZIP, *_ZLIB, _ZSTD, _XZ])) + rb"|BZh[1-9](?:1AY&SY|\x17rE8P\x90)")
 #: Runs that may hold a finding or a stream.
 ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{8,}")
 WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}|(?:\x00[\t\n\r\x20-\x7e]){8,}")
@@ -158,7 +174,19 @@ def _url(run: str, at: int) -> Iterator[tuple[int, int, str]]:
             i += 1  # not text: this escape stays as it is
 
 
+def _number(escape: str) -> int:
+    """The number that one escape names."""
+    if escape[0] == "&":
+        return int(escape[3:-1], 16) if escape[2] in "xX" else int(escape[2:-1])
+    return int(escape.strip("%\\uUx{}"), 16)
+
+
 def _unicode(run: str, at: int) -> Iterator[tuple[int, int, str]]:
+    if run[:2] != "\\u" or run[2] == "{":
+        code = _number(run)
+        if 0 <= code < 0xD800 or 0xE000 <= code < 0x110000:
+            yield at, at + len(run), chr(code)
+        return
     units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
     i = 0
     while i < len(units):
@@ -173,7 +201,7 @@ def _unicode(run: str, at: int) -> Iterator[tuple[int, int, str]]:
 
 
 def _fixpoint(layer: _Layer) -> _Layer | None:
-    """The layer with escapes of both kinds decoded until none is left, in one pass; None if there is none.
+    """The layer with escapes of all kinds decoded until none is left, in one pass; None if there is none.
 
     What a decoded character completes is decoded in its turn.  Escaped bytes
     that are not ASCII become the lone surrogates that stand for such bytes:
@@ -190,21 +218,17 @@ def _fixpoint(layer: _Layer) -> _Layer | None:
             m = ESCAPE.search(text, pos)
             stop = m.start() if m else n
             out += text[pos:stop]
-            pos, hot = stop, 6
+            pos, hot = stop, LONGEST
             continue
         out.append(text[pos])
         pos, hot = pos + 1, hot - 1
         while True:
-            if out[-3:-2] == ["%"]:
-                size = 3
-            elif out[-6:-4] == ["\\", "u"]:
-                size = 6
-            else:
+            ended = _ENDED.search("".join(out[-LONGEST:]))
+            if not ended:
                 break
-            digits = "".join(out[-2:] if size == 3 else out[-4:])
-            if not all(c in "0123456789abcdefABCDEF" for c in digits):
+            size, code = len(ended[0]), _number(ended[0])
+            if code >= 0x110000:
                 break
-            code = int(digits, 16)
             start = len(out) - size
             j = bisect_right(at, start) - 1
             begin = start if j < 0 else low[j] if at[j] == start else high[j] + start - at[j] - 1
@@ -216,8 +240,8 @@ def _fixpoint(layer: _Layer) -> _Layer | None:
             at.append(start)
             low.append(begin)
             high.append(pos)
-            out.append(chr(0xDC00 + code if size == 3 and code >= 0x80 else 0xFFFD if 0xD800 <= code < 0xE000 else code))
-            hot = 6
+            out.append(chr(0xDC00 + code if ended[0][0] == "%" and size == 3 and code >= 0x80 else 0xFFFD if 0xD800 <= code < 0xE000 else code))
+            hot = LONGEST
     return _peeled(layer, "".join(out), at, low, high, True)
 
 
@@ -225,10 +249,13 @@ def _fixpoint(layer: _Layer) -> _Layer | None:
 
 
 class _Stream:
-    """One compressed stream, unpacked piece by piece; then ``used`` has its length, 0 if it does not end."""
+    """One compressed stream, unpacked piece by piece; then ``used`` has its length, 0 if it does not end.
 
-    def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.used = chunks, 0
+    ``raw``: deflate without a header.  A zstd frame's window is held in memory as far as the frame fills it.
+    """
+
+    def __init__(self, chunks: Iterator[bytes], raw: bool = False):
+        self.chunks, self.raw, self.used = chunks, raw, 0
 
     def __iter__(self) -> Iterator[bytes]:
         d, read = None, 0
@@ -236,13 +263,16 @@ class _Stream:
             for i in range(0, len(chunk), STEP):
                 part = bytes(chunk[i : i + STEP])
                 if d is None:
-                    kind = "zstd" if part[:4] == b"\x28\xb5\x2f\xfd" else "bz2" if part[:3] == b"BZh" else "zlib"
-                    d = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj() if kind == "zstd" else bz2.BZ2Decompressor() if kind == "bz2" else zlib.decompressobj(47)
+                    kind = "zlib" if self.raw else "zstd" if part[:4] == _ZSTD else "bz2" if part[:3] == _BZ2 else "xz" if part[:6] == _XZ else "zlib"
+                    if kind == "zstd":
+                        d = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()  # the format's limit
+                    else:
+                        d = bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor(lzma.FORMAT_XZ) if kind == "xz" else zlib.decompressobj(-15 if self.raw else 47)
                 read += len(part)
                 try:
                     if kind == "zstd":
                         yield d.decompress(part)
-                    elif kind == "bz2":
+                    elif kind in ("bz2", "xz"):
                         yield d.decompress(part, WINDOW)
                         while not d.eof and not d.needs_input:
                             yield d.decompress(b"", WINDOW)
@@ -250,7 +280,7 @@ class _Stream:
                         yield d.decompress(part, WINDOW)
                         while d.unconsumed_tail and not d.eof:
                             yield d.decompress(d.unconsumed_tail, WINDOW)
-                except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
+                except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError, zstandard.ZstdError):
                     return
                 if d.eof:
                     self.used = read - len(d.unused_data)
@@ -324,21 +354,22 @@ def _decoded(chunks: Iterator[bytes]) -> Iterator[bytes]:
             return
 
 
-def _unpacked(read: Reader, data: bytes, base: int, span: tuple[int, int], met: set, whole: list[tuple[int, int]]) -> Iterator[_Layer]:
+def _unpacked(read: Reader, data: bytes, base: int, span: tuple[int, int], met: set, whole: list[tuple[int, int]]) -> Iterator[_Layer | Iterator]:
     """Layers of the streams that begin in ``data``, which stands at ``base`` of what ``read`` reads.
 
-    The places of streams that end are added to ``whole``.
+    The places of streams that end are added to ``whole``.  Of streams within
+    streams the iterators are given, which the worklist reads to their end before it goes on.
     """
     at = 0
     while m := MAGIC.search(data, at):
         used: list[int] = []
-        yield from _inside(lambda: _member(read, base + m.start(), used), span, met)  # noqa: B023  used up before the next turn
+        yield _inside(lambda: _member(read, base + m.start(), used), span, met)  # noqa: B023  used up before the next turn
         at = used[-1] - base if used else m.start() + 1
         if used:
             whole.append((m.start(), at))
 
 
-def _inside(pieces: Callable[[], Iterator[bytes]], span: tuple[int, int], met: set) -> Iterator[_Layer]:
+def _inside(pieces: Callable[[], Iterator[bytes]], span: tuple[int, int], met: set) -> Iterator[_Layer | Iterator]:
     """Layers of a stream's content, through all its streams; all have the span of the run that the stream came from."""
     digest, windows, first = hashlib.sha256(), 0, b""
     for start, data in _windows(pieces()):
@@ -353,13 +384,13 @@ def _inside(pieces: Callable[[], Iterator[bytes]], span: tuple[int, int], met: s
     again, long = _from(pieces), False
     for start, data in [(0, first)] if windows == 1 else _windows(pieces()):
         whole: list[tuple[int, int]] = []
-        yield from _unpacked(_reader(data) if windows == 1 else again, data, 0 if windows == 1 else start, span, met, whole)
+        yield _unpacked(_reader(data) if windows == 1 else again, data, 0 if windows == 1 else start, span, met, whole)
         for _, _, text in _texts(data, whole, windows == 1):
             yield _Layer(text, _constant(span))
         begin = len(data.rstrip(_RUN))
         if windows > 1 and len(data) - begin >= WINDOW // 2:
             for skip in range(4) if begin or not long else ():  # a base64 run of over half a window: once, from its start
-                yield from _inside(lambda: _decoded(again(start + begin + skip)), span, met)  # noqa: B023
+                yield _inside(lambda: _decoded(again(start + begin + skip)), span, met)  # noqa: B023
         long = len(data) - begin >= WINDOW // 2
 
 
@@ -403,6 +434,7 @@ def _base64(layer: _Layer, met: set) -> Iterator[_Layer]:
     for run, at in _runs(layer.text):
         run = run.replace("-", "+").replace("_", "/")
         packed = PACKED.search(run)
+        starts = [0, *(m.end() for m in SIGN.finditer(run))] if len(run) >= PLAIN else []
         for skip in range(4):
             n = len(run) - skip
             n -= n % 4 == 1
@@ -412,6 +444,10 @@ def _base64(layer: _Layer, met: set) -> Iterator[_Layer]:
                 yield from _unpacked(_reader(data), data, 0, layer.span(at[0], at[-1] + 1), met, whole)
             if n < PLAIN:
                 continue
+            for start in starts if len(data) > 4 else ():
+                first = (start - skip) * 3 // 4
+                if start % 4 == skip and n - start >= PLAIN - 4 and data[first] & 6 != 6:  # there is no such first block
+                    yield _inside(lambda: iter(_Stream(_reader(data)(first), raw=True)), layer.span(at[start], at[-1] + 1), met)  # noqa: B023
             for first, width, text in _texts(data, whole):
 
                 def span(a: int, b: int, at=at, skip=skip, n=n, first=first, width=width, text=text) -> tuple[int, int]:
@@ -437,10 +473,9 @@ def _binary(layer: _Layer, met: set) -> Iterator[_Layer]:
 def _layers(layer: _Layer, met: set) -> Iterator[_Layer]:
     """All that decodes from a layer, one after another."""
     yield from _base64(layer, met)
-    percent, backslash = "%" in layer.text, "\\u" in layer.text
-    if percent or not layer.text.isascii():
+    if "%" in layer.text or not layer.text.isascii():
         yield from _binary(layer, met)
-    if not percent and not backslash:
+    if not any(mark in layer.text for mark in _MARKS):
         return
     if layer.whole:
         for pattern, decode in ((URL, _url), (UNICODE, _unicode)):
@@ -454,12 +489,17 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """(findings in the text as it is, findings with those of decoded layers): (start, kind, end)."""
     root = _Layer(text or "", lambda a, b: (a, b))
     base = scan(root.text)
+    deepest = 64 + 4 * len(root.text)  # a layer around another takes a character or more, so only what makes itself anew goes deeper
     found, met, work = set(base), set(), [_layers(root, streams := set())]
     while work:
         layer = next(work[-1], None)
         if layer is None:
             work.pop()
             continue
+        if isinstance(layer, Iterator):
+            if len(work) < deepest:
+                work.append(layer)
+            continue
         key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, len(layer.text)), layer.whole)
         if key in met:
             continue
@@ -467,7 +507,8 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         for start, kind, end in scan(layer.text):
             a, b = layer.span(start, end)
             found.add((a, kind, b))
-        work.append(_layers(layer, streams))
+        if len(work) < deepest:
+            work.append(_layers(layer, streams))
     return base, sorted(found)
 
 

@@ -103,3 +103,70 @@ def test_streams_longer_than_a_window(monkeypatch, wrap):
 def test_a_stream_that_holds_itself_ends(monkeypatch):
     monkeypatch.setattr(secrets, "_member", lambda read, at, used: iter([b64(gzip.compress(b"x" * 99)).encode()]))
     assert secrets.find(b64(gzip.compress(b"x" * 99)))[0] == []
+
+
+def deflated(data, bits):
+    c = zlib.compressobj(9, zlib.DEFLATED, bits)
+    return c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize("bits", [*range(9, 16), -9, -15])
+def test_deflate_with_any_window_or_no_header(bits):
+    assert kinds(b64(deflated(SECRET, bits))) == kinds("blob_" + b64(deflated(FILL + SECRET, bits))) == {"assign"}
+
+
+@pytest.mark.parametrize("window", [27, 28, 31])
+def test_zstd_with_long_windows(window):
+    """The size of what is packed is not said, so the frame names the whole window."""
+    c = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=window, enable_ldm=False, chain_log=6, hash_log=6)).compressobj()
+    assert kinds(b64(c.compress(SECRET) + c.flush())) == {"assign"}
+
+
+def test_xz():
+    import lzma
+
+    assert kinds(b64(lzma.compress(SECRET))) == kinds(b64(lzma.compress(b"x") + lzma.compress(SECRET))) == {"assign"}
+    assert kinds(urllib.parse.quote(lzma.compress(SECRET))) == {"assign"}
+
+
+NOTATIONS = ["\\u{%x}", "\\x%02x", "\\U%08x", "%%u%04x", "&#%d;", "&#x%x;", "\\u%04x"]
+
+
+@pytest.mark.parametrize("said", NOTATIONS)
+def test_characters_by_number(said):
+    inner = "token=abcdefghijklmnop"
+    text = "".join(said % ord(c) for c in inner)
+    assert secrets.find(text)[1] == [(0, 0, len(text))]
+    part = "see " + inner.replace("=", said % ord("=")) + " there"
+    assert secrets.find(part)[1] == [(4, 0, len(part) - 6)]
+    for other in NOTATIONS:  # nested: the signs of one written in another
+        twice = "".join(other % ord(c) if c in "\\%&{};" else c for c in text)
+        assert (0, 0, len(twice)) in secrets.find(twice)[1]
+
+
+def test_numbers_beyond_unicode_stay():
+    assert secrets.find("\\U00110000 \\u{ffffffff} &#99999999; \\ud800 &#55296; \\x4")[1] == []
+
+
+def test_deep_streams():
+    data = SECRET
+    for _ in range(600):
+        data = gzip.compress(data, 1)
+    assert kinds(b64(data)) == {"assign"}
+
+
+def test_streams_that_grow_without_end_end(monkeypatch):
+    """A member that always unpacks to a larger one."""
+    size = iter(range(10**9))
+    monkeypatch.setattr(secrets, "_member", lambda read, at, used: iter([zlib.compress(b"x" * 9) + str(next(size)).encode()]))
+    assert secrets.find(b64(zlib.compress(b"x" * 99)))[1] == []
+
+
+def test_time_grows_with_the_text():
+    """Long runs beside a percent sign, many escapes: each once quadratic or close to it."""
+    import time
+
+    start = time.monotonic()
+    for text in ("% " + "p" * 400_000, "%25" * 100_000 + "&#37;" * 50_000, "\\u005c" * 60_000 + "% ", "\\u{" * 100_000, "&#" * 150_000):
+        assert secrets.find(text)[1] == []
+    assert time.monotonic() - start < 60
