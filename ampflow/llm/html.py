@@ -56,11 +56,14 @@ _WALLS = frozenset(["td", "th", "caption", "table"])
 #: End tags that reach beyond a wall.
 _PASSING = frozenset("table tr tbody thead tfoot body html".split())
 _TAG = re.compile(r"""<!--.*?-->|<!--.*\Z|<[!?][^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: All that is left of it where no ``>`` follows.
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _NOTES = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Both are tried at the start of a run only: what fails there fails at each later place of it.
+_AT_RULE = re.compile(r"(?<![^{};])([^{};@]*+)@[^{};]*+(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE = re.compile(r"(?<![^{}])([^{}]++)\{([^{}]*+)\}")
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])(-?[_a-z][\w-]*))?\Z", re.I)
 #: Columns to which lists indent and to which a table's column is widened, at most: longer cells push what follows to the right.
 DEEP, WIDE = 80, 100
@@ -98,15 +101,17 @@ def parse(page: str) -> Node:
         places.setdefault(node.tag, []).append(len(stack))
         stack.append(node)
 
-    size = len(page)
+    size, closed = len(page), page.rfind(">")
     while at < size:
-        m = _TAG.search(page, at)
+        m = (_TAG if at <= closed else _OPEN_COMMENT).search(page, at)
         if not m:
             stack[-1].children.append(html.unescape(page[at:]))
             break
         if m.start() > at:
             stack[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
+        if m.lastindex is None:
+            continue  # a comment or a declaration
         if m[1]:
             tag = m[1].lower()
             found, wall = last((tag,)), 0 if tag in _PASSING else last(_WALLS)
@@ -150,7 +155,7 @@ def sheet(root: Node) -> dict[tuple[str, str, str], dict[str, str]]:
     while work:
         node = work.pop()
         if node.tag == "style":
-            rules = _AT_RULE.sub("", _NOTES.sub("", "".join(node.children)))
+            rules = _AT_RULE.sub(r"\1", _NOTES.sub("", "".join(node.children)))
             for selectors, body in _RULE.findall(rules):
                 said = _declared(body)
                 for one in selectors.split(",") if said else ():
@@ -211,12 +216,29 @@ class _Page:
             self.deepen(len(self.bullet))
             self.bullet = ""
 
+    def block(self, lines: list[str]) -> None:
+        """Lines that were laid out, as ``line`` would put one after another."""
+        if self.indent or self.bullet:
+            for line in lines:
+                self.line(line)
+        elif lines:
+            if self.lines:
+                self.lines += [""] * self.gap
+            self.gap = 0
+            self.lines += lines
+
     def deepen(self, columns: int) -> None:
         self.indent = " " * min(len(self.indent) + columns, DEEP)
 
 
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Rows of (lines of a cell, columns and rows it spans) with their columns aligned."""
+    if all(len(row) < 2 and all(across == down == 1 for _, across, down in row) for row in rows):
+        out: list[str] = []  # one column
+        for row in rows:
+            for lines, _, _ in row:
+                out += lines
+        return out
     placed, width = [], {}
     taken: dict[int, tuple[int, int]] = {}  # first column of a cell that spans rows: the row after it, its columns
     for r, row in enumerate(rows):
@@ -257,8 +279,12 @@ def _span(node: Node, name: str, most: int) -> int:
 
 def _trimmed(lines: list[str]) -> list[str]:
     """Without empty lines at either end."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    return lines[full[0] : full[-1] + 1] if full else []
+    first, last = 0, len(lines)
+    while first < last and not lines[first].strip():
+        first += 1
+    while first < last and not lines[last - 1].strip():
+        last -= 1
+    return lines[first:last]
 
 
 def render(root: Node) -> str:
@@ -347,8 +373,7 @@ def render(root: Node) -> str:
         elif tag in BLOCKS:
             page.flush()
             if tag == "table":
-                for line in _aligned(tables.pop()):
-                    page.line(line)
+                page.block(_aligned(tables.pop()))
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
             elif tag in ("li", "dd", "blockquote"):
