@@ -65,3 +65,16 @@ def test_profiles_joined_to_features(spark):
         cluster.joined(features, profiles.union(profiles.limit(1)))
     with pytest.raises(ValueError, match="no profile"):
         cluster.joined(features.withColumn("device_id", F.col("device_id") + 5), profiles)
+
+
+def test_silhouettes_with_every_pair_of_blocks_in_its_own_partition(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 64)
+    x = np.random.default_rng(4).normal(size=(300, 2))
+    own = (x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(x[i].tolist(), int(own[i])) for i in range(300)], "v array<double>, k2 int").withColumn("features", array_to_vector("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions are not put together, as on larger tables
+    try:
+        got = cluster.silhouettes(df, {"k2": np.bincount(own).tolist()})
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got["k2"] == pytest.approx(plain_silhouette(x, own), abs=1e-9)
