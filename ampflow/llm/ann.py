@@ -4,9 +4,10 @@ Coarse centroids and residual codebooks are learned on a bounded sample; every
 vector is then filed under its nearest centroid with the codes of its residual.
 A query reads the lists of its nearest centroids: distance tables from the
 query's residual to all codewords give approximate distances, the best of each
-list block are measured exactly on the original vectors, and the best of all
-are returned.  How many lists to read is calibrated on the sample against
-brute force.
+list block are measured exactly on the original vectors, then those whose
+quantisation error leaves them a chance, so that a block read loses nothing; the
+best of all are returned.  How many lists to read is calibrated on queries
+themselves, a bounded number of them, against brute force over all rows.
 
 Lists and the queries that read them are cut into blocks of bounded size by
 their counts, so a vector that a third of the rows share is no hot task.
@@ -39,11 +40,15 @@ MAX_LISTS = 1024
 SUBSPACES = 16
 CODES = 256
 #: Share of true neighbours that the calibrated number of lists must hold.
-RECALL = 0.97
+RECALL = 0.98
+#: Queries to calibrate on, at most, taken by the hash of their id.
+ASKED = 256
 #: Vectors, and queries, in a block at most (about).
 BLOCK = 8192
-#: Candidates of a block that are measured exactly.
+#: Candidates of a block that are measured exactly before any is ruled out.
 SHORTLIST = 100
+#: Pairs measured at once.
+PAIRS = 65_536
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -74,7 +79,6 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Index:
     centers: np.ndarray  # (lists, dimensions)
     books: np.ndarray  # (subspaces, codes, dimensions of a subspace)
-    probes: int
 
     def residual(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Residuals to centroids, padded to whole subspaces: (rows, subspaces, dimensions of one)."""
@@ -87,27 +91,51 @@ class Index:
         return np.stack([_nearest(r[:, j], self.books[j]) for j in range(len(self.books))], 1).astype(np.uint8)
 
 
-def learn(x: np.ndarray, lists: int, seed: int = 7, target: float = RECALL, near: int = 10) -> Index:
-    """Centroids, codebooks and the number of lists to read, from sample vectors."""
+def learn(x: np.ndarray, lists: int, seed: int = 7) -> Index:
+    """Centroids and codebooks from sample vectors."""
     lists = max(1, min(lists, len(x) // 8 or 1))
     centers = kmeans(x, lists, 12, seed)
     own = _nearest(x, centers)
     m = min(SUBSPACES, x.shape[1])
     d = -(-x.shape[1] // m)
-    index = Index(centers, np.zeros((m, 1, d)), 1)
+    index = Index(centers, np.zeros((m, 1, d)))
     r = index.residual(x, own)
     books = [kmeans(r[:, j], CODES, 8, seed + j) for j in range(m)]
     codes = max(map(len, books))
     index.books = np.stack([np.concatenate([b, np.repeat(b[-1:], codes - len(b), 0)]) for b in books])
-    asked = x[:: max(1, len(x) // 400)]
-    dist = ((asked**2).sum(1)[:, None] + (x**2).sum(1) - 2 * asked @ x.T)
-    true = np.argsort(dist, 1)[:, 1 : near + 1]
-    rank = np.argsort(np.argsort((centers**2).sum(1) - 2 * asked @ centers.T, 1), 1)
-    needed = np.sort(np.take_along_axis(rank, own[true], 1).ravel()) + 1
-    index.probes = int(needed[min(len(needed) - 1, math.ceil(target * len(needed)))]) if len(needed) else 1
     return index
 
 
+def calibrated(index: Index, filed: DataFrame, asking: DataFrame, k: int, target: float = RECALL) -> int:
+    """Lists to read, so that ``target`` of the true ``k`` neighbours of up to ``ASKED`` queries are in them: brute force over all of ``filed``, one pass."""
+    some = asking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).toPandas()
+    if not len(some):
+        return 1
+    centre = index.centers.mean(0)
+    own, q = some["vec_id"].to_numpy(), _matrix(some["v"]) - centre
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"i": [], "list": [], "vec_id": [], "score": []})
+        for rows in batches:
+            if not len(rows):
+                continue
+            x, ids = _matrix(rows["v"]) - centre, rows["vec_id"].to_numpy()
+            far = (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T
+            far[own[:, None] == ids] = np.inf
+            i = np.repeat(np.arange(len(q)), min(k, len(ids)))
+            at = np.argsort(far, 1, kind="stable")[:, :k].ravel()
+            best = pd.concat([best, pd.DataFrame({"i": i, "list": rows["list"].to_numpy()[at], "vec_id": ids[at], "score": far[i, at]})])
+            best = best[best["score"] < np.inf].sort_values(["i", "score", "vec_id"]).groupby("i").head(k)
+        yield best
+
+    found = filed.select("list", "vec_id", "v").mapInPandas(nearest, "i int, list int, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("score", "vec_id"))
+    true = found.withColumn("n", rank).where(F.col("n") <= k).select("i", "list").toPandas()  # k rows a query
+    place = np.argsort(np.argsort((index.centers**2).sum(1) - 2 * (q + centre) @ index.centers.T, 1), 1)
+    needed = np.sort(place[true["i"], true["list"]]) + 1
+    return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)))]) if len(needed) else 1
+
+
 def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, v: array of floats) of the vectors that take part."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).where("vec_id is not null and size(v) > 0")
@@ -120,25 +148,45 @@ def _matrix(column) -> np.ndarray:
 
 
 def _measure(own: Index, at: int, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, asking: np.ndarray, q: np.ndarray, keep: int) -> pd.DataFrame:
-    """The ``keep`` nearest of a block of list ``at`` for each query; ``ids`` ascend, so ties go to the smaller."""
+    """The ``keep`` nearest of a block of list ``at`` for each query; ``ids`` ascend, so ties go to the smaller, and one that repeats counts once.
+
+    A vector lies no nearer than the distance to its codewords less its own
+    distance from them, so those measured rule the others out.
+    """
     residual = own.residual(q, np.full(len(q), at))
+    off = np.sqrt(((own.residual(v, np.full(len(v), at)) - own.books[np.arange(codes.shape[1]), codes]) ** 2).sum((1, 2)))
+    repeated = (ids[1:] == ids[:-1]).any()
     out = []
     step = max(1, 2_000_000 // len(ids))
     for a in range(0, len(q), step):
+        some, asks = q[a : a + step], asking[a : a + step]
         tables = ((residual[a : a + step, :, None, :] - own.books) ** 2).sum(-1)
         far = np.zeros((len(tables), len(ids)))
         for j in range(codes.shape[1]):
             far += tables[:, j, codes[:, j]]
-        far[asking[a : a + step, None] == ids] = np.inf
+        self_ = asks[:, None] == ids
+        far[self_] = np.inf
+        score = np.full(far.shape, np.inf)
+
+        def measure(i: np.ndarray, j: np.ndarray) -> None:
+            for b in range(0, len(i), PAIRS):
+                score[i[b : b + PAIRS], j[b : b + PAIRS]] = np.sqrt(((v[j[b : b + PAIRS]] - some[i[b : b + PAIRS]]) ** 2).sum(-1))
+
         short = np.argsort(far, 1, kind="stable")[:, :SHORTLIST]
-        score = np.empty(short.shape)
-        for b in range(0, len(short), 256):
-            score[b : b + 256] = np.sqrt(((v[short[b : b + 256]] - q[a + b : a + b + len(short[b : b + 256]), None]) ** 2).sum(-1))
-        best = np.lexsort((short, score))[:, :keep]
-        found = np.take_along_axis(short, best, 1)
-        asks = np.repeat(asking[a : a + step], found.shape[1])
-        rows = pd.DataFrame({"query_id": asks, "vec_id": ids[found.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
-        out.append(rows[rows["query_id"] != rows["vec_id"]])
+        measure(np.repeat(np.arange(len(some)), short.shape[1]), short.ravel())
+        score[self_] = np.inf
+        sure = keep <= len(ids) and not repeated
+        bound = np.partition(score, keep - 1, 1)[:, keep - 1] if sure else np.full(len(some), np.inf)
+        near = np.sqrt(far)
+        open_ = near - off - 1e-12 * (near + off) <= bound[:, None]
+        np.put_along_axis(open_, short, False, 1)
+        measure(*np.nonzero(open_ & ~self_))
+        i, j = np.nonzero(score <= bound[:, None])
+        order = np.lexsort((j, score[i, j], i))
+        i, j = i[order], j[order]
+        rows = pd.DataFrame({"query_id": asks[i], "vec_id": ids[j], "score": score[i, j]})[~self_[i, j]]
+        rows = rows[np.isfinite(rows["score"])].drop_duplicates(["query_id", "vec_id"])
+        out.append(rows.groupby("query_id").head(keep))
     return pd.concat(out)
 
 
@@ -164,7 +212,8 @@ def _found(vectors: DataFrame, asking: DataFrame, total: int, k: int) -> DataFra
     """Of ``total`` vectors of one length: the nearest that each block read finds, a query's among them."""
     spark = vectors.sparkSession
     sample = _matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"])
-    index = spark.sparkContext.broadcast(learn(sample, min(MAX_LISTS, round(math.sqrt(total)))))
+    learned = learn(sample, min(MAX_LISTS, round(math.sqrt(total))))
+    index = spark.sparkContext.broadcast(learned)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -180,6 +229,8 @@ def _found(vectors: DataFrame, asking: DataFrame, total: int, k: int) -> DataFra
     for r in sizes:
         count[r["list"]] = r["n"]
 
+    probes = calibrated(learned, filed, asking, k)
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = index.value
         for rows in batches:
@@ -188,7 +239,7 @@ def _found(vectors: DataFrame, asking: DataFrame, total: int, k: int) -> DataFra
             x = _matrix(rows["v"])
             order = np.argsort((own.centers**2).sum(1) - 2 * x @ own.centers.T, 1)
             held = np.cumsum(count[order], 1)
-            take = np.maximum(own.probes, (held < 2 * k + 1).sum(1) + 1)  # enough rows for k neighbours, the query aside
+            take = np.maximum(probes, (held < 2 * k + 1).sum(1) + 1)  # enough rows for k neighbours, the query aside
             pairs = [(int(c), i) for i in range(len(x)) for c in order[i, : take[i]] if count[c]]
             yield pd.DataFrame({"list": [c for c, _ in pairs], "query_id": rows["vec_id"].to_numpy()[[i for _, i in pairs]], "q": [rows["v"].iloc[i] for _, i in pairs]})
 
@@ -205,7 +256,7 @@ def _found(vectors: DataFrame, asking: DataFrame, total: int, k: int) -> DataFra
         rows = rows.sort_values("vec_id", kind="stable")
         codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
         own, at = index.value, int(rows["list"].iloc[0])
-        return _measure(own, at, rows["vec_id"].to_numpy(), _matrix(rows["v"]), codes, asked["query_id"].to_numpy(), _matrix(asked["q"]), 2 * k)
+        return _measure(own, at, rows["vec_id"].to_numpy(), _matrix(rows["v"]), codes, asked["query_id"].to_numpy(), _matrix(asked["q"]), k)
 
     return left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(look, FOUND)
 
