@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ampflow.operators import models
+from ampflow.operators import models, profiles
 
 
 def test_trees_learn_from_few_partitions(spark):
@@ -12,3 +12,11 @@ def test_trees_learn_from_few_partitions(spark):
     forest = models.estimator("random_forest", ["x"], "y", held, trees=3, depth=3)
     assert forest.getStages()[-1].getCacheNodeIds()
     assert models.dealt(rows.limit(0)).count() == 0
+
+
+def test_profiles_make_no_rows_for_days_without_any(spark):
+    days = spark.range(0, 60).select(F.lit(1).alias("device_id"), F.expr("date_add(date'2020-01-01', int(id * 3 + if(id > 40, 30000, 0)))").alias("day"), *[(F.col("id") % 5 + k + 1.0).alias(f"seg{k}") for k in range(4)])
+    made = profiles.behaviour(days)
+    assert "explode" not in made._jdf.queryExecution().optimizedPlan().toString()
+    row = made.first()
+    assert row.autocorr_lag1 == 0 and row.autocorr_lag7 == 0 and row.naive7_wape == 1  # no day has one, or seven, before it
