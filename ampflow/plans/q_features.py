@@ -43,7 +43,7 @@ def _full(agg: str, x: str, frame: str, n: int) -> str:
     return f"CASE WHEN count({x}) {over} >= {n} THEN {agg}({x}) {over} END"
 
 
-_add("rolling_features", _some(feats.rolling_columns), D + " SELECT device_id, day, " + ", ".join(f"{_full('avg', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_mean{n}, {_full('stddev_samp', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_std{n}" for s in SEG for n in feats.ROLLS) + " FROM d", doubles=ROLLS, texts="day")
+_add("rolling_features", lambda s, d: feats.rolling(daily(s, d)), D + " SELECT device_id, day, " + ", ".join(f"{_full('avg', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_mean{n}, {_full('stddev_samp', s, f'{n} PRECEDING AND 1 PRECEDING', n)} AS {s}_std{n}" for s in SEG for n in feats.ROLLS) + " FROM d", doubles=ROLLS, texts="day")
 _add("trend_features", _some(feats.trend_columns), D + " SELECT device_id, day, " + ", ".join(f"{s} - lag({s}, {k}) OVER w AS {s}_trend{k}" for s in SEG for k in (1, 7)) + f" FROM d {W}", doubles=TRENDS, texts="day")
 UP = "UNBOUNDED PRECEDING AND 1 PRECEDING"
 _add("expanding_profile", _some(feats.profile_columns), D + ", x AS (SELECT *, " + ", ".join(f"{_full('avg', s, UP, 30)} AS {s}_past_mean, {_full('stddev_pop', s, UP, 30)} AS {s}_past_std" for s in SEG) + f", {_full('stddev_pop', '(seg0 + seg1 + seg2 + seg3)', UP, 30)} AS past_total_std FROM d), y AS (SELECT *, seg0_past_mean + seg1_past_mean + seg2_past_mean + seg3_past_mean AS past_total FROM x) SELECT device_id, day, " + ", ".join(f"{s}_past_mean, {s}_past_std, {s} / nullif({s}_past_mean, 0) AS {s}_to_past, {s}_past_mean / nullif(past_total, 0) AS {s}_past_share" for s in SEG) + ", past_total, past_total_std, past_total_std / nullif(past_total, 0) AS past_cv FROM y", doubles=PAST, texts="day")
