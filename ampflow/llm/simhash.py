@@ -332,8 +332,16 @@ def share(a: str | None, b: str | None, width: int = NEAR_WIDTH) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Verified links (a, b, cell) among texts of a cell, each compared with leaders of its cell.
+def _shared(cells: DataFrame) -> DataFrame:
+    """The rows (cell, a) of cells with two texts or more, with their number n."""
+    counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    return saved(cells.select("cell", "a").join(counts, "cell"), "cells")
+
+
+def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame | None:
+    """Verified links (a, b) among texts of a cell, each compared with leaders of its cell; none if no cell is shared.
+
+    ``cells`` come from ``_shared``; every round moves ``texts``, so these are those of ``cells`` only.
 
     In a round every cell has leaders, twice as many as the round before
     (at first one): the texts that share cells with the most others, as the common
@@ -346,11 +354,7 @@ def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> Data
         return pd.Series([share(x, y, width) >= least for x, y in zip(a, b)])
 
     links, turn = None, 0
-    while True:
-        counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        cells = saved(cells.select("cell", "a").join(counts, "cell"), "cells")
-        if cells.isEmpty():
-            return links
+    while not cells.isEmpty():
         part = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2**turn))
         degree = cells.groupBy("a").agg(F.sum("n").alias("degree"))
         leaders = saved(cells.join(degree, "a").groupBy("cell", part.alias("part")).agg(F.max_by("a", F.struct("degree", "a")).alias("b")).select("cell", "b"), "leaders")
@@ -362,8 +366,9 @@ def _pairs(cells: DataFrame, texts: DataFrame, width: int, least: float) -> Data
         good = saved(left.join(right, ["b", "part"]).where(near("text", "other")).select("a", "b"), "verified")
         links = good if links is None else links.unionByName(good)
         done = tried.join(good, ["a", "b"], "left_semi").select("cell", "a").union(leaders.select("cell", "b"))
-        cells = cells.join(done.distinct(), ["cell", "a"], "left_anti")
+        cells = _shared(cells.join(done.distinct(), ["cell", "a"], "left_anti"))
         turn += 1
+    return links
 
 
 def deduplicate(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_SHARE) -> DataFrame:
@@ -378,6 +383,10 @@ def deduplicate(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_SH
     The row of the smallest doc_id stays (a null one comes last), among equal ids
     that of the smallest hash of its text.  Rows count, not ids: of rows that repeat an id those
     whose texts are in no common group all stay, and of equal rows one.  Wordless texts are one group.
+
+    ``docs`` are read three times, so store what is costly or random.  A row is known by two hashes of
+    its content: texts are dealt out twice however many rounds there are, once to find those that may
+    have a near-duplicate and once for the rows that stay, and only the former are stored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -386,24 +395,29 @@ def deduplicate(docs: DataFrame, width: int = NEAR_WIDTH, least: float = NEAR_SH
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sketch(t, width) for t in texts], columns=["set_key", "fp", "samples"])
 
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s", run("text")), "sketched")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    classes = saved(rows.groupBy(F.col("_s.set_key").alias("a")).agg(F.min(order).alias("best"), F.min("_row").alias("_row"), F.first("_s.fp").alias("fp"), F.first("_s.samples").alias("samples")), "classes")
+    content = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]  # a hash passes over nulls, so they are told
+    known = docs.withColumns({"_row": F.xxhash64(*content), "_text": F.xxhash64("text")})
+    key = ["_row", "_text"]
+    whole = known.dropDuplicates(key)
+    rows = saved(known.select("doc_id", *key, run("text").alias("_s")), "sketched")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_text", "_row")
+    classes = saved(rows.groupBy(F.col("_s.set_key").alias("a")).agg(F.min(order).alias("best"), F.first("_s.fp").alias("fp"), F.first("_s.samples").alias("samples")), "classes")
     of_print = classes.groupBy("fp").agg(F.min("a").alias("u"))
     same = classes.join(of_print, "fp").where("a <> u").select(F.col("a").alias("u"), F.col("u").alias("v"))
     grid = link(of_print.select("fp"))
     named = of_print.select(F.col("fp").alias("_f"), F.col("u").alias("_u"))
     grid = grid.join(named, F.col("u") == F.col("_f")).select("_u", "v").withColumnRenamed("_u", "u").join(named, F.col("v") == F.col("_f")).select("u", F.col("_u").alias("v"))
-    cells = classes.select("a", F.explode("samples").alias("cell"))
-    texts = rows.select("_row", "text").join(classes.select("_row", "a"), "_row").select("a", "text")
+    cells = _shared(classes.select("a", F.explode("samples").alias("cell")))
+    # These lists grow with the corpus, so their joins are shuffles at every size, never broadcasts.
+    listed = cells.select("a").distinct().join(classes, "a").select("a", "best._row", "best._text")
+    texts = saved(whole.select(*key, "text").join(listed.hint("merge"), key).select("a", "text"), "texts")
     verified = _pairs(cells, texts, width, least)
     links = same.union(grid)
     if verified is not None:
         links = links.union(verified)
     reached = connected(links).withColumnRenamed("node", "a")
-    kept = classes.join(reached, "a", "left").groupBy(F.coalesce("component", "a").alias("component")).agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    # The list grows with the corpus, so the join is a shuffle at every size, never a broadcast.
-    return rows.drop("_s").join(kept.hint("merge"), "_row", "left_semi").drop("_row")
+    kept = classes.join(reached, "a", "left").groupBy(F.coalesce("component", "a").alias("component")).agg(F.min("best").alias("best")).select("best._row", "best._text")
+    return whole.join(kept.hint("merge"), key, "left_semi").drop(*key)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -169,3 +169,30 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     named = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("name", rows["k"] * 10)
     got = sorted((r.k, r.x, r.name) for r in common.with_hot(rows, named, "k").collect())
     assert got == sorted((r.k, r.x, r.k * 10) for r in rows.collect())
+
+
+def test_texts_move_twice_and_candidates_only_in_rounds(spark, monkeypatch):
+    """A group of many edits takes several rounds; none of them may read the other texts."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    alone = [" ".join(rng.choices(words, k=60)) for _ in range(150)]
+    base = rng.choices(words, k=80)
+    edits = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 80, 8)]
+    columns, moved = {}, []
+    save, pairs = simhash.saved, simhash._pairs
+    monkeypatch.setattr(simhash, "saved", lambda df, name: columns.setdefault(name, df.columns) and save(df, name))
+    monkeypatch.setattr(simhash, "_pairs", lambda cells, texts, *more: moved.extend(texts.collect()) or pairs(cells, texts, *more))
+    got = sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(alone + edits)), "doc_id long, text string")).collect())
+    assert got == list(range(151))
+    assert sorted(r.text for r in moved) == sorted(edits)
+    assert [name for name, of in columns.items() if "text" in of] == ["texts"]
+
+
+def test_rows_alike_but_for_a_null_are_different_rows(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, None, "s"), (1, a, "s", None), (1, a, None, "s"), (1, b, "s", None), (None, b, None, "s"), (2, None, "x", "y"), (None, None, "x", "y"), (None, "x", None, "y"), (None, "x", "y", None)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(1, b), (1, a), (2, None)]
+    assert [r.text for r in kept if r.doc_id is None] == ["x"] and all(tuple(r) in rows for r in kept)
